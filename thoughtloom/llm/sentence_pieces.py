@@ -1,11 +1,12 @@
 """Encoding and decoding with a merge-type (BPE) SentencePiece vocabulary.
 
 The encoder keeps a score-ordered agenda of adjacent symbol pairs and merges the best pair (highest
-score, leftmost on ties) until none is left; characters outside the vocabulary become byte pieces. With
-these vocabularies no piece has a space mark after another character, so a text falls into chunks (a run
-of marks and the run of other characters after it) that no merge crosses; chunks are encoded once and
-remembered in a bounded cache. Every chunk is checked against the sentencepiece library when it is first
-met, a batch of chunks in one call; a difference stops the job. Decoding is the library's decode(ids).
+score, leftmost on ties) until none is left; characters outside the vocabulary become byte pieces. No
+piece of such a vocabulary has a space mark after another character or joins a letter to a character of
+another kind (both are checked when the model is read), so no merge crosses these borders: a text falls
+into words, and words into chunks, which are encoded once and remembered in bounded caches. Every new
+word, and every text with runs of spaces, is checked against the sentencepiece library, a batch in one
+call; a difference stops the job. Decoding is the library's decode(ids).
 
 Defined cases: a null text is an empty one (its ids are the end id alone); repeated rows are encoded
 each; very long chunks cost n log n.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, BYTE = 1, 6
 NEVER = 1 << 40
 
@@ -54,15 +54,21 @@ class Encoder:
         n = m.normalizer_spec
         if m.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or not m.trainer_spec.byte_fallback:
             raise ValueError("a BPE model with byte fallback and identity normalisation is needed")
-        if any(MARK in p.piece.lstrip(MARK) or (p.piece.startswith(MARK * 2) and p.piece.strip(MARK)) for p in m.pieces):
-            raise ValueError("pieces with inner space marks: chunks would not be independent")
-        self.prefix = n.add_dummy_prefix
+        if not n.add_dummy_prefix:
+            raise ValueError("a model with a dummy prefix is needed")
+        pieces = [p.piece for p in m.pieces if p.type == NORMAL]
+        odd = re.escape("".join({c for p in pieces for c in p if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha()}))
+        letter = rf"[^\W\d_{odd}]"
+        self.chunks = re.compile(rf"{MARK}*{letter}+|{MARK}*(?:(?!{letter})[^{MARK}])+|{MARK}+").findall
+        if any(len(self.chunks(p)) > 1 for p in pieces):
+            raise ValueError("a piece crosses the border of a chunk: chunks would not be independent")
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         order = {s: r for r, s in enumerate(sorted({p.score for p in m.pieces if p.type == NORMAL}, reverse=True))}
         self.rank = {p.piece: order[p.score] for p in m.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.end = self.library.eos_id()
+        self.words: dict[str, list[int]] = {}
         self.cache: dict[str, list[int]] = {}
         self.most = cache
 
@@ -123,32 +129,48 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """With the end id, without a start id."""
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        cache = self.cache
-        parts = [CHUNK.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({c for p in parts for c in p if c not in cache})
-        for c in new:
-            cache[c] = self.chunk(c)
-        self.check(new)
-        end = self.end
+        for kept in (self.words, self.cache):
+            if len(kept) > self.most:
+                kept.clear()
+        known, end = self.words, self.end
+        parts = [t.split(" ") if t else [] for t in texts]
+        spaced = [i for i, p in enumerate(parts) if p and ("" in p or MARK in texts[i])]
+        for i in spaced:
+            parts[i] = []
+        new = list({w for p in parts for w in p if w not in known})
+        for w in new:
+            known[w] = self.pieces(MARK + w)
+        self.check(new, map(known.__getitem__, new))
         out = []
         for p in parts:
             ids: list[int] = []
-            for c in p:
-                ids += cache[c]
+            for w in p:
+                ids += known[w]
             ids.append(end)
             out.append(ids)
+        if spaced:
+            whole = [self.pieces(MARK + texts[i].replace(" ", MARK)) for i in spaced]
+            self.check([texts[i] for i in spaced], whole)
+            for i, ids in zip(spaced, whole):
+                out[i] = [*ids, end]
         return out
 
-    def check(self, chunks: list[str]) -> None:
-        """The library on the same chunks: its own dummy prefix is one mark, so chunks with marks give it back."""
-        marked = [c for c in chunks if c[0] == MARK] if self.prefix else chunks
-        got = self.library.encode([c[1:].replace(MARK, " ") if self.prefix else c.replace(MARK, " ") for c in marked], num_threads=1)
-        for c, ids in zip(marked, got):
-            # a chunk of one mark alone is an empty text to the library
-            if ids != self.cache[c] and c != MARK:
-                raise AssertionError(f"{c[:80]!r}: {self.cache[c][:20]} here, {ids[:20]} in the library")
+    def pieces(self, marked: str) -> list[int]:
+        """ids of a text whose spaces are marks."""
+        ids: list[int] = []
+        cache = self.cache
+        for c in self.chunks(marked):
+            if (x := cache.get(c)) is None:
+                x = self.chunk(c)
+                if len(c) <= 48:
+                    cache[c] = x
+            ids += x
+        return ids
+
+    def check(self, texts: list[str], ids) -> None:
+        for t, own, library in zip(texts, ids, self.library.encode(texts, num_threads=1) if texts else []):
+            if own != library:
+                raise AssertionError(f"{t[:80]!r}: {own[:20]} here, {library[:20]} in the library")
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
