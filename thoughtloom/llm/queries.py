@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sentence_pieces
+from . import minhash_dedup, quality_rules, sentence_pieces
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentence_pieces": _on("documents", sentence_pieces.op3),
         "op4_quality_rules": _on("documents", quality_rules.op4),
+        "op9_minhash_dedup": _on("documents", minhash_dedup.op9),
     }
 
 
