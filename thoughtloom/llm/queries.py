@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, quality_rules, sentence_pieces
+from . import minhash_dedup, quality_rules, sentence_pieces, source_mix
 from .common import table
 
 
@@ -18,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentence_pieces": _on("documents", sentence_pieces.op3),
         "op4_quality_rules": _on("documents", quality_rules.op4),
+        "op6_source_mix": _on("documents", source_mix.op6),
         "op9_minhash_dedup": _on("documents", minhash_dedup.op9),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_source_mix": source_mix.ORACLE,
+    }
