@@ -84,7 +84,7 @@ def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     m = mixed.where("taken > 0").select("doc_id", "size", "taken")
     pieces = m.withColumn("words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
     pieces = pieces.select("doc_id", "size", "words")
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words"), F.lit("})")), 1)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
     columns = [F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in docs.columns]
     joined = docs.join(pieces, "doc_id").select(*columns)
     if "n_chars" in docs.columns:
