@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
+from . import chat_format, language_id, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
 from .common import table
 
 
@@ -19,12 +19,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": _on("documents", suffix_dedup.op2),
         "op3_sentence_pieces": _on("documents", sentence_pieces.op3),
         "op4_quality_rules": _on("documents", quality_rules.op4),
+        "op5_chat_format": _on("conversations", chat_format.op5),
         "op6_source_mix": _on("documents", source_mix.op6),
         "op9_minhash_dedup": _on("documents", minhash_dedup.op9),
+        "op10_language_id": _on("documents", language_id.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_format": _on("conversations", chat_format.op5),
+        "op5_chat_format": chat_format.ORACLE,
         "op6_source_mix": source_mix.ORACLE,
     }
