@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
+from . import chat_format, imatch, language_id, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_imatch": _on("documents", imatch.op1),
         "op2_suffix_dedup": _on("documents", suffix_dedup.op2),
         "op3_sentence_pieces": _on("documents", sentence_pieces.op3),
         "op4_quality_rules": _on("documents", quality_rules.op4),
