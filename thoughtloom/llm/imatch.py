@@ -53,8 +53,8 @@ def lexicon(docs: DataFrame, least: float = 0.0005, most: float = 0.02, most_ter
     pairs = counts.agg(F.sum("n")).first()[0] or 0
     low = max(2.0, least * total, pairs / most_terms)
     high = max(most * total, 20.0)
-    rows = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).astype(U64))
+    rows = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("h").toArrow()
+    return np.sort(rows.column("h").to_numpy().astype(np.int64).astype(U64))
 
 
 def fingerprint(own: np.ndarray, lex: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, imatch, language_id, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
+from . import chat_format, html_extract, imatch, language_id, masked_lm, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": _on("conversations", chat_format.op5),
         "op6_source_mix": _on("documents", source_mix.op6),
         "op7_html_extract": _on("pages", html_extract.op7),
+        "op8_masked_lm": _on("documents", masked_lm.op8),
         "op9_minhash_dedup": _on("documents", minhash_dedup.op9),
         "op10_language_id": _on("documents", language_id.op10),
     }
