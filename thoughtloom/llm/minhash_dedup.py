@@ -1,25 +1,26 @@
 """Near-duplicate groups by one-permutation MinHash.
 
 1. Shingles: n-word windows of the lower-cased (A-Z) text, as 64-bit hashes; a text with fewer words is
-   one shingle of all its words. Documents with the same shingle set are one class (`set_hash`); the
-   class is represented by its least id, and only representatives go on.
+   one shingle of all its words. Documents with the same shingle set are one class; the class is
+   represented by its least id, and only representatives go on.
 2. Signature: one permutation, `bins` bins; empty bins are filled by optimal densification (each empty bin
    draws bins by a universal hash of (bin, attempt) until it meets a full one).
 3. Bands: `rows` bins a band make a bucket key. In a bucket every member gets one edge to the least
-   member (a star), so a bucket of m members has m - 1 edges.
-4. Every edge is confirmed on the full shingle sets, and components are taken.
-5. A star can miss links between two members that are both far from its centre. Buckets whose members
-   still lie in several components are compared once more in square blocks of signatures, without
-   leaving the task; pairs in different components whose signatures agree in `doubt` of the bins are
-   confirmed on the full sets too. A pair that no bucket holds is missed with probability
-   (1 - s^rows)^bands, below 1e-8 at s = 0.85 with the defaults.
-
-Nothing is capped: bucket blocks are spread over tasks by (bucket, block pair), and texts are read only
-for documents in an edge.
+   member (a star), so a bucket of m members has m - 1 edges. Edges whose signatures agree in `doubt` of
+   the bins are candidates; `doubt` lies five standard errors below the threshold.
+4. A star can miss pairs that are both far from its centre: buckets whose members lie in several
+   components of the candidates are compared once more, in square blocks of signatures, and give the
+   edges of a spanning forest. The components of all candidates are the neighbourhoods: linked
+   documents lie in one neighbourhood, except with probability (1 - s^rows)^bands, below 1e-8 at s = 0.85.
+5. Inside each neighbourhood the full shingle sets decide. One of up to `block` members meets in one
+   task. A larger one first links its members to its pivot, the member nearest to the mode of all
+   signatures; the rest then meets all others in pairs of blocks. Tasks return spanning links only.
+
+Nothing is capped, and no step returns more rows than a neighbourhood or bucket has members.
 
 Defined cases: null or empty texts (and texts without words) have the empty set, are linked with
-nothing and are their own component; rows with a null id are dropped from the links and come back as
-their own component (null); rows that repeat an id count as one document with the least text.
+nothing and are their own component; rows with a null id are never linked and keep a null component;
+rows that repeat an id count as one document with the least text.
 """
 
 from __future__ import annotations
@@ -65,18 +66,26 @@ class Signer:
             return np.unique(mix(x))
 
     def signature(self, s: np.ndarray) -> np.ndarray:
-        """uint32 for each bin; s must not be empty."""
+        """uint16 for each bin: the end of the least hash in it; s must not be empty."""
         with np.errstate(over="ignore"):
-            h = mix(s + U64(0x5851F42D4C957F2D))
-        b = (h >> U64(32)).astype(np.int64) * self.bins >> 32
-        sig = np.full(self.bins, 0xFFFFFFFFFF, np.int64)
-        np.minimum.at(sig, b, (h & U64(0xFFFFFFFF)).astype(np.int64))
-        empty = np.flatnonzero(sig == 0xFFFFFFFFFF)
-        if len(empty):
-            full = sig != 0xFFFFFFFFFF
-            first = full[self.draws[:, empty]].argmax(0)
-            sig[empty] = sig[self.draws[first, empty]]
-        return sig.astype(np.uint32)
+            h = np.sort(mix(s + U64(0x5851F42D4C957F2D)))
+        b = ((h >> U64(32)) * U64(self.bins) >> U64(32)).astype(np.int64)  # ascending, as h is
+        first = np.concatenate([[True], b[1:] != b[:-1]])
+        sig = np.zeros(self.bins, np.uint16)
+        full = np.zeros(self.bins, bool)
+        full[b[first]] = True
+        sig[b[first]] = (h[first] & U64(0xFFFF)).astype(np.uint16)
+        own = full.copy()
+        empty = np.flatnonzero(~full)
+        for t in range(0, len(self.draws), 16):
+            if not len(empty):
+                break
+            tried = self.draws[t : t + 16, empty]
+            found = own[tried]
+            some = found.any(0)
+            sig[empty[some]] = sig[tried[found.argmax(0)[some], np.flatnonzero(some)]]
+            empty = empty[~some]
+        return sig
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
         """One 64-bit key for each band."""
@@ -120,7 +129,7 @@ def buckets(reps: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
     def run(c, z):
         ids, keys = [], []
         for i, s in zip(c["id"], c["sig"]):
-            k = z.keys(np.frombuffer(s, np.uint32))
+            k = z.keys(np.frombuffer(s, np.uint16))
             keys.append(k)
             ids.append(np.full(len(k), i, np.int64))
         return {"key": np.concatenate(keys) if keys else [], "id": np.concatenate(ids) if ids else []}
@@ -128,84 +137,159 @@ def buckets(reps: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
     return map_batches(reps.select("id", "sig"), run, "key bigint, id bigint", setup)
 
 
-def confirm(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The edges (a, b) with 100 * intersection >= percent * union of the full shingle sets.
+def _agree(edges: DataFrame, reps: DataFrame, bins: int, doubt: float) -> DataFrame:
+    """The edges (a, b) whose signatures agree in `doubt` of the bins."""
 
-    A document takes part with its set once for each distinct edge it is in; sets travel as packed hashes.
-    A centre of many edges is met by splitting its edges over salts, so no task holds more than its share.
-    """
+    def run(batches):
+        import pyarrow as pa
 
-    def setup():
-        return Signer(n, 1, 1)
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, bins) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= doubt * bins))
 
-    def sets(c, z):
-        return {"id": c["doc_id"], "s": [z.shingles(t).tobytes() for t in c["text"]]}
+    sig = reps.select("id", "sig")
+    both = edges.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    used = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    packed = map_batches(docs.join(used, "doc_id", "left_semi").select("doc_id", "text"), sets, "id bigint, s binary", setup)
-    packed = stored(packed, "sets")
 
-    def check(batches):
-        import pyarrow as pa
+class Forest:
+    """Union-find over positions, for the spanning edges of one task."""
 
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            last, u = None, None
-            for p, q in zip(x, y):
-                if p is not last:
-                    last, u = p, np.frombuffer(p, U64)
-                v = np.frombuffer(q, U64)
-                if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-                    keep.append(False)
-                    continue
-                both = np.intersect1d(u, v, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(a, keep) if k], pa.int64()), pa.array([i for i, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
-
-    paired = edges.join(packed.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return paired.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
-
-
-def _residual(rows: DataFrame, sigs: DataFrame, bins: int, doubt: float, block: int) -> DataFrame:
-    """Pairs (a, b) in different components of one bucket whose signatures agree in `doubt` of the bins.
+    def __init__(self, groups: np.ndarray):
+        """groups: a label for each position; equal labels start in one tree."""
+        self.of = np.unique(groups, return_inverse=True)[1]
+
+    def differ(self, i: int) -> np.ndarray:
+        return self.of != self.of[i]
+
+    def join(self, i: int, js: np.ndarray) -> list[int]:
+        """Links i to each of js; those that were in another tree, one of each."""
+        roots, first = np.unique(self.of[js], return_index=True)
+        new = roots != self.of[i]
+        self.of[np.isin(self.of, roots[new])] = self.of[i]
+        return js[first[new]].tolist()
+
+
+def _across(rows: DataFrame, reps: DataFrame, bins: int, doubt: float, block: int) -> DataFrame:
+    """Edges (a, b) that join different components of one bucket whose signatures agree in `doubt` of the bins.
 
     rows: (key, id, component, m), m members in the bucket. A bucket falls into ceil(m / block) parts; each
     pair of parts is one group, so a member is sent once for each part and no group has more than two parts.
     """
     parts = F.ceil(F.col("m") / F.lit(float(block))).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = (
         rows.withColumn("parts", parts)
-        .withColumn("part", mine)
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-        .join(sigs, "id")
+        .select("key", "id", "component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        .join(reps.select("id", "sig"), "id")
     )
 
-    def compare(key, table):
+    def compare(table):
         import pyarrow as pa
 
-        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
-        part = table["part"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, bins)
-        p, q = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(part == p)
-        right = np.flatnonzero(part == q)
+        ids = table["id"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, bins)
+        forest = Forest(table["component"].to_numpy())
         a, b = [], []
-        for i in left:
-            near = right[(comp[right] != comp[i]) & (ids[right] > ids[i] if p == q else True)]
-            if len(near):
-                near = near[(sig[near] == sig[i]).sum(1) >= doubt * bins]
-                a += [min(ids[i], x) for x in ids[near]]
-                b += [max(ids[i], x) for x in ids[near]]
+        for i in range(len(ids)):
+            other = np.flatnonzero(forest.differ(i))
+            if not len(other):
+                break
+            near = other[(sig[other] == sig[i]).sum(1) >= doubt * bins]
+            for j in forest.join(i, near) if len(near) else []:
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, s): the full shingle sets, packed, of the wanted documents."""
+
+    def run(c, z):
+        return {"id": c["doc_id"], "s": [z.shingles(t).tobytes() for t in c["text"]]}
+
+    wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    return map_batches(wanted, run, "id bigint, s binary", lambda: Signer(n, 1, 1))
+
+
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(u, v, assume_unique=True).size
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def _pivots(near: DataFrame, reps: DataFrame, bins: int) -> DataFrame:
+    """(hood, pivot): of each neighbourhood the member that agrees best with the most frequent value of each bin."""
+
+    def values(c):
+        v = np.frombuffer(b"".join(c["sig"]), np.uint16).reshape(-1, bins)
+        return {"hood": np.repeat(np.array(c["hood"], np.int64), bins), "id": np.repeat(np.array(c["id"], np.int64), bins), "bin": np.tile(np.arange(bins, dtype=np.int32), len(v)), "v": v.ravel().astype(np.int32)}
+
+    rows = stored(map_batches(near.join(reps.select("id", "sig"), "id").select("hood", "id", "sig"), values, "hood bigint, id bigint, bin int, v int"), "bins")
+    mode = rows.groupBy("hood", "bin", "v").count().groupBy("hood", "bin").agg(F.max(F.struct("count", "v"))["v"].alias("v"))
+    mode = stored(mode, "modes")
+    fit = rows.join(mode, ["hood", "bin", "v"]).groupBy("hood", "id").count()
+    return fit.groupBy("hood").agg(F.max(F.struct("count", -F.col("id")))).toDF("hood", "x").select("hood", (-F.col("x").getField("col2")).alias("pivot"))
+
+
+def _to_pivots(near: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between pivots and the members of their neighbourhoods."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([_similar(np.frombuffer(p, U64), np.frombuffer(q, U64), percent) for p, q in zip(x, y)], pa.bool_()))
+
+    center = stored(pivots.join(sets, pivots.pivot == sets.id).select("hood", F.col("pivot").alias("a"), F.col("s").alias("x")), "pivots")
+    members = stored(near.join(sets, "id").select("hood", F.col("id").alias("b"), F.col("s").alias("y")), "members")
+    return members.join(center, "hood").where("a <> b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _inside(near: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Spanning links (a, b) of the neighbourhoods (hood, id, component, main): pairs of which one side at least is not in the main component."""
+    count = near.groupBy("hood").agg(F.count_if(~F.col("main")).alias("rest"), F.count_if("main").alias("mains"))
+    near = near.join(stored(count.where("rest > 0"), "hoods"), "hood")
+    size = F.lit(float(block))
+    near = near.withColumn("nr", F.ceil(F.col("rest") / size).cast("int")).withColumn("nm", F.ceil(F.col("mains") / size).cast("int"))
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
+    # a pair of blocks is (i, j): i a block of the rest, j < nr another block of it or j - nr a block of the main component
+    rest_pairs = F.transform(F.sequence(F.lit(0), F.col("nr") + F.col("nm") - 1), lambda j: F.when(j < F.col("mine"), F.struct(j.alias("i"), F.col("mine").alias("j"))).otherwise(F.struct(F.col("mine").alias("i"), j.alias("j"))))
+    main_pairs = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (F.col("nr") + F.col("mine")).alias("j")))
+    dealt = near.withColumn("mine", mine).withColumn("pair", F.explode(F.when(F.col("main"), main_pairs).otherwise(rest_pairs)))
+    rows = dealt.select("hood", "pair.i", "pair.j", "id", "component", "main").join(sets, "id")
+
+    def compare(table):
+        import pyarrow as pa
+
+        ids, packed = table["id"].to_numpy(), table["s"].to_pylist()
+        lengths = np.array([len(p) // 8 for p in packed])
+        shingles = np.unique(np.frombuffer(b"".join(packed), U64), return_inverse=True)[1].astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        forest = Forest(table["component"].to_numpy())
+        flag = np.zeros(int(shingles.max()) + 1, np.int32)
+        a, b = [], []
+        for i in np.flatnonzero(~table["main"].to_numpy(zero_copy_only=False)):
+            if not forest.differ(i).any():
+                continue
+            own = shingles[starts[i] : starts[i] + lengths[i]]
+            flag[own] = 1
+            both = np.add.reduceat(flag[shingles], starts)
+            flag[own] = 0
+            near_ = np.flatnonzero((100 * both >= percent * (lengths + lengths[i] - both)) & forest.differ(i))
+            for j in forest.join(i, near_) if len(near_) else []:
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("hood", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bins: int = 160, rows: int = 5, doubt: float | None = None, block: int = 1000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each distinct doc_id. doubt: least share of equal bins, five standard errors below the threshold unless given."""
+    """(doc_id, n_shingles, component_id) for each distinct doc_id."""
     s = percent / 100
     doubt = max(0.0, s - 5 * (s * (1 - s) / bins) ** 0.5) if doubt is None else doubt
     ids = docs.groupBy("doc_id").count()
@@ -213,28 +297,39 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bins: int =
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     base = stored(signatures(docs, n, bins, rows), "signatures")
     full = base.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    classes = stored(classes, "classes")
-    reps = stored(base.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig"), "representatives")
+    classes = stored(full.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
+    reps = stored(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig"), "representatives")
 
     keyed = stored(buckets(reps, n, bins, rows), "buckets")
-    heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    heads = stored(heads, "heads")
+    heads = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "heads")
     members = stored(keyed.join(heads, "key"), "members")
     edges = stored(members.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "edges")
-    links = stored(confirm(edges, docs, n, percent), "confirmed")
+    candidates = stored(_agree(edges, reps, bins, doubt), "candidates")
+    held = members.select("id").distinct()
+    hoods = stored(components(held, candidates), "neighbourhoods")
 
-    comp = stored(components(reps.select("id"), links), "components")
-    spread = members.join(comp, "id")
-    spread = stored(spread, "spread")
+    spread = stored(members.join(hoods, "id"), "spread")
     mixed = stored(spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    rest = spread.join(mixed, "key").select("key", "id", "component", "m")
-    more = stored(_residual(rest, reps, bins, doubt, block).join(edges, ["a", "b"], "left_anti"), "residual")
+    more = stored(_across(spread.join(mixed, "key").select("key", "id", "component", "m"), reps, bins, doubt, block), "across")
     if more.limit(1).count():
-        links = stored(links.unionByName(confirm(more, docs, n, percent)), "confirmed")
-        comp = stored(components(reps.select("id"), links), "components")
-    placed = full.join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep")
-    return placed.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")).unionByName(
+        hoods = stored(components(held, candidates.unionByName(more)), "neighbourhoods")
+    size = stored(hoods.groupBy(F.col("component").alias("hood")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "hoods")
+    near = stored(hoods.withColumnRenamed("component", "hood").join(size, "hood"), "near")
+    sets = stored(_sets(docs, near, n), "sets")
+    placed = near.select("hood", "id", F.col("id").alias("component"), F.lit(False).alias("main"))
+    links = None
+    large = near.where(F.col("m") > block).select("hood", "id")
+    if large.limit(1).count():
+        pivots = stored(_pivots(large, reps, bins), "pivots")
+        links = stored(_to_pivots(large, pivots, sets, percent), "pivot-links")
+        linked = links.select(F.col("b").alias("id"), F.col("a").alias("p"))
+        placed = placed.join(linked, "id", "left").join(pivots.select(F.col("pivot").alias("id"), F.col("pivot").alias("q")), "id", "left")
+        own = F.coalesce("p", "q")
+        placed = stored(placed.select("hood", "id", F.coalesce(own, F.col("component")).alias("component"), own.isNotNull().alias("main")), "placed")
+    found = stored(_inside(placed, sets, percent, block), "links")
+    comp = stored(components(near.select("id"), found if links is None else found.unionByName(links)), "components")
+    whole = full.join(classes, ["c1", "c2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return whole.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id")).unionByName(
         base.where("n_shingles = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), "n_shingles", F.col("id").alias("component_id"))
     )
 
