@@ -14,7 +14,7 @@ OTHER_STALE_DAYS = 90
 NEGATIONS = ["no longer", "deprecated", "replaced by", "removed", "migrated away from", "switched from", "moved away from", "abandoned", "dropped support for"]
 OPPOSED = [("monolith", "microservice"), ("synchronous", "async"), ("sql", "nosql"), ("rest", "graphql"), ("rest", "grpc"), ("single tenant", "multi tenant"), ("single-tenant", "multi-tenant"), ("postgres", "mongodb"), ("postgres", "cassandra"), ("jwt", "session"), ("class", "functional"), ("oop", "functional"), ("on-premise", "cloud"), ("on-prem", "cloud")]
 AMOUNT = r"\b(\d[\d,]*)\s*(req|rps|users|records|gb|mb|kb|ms)"
-STOP_WORDS = ["should", "would", "could", "their", "there"]
+STOP_WORDS = ["which", "where", "while", "their", "about"]
 
 
 def paginate(df: DataFrame, page: int, size: int) -> DataFrame:
