@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, html_extract, imatch, language_id, masked_lm, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
-from .common import table
+from .common import stored, table  # noqa: F401
 
 
 def _on(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
