@@ -67,7 +67,7 @@ def _semantic(s, d):
     return q.join(t, F.col("query") % 40 == F.col("id") % 40).select("query", "id", (((F.col("query") * 7 + F.col("id") * 13) % 100) / 100).alias("score"))
 
 
-_HYBRID = f"""WITH {_BM25}, {_SEM}, h AS (SELECT coalesce(bm.query, sem.query) AS query, coalesce(bm.id, sem.id) AS id, coalesce(least(s / 10, 1), 0) AS lex, coalesce(score, 0) AS sem FROM bm FULL JOIN sem ON bm.query = sem.query AND bm.id = sem.id),
+_HYBRID = f"""WITH {_BM25}, {_SEM}, h AS (SELECT coalesce(bm.query, sem.query) AS query, coalesce(bm.id, sem.id) AS id, CASE WHEN s IS NULL THEN 0 ELSE least(s / 10, 1) END AS lex, coalesce(score, 0) AS sem FROM bm FULL JOIN sem ON bm.query = sem.query AND bm.id = sem.id),
     c AS (SELECT *, 0.3 * lex + 0.7 * sem AS combined, row_number() OVER (PARTITION BY query ORDER BY round(0.3 * lex + 0.7 * sem, 9) DESC, id) AS rank FROM h WHERE 0.3 * lex + 0.7 * sem >= 0.2)"""
 
 
