@@ -189,3 +189,22 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = map_batches(docs, run, ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{m} long" for m in names]))
     failed = _bits("_m_")
     return judged.where(verdict("base", failed) & verdict("v1", failed)).select(*columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM (SELECT doc_id, unnest(places) AS i FROM (SELECT doc_id, k, list(i) AS places FROM g GROUP BY 1, 2 HAVING count(*) > 1)), range(5) o(j) GROUP BY 1),
+l AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS dup, sum((n - 1) * c)::BIGINT AS dup_chars FROM (SELECT doc_id, x, c, count(*) AS n FROM l GROUP BY 1, 2, 3) GROUP BY 1),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}\p{Lt}]', '', 'g')) AS n_upper
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id),
+f AS (
+  SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT + 8 * (word_chars > 20 * n_words)::BIGINT + 16 * (n_symbols * 100 > n_words * 30)::BIGINT
+    + 32 * (n_dup_lines >= 2 AND n_dup_lines * 100 > n_lines * 30)::BIGINT + 64 * (n_dup_lines >= 2 AND dup_chars * 100 > word_chars * 30)::BIGINT + 128 * (n_letters >= 50 AND n_upper * 100 > n_letters * 40)::BIGINT
+    + 256 * (n_marks >= 10 AND n_marks * 100 > n_words * 30)::BIGINT + 512 * (n_letters * 2 < word_chars)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
