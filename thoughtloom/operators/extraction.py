@@ -325,3 +325,19 @@ def compression_report(df: DataFrame, usd_per_million: float = 0.30) -> DataFram
 def with_provenance(df: DataFrame, method: str, source: Column, snippet: Column, confidence: Column) -> DataFrame:
     """provenance: nested record of source and extraction; the snippet is cut to 500 characters."""
     return df.withColumn("provenance", F.struct(F.struct(source.alias("source_type"), F.substring(snippet, 1, 500).alias("snippet")).alias("source"), F.struct(F.lit(method).alias("method"), confidence.alias("confidence")).alias("extraction")))
+
+
+def episode_features(messages: DataFrame) -> DataFrame:
+    """(conv_id, episode, thinking, files) of messages (conv_id, episode, turn_index, thinking, files): thoughts in order, distinct paths."""
+    g = messages.groupBy("conv_id", "episode").agg(F.sort_array(F.collect_list(F.struct("turn_index", "thinking", "files"))).alias("rows"))
+    thoughts = F.filter(F.transform("rows", lambda r: r["thinking"]), lambda t: t.isNotNull())
+    files = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.coalesce(r["files"], F.array().cast("array<string>")))))
+    return g.select("conv_id", "episode", F.array_join(thoughts, "\n\n").alias("thinking"), F.array_sort(files).alias("files"))
+
+
+def compare_models(runs: DataFrame) -> DataFrame:
+    """Per model: precision, recall, F1 over summed matches, mean confidence, and nearest-rank p50 and p99 latency."""
+    s = runs.groupBy("model").agg(F.sum("matched").alias("m"), F.sum("n_extracted").alias("e"), F.sum("found").alias("f"), F.sum("n_truth").alias("t"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    p, r = F.try_divide("m", "e"), F.try_divide("f", "t")
+    s = s.withColumns({"precision": F.round(F.coalesce(p, F.lit(0.0)), 6), "recall": F.round(F.coalesce(r, F.lit(0.0)), 6), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6)})
+    return s.drop("m", "e", "f", "t").join(nearest_rank(runs, ["model"], "latency", [50, 99]), "model", "left")

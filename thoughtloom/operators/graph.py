@@ -261,3 +261,57 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     rest = [c for c in both.columns if c not in ("src", "dst", "rel", "_new")]
     out = both.groupBy("src", "dst", "rel").agg(F.max(F.struct("_new", *rest)).alias("x"))
     return out.select("src", "dst", "rel", *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+def verdict_edges(pairs: DataFrame, verdicts: DataFrame, decisions: DataFrame, min_conf: float = 0.6) -> DataFrame:
+    """(src, dst, rel, confidence) of pairs (a, b) with a supplied verdict (a, b, verdict, confidence), each unordered pair once.
+
+    SUPERSEDES goes from the newer decision to the older; NONE and unsure verdicts give no edge.
+    """
+    v = verdicts.where(F.col("verdict").isin("SUPERSEDES", "CONTRADICTS") & (F.col("confidence") >= min_conf))
+    v = v.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "verdict", "confidence")
+    v = v.groupBy("a", "b").agg(F.max(F.struct("confidence", "verdict")).alias("x")).select("a", "b", "x.*")
+    t = decisions.select("id", "created_at")
+    j = pairs.select("a", "b").join(v, ["a", "b"]).join(t.select(F.col("id").alias("a"), F.col("created_at").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("created_at").alias("tb")), "b")
+    swap = (F.col("verdict") == "SUPERSEDES") & (F.col("tb") > F.col("ta"))
+    return j.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("dst"), F.col("verdict").alias("rel"), "confidence")
+
+
+def shared_entity_groups(decisions: DataFrame, involves: DataFrame, min_shared: int = 2) -> DataFrame:
+    """(id, component) of decisions that are connected through pairs sharing min_shared entities; lone decisions are left out."""
+    from .integrity import components
+
+    p = shared_entity_pairs(involves, min_shared).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    linked = p.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return components(linked, p).join(decisions.select("id"), "id", "left_semi")
+
+
+def session_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session, n, roles, entities): each session's messages in order of time, entity names decoded from JSON."""
+    m = messages.join(sessions.select("session"), "session", "left_semi").withColumn("names", F.from_json("extracted_entities", "array<string>"))
+    g = m.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "id", "role", "names"))).alias("rows"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.coalesce(r["names"], F.array().cast("array<string>"))))))
+    return g.select("session", F.size("rows").alias("n"), F.transform("rows", lambda r: r["role"]).alias("roles"), names.alias("entities"))
+
+
+def recorded_context(new: DataFrame, edges: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
+    """(id, entity_names, similar, supersedes, contradicts) of new decisions; similar are the k best SIMILAR_TO."""
+    details = node_details(new, entities, edges)
+    w = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
+    best = of(edges, "SIMILAR_TO").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    similar = best.groupBy(F.col("src").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "dst"))), lambda x: x["dst"]).alias("similar"))
+    return details.join(similar, "id", "left")
+
+
+def entity_context(names: DataFrame, entities: DataFrame, involves: DataFrame, decisions: DataFrame, supersedes: DataFrame, k: int = 20) -> DataFrame:
+    """(name, decisions, current, status, related): per asked name its decisions, and the k names that share most decisions with it."""
+    hit = names.select("name", fold("name").alias("key")).distinct().join(name_keys(entities), "key").select("name", F.col("id").alias("dst"))
+    d = involves.select("src", "dst").join(hit, "dst").select("name", "src").distinct()
+    cur = with_currency(decisions.select("id"), supersedes).withColumnRenamed("id", "src")
+    base = d.join(cur, "src").groupBy("name").agg(F.count(F.lit(1)).alias("decisions"), F.count_if("is_current").alias("current"))
+    base = base.withColumn("status", F.when(F.col("current") == F.col("decisions"), "active").when(F.col("current") > 0, "partially_superseded").otherwise("superseded"))
+    other = d.join(involves.select("src", F.col("dst").alias("id")).distinct(), "src").join(entities.select("id", F.col("name").alias("other")), "id").where(fold("other") != fold("name"))
+    n = other.groupBy("name", "other").agg(F.countDistinct("src").alias("n"))
+    w = Window.partitionBy("name").orderBy(F.desc("n"), "other")
+    top = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("related"))
+    return base.join(top, "name", "left")

@@ -178,3 +178,14 @@ def context_markdown(decisions: DataFrame) -> DataFrame:
     """(query, text): a line for each decision (query, place, trigger, agent_decision, is_current), in order."""
     line = F.concat(F.lit("- ["), F.when(F.col("is_current"), "CURRENT").otherwise("SUPERSEDED"), F.lit("] "), F.col("trigger"), F.lit(": "), F.coalesce("agent_decision", F.lit("(not recorded)")))
     return decisions.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def context_pack(lexical: DataFrame, semantic: DataFrame, decisions: DataFrame, supersedes: DataFrame, n: int = 10, budget: int = 2000) -> DataFrame:
+    """(query, id, place, combined, is_current, spent): .3 lexical + .7 semantic, the n best, cut where their texts exceed the token budget."""
+    from .graph import with_currency
+    from .rules import within_budget
+
+    best = hybrid(lexical, semantic, 0.3, 0.0, n)
+    text = F.concat_ws(" ", "trigger", "context", "agent_decision", "agent_rationale")
+    d = with_currency(decisions.select("id", text.alias("t")), supersedes)
+    return within_budget(best.join(d, "id"), ["query"], [F.col("rank")], F.length("t"), budget).select("query", "id", F.col("rank").alias("place"), "combined", "is_current", "spent")
