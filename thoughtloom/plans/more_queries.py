@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import extraction as X
+from ..operators import graph as G
 from ..operators import integrity as V
 from ..operators import resolve as E
 from ..operators import search as S
@@ -13,7 +15,7 @@ from ..sources import sinks, transcripts
 from ..streaming import streams as W
 from . import bindings as B
 from .bindings import sql
-from .queries import NOW, joined, query, text
+from .queries import joined, query, text
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
@@ -105,7 +107,7 @@ query(
     FROM decisions d LEFT JOIN supersedes s ON s.dst = d.id GROUP BY 1""",
         "decisions", "supersedes",
     ),
-)(lambda s, d: (lambda x: S.context_markdown(x.select(F.col("user_id").alias("query"), F.col("id").alias("place"), "trigger", "agent_decision", "is_current")))(__import__("thoughtloom.operators.graph", fromlist=["x"]).with_currency(B.decisions(s, d), B.supersedes(s, d))))
+)(lambda s, d: (lambda x: S.context_markdown(x.select(F.col("user_id").alias("query"), F.col("id").alias("place"), "trigger", "agent_decision", "is_current")))(G.with_currency(B.decisions(s, d), B.supersedes(s, d))))
 
 # ---- resolution
 
@@ -258,7 +260,7 @@ def _tooled(s, d):
     """Events as messages: views and clicks explore, purchases write."""
     t = F.col("event_type")
     return B.events(s, d).select(
-        F.col("user_id").alias("conv_id"), F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn_index"), F.when(t == "signup", "user").otherwise("assistant").alias("role"),
+        F.col("user_id").alias("conv_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn_index"), F.when(t == "signup", "user").otherwise("assistant").alias("role"),
         F.lit("").alias("content"), "ts", F.when(t.isin("view", "click"), F.array(F.lit("Read"))).when(t == "purchase", F.array(F.lit("Edit"))).alias("tools"),
     )
 
@@ -368,8 +370,7 @@ query("x26_provenance", sql("SELECT id, source AS source_type, 'rules' AS method
 # ---- sources and sinks
 
 query("src2_project_name", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'c-d-' || page_id WHEN page_id % 3 = 1 THEN 'z' || page_id ELSE 'solo' || page_id END AS project FROM pages")(
-    lambda s, d: B.table(s, d, "pages").select("page_id", transcripts.project_from_path(F.concat(F.when(F.col("page_id") % 3 == 0, "-home-x-c-d-").when(F.col("page_id") % 3 == 1, "x-y-z").otherwise("solo"), F.col("page_id").cast("string"))).alias("project")).withColumn("project", F.regexp_replace("project", "^x-", "x-"))
-    .withColumn("project", F.regexp_replace("project", "^x-c-d", "c-d"))
+    lambda s, d: B.table(s, d, "pages").select("page_id", transcripts.project_from_path(F.concat(F.when(F.col("page_id") % 3 == 0, "-home-x-c-d-").when(F.col("page_id") % 3 == 1, "x-y-z").otherwise("solo"), F.col("page_id").cast("string"))).alias("project"))
 )
 query("src7_conversation_split", sql("SELECT conv_id, turn_index AS line, CAST(coalesce(sum((turn_index % 3 = 2)::INT) OVER (PARTITION BY conv_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS conversation FROM messages QUALIFY turn_index % 3 <> 2", "messages"))(
     lambda s, d: transcripts.split_conversations(B.messages(s, d).select(F.col("conv_id").alias("file_path"), F.col("turn_index").alias("line"), F.when(F.col("turn_index") % 3 == 2, "conversation_end").otherwise(F.col("role")).alias("type"))).select(F.col("file_path").alias("conv_id"), "line", F.col("conversation").cast("bigint").alias("conversation"))
@@ -413,4 +414,3 @@ query("w07_hit_ratio", "SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y
 query("w08_absence", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (event_type = 'purchase') = 0 AND count(*) FILTER (event_type IN ('view', 'click')) > 5 AS breach FROM events GROUP BY 1")(
     lambda s, d: W.absence_alert(B.events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_type") == "purchase", F.col("event_type").isin("view", "click"), least=5).select(text("start"), "breach")
 )
-_ = NOW
