@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from thoughtloom.llm import chat_format, html_extract, imatch, language_id, masked_lm, minhash_dedup, queries, quality_rules, sentence_pieces, source_mix, suffix_dedup
+from thoughtloom.llm.common import stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BASE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten eleven twelve"
@@ -381,7 +382,7 @@ def test_pipeline(spark, sf, docs):
     kept = docs
     for name, f in p.STAGES[:-1]:
         before = kept
-        kept = queries.stored(f(spark, kept, sf), name)
+        kept = stored(f(spark, kept, sf), name)
         assert kept.dtypes == docs.dtypes
         if name == "quality_rules":
             judged = {r.doc_id for r in quality_rules.op4(before).where("kept").collect()}

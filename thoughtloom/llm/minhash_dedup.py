@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, map_batches, mix, stored, words_of
+from .common import U64, WordHashes, components, map_batches, mix, stored
 
 #: A-Z to a-z on UTF-8 bytes.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
