@@ -53,7 +53,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes, one row at least, so that long texts do not pile up as Python objects."""
     if not batch.num_rows:
         return
@@ -85,7 +85,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bounded number of words (a cache: results do not depend on it)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         import xxhash
 
         super().__init__()

@@ -44,7 +44,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """ids of texts. cache: the most chunks to remember (bounds memory only)."""
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
