@@ -139,7 +139,8 @@ class SuffixFamily:
             rows = rows.unionByName(level)
         found = rows.join(hits.distinct(), "k", "left_semi")
         if len(self.levels) > 1:
-            found = found.groupBy("k", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("k", "c", "n", "at.doc", "at.pos")
+            # dealt anew by both columns, so that a key with very many neighbourhoods is not one task
+            found = found.repartition("k", "c").groupBy("k", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("k", "c", "n", "at.doc", "at.pos")
         found = stored(found, "classes")
         m = stored(found.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mixed")
         return found.join(m, "k", "left").select("k", "c", "n", "doc", "pos", F.coalesce("m", F.lit(1)).alias("m"))
