@@ -211,8 +211,8 @@ def op3(docs: DataFrame, model: str | None = None) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: doc_id, source, and the ids with their digests."""
 
-    def setup():
-        return encoder(model_path())
+    def setup():  # not kept from task to task: the stages before share the Python workers
+        return Encoder(model_path(), cache=100_000)
 
     def run(c, e):
         ids = e.encode(c["text"])
