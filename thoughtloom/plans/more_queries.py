@@ -247,7 +247,10 @@ query(
         "involves", "decisions", "entities",
     ),
 )(lambda s, d: (lambda e: V.delete_entities(e.where("id % 5 = 0").select("id").union(e.where("id % 50 = 0").select(F.col("id") + 10000000)), e, B.involves(s, d), B.decisions(s, d), 7))(B.entities(s, d)))
-query("v13_components")(lambda s, d: V.components(B.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), B.supersedes(s, d).where("src % 3 <> 0")))
+query(
+    "v13_components",
+    sql(", e AS (SELECT src AS a, dst AS b FROM supersedes WHERE src % 3 <> 0 UNION ALL SELECT dst, src FROM supersedes WHERE src % 3 <> 0), r AS (SELECT o_orderkey AS id, o_orderkey AS c FROM orders UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY 1", "supersedes").replace("WITH ", "WITH RECURSIVE ", 1),
+)(lambda s, d: V.components(B.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), B.supersedes(s, d).where("src % 3 <> 0")))
 query("v14_degrees", sql("SELECT id, count(DISTINCT o) AS degree FROM (SELECT src AS id, dst AS o FROM related UNION ALL SELECT dst, src FROM related) GROUP BY 1", "related"))(lambda s, d: V.degrees(B.related(s, d)))
 query("v14_parallel_edges", sql("SELECT src, dst, rel, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY rel, src) AS index, count(*) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS size FROM edges WHERE rel IN ('RELATED_TO', 'SUPERSEDES')", "edges"))(
     lambda s, d: V.parallel_edges(B.edges(s, d).where("rel IN ('RELATED_TO', 'SUPERSEDES')")).withColumn("index", F.col("index").cast("bigint"))
