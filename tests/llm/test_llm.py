@@ -290,6 +290,23 @@ def test_masked_lm(spark, docs, texts):
     assert np.allclose(table, 1, atol=0.02)
 
 
+def test_masked_lm_grows_with_the_corpus(spark, docs):
+    few = [(i, " ".join(f"w{(i * 7 + k) % 50}tion" for k in range(40))) for i in range(20)]
+    many = few + [(100 + i, " ".join(f"x{(i * 11 + k) % 900}tion" for k in range(60))) for i in range(60)]
+    small, large = (masked_lm.train(spark.createDataFrame(x, "doc_id bigint, text string"), size=16, own=4, hidden=4, steps=5) for x in (few, many))
+    assert len(large.choice.x) > 5 * len(small.choice.x) and large.choice.x.nodes > 5 * small.choice.x.nodes
+    x = large.choice.x
+    n = len(x)
+    for left, right in ((0, n - 1), (7, 3), (n // 2, 9)):
+        every = large.log_likelihood(np.full(n, left), np.full(n, right), np.arange(n))
+        assert abs(np.exp(every).sum() - 1) < 0.02
+    # words of one class, seen unequally often: once they had one score, whatever the word
+    skew = few + [(200 + i, "w1tion w2tion") for i in range(300)]
+    model = masked_lm.train(spark.createDataFrame(skew, "doc_id bigint, text string"), size=4, own=1, hidden=4, steps=20)
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(spark.createDataFrame([(1, "w1tion w2tion"), (2, "w31tion w40tion"), (3, "w41tion w2tion")], "doc_id bigint, text string"), model).collect()}
+    assert len(set(got.values())) == 3 and got[1] > got[3] > got[2]
+
+
 def test_network_learns():
     n = masked_lm.Network(6, 8)
     counts = np.zeros((6, 6, 6))
