@@ -417,3 +417,33 @@ def test_pipeline(spark, sf, docs):
             assert {r.doc_id: r.text for r in kept.collect()} == want
     last = p.STAGES[-1][1](spark, kept, sf)
     assert last.count() == kept.count() and set(last.columns) == {"doc_id", "source", "n_tokens", "ids", "decoded_sha256"}
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline as p
+
+    def words(rows_):
+        return Counter(x for r in rows_ for x in (r.text or "").encode().split())
+
+    table = spark.createDataFrame(ODD, DOCS)
+    stages = dict(p.STAGES)
+    for name, f in p.STAGES:
+        assert f(spark, spark.createDataFrame([], DOCS), sf).count() == 0, name
+    assert stages["quality_rules"](spark, table, sf).count() == quality_rules.op4(table).where("kept").count()
+    near = stages["minhash_dedup"](spark, table, sf).collect()
+    # 3 (twice), 4 and null are copies, 5 and 7 have few shingles more
+    assert sorted((r.doc_id for r in near), key=str) == [0, 1, 2, 3, 6, 8, 9]
+    assert stages["sentence_pieces"](spark, table, sf).count() == len(ODD)
+    # a long clean text as two equal rows, and another twice without an id, stay once through both stages
+    long = [" ".join(f"{c}{i}" for i in range(90)) for c in "pqr"]
+    two = spark.createDataFrame([(1, long[0], "en", "a", 1), (1, long[0], "en", "a", 1), (None, long[1], "en", "a", 1), (None, long[1], "en", "a", 1), (2, long[2], "en", "b", 1), (2, "one other text", "en", "b", 1)], DOCS)
+    near = stored(stages["minhash_dedup"](spark, two, sf), "near")
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted([("1", long[0]), ("None", long[1]), ("2", long[2]), ("2", "one other text")])
+    left = stored(stages["suffix_dedup"](spark, near, sf), "left")
+    assert sorted(r.text for r in left.collect()) == sorted([*long, "one other text"])
+    # the mixture has exactly the words that it takes of each row, whatever the ids
+    for t in (table, two):
+        mixed = source_mix.mix(t).collect()
+        got = stages["source_mix"](spark, t, sf).collect()
+        assert sum(words(got).values()) == sum(r.taken for r in mixed)
+        assert {r.doc_id for r in got} == {r.doc_id for r in mixed if r.taken}

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, map_batches, mix, stored
+from .common import U64, WordHashes, components, keyed, map_batches, mix, stored
 
 #: A-Z to a-z on UTF-8 bytes.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -340,10 +340,18 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the least id, of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    groups = near_duplicates(docs, n=5, percent=80, bins=160, rows=4)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row, that of the least id (null last), of each near-duplicate group (five-word shingles, similarity 0.8).
+
+    Rows are judged, not ids: different texts under one id stay, copies go whatever their ids. Rows without a
+    word are copies only if id and text are equal.
+    """
+    rows = keyed(docs)
+    groups = stored(near_duplicates(rows.select(F.col("doc").alias("doc_id"), "text"), n=5, percent=80, bins=160, rows=4), "groups").withColumnRenamed("doc_id", "doc")
+    found = rows.select("doc", "doc_id", F.md5("text").alias("text")).join(groups, "doc")
+    blank = F.col("n_shingles") == 0
+    group = (F.when(~blank, F.col("component_id")).alias("c"), F.when(blank, F.col("doc_id")).alias("i"), F.when(blank, F.col("text")).alias("t"))
+    kept = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc"))["doc"].alias("doc")).select("doc")
+    return rows.join(kept, "doc", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

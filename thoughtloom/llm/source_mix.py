@@ -20,15 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, keyed, stored
 
 #: Repeating weights in the order of the sources.
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words of the text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+def sized(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, source, keys, size): size is the number of words of the text."""
+    return docs.select("doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -57,44 +57,45 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, digits: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs; digits: hex digits of the key that make a range."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, digits: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, keys) for each row of docs; digits: hex digits of the key that make a range; keys: columns that tell rows of one id apart."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = stored(sized(docs).withColumn("key", key).withColumn("range", F.substring("key", 1, digits)), "sizes")
+    rows = stored(sized(docs, *keys).withColumn("key", key).withColumn("range", F.substring("key", 1, digits)), "sizes")
     part = ("source", "range")
     totals = rows.groupBy(*part).agg(F.sum("size").alias("n"))
     before = stored(totals.select(*part, (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("offset")), "offsets")
     goal = stored(targets(totals.select("source", F.col("n").alias("size")), weights, most), "targets")
     plan = before.join(goal, before.source.eqNullSafe(goal.source)).select(before.source.alias("s"), before.range.alias("r"), "offset", "source_size", "target")
-    inside = Window.partitionBy(*part).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy("key", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = run.join(plan, run.source.eqNullSafe(plan.s) & (run.range == plan.r))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.floor(F.col("target") - whole * F.col("source_size"))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("offset") - F.col("inner")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + rest).cast("bigint").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + rest).cast("bigint").alias("taken"), *keys)
 
 
 def op6(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixture's rows: each document once for each pass, the document at a source's cut with its last pass shortened to the words taken."""
-    m = mixed.where("taken > 0").select("doc_id", "size", "taken")
+def copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mixture's rows, by a key that is unique in both: each document once for each pass, the document at a source's cut with its last pass shortened to the words taken."""
+    m = mixed.where("taken > 0").select(key, "size", "taken")
     pieces = m.withColumn("words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
-    pieces = pieces.select("doc_id", "size", "words")
+    pieces = pieces.select(key, "size", "words")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
     columns = [F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in docs.columns]
-    joined = docs.join(pieces, "doc_id").select(*columns)
+    joined = docs.join(pieces, key).select(*columns)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("bigint"))
     return joined.select(*docs.columns)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents: ids repeat where a source is passed more than once."""
-    return copies(docs, mix(docs))
+    """The mixed documents: ids repeat where a source is passed more than once. Rows that repeat an id, or have none, are taken each."""
+    rows = keyed(docs)
+    return copies(rows, mix(rows, keys=("doc",)), "doc").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, map_batches, mix, stored
+from .common import U64, keyed, map_batches, mix, stored
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + _rng.integers(0, 2, 256, dtype=np.int64).astype(U64)
@@ -291,14 +291,6 @@ def spans(marks: list, n: int, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column `doc` that is unique: doc_id, or a row number where ids repeat or are null."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
-    if odd.limit(1).count():
-        return stored(docs.withColumn("doc", F.monotonically_increasing_id()), "rows")
-    return docs.withColumn("doc", F.col("doc_id"))
-
-
 def marked(docs: DataFrame, length: int, gram: int | None = None, batches: int = 4, small: int = 16_000) -> DataFrame:
     """(doc, marks array<(pos, lo, hi)>) of a table (doc, text), for documents with repeated strings."""
     family = SuffixFamily(length, gram)
