@@ -271,6 +271,20 @@ def test_page_structures(spark):
     assert got[90] == "" and got[91] == "" and got[92] == "only text unclosed" and got[93] == "a\nb\n1\n2"
 
 
+def test_copies_of_a_page_do_not_empty_it(spark):
+    page = lambda x: f"<body><div class=m>Home News</div><div class=post-{x}><p>Story {x} about {x * x}</div></body>"
+    rows_ = [(i, "http://same.org/x", page(1)) for i in range(6)]  # copies only
+    rows_ += [(10 + i, "http://half.org/x", page(2)) for i in range(8)] + [(20 + i, "http://half.org/x", page(10 + i)) for i in range(6)]
+    rows_ += [(30 + i, "http://text.org/x", f"<body><!-- {i} --><p>One text</body>") for i in range(6)]  # different pages, one text
+    got = {r.page_id: r.text for r in html_extract.op7(spark.createDataFrame(rows_, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows_)
+    for i in range(6):
+        assert got[i] == "Home News\nStory 1 about 1"
+        assert got[20 + i] == f"Story {10 + i} about {(10 + i) ** 2}"
+        assert got[30 + i] == "One text"
+    assert {got[10 + i] for i in range(8)} == {"Story 2 about 4"}
+
+
 # ---- 8: language model
 
 

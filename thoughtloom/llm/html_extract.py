@@ -8,7 +8,9 @@ two: menus, notices and adverts repeat and score low, articles differ and score
 importance are removed from each page, with elements whose name or class says that they are no part of an
 article (navigation, forms, comments and so on). Where a page marks its article (article, main), only
 that is kept, and inside it a branch goes only if it is named so or is nearly constant over the host.
-Hosts with under `least_pages` pages have no reliable tree: names alone decide.
+Hosts with under `least_pages` pages have no reliable tree: names alone decide. Pages of a host are counted
+once for each html, so copies of a page say nothing about what repeats; and where the tree would leave nothing
+of a page, names alone decide for it.
 
 Counts of a hot host combine before the shuffle; the tree's low nodes come back to the pages in a join on
 the host that can be split.
@@ -165,12 +167,15 @@ def text_of(source: str | None, low: set[str], constant: set[str]) -> str:
     root = parse(source)
     mains = [n for n in _walk(root, low, constant, None) if n.tag in MAIN or "main" in n.words]
     chosen = [m for m in mains if not any(p is not m and _under(m, p) for p in mains)]
-    blocks: list[list[str]] = [[]]
-    for n in chosen or [root]:
-        _gather(n, blocks, low if not chosen else constant, bool(chosen))
-        blocks.append([])
-    lines = (" ".join(_html.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    for gone in (low if not chosen else constant, set()):  # names alone where the tree leaves nothing
+        blocks: list[list[str]] = [[]]
+        for n in chosen or [root]:
+            _gather(n, blocks, gone, bool(chosen))
+            blocks.append([])
+        lines = [x for b in blocks if (x := " ".join(_html.unescape("".join(b)).split()))]
+        if lines or not gone:
+            break
+    return "\n".join(lines)
 
 
 def _under(n: Node, p: Node) -> bool:
@@ -219,20 +224,24 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame, least_pages: int = 5) -> DataFrame:
-    """(host, path, pages, importance) of a table (host, html)."""
+    """(host, path, pages, importance) of a table (host, html); pages: with different html."""
 
     def run(c):
-        out = {"host": [], "path": [], "kind": [], "h": []}
+        from xxhash import xxh3_64_intdigest
+
+        out = {"host": [], "path": [], "kind": [], "h": [], "page": []}
         for host, source in zip(c["host"], c["html"]):
+            page = xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass")) >> 1
             for path, hashes in style_nodes(source).items():
                 for kind, h in enumerate(hashes):
                     out["host"].append(host)
                     out["path"].append(path)
                     out["kind"].append(kind)
                     out["h"].append(h)
+                    out["page"].append(page)
         return out
 
-    rows = map_batches(pages.select("host", "html"), run, "host string, path string, kind int, h bigint")
+    rows = map_batches(pages.select("host", "html"), run, "host string, path string, kind int, h bigint, page bigint").distinct()
     n = rows.groupBy("host", "path", "kind", "h").agg(F.count(F.lit(1)).alias("n"))
     each = n.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
