@@ -2,14 +2,15 @@
 
 The encoder keeps a score-ordered agenda of adjacent symbol pairs and merges the best pair (highest
 score, leftmost on ties) until none is left; characters outside the vocabulary become byte pieces. No
-piece of such a vocabulary has a space mark after another character or joins a letter to a character of
-another kind (both are checked when the model is read), so no merge crosses these borders: a text falls
-into words, and words into chunks, which are encoded once and remembered in bounded caches. Every new
-word, and every text with runs of spaces, is checked against the sentencepiece library, a batch in one
-call; a difference stops the job. Decoding is the library's decode(ids).
+piece of such a vocabulary has a space mark after another character (checked when the model is read), so no
+merge crosses the border of a word: a text falls into words, which are encoded once and remembered in
+bounded caches. The new words of an Arrow batch run through the agenda together, one numpy row each
+(`Agenda`); long words and texts with runs of spaces fall into chunks that no piece crosses either, and have
+an agenda of their own. Every new word, and every text with runs of spaces, is checked against the
+sentencepiece library, a batch in one call; a difference stops the job. Decoding is the library's decode(ids).
 
 Defined cases: a null text is an empty one (its ids are the end id alone); repeated rows are encoded
-each; very long chunks cost n log n.
+each; very long chunks cost n log n; texts of any size are whole in a task, a row at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import functools
 import hashlib
 import heapq
 import re
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from .common import map_batches
 
 MARK = "▁"
 NORMAL, BYTE = 1, 6
-NEVER = 1 << 40
+NEVER = 1 << 30
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -35,16 +38,112 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Agenda:
+    """The agendas of many words of one length at once: a row of symbols and a row of the ranks of its adjacent pairs for each."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, int], single: dict[int, int]):
+        """single: the pieces of bytes, which stand for the ASCII characters that are no pieces."""
+        self.n = n = max(*ids.values(), *single.values()) + 1
+        number = ids | {c: n + k for k, c in enumerate(sorted({c for p in ids for c in p} - ids.keys()))}
+        self.of = np.full(0x110000, -1, np.int32)
+        self.of[:128] = [single[c] for c in range(128)]
+        for c, i in number.items():
+            if len(c) == 1:
+                self.of[ord(c)] = i
+        self.rank = np.full(n + 1, NEVER, np.int32)  # the last entry is that of -1, no pair
+        pairs = []
+        for p, i in ids.items():
+            self.rank[i] = rank[p]
+            pairs += [(number[p[:k]], number[p[k:]], i) for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        self._fill(left << 32 | right, made.astype(np.int32))
+
+    def _fill(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """A table of pairs with linear probing."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.made[slot[put]] = keys[put], made[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (keys ^ (keys >> 29)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that a pair of symbols makes, -1 if none."""
+        keys = a.astype(np.int64) << 32 | b
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.made[slot], -1)
+        todo = np.nonzero((there != keys) & (there >= 0))
+        while len(todo[0]):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[todo]]
+            hit = there == keys[todo]
+            out[tuple(t[hit] for t in todo)] = self.made[slot[todo][hit]]
+            todo = tuple(t[~hit & (there >= 0)] for t in todo)
+        return out
+
+    def encode(self, words: list[str], longest: int) -> list[bytes | None]:
+        """Packed ids of each word; None for words longer than that or with characters that are no pieces."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self.of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        out: list[bytes | None] = [None] * len(words)
+        for n in range(1, longest + 1):
+            at = np.flatnonzero(lengths == n)
+            if len(at):
+                s = symbols[starts[at][:, None] + np.arange(n)]
+                known = (s >= 0).all(1)
+                for rows, done in self.merge(s[known]):
+                    whole = (done < self.n).all(1)
+                    packed, width = done[whole].tobytes(), 4 * done.shape[1]
+                    for k, i in enumerate(at[known][rows][whole].tolist()):
+                        out[i] = packed[k * width : (k + 1) * width]
+        return out
+
+    def merge(self, s: np.ndarray):
+        """(rows, symbols) of rows with nothing left to merge; every other row merges one pair a round, so all stay equally wide."""
+        rows = np.arange(len(s))
+        pairs = self.merged(s[:, :-1], s[:, 1:])
+        ranks = self.rank[pairs]
+        while s.shape[1] > 1 and len(rows):
+            each = np.arange(len(rows))
+            j = ranks.argmin(1)
+            live = ranks[each, j] < NEVER
+            if not live.all():
+                yield rows[~live], s[~live]
+                rows, s, pairs, ranks, j = rows[live], s[live], pairs[live], ranks[live], j[live]
+                each = each[: len(rows)]
+            s[each, j] = pairs[each, j]
+            width = np.arange(s.shape[1] - 1)
+            s = np.where(width > j[:, None], s[:, 1:], s[:, :-1])
+            before = width[:-1] < j[:, None]
+            pairs, ranks = (np.where(before, x[:, :-1], x[:, 1:]) for x in (pairs, ranks))
+            for has, left in ((j > 0, j - 1), (j < s.shape[1] - 1, j)):
+                r, c = each[has], left[has]
+                pairs[r, c] = p = self.merged(s[r, c], s[r, c + 1])
+                ranks[r, c] = self.rank[p]
+        yield rows, s
+
+
 @functools.cache
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker: its cache lives on from task to task."""
-    return Encoder(path)
+def vocabulary(path: str) -> Vocabulary:
+    """One for each Python worker."""
+    return Vocabulary(path)
 
 
-class Encoder:
-    """ids of texts. cache: the most chunks to remember (bounds memory only)."""
+class Vocabulary:
+    """What is read from the model's file."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -66,43 +165,31 @@ class Encoder:
         order = {s: r for r, s in enumerate(sorted({p.score for p in m.pieces if p.type == NORMAL}, reverse=True))}
         self.rank = {p.piece: order[p.score] for p in m.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
+        self.agenda = Agenda(self.ids, self.rank, self.bytes)
+        self.decimals = list(map(str, range(len(m.pieces))))
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.end = self.library.eos_id()
-        self.words: dict[str, list[int]] = {}
-        self.cache: dict[str, list[int]] = {}
-        self.most = cache
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: its cache lives on from task to task."""
+    return Encoder(path)
+
+
+class Encoder:
+    """ids of texts. cache: the most words to remember, twice over (bounds memory only); together: the longest words that share an agenda."""
+
+    def __init__(self, path: str, cache: int = 300_000, together: int = 32):
+        v = vocabulary(path)
+        self.chunks, self.ids, self.rank, self.bytes, self.agenda, self.library = v.chunks, v.ids, v.rank, v.bytes, v.agenda, v.library
+        self.end, self.decimals = self.library.eos_id(), v.decimals
+        self.words: dict[str, bytes] = {}  # packed ids: bytes cost the garbage collector nothing
+        self.older: dict[str, bytes] = {}
+        self.most, self.together = cache, together
 
     def chunk(self, text: str) -> list[int]:
-        """The agenda over one chunk."""
-        symbols = self._few(list(text)) if len(text) <= 48 else self._many(list(text))
-        ids = self.ids
-        try:
-            return [ids[s] for s in symbols]
-        except KeyError:
-            out: list[int] = []
-            for s in symbols:
-                out += [ids[s]] if s in ids else map(self.bytes.__getitem__, s.encode("utf-8", "surrogatepass"))
-            return out
-
-    def _few(self, symbols: list[str]) -> list[str]:
-        """The agenda of a short chunk is a plain list of ranks, one for each adjacent pair."""
-        rank = self.rank.get
-        agenda = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NEVER:
-                break
-            i = agenda.index(best)
-            symbols[i] += symbols[i + 1]
-            del symbols[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
-        return symbols
-
-    def _many(self, symbols: list[str]) -> list[str]:
-        """The agenda of a long chunk is a heap of (rank, place); outdated entries are skipped."""
+        """The agenda over one chunk: a heap of (rank, place); outdated entries are skipped."""
+        symbols = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[int, int, int, str]] = []
@@ -125,52 +212,51 @@ class Encoder:
                 offer(i, after[j])
             if before[i] >= 0:
                 offer(before[i], i)
-        return [s for s in symbols if s]
+        out: list[int] = []
+        for s in filter(None, symbols):
+            out += [self.ids[s]] if s in self.ids else map(self.bytes.__getitem__, s.encode("utf-8", "surrogatepass"))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """With the end id, without a start id."""
-        for kept in (self.words, self.cache):
-            if len(kept) > self.most:
-                kept.clear()
-        known, end = self.words, self.end
+        if len(self.words) > self.most:
+            self.words, self.older = {}, self.words
+        known, older, end = self.words, self.older, np.int32(self.end).tobytes()
         parts = [t.split(" ") if t else [] for t in texts]
         spaced = [i for i, p in enumerate(parts) if p and ("" in p or MARK in texts[i])]
         for i in spaced:
             parts[i] = []
-        new = list({w for p in parts for w in p if w not in known})
-        for w in new:
-            known[w] = self.pieces(MARK + w)
-        self.check(new, map(known.__getitem__, new))
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            ids.append(end)
-            out.append(ids)
-        if spaced:
-            whole = [self.pieces(MARK + texts[i].replace(" ", MARK)) for i in spaced]
-            self.check([texts[i] for i in spaced], whole)
-            for i, ids in zip(spaced, whole):
-                out[i] = [*ids, end]
-        return out
-
-    def pieces(self, marked: str) -> list[int]:
-        """ids of a text whose spaces are marks."""
-        ids: list[int] = []
-        cache = self.cache
-        for c in self.chunks(marked):
-            if (x := cache.get(c)) is None:
-                x = self.chunk(c)
-                if len(c) <= 48:
-                    cache[c] = x
-            ids += x
-        return ids
-
-    def check(self, texts: list[str], ids) -> None:
-        for t, own, library in zip(texts, ids, self.library.encode(texts, num_threads=1) if texts else []):
-            if own != library:
-                raise AssertionError(f"{t[:80]!r}: {own[:20]} here, {library[:20]} in the library")
+        new = set(chain.from_iterable(parts)).difference(known)
+        for w in new.intersection(older):
+            known[w] = older[w]
+        new = list(new.difference(older))
+        marked = [MARK + w for w in new]
+        found = self.agenda.encode(marked, self.together)
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.pieces(marked[i])
+        self.check(new, found)
+        known.update(zip(new, found))
+        whole = [self.pieces(MARK + texts[i].replace(" ", MARK)) for i in spaced]
+        self.check([texts[i] for i in spaced], whole)
+        packed = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for i, ids in zip(spaced, whole):
+            packed[i] = ids
+        return [np.frombuffer(x + end, np.int32).tolist() for x in packed]
+
+    def pieces(self, marked: str) -> bytes:
+        """Packed ids of a text whose spaces are marks."""
+        return np.fromiter(chain.from_iterable(map(self.chunk, self.chunks(marked))), np.int32).tobytes()
+
+    def check(self, texts: list[str], packed: list[bytes]) -> None:
+        library = self.library.encode(texts, num_threads=1) if texts else []
+        same = np.array_equal(np.fromiter(map(len, packed), np.int64), 4 * np.fromiter(map(len, library), np.int64))
+        if not same or b"".join(packed) != np.fromiter(chain.from_iterable(library), np.int32).tobytes():
+            t, own, other = next(x for x in zip(texts, packed, library) if np.frombuffer(x[1], np.int32).tolist() != x[2])
+            raise AssertionError(f"{t[:80]!r}: {np.frombuffer(own, np.int32)[:20]} here, {other[:20]} in the library")
+
+    def decimal(self, ids: list[int]) -> str:
+        """The ids as decimal numbers, joined by one space."""
+        return " ".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -202,8 +288,7 @@ def op3(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(c, e):
         ids = e.encode(c["text"])
-        decoded = e.decode(ids)
-        return {"doc_id": c["doc_id"], "n_tokens": list(map(len, ids)), "ids_sha256": [_hex(" ".join(map(str, x))) for x in ids], "decoded_sha256": list(map(_hex, decoded))}
+        return {"doc_id": c["doc_id"], "n_tokens": list(map(len, ids)), "ids_sha256": [_hex(e.decimal(x)) for x in ids], "decoded_sha256": list(map(_hex, e.decode(ids)))}
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", setup)
 
@@ -212,7 +297,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: doc_id, source, and the ids with their digests."""
 
     def setup():  # not kept from task to task: the stages before share the Python workers
-        return Encoder(model_path(), cache=100_000)
+        return Encoder(model_path(), cache=50_000)
 
     def run(c, e):
         ids = e.encode(c["text"])
