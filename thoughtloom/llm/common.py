@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; set only where the session has none (tests)."""
+    """A new folder in the shared checkpoint folder; a temporary one only where the session has none and is local (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="thoughtloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read again: all that was made of them is stored itself."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -126,7 +141,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """
     both = stored(edges.select("a", "b").where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c"))
-    label = stored(label, "labels")
+    kept = label = stored(label, "labels")
     for _ in range(rounds):
         near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         step = label.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
@@ -135,10 +150,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         step = stored(step, "step")
         jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         new = stored(step.join(jump, "c", "left").select("id", "old", F.coalesce("cc", "c").alias("c")), "labels")
+        forget(kept, step)
         changed = new.where("old <> c").limit(1).count()
-        label = new.select("id", "c")
+        kept, label = new, new.select("id", "c")
         if not changed:
             break
     else:
         raise RuntimeError("components did not settle")
+    forget(both)
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("c", "id").alias("component"))

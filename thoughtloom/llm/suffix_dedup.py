@@ -9,23 +9,30 @@ anchor lies in it), n the number of suffixes that share both, and (doc, pos) the
 ordered by (k, c), the order of suffixes by fingerprint instead of by letter, for only agreement over fixed
 lengths matters here.
 
-A new batch gets its array, is merge-scanned against every existing level (a join on k), and becomes a
-level itself; before the next insert levels of equal size merge, so every row is rewritten log(batches)
-times. The scans leave the keys k that occur twice. Suffixes with equal neighbourhoods repeat in full;
-where neighbourhoods differ, the bytes around the anchors are compared, window by window.
+Beside its array a level keeps its keys (k, n), one row each, in buckets of k that are sorted: a table in the
+shared folder. A new batch gets its array and keys, the keys are merge-scanned against those of every
+existing level (a sort-merge join of buckets, which neither shuffles nor sorts the level again), and the batch
+becomes a level itself; before the next insert levels of equal size merge, so every row is rewritten
+log(batches) times. The scans leave the keys k that occur twice. Suffixes with equal neighbourhoods repeat in
+full; where neighbourhoods differ, the bytes around the anchors are compared, window by window.
 
 Every string of `length` bytes at an anchor holds the anchor's gram, so what an anchor removes is one
 interval, and two numbers (the least and the greatest repeated offset) describe it.
 
-Scale: counts of hot strings combine before the shuffle; groups of up to `small` differing neighbourhoods
-are compared inside a task, larger ones by a distributed count of window hashes; texts move twice, packed.
+Scale: counts of hot strings combine before the shuffle; joins of arrays on k read stored tables on both sides,
+so that a hot k can be split among tasks; groups of up to `small` differing neighbourhoods are compared inside a
+task. Of a larger group two strings are counted first for each range of offsets: its cover, the bytes that its
+windows have together, and its core, the bytes that each of them has. A repeated cover decides for all windows
+of the range, a core that is not repeated against them; only for ranges between are window hashes counted,
+across tasks, once for all neighbourhoods with one cover. Texts move twice, packed.
 
-Defined cases: a null text is empty; texts under `length` bytes keep all bytes; rows that repeat an id or
+Defined cases: a null text is empty; a very long text is whole in one task, in a few arrays of its length; texts under `length` bytes keep all bytes; rows that repeat an id or
 have none are told apart by a row number and give a row each; equal rows repeat each other in full.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, map_batches, mix, stored
+from .common import U64, forget, keyed, map_batches, mix, remove, scratch, stored
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + _rng.integers(0, 2, 256, dtype=np.int64).astype(U64)
@@ -65,8 +72,20 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(x[:n], x[w - size : w - size + n])
 
 
-def anchors_of(data: bytes, length: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and the hashes of the grams there."""
+def anchors_of(data: bytes, length: int, gram: int, powers: Powers, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors and the hashes of the grams there; long texts go part by part, with what an anchor depends on at both sides."""
+    if len(data) <= 2 * part:
+        return _anchors_of(data, length, gram, powers)
+    found, side = [], 2 * length
+    for first in range(0, len(data), part):
+        begin = max(0, first - side)
+        at, h = _anchors_of(data[begin : first + part + side], length, gram, powers)
+        own = (at >= first - begin) & (at < first - begin + part)
+        found.append((at[own] + begin, h[own]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _anchors_of(data: bytes, length: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, U64)
@@ -111,23 +130,41 @@ class SuffixFamily:
 
     def __init__(self, length: int = 400, gram: int | None = None):
         self.length, self.gram = length, gram or length // 4
-        self.levels: list[tuple[int, DataFrame]] = []  # (size in batches, array)
+        self.levels: list[tuple[int, DataFrame, DataFrame]] = []  # (size in batches, array, keys)
         self.members: list[DataFrame] = []
+        self.tables: list[tuple[str, str]] = []  # (name, path) of the keys
 
     def insert(self, docs: DataFrame) -> DataFrame:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, self._array(a.unionByName(b))))
+            (n, a, x), (_, b, y) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * n, self._array(a.unionByName(b)), self._keys(x.unionByName(y))))
+            forget(a, b)
         members = stored(anchors(docs, self.length, self.gram), "anchors")
         array = self._array(members.select("k", "c", F.lit(1).cast("bigint").alias("n"), "doc", "pos"))
-        hits = array.groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k")
-        keys = array.select("k").distinct()
-        for _, level in self.levels:
-            hits = hits.unionByName(keys.join(level.select("k"), "k", "left_semi"))
+        keys = self._keys(array)
+        hits = keys.where("n > 1").select("k")
+        for _, _, level in self.levels:
+            hits = hits.unionByName(keys.select("k").hint("merge").join(level.select("k"), "k", "left_semi"))
         self.members.append(members)
-        self.levels.append((1, array))
+        self.levels.append((1, array, keys))
         return stored(hits, "hits")
 
+    def close(self) -> None:
+        """Drops the tables of keys, when no more batch comes."""
+        spark = self.members[0].sparkSession
+        for t, path in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+            remove(spark, path)
+
+    def _keys(self, rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        path, parts = scratch(spark, "keys"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = "keys_" + path.rsplit("-", 1)[1]
+        keys = rows.groupBy("k").agg(F.sum("n").alias("n")).repartition(parts, "k")
+        keys.write.format("parquet").bucketBy(parts, "k").sortBy("k").option("path", path).saveAsTable(name)
+        self.tables.append((name, path))
+        return spark.table(name)
+
     def _array(self, rows: DataFrame) -> DataFrame:
         a = rows.groupBy("k", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
         return stored(a.select("k", "c", "n", "at.doc", "at.pos").sortWithinPartitions("k", "c"), "array")
@@ -135,15 +172,18 @@ class SuffixFamily:
     def classes(self, hits: DataFrame) -> DataFrame:
         """(k, c, n, doc, pos, m) of all levels where k is among the hits; m: different neighbourhoods of k."""
         rows = self.levels[0][1]
-        for _, level in self.levels[1:]:
+        for _, level, _ in self.levels[1:]:
             rows = rows.unionByName(level)
-        found = rows.join(hits.distinct(), "k", "left_semi")
+        repeated = stored(hits.distinct(), "repeated-keys")
+        found = rows.join(repeated, "k", "left_semi")
         if len(self.levels) > 1:
-            # dealt anew by both columns, so that a key with very many neighbourhoods is not one task
-            found = found.repartition("k", "c").groupBy("k", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("k", "c", "n", "at.doc", "at.pos")
+            found = found.groupBy("k", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("k", "c", "n", "at.doc", "at.pos")
         found = stored(found, "classes")
+        forget(repeated, *[level for _, level, _ in self.levels])
         m = stored(found.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mixed")
-        return found.join(m, "k", "left").select("k", "c", "n", "doc", "pos", F.coalesce("m", F.lit(1)).alias("m"))
+        out = stored(found.join(m, "k", "left").select("k", "c", "n", "doc", "pos", F.coalesce("m", F.lit(1)).alias("m")), "candidates")
+        forget(found, m)
+        return out
 
 
 def _windows(texts: list[bytes], left: np.ndarray, length: int, gram: int):
@@ -228,7 +268,7 @@ def neighbourhoods(reps: DataFrame, docs: DataFrame, length: int, gram: int) ->
     return map_batches(packed(docs).join(wanted, "doc").select("z", "wanted"), run, "k bigint, c bigint, m bigint, left int, bytes binary")
 
 
-def compare(near: DataFrame, length: int, gram: int, chunk: int = 4096) -> DataFrame:
+def compare(near: DataFrame, length: int, gram: int, chunk: int = 2048) -> DataFrame:
     """(k, c, lo, hi) of neighbourhoods that share a window with another of the same k; whole groups of k in a task, many at a time."""
 
     def run(batches):
@@ -262,21 +302,74 @@ def compare(near: DataFrame, length: int, gram: int, chunk: int = 4096) -> DataF
     return near.select("k", "c", "left", "bytes").repartition("k").sortWithinPartitions("k").mapInArrow(run, "k bigint, c bigint, lo int, hi int")
 
 
-def compare_large(near: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for groups too large for a task: window hashes are counted across tasks."""
+def ranges(near: DataFrame, length: int, gram: int, steps: int) -> DataFrame:
+    """(k, c, step, core, cover): hashes for each range of offsets; no row where the neighbourhood lacks the core, null where it lacks the cover."""
+    edges = _edges(length, gram, steps)
+    borders = list(zip(edges.tolist(), (edges[1:] - 1).tolist()))
+
+    def run(c):
+        from xxhash import xxh3_64_intdigest
+
+        rows = []
+        for k, own, left, text in zip(c["k"], c["c"], c["left"], c["bytes"]):
+            right = len(text) - left
+            for step, (lo, hi) in enumerate(borders):
+                if left >= lo and right >= length - hi:
+                    core = xxh3_64_intdigest(text[left - lo : left - hi + length], step) - 2**63
+                    whole = left >= hi and right >= length - lo
+                    rows.append((k, own, step, core, xxh3_64_intdigest(text[left - hi : left - lo + length], step) - 2**63 if whole else None))
+        return dict(zip(("k", "c", "step", "core", "cover"), map(list, zip(*rows)))) if rows else {n: [] for n in ("k", "c", "step", "core", "cover")}
+
+    return map_batches(near.select("k", "c", "left", "bytes"), run, "k bigint, c bigint, step int, core bigint, cover bigint")
+
+
+def _edges(length: int, gram: int, steps: int) -> np.ndarray:
+    """Borders of `steps` ranges of the offsets 0 to length - gram."""
+    return np.unique(np.linspace(0, length - gram + 1, steps + 1).astype(np.int64))
+
+
+def compare_large(near: DataFrame, length: int, gram: int, made: list[DataFrame], steps: int = 8) -> DataFrame:
+    """The same for groups too large for a task: hashes of cores and covers, then of windows, are counted across tasks. made: takes the tables stored on the way that the result reads."""
+    edges = _edges(length, gram, steps)
+    strings = stored(ranges(near, length, gram, steps), "ranges")
+    covers = strings.where("cover IS NOT NULL").groupBy("cover").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cover")
+    covers = stored(covers, "repeated-covers")
+    sure = strings.select("k", "c", "step", "cover").join(covers, "cover").groupBy("k", "c").agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    sure = stored(sure, "sure-ranges")
+    # between the first and the last repeated cover nothing can move the least and the greatest offset
+    done = F.coalesce(F.col("step").between(F.col("first"), F.col("last")), F.lit(False)).alias("done")
+    whole = stored(strings.join(sure, ["k", "c"], "left").select("core", "cover", "k", "c", "step", done), "open-ranges")
+    forget(strings, covers)
+    asked = whole.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("done")).alias("open")).where("n > 1 AND open").select("core")
+    asked = stored(asked, "asked-cores")
+    open_ = stored(whole.join(asked, "core"), "asked-ranges")
+    forget(whole, asked)
+    # equal covers have equal windows: of those that are done one stands for all
+    one = open_.where("done").groupBy("core", F.coalesce("cover", F.xxhash64("k", "c")).alias("cover")).agg(F.min(F.struct("k", "c", "step")).alias("x")).select("x.k", "x.c", "x.step")
+    wanted = stored(open_.where("NOT done").select("k", "c", "step").unionByName(one).groupBy("k", "c").agg(F.collect_set("step").alias("steps")), "wanted-ranges")
+    border = F.array(*[F.lit(int(e)) for e in edges])
+    forget(open_)
+    made.append(sure)
+    sure = sure.select("k", "c", F.get(border, F.col("first")).alias("lo"), (F.get(border, F.col("last") + 1) - 1).alias("hi"))
 
     def run(c):
         left = np.array(c["left"], np.int64)
         p, right = _windows(c["bytes"], left, length, gram)
         offsets = np.arange(length - gram + 1)
         v = _hashes(p, offsets, length, gram).astype(np.int64)
-        ok = (left[:, None] >= offsets) & (right[:, None] >= length - offsets)
+        open_ = np.zeros((len(left), len(edges) - 1), bool)
+        for i, s in enumerate(c["steps"]):
+            open_[i, s] = True
+        ok = (left[:, None] >= offsets) & (right[:, None] >= length - offsets) & np.repeat(open_, np.diff(edges), 1)
         i, j = np.nonzero(ok)
         return {"w": v[ok], "k": np.array(c["k"], np.int64)[i], "c": np.array(c["c"], np.int64)[i], "o": offsets[j].astype(np.int32)}
 
-    rows = stored(map_batches(near.select("k", "c", "left", "bytes"), run, "w bigint, k bigint, c bigint, o int"), "windows")
+    rows = near.join(wanted, ["k", "c"]).select("k", "c", "left", "bytes", "steps")
+    rows = stored(map_batches(rows, run, "w bigint, k bigint, c bigint, o int"), "windows")
+    forget(wanted)
     twice = stored(rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
-    return rows.join(twice, "w").groupBy("k", "c").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+    made += [rows, twice]
+    return sure.unionByName(rows.join(twice, "w").groupBy("k", "c").agg(F.min("o").alias("lo"), F.max("o").alias("hi")))
 
 
 def spans(marks: list, n: int, length: int) -> list[tuple[int, int]]:
@@ -291,22 +384,22 @@ def spans(marks: list, n: int, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def marked(docs: DataFrame, length: int, gram: int | None = None, batches: int = 4, small: int = 16_000) -> DataFrame:
+def marked(docs: DataFrame, length: int, gram: int | None = None, batches: int = 4, small: int = 1000) -> DataFrame:
     """(doc, marks array<(pos, lo, hi)>) of a table (doc, text), for documents with repeated strings."""
     family = SuffixFamily(length, gram)
     length, gram = family.length, family.gram
-    hits = None
-    for b in range(batches):
-        found = family.insert(docs.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b))
-        hits = found if hits is None else hits.unionByName(found)
-    classes = stored(family.classes(hits), "candidates")
+    found = [family.insert(docs.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)) for b in range(batches)]
+    family.close()
+    classes = family.classes(functools.reduce(DataFrame.unionByName, found))
+    forget(*found)
     mixed = classes.where("m > 1")
     near = stored(neighbourhoods(mixed, docs, length, gram), "neighbourhoods")
-    part = compare(near.where(F.col("m") <= small), length, gram)
+    part, done = compare(near.where(F.col("m") <= small), length, gram), [near, classes]
     if near.where(F.col("m") > small).limit(1).count():
-        part = part.unionByName(compare_large(near.where(F.col("m") > small), length, gram))
+        part = part.unionByName(compare_large(near.where(F.col("m") > small), length, gram, done))
     full = classes.where("n > 1").select("k", "c", F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
     covered = stored(full.unionByName(part).groupBy("k", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "covered")
+    forget(*done)
     members = family.members[0]
     for m in family.members[1:]:
         members = members.unionByName(m)
