@@ -3,26 +3,33 @@
 Every page is parsed into elements. The pages of a host merge into one style tree whose nodes are element
 paths (tag and class, from the body down). For each node two diversities over its pages are taken, both
 as entropies divided by the logarithm of the number of pages: of its presentation (the sequence of its
-child elements) and of its content (a hash of all text in it). A node's importance is the greater of the
-two: menus, notices and adverts repeat and score low, articles differ and score high. Branches of low
-importance are removed from each page, with elements whose name or class says that they are no part of an
-article (navigation, forms, comments and so on). Where a page marks its article (article, main), only
-that is kept, and inside it a branch goes only if it is named so or is nearly constant over the host.
-Hosts with under `least_pages` pages have no reliable tree: names alone decide. Pages of a host are counted
-once for each html, so copies of a page say nothing about what repeats; and where the tree would leave nothing
-of a page, names alone decide for it.
-
-Counts of a hot host combine before the shuffle; the tree's low nodes come back to the pages in a join on
-the host that can be split.
+child elements) and of its content (a hash of all text in it). The greater of the two is the evidence for the
+node; its importance is the mean of the evidence, weighed by the number of pages less one, and of a prior of 1,
+weighed by `prior` pages. So a path that one page alone has keeps its prior, menus, notices and adverts that
+repeat fall towards 0 page by page, and articles stay near 1. Branches of low importance are removed from each
+page. Pages of a host are counted once for each html, so copies of a page say nothing about what repeats.
+
+What varies from page to page and still is no article (navigation, forms, reader comments, rotating adverts) no
+entropy can tell; there names decide: elements of HTML for it, and classes, ids or roles that are such a name.
+A class that only contains such a name (related-work, comment-on-law) is a weaker sign: outside a marked article
+it counts, inside one only if half of the host's pages have the path, as a template's part does. Headings are
+judged by what they stand in alone. Where a page marks its article (article, main), only that is kept, and
+inside it a branch goes only if it is nearly constant over the host. Where the tree would leave nothing of a
+page, names alone decide for it.
+
+Scale: counts of a hot host combine before the shuffle; a page gets back only those of its own paths that go,
+so no row carries a host's tree.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; unclosed and
-stray tags are accepted; repeated rows are extracted each; whole pages are read.
+stray tags are accepted; repeated rows are extracted each; whole pages are read, of any size and any depth
+(no step is recursive, and a path is a hash of 64 bits).
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,37 +55,58 @@ NOISE_WORDS = frozenset("ad ads adv advert advertisement advertising banner brea
 MAIN = frozenset("article main".split())
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN, PART, NAMED = 0, 1, 2
+
+
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "path", "hidden")
+    """noise: NAMED for what is no part of an article by its name, PART where a class only contains such a name."""
+
+    __slots__ = ("tag", "parent", "children", "path", "noise", "main", "within")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
+        from xxhash import xxh3_64_intdigest
+
         self.tag, self.parent, self.children = tag, parent, []
-        self.words, self.hidden, label = frozenset(), False, ""
+        self.within = parent is not None and (parent.within or parent.main)
+        label, names, hidden = "", "", False
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             label = " ".join(sorted(found.get("class", "").lower().split()))
             names = f"{label} {found.get('id', '').lower()} {found.get('role', '').lower()}"
-            self.words = frozenset(re.split(r"[^a-z0-9]+", names)) | frozenset(names.split())
-            self.hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(re.search(r"\bhidden\b(?!\s*=)", attributes))
-        self.path = (parent.path if parent else "") + "/" + tag + ("." + label if label else "")
-
-    @property
-    def named_noise(self) -> bool:
-        return self.tag in NO_TEXT or self.tag in NOISE or self.hidden or not self.words.isdisjoint(NOISE_WORDS) or self.tag == "header" and not self.inside(MAIN)
-
-    def inside(self, tags: frozenset) -> bool:
-        n = self.parent
-        while n:
-            if n.tag in tags or "main" in n.words:
-                return True
-            n = n.parent
-        return False
+            hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(re.search(r"\bhidden\b(?!\s*=)", attributes))
+        words = names.split()
+        self.main = tag in MAIN or "main" in words
+        self.noise = PLAIN
+        if tag in NO_TEXT or tag in NOISE or hidden or tag == "header" and not self.within:
+            self.noise = NAMED
+        elif words and tag not in HEADINGS:
+            if not NOISE_WORDS.isdisjoint(words):
+                self.noise = NAMED
+            elif not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", names)):
+                self.noise = PART
+        above = parent.path if parent else 0
+        self.path = xxh3_64_intdigest(f"{above}/{tag}.{label}".encode("utf-8", "surrogatepass")) >> 1
+
+    def goes(self) -> bool:
+        """By its name alone."""
+        return self.noise == NAMED or self.noise == PART and not self.within
 
 
 def parse(source: str) -> Node:
     """The tree; children are nodes and strings (undecoded)."""
     root = Node("html", "", None)
     here, at = root, 0
+    open_ = Counter({"html": 1})  # of elements from here up, so that no search goes up in vain
+
+    def close(n: Node) -> Node:
+        """The parent of n; all from here up to n are closed."""
+        x = here
+        while x is not n.parent:
+            open_[x.tag] -= 1
+            x = x.parent
+        return n.parent
+
     while True:
         m = _TAG.search(source, at)
         if m is None:
@@ -95,109 +123,109 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            n = here
+            n = here if open_[tag] else None
             while n and n.tag != tag:
                 n = n.parent
             if n and n.parent:
-                here = n.parent
+                here = close(n)
             elif tag in ("p", "br"):
                 here.children.append(Node(tag, "", here))
             continue
         if tag in ("html", "body") and here is root and tag == "html":
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             n = here
             while n and n.tag not in ("p", "td", "th", "li", "div", "article", "section", "main", "table", "button"):
                 n = n.parent
             if n and n.tag == "p" and n.parent:
-                here = n.parent
-        if tag in SIBLING:
+                here = close(n)
+        if tag in SIBLING and any(open_[x] for x in SIBLING[tag]):
             n, top = here, None
             while n and n.tag not in STOPS[tag]:
                 if n.tag in SIBLING[tag]:
                     top = n
                 n = n.parent
             if top and top.parent:
-                here = top.parent
+                here = close(top)
         node = Node(tag, m[3], here)
         here.children.append(node)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = len(source) if end is None else end.start()
             here = node
+            open_[tag] += 1
         elif tag not in VOID and not m[3].endswith("/"):
             here = node
+            open_[tag] += 1
 
 
-def _text_hash(n: Node, out: list) -> None:
-    for c in n.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag not in NO_TEXT:
-            _text_hash(c, out)
+def style_nodes(source: str | None) -> dict[int, tuple[int, int]]:
+    """path -> (presentation, content) hashes of the page's block elements that hold text; elements of one path count together.
 
-
-def style_nodes(source: str | None) -> dict[str, tuple[int, int]]:
-    """path -> (presentation, content) hashes of the page's block elements that hold text; elements of one path count together."""
+    One pass down for the order of the elements, one up: the content of an element is a hash of its children's.
+    """
     from xxhash import xxh3_64_intdigest
 
-    parts: dict[str, list[list[str]]] = {}
-    stack = [parse(source or "")]
+    def of(x: list) -> int:
+        return xxh3_64_intdigest(repr(x).encode()) >> 1
+
+    order, stack = [], [parse(source or "")]
     while stack:
         n = stack.pop()
-        if n.tag in NO_TEXT:
-            continue
-        kids = [c for c in n.children if not isinstance(c, str)]
-        if n.tag in BLOCK:
-            texts: list[str] = []
-            _text_hash(n, texts)
-            text = " ".join("".join(texts).split())
-            if text:
-                p = parts.setdefault(n.path, [[], []])
-                p[0].append(" ".join(k.path for k in kids if k.tag in BLOCK))
-                p[1].append(text)
-        stack += reversed(kids)
-    return {k: tuple(xxh3_64_intdigest("\n".join(x).encode("utf-8", "surrogatepass")) >> 1 for x in v) for k, v in parts.items()}
-
-
-def text_of(source: str | None, low: set[str], constant: set[str]) -> str:
-    """The page's main text; low: paths of low importance, constant: those nearly constant over the host."""
+        if n.tag not in NO_TEXT:
+            order.append(n)
+            stack += reversed([c for c in n.children if not isinstance(c, str)])
+    content: dict[int, int] = {}  # by element, none where there is no text
+    for n in reversed(order):
+        own = []
+        for c in n.children:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    own.append(xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+            elif (h := content.get(id(c))) is not None:
+                own.append(h)
+        if own:
+            content[id(n)] = own[0] if len(own) == 1 else of(own)
+    parts: dict[int, tuple[list, list]] = {}
+    for n in order:
+        if n.tag in BLOCK and id(n) in content:
+            shape, texts = parts.setdefault(n.path, ([], []))
+            shape.append([k.path for k in n.children if not isinstance(k, str) and k.tag in BLOCK])
+            texts.append(content[id(n)])
+    return {path: (of(shape), of(texts)) for path, (shape, texts) in parts.items()}
+
+
+def text_of(source: str | None, low: set[int], constant: set[int], template: set[int]) -> str:
+    """The page's main text; low: paths of low importance, constant: those nearly constant over the host, template: those of half of its pages."""
     if not source:
         return ""
     root = parse(source)
-    mains = [n for n in _walk(root, low, constant, None) if n.tag in MAIN or "main" in n.words]
-    chosen = [m for m in mains if not any(p is not m and _under(m, p) for p in mains)]
-    for gone in (low if not chosen else constant, set()):  # names alone where the tree leaves nothing
+    chosen = _outermost_mains(root)
+    for tree in (True, False):  # names alone where the tree leaves nothing
         blocks: list[list[str]] = [[]]
         for n in chosen or [root]:
-            _gather(n, blocks, gone, bool(chosen))
+            _gather(n, blocks, (constant if chosen else low) if tree else set(), template if tree else set(), bool(chosen))
             blocks.append([])
         lines = [x for b in blocks if (x := " ".join(_html.unescape("".join(b)).split()))]
-        if lines or not gone:
+        if lines:
             break
     return "\n".join(lines)
 
 
-def _under(n: Node, p: Node) -> bool:
-    while n:
-        if n is p:
-            return True
-        n = n.parent
-    return False
-
-
-def _walk(n: Node, low, constant, _) -> list[Node]:
-    out, stack = [], [n]
+def _outermost_mains(root: Node) -> list[Node]:
+    out, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x.named_noise:
+        if x.goes():
             continue
-        out.append(x)
-        stack += [c for c in reversed(x.children) if not isinstance(c, str)]
+        if x.main:
+            out.append(x)
+        else:
+            stack += [c for c in reversed(x.children) if not isinstance(c, str)]
     return out
 
 
-def _gather(n: Node, blocks: list[list[str]], gone: set[str], inside: bool) -> None:
+def _gather(n: Node, blocks: list[list[str]], gone: set[int], template: set[int], inside: bool) -> None:
     """Pieces of text by block, in page order, without the branches that go."""
     todo: list = [(n, False)]
     while todo:
@@ -208,7 +236,7 @@ def _gather(n: Node, blocks: list[list[str]], gone: set[str], inside: bool) -> N
         if closing:
             blocks.append([])
             continue
-        if x is not n and (x.named_noise or x.path in gone and (not inside or x.tag in ("div", "section", "ul", "ol", "table", "figure"))):
+        if x is not n and (x.goes() or x.noise == PART and x.path in template or x.path in gone and (not inside or x.tag in ("div", "section", "ul", "ol", "table", "figure"))):
             continue
         if x.tag == "br":
             blocks[-1].append(" ")
@@ -223,56 +251,60 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame, least_pages: int = 5) -> DataFrame:
-    """(host, path, pages, importance) of a table (host, html); pages: with different html."""
+def nodes(pages: DataFrame) -> DataFrame:
+    """(host, page, path, shape, content) of a table (host, page, html): the style nodes of each different page."""
 
     def run(c):
-        from xxhash import xxh3_64_intdigest
-
-        out = {"host": [], "path": [], "kind": [], "h": [], "page": []}
-        for host, source in zip(c["host"], c["html"]):
-            page = xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass")) >> 1
-            for path, hashes in style_nodes(source).items():
-                for kind, h in enumerate(hashes):
-                    out["host"].append(host)
-                    out["path"].append(path)
-                    out["kind"].append(kind)
-                    out["h"].append(h)
-                    out["page"].append(page)
+        out = {"host": [], "page": [], "path": [], "shape": [], "content": []}
+        for host, page, source in zip(c["host"], c["page"], c["html"]):
+            for path, (shape, content) in style_nodes(source).items():
+                for name, v in zip(out, (host, page, path, shape, content)):
+                    out[name].append(v)
         return out
 
-    rows = map_batches(pages.select("host", "html"), run, "host string, path string, kind int, h bigint, page bigint").distinct()
-    n = rows.groupBy("host", "path", "kind", "h").agg(F.count(F.lit(1)).alias("n"))
+    return map_batches(pages.select("host", "page", "html"), run, "host string, page bigint, path bigint, shape bigint, content bigint").distinct()
+
+
+def style_tree(found: DataFrame, prior: float = 2.0) -> DataFrame:
+    """(host, path, pages, share, importance) of nodes(); share: of the host's pages that have the path."""
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("h")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("h")))).alias("x")
+    n = found.select("host", "path", kinds).groupBy("host", "path", "x.kind", "x.h").agg(F.count(F.lit(1)).alias("n"))
     each = n.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return each.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance")).where(F.col("pages") >= least_pages)
+    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(0.0)
+    tree = each.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("evidence"))
+    all_ = found.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    seen = F.col("pages") - 1
+    return tree.join(all_, "host").select("host", "path", "pages", (F.col("pages") / F.col("all")).alias("share"), ((seen * F.col("evidence") + prior) / (seen + prior)).alias("importance"))
 
 
 def extract(pages: DataFrame, low: float = 0.55, constant: float = 0.2) -> DataFrame:
     """(page_id, url, text) of each row of pages."""
     from .suffix_dedup import _unpack
 
+    page = F.shiftrightunsigned(F.xxhash64(F.coalesce("html", F.lit(""))), 1)
+    hosted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), page.alias("page"), "html")
+    found = stored(nodes(hosted), "style-nodes")
+    marked = style_tree(found).where((F.col("importance") < low) | ((F.col("pages") > 1) & (F.col("share") >= 0.5)))
+    own = found.select("host", "page", "path").join(stored(marked, "style-tree"), ["host", "path"])
+    gone = stored(own.groupBy("host", "page").agg(F.collect_list(F.struct("path", "importance", "share")).alias("marked")), "page-paths")
+
     def pack(c):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        return {"page_id": c["page_id"], "url": c["url"], "host": c["host"], "z": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in c["html"]]}
+        return {n: c[n] for n in ("page_id", "url", "host", "page")} | {"z": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in c["html"]]}
 
-    hosted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    tree = style_tree(hosted).where(F.col("importance") < low)
-    gone = tree.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("low"))
-    gone = stored(gone, "style-tree")
-    ready = map_batches(hosted, pack, "page_id bigint, url string, host string, z binary").join(gone, "host", "left")
+    ready = map_batches(hosted, pack, "page_id bigint, url string, host string, page bigint, z binary").join(gone, ["host", "page"], "left")
 
     def run(c):
-        texts, sets = [], {}
-        for host, z, paths in zip(c["host"], c["z"], c["low"]):
-            if host not in sets:
-                sets[host] = ({x["path"] for x in paths or []}, {x["path"] for x in paths or [] if x["importance"] < constant})
-            texts.append(text_of(_unpack(z).decode("utf-8", "surrogatepass"), *sets[host]))
+        texts = []
+        for z, paths in zip(c["z"], c["marked"]):
+            paths = paths or []
+            sets = ({x["path"] for x in paths if x["importance"] < low}, {x["path"] for x in paths if x["importance"] < constant}, {x["path"] for x in paths if x["share"] >= 0.5})
+            texts.append(text_of(_unpack(z).decode("utf-8", "surrogatepass"), *sets))
         return {"page_id": c["page_id"], "url": c["url"], "text": texts}
 
-    return map_batches(ready.select("page_id", "url", "host", "z", "low"), run, "page_id bigint, url string, text string")
+    return map_batches(ready.select("page_id", "url", "z", "marked"), run, "page_id bigint, url string, text string")
 
 
 def op7(pages: DataFrame) -> DataFrame:
