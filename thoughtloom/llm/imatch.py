@@ -3,17 +3,21 @@
 Terms are lower-cased words without ASCII punctuation. The lexicon is the band of terms whose document
 frequency lies between two shares of the corpus (an inverse-document-frequency band), counted over all
 documents. Each slot of a fingerprint is one randomised subset of the lexicon: a term is in slot j at tier
-t with probability 2^-t, decided by a hash; the slot's value hashes the sorted distinct terms of the text
-that lie in the subset, 0 if there is none. A fingerprint holds the tier that fits its number of terms
-and the next, sparser one, so texts up to about four times apart in length can be compared. The likeness
-of two fingerprints is the share of equal values among the slots that are filled in either.
-
-Bound of what is broadcast: a lexicon of terms with frequency t or more has at most (document, term)
-pairs / t entries, and t is raised until that is `most_terms` (8 bytes each), whatever the corpus.
-
-Texts with under 4 lexicon terms use all their terms. Defined cases: a null text is empty; texts without
-terms have the empty fingerprint, and two of these are alike (1); null ids come first in the order of
-documents, rows that repeat an id are ordered by their packed text; a table of one row is its own next.
+t with probability 2^-t, decided by a hash; the slot's value hashes the distinct terms of the text that lie in
+the subset, 0 if there is none. (The hash is that of a set, a sum of mixed term hashes cut to 16 bits: it equals
+a hash of the sorted terms in that equal sets have equal values, and needs no sort for each slot.) A fingerprint
+holds the tier that fits its number of lexicon terms and the next, sparser one, so texts up to about four times
+apart in length can be compared, and one slot more for the subset that is the whole vocabulary: all distinct
+terms of the text. The likeness of two fingerprints is the share of equal values among the slots that are filled
+in either; texts without a lexicon term are thus alike only if all their terms agree.
+
+Bound of what is broadcast: terms of a frequency of `least` of the documents or more are at most (mean number of
+distinct terms a document) / `least`, 8 bytes each, however many documents there are; a lexicon of more than
+`most_terms` stops the job with the advice to raise `least`.
+
+Defined cases: a null text is empty; texts without terms have the empty fingerprint, and two of these are alike
+(1); null ids come first in the order of documents, rows that repeat an id are ordered by their packed text; a
+table of one row is its own next; a very long text is whole in one task, in a few times its size.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def terms(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(hashes.of(text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()))
 
 
-def lexicon(docs: DataFrame, least: float = 0.0005, most: float = 0.02, most_terms: int = 1 << 20) -> np.ndarray:
+def lexicon(docs: DataFrame, least: float = 0.0005, most: float = 0.02, most_terms: int = 1 << 24) -> np.ndarray:
     """The hashes of the terms in the band, ascending; band limits as shares of the documents."""
 
     def run(c, hashes):
@@ -50,20 +54,18 @@ def lexicon(docs: DataFrame, least: float = 0.0005, most: float = 0.02, most_ter
     counts = map_batches(docs.select("text"), run, "h bigint, n bigint", WordHashes).groupBy("h").agg(F.sum("n").alias("n"))
     counts = stored(counts.where("n > 1"), "frequencies")
     total = docs.count()
-    pairs = counts.agg(F.sum("n")).first()[0] or 0
-    low = max(2.0, least * total, pairs / most_terms)
-    high = max(most * total, 20.0)
-    rows = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("h").toArrow()
+    band = counts.where((F.col("n") >= least * total) & (F.col("n") <= most * total)).select("h")
+    if band.count() > most_terms:
+        raise ValueError(f"the lexicon has more than {most_terms} terms: raise `least`")
+    rows = band.toArrow()
     return np.sort(rows.column("h").to_numpy().astype(np.int64).astype(U64))
 
 
 def fingerprint(own: np.ndarray, lex: np.ndarray) -> bytes:
-    """One byte of tier, then 16 bits for each slot of the tier and of the next."""
-    if len(lex) and len(own):
-        at = np.minimum(np.searchsorted(lex, own), len(lex) - 1)
-        band = own[lex[at] == own]
-        if len(band) >= 4:
-            own = band
+    """One byte of tier, 16 bits for all terms, then 16 bits for each slot of the tier and of the next."""
+    with np.errstate(over="ignore"):
+        whole = np.uint16(max(1, int(mix(mix(own).sum(keepdims=True, dtype=U64))[0] & U64(0xFFFF)))) if len(own) else np.uint16(0)
+    own = own[lex[np.minimum(np.searchsorted(lex, own), len(lex) - 1)] == own] if len(lex) else own[:0]
     n = len(own)
     tier = max(0, round(np.log2(n))) if n else 0
     slots = np.zeros((2, SLOTS), np.uint16)
@@ -76,7 +78,7 @@ def fingerprint(own: np.ndarray, lex: np.ndarray) -> bytes:
                 total = np.where(inside, value[:, None], U64(0)).sum(0, dtype=U64)
                 v = (mix(total + _SALTS) & U64(0xFFFF)).astype(np.uint16)
                 slots[i] = np.where(inside.any(0), np.maximum(v, 1), 0)
-    return bytes([tier]) + slots.tobytes()
+    return bytes([tier]) + whole.tobytes() + slots.tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -85,7 +87,7 @@ def likeness(a: bytes, b: bytes) -> float:
     tier = max(a[0], b[0])
     if tier - min(a[0], b[0]) > 1:
         return 0.0
-    x, y = (np.frombuffer(f, np.uint16, SLOTS, 1 + 2 * SLOTS * (tier - f[0])) for f in (a, b))
+    x, y = (np.frombuffer(f[1:3] + f[3 + 2 * SLOTS * (tier - f[0]) :][: 2 * SLOTS], np.uint16) for f in (a, b))
     filled = (x > 0) | (y > 0)
     n = int(filled.sum())
     return float(((x == y) & filled).sum() / n) if n else 0.0
