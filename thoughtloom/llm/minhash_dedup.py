@@ -19,8 +19,8 @@
 Nothing is capped, and no step returns more rows than a neighbourhood or bucket has members.
 
 Defined cases: null or empty texts (and texts without words) have the empty set, are linked with
-nothing and are their own component; rows with a null id are never linked and keep a null component;
-rows that repeat an id count as one document with the least text.
+nothing and are their own component; near_duplicates() takes unique ids, op9() and the stage give rows that
+repeat an id, or have none, keys of their own; the shingles of a very long text are whole in one task.
 """
 
 from __future__ import annotations
@@ -249,12 +249,15 @@ def _to_pivots(near: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int
     return members.join(center, "hood").where("a <> b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _inside(near: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Spanning links (a, b) of the neighbourhoods (hood, id, component, main): pairs of which one side at least is not in the main component."""
-    count = near.groupBy("hood").agg(F.count_if(~F.col("main")).alias("rest"), F.count_if("main").alias("mains"))
-    near = near.join(stored(count.where("rest > 0"), "hoods"), "hood")
-    size = F.lit(float(block))
-    near = near.withColumn("nr", F.ceil(F.col("rest") / size).cast("int")).withColumn("nm", F.ceil(F.col("mains") / size).cast("int"))
+def _inside(near: DataFrame, sets: DataFrame, percent: int, block: int, shingles: int = 1 << 21) -> DataFrame:
+    """Spanning links (a, b) of the neighbourhoods (hood, id, component, main): pairs of which one side at least is not in the main component.
+
+    A block has about `block` members and `shingles` shingles at most; a text longer than that is a block's whole bulk.
+    """
+    sized = near.join(sets.select("id", (F.length("s") / 8).alias("size")), "id")
+    parts = [F.ceil(F.greatest(F.count_if(c) / F.lit(float(block)), F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)) / F.lit(float(shingles)))).cast("int") for c in (~F.col("main"), F.col("main"))]
+    count = sized.groupBy("hood").agg(parts[0].alias("nr"), parts[1].alias("nm")).where("nr > 0")
+    near = near.join(stored(count, "hoods"), "hood")
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
     # a pair of blocks is (i, j): i a block of the rest, j < nr another block of it or j - nr a block of the main component
     rest_pairs = F.transform(F.sequence(F.lit(0), F.col("nr") + F.col("nm") - 1), lambda j: F.when(j < F.col("mine"), F.struct(j.alias("i"), F.col("mine").alias("j"))).otherwise(F.struct(F.col("mine").alias("i"), j.alias("j"))))
@@ -267,17 +270,17 @@ def _inside(near: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
 
         ids, packed = table["id"].to_numpy(), table["s"].to_pylist()
         lengths = np.array([len(p) // 8 for p in packed])
-        shingles = np.unique(np.frombuffer(b"".join(packed), U64), return_inverse=True)[1].astype(np.int32)
+        of = np.unique(np.frombuffer(b"".join(packed), U64), return_inverse=True)[1].astype(np.int32)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         forest = Forest(table["component"].to_numpy())
-        flag = np.zeros(int(shingles.max()) + 1, np.int32)
+        flag = np.zeros(int(of.max()) + 1, np.int32)
         a, b = [], []
         for i in np.flatnonzero(~table["main"].to_numpy(zero_copy_only=False)):
             if not forest.differ(i).any():
                 continue
-            own = shingles[starts[i] : starts[i] + lengths[i]]
+            own = of[starts[i] : starts[i] + lengths[i]]
             flag[own] = 1
-            both = np.add.reduceat(flag[shingles], starts)
+            both = np.add.reduceat(flag[of], starts)
             flag[own] = 0
             near_ = np.flatnonzero((100 * both >= percent * (lengths + lengths[i] - both)) & forest.differ(i))
             for j in forest.join(i, near_) if len(near_) else []:
@@ -292,9 +295,6 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bins: int =
     """(doc_id, n_shingles, component_id) for each distinct doc_id."""
     s = percent / 100
     doubt = max(0.0, s - 5 * (s * (1 - s) / bins) ** 0.5) if doubt is None else doubt
-    ids = docs.groupBy("doc_id").count()
-    if ids.where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     base = stored(signatures(docs, n, bins, rows), "signatures")
     full = base.where("n_shingles > 0 AND id IS NOT NULL")
     classes = stored(full.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
@@ -335,8 +335,18 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bins: int =
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Three-word shingles at 85 per cent; kept marks the least document of each component."""
-    return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Three-word shingles at 85 per cent, one row for each row; kept marks the least document of each component.
+
+    Where ids repeat or are null, rows are judged by a key of their own: the component is the least id in it (null
+    if it has none), and of rows with that id the first alone is kept.
+    """
+    rows = keyed(docs.select("doc_id", "text"))
+    found = near_duplicates(rows.select(F.col("doc").alias("doc_id"), "text"))
+    if not rows.where("NOT doc <=> doc_id").limit(1).count():
+        return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stored(found.withColumnsRenamed({"doc_id": "doc", "component_id": "component"}).join(rows.select("doc", "doc_id"), "doc"), "named")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("x"))
+    return named.join(least, "component").select("doc_id", "n_shingles", F.col("x.doc_id").alias("component_id"), (F.col("doc") == F.col("x.doc")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
