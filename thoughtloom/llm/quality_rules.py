@@ -6,7 +6,8 @@ rule that failed. Policies are versioned sets of rules: a policy rejects a docum
 new policy, or the question what a rule adds, never reads a text again.
 
 Defined cases: a null or empty text has no words and all counts 0 (it fails `few_words`); a null doc_id
-stays as it is; repeated rows are judged each on its own; other columns of the input are ignored.
+stays as it is; repeated rows are judged each on its own; other columns of the input are ignored; a very long
+text is whole in one task, in a few times its size.
 """
 
 from __future__ import annotations
@@ -83,7 +84,12 @@ def _measure(text: str | None) -> tuple:
     if letters is None:
         letters = len(text.translate(_NOT_LETTERS))
     lower = text.lower()
-    upper = sum(a != b for a, b in zip(text, lower)) if text != lower and len(lower) == len(text) else 0
+    if text == lower:
+        upper = 0
+    elif len(lower) == len(text):
+        upper = sum(a != b for a, b in zip(text, lower))
+    else:  # a letter whose small form is longer
+        upper = sum(a != a.lower() for a in text)
     return (len(words), chars, n_symbols, lines, dup, dup_chars, _repeated(words), text.count("!"), letters, upper)
 
 

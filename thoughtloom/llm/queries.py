@@ -32,7 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.ORACLE,
-        "op5_chat_format": _on("conversations", chat_format.op5),
         "op5_chat_format": chat_format.ORACLE,
         "op6_source_mix": source_mix.ORACLE,
         "op9_minhash_dedup": minhash_dedup.ORACLE,

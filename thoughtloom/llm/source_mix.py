@@ -11,13 +11,14 @@ sampling. Prefix sums run inside (source, range) and over the ranges' totals, so
 however large; only ids, sizes and keys are shuffled for the decision.
 
 Defined cases: a null or empty text has size 0 and nothing is taken; a null source is a source of its
-own, the last; rows that repeat an id share a key, are ordered by source and size, and are each counted;
-an empty table gives no rows; targets are floored to whole words when cutting.
+own, the last; rows without an id have a key of their text's; rows that repeat an id share a key, are ordered by
+source and size, and are each counted; an empty table gives no rows; targets are floored to whole words when
+cutting. The water filling has one row for each source in one task: its bound is the number of sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, keyed, stored
@@ -26,7 +27,7 @@ from .common import WORD, keyed, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def sized(docs: DataFrame, *keys: str) -> DataFrame:
+def sized(docs: DataFrame, *keys: str | Column) -> DataFrame:
     """(doc_id, source, keys, size): size is the number of words of the text."""
     return docs.select("doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
@@ -59,8 +60,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, digits: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, keys) for each row of docs; digits: hex digits of the key that make a range; keys: columns that tell rows of one id apart."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = stored(sized(docs, *keys).withColumn("key", key).withColumn("range", F.substring("key", 1, digits)), "sizes")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    rows = stored(sized(docs, key.alias("key"), *keys).withColumn("range", F.substring("key", 1, digits)), "sizes")
     part = ("source", "range")
     totals = rows.groupBy(*part).agg(F.sum("size").alias("n"))
     before = stored(totals.select(*part, (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("offset")), "offsets")
@@ -101,7 +102,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
