@@ -17,6 +17,12 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got[1] == want[1]
 
 
+def test_search_plans_without_nested_loops(spark, sf):
+    for name in ("s06_fulltext_search", "s07_suggest", "s08_hybrid_search", "s10_rerank_fusion", "s11_context_pack"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
 def test_no_cross_join_nor_python_in_relational_plans(spark, sf):
     for name in ("j07_shared_entity_pairs", "j14_unresolved_contradictions", "a01_timeline_month", "e06_fuzzy_match", "x15_injection_scan"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def test_resolution_cascade(spark):
     assert got == {"postgresql": (1, "exact"), "psql": (1, "canonical"), "PG": (1, "alias"), "Rediss": (3, "fuzzy"), "Kafka": (None, "new")}
 
 
+def test_cascade_by_vector_type_and_tenant(spark):
+    rows = [(1, 7, "PostgreSQL", "technology", [1.0, 0.0]), (2, 8, "Queue layer", "concept", [0.0, 1.0]), (3, 8, "postgresql", "technology", [1.0, 0.0]), (4, 8, "Johnson", "person", [0.5, 0.5])]
+    e = spark.createDataFrame(rows, "id bigint, user_id bigint, name string, type string, embedding array<double>")
+    m = spark.createDataFrame([("POSTGRESQL", [0.0, 0.0]), ("message bus", [0.1, 0.99]), ("Jonson", [-1.0, 0.0]), ("nothing", [-1.0, 0.1])], "mention string, embedding array<double>")
+    a = spark.createDataFrame([], "alias string, canonical string")
+    got = {r.mention: (r.id, r.method) for r in E.resolve_entities(m, e, a).collect()}
+    assert got == {"POSTGRESQL": (1, "exact"), "message bus": (2, "embedding"), "Jonson": (4, "fuzzy"), "nothing": (None, "new")}
+    got = {r.mention: (r.id, r.method) for r in E.resolve_in_order(m, e, a, 8).collect()}
+    assert got == {"POSTGRESQL": (3, "exact"), "message bus": (2, "embedding"), "Jonson": (4, "fuzzy"), "nothing": (None, "new")}
+
+
+def test_long_names_of_one_length_are_no_candidates(spark):
+    import random
+
+    r = random.Random(5)
+    names = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select(F.explode(E.blocks("name", 85.0)).alias("key"))
+    asked = df.where("key LIKE '+%'").count()
+    per = df.where("key LIKE '=%'").groupBy("key").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert asked < 100 and per < 0.5 * 3000 * 2999 / 2
+
+
 def test_contradiction_rules(spark):
     rows = [
         ("the monolith stays", "we split into a microservice", 0.80),
@@ -187,7 +210,9 @@ def test_session_batches(spark, tmp_path):
     spark.createDataFrame([(1, i) for i in range(23)] + [(2, 100 + i) for i in range(9)], "session bigint, id bigint").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session bigint, id bigint").parquet(str(tmp_path / "in"))
     q = W.session_batches(stream, size=10, wait_ms=600_000).writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    end = time.time() + 90  # a stream with a timeout by the clock never runs out of batches by itself
+    while spark.table("flushed").count() < 2 and time.time() < end:
+        time.sleep(0.5)
     q.stop()
     assert sorted(map(tuple, spark.table("flushed").collect())) == [(1, 0, 10, 0, 9), (1, 1, 10, 10, 19)]
 

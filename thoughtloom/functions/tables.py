@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint; a folder is set only where the session names none (tests)."""
+    """df after a reliable checkpoint; a temporary folder is set only where the session names none and is local (tests)."""
     sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="thoughtloom-"))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ INJECTION = [
     ("format_override", "i", r"respond\s+only\s+(?:with|in)\s+(?:json|xml|code)"),
     ("output_restriction", "i", r"(?:never|don'?t|do\s+not)\s+(?:mention|say|include|add)\b"),
 ]
+#: For each pattern, words of which a text with a match holds one (in small letters); None where there are none.
+HINTS = [
+    ("ignore", "disregard", "forget", "override", "bypass"), ("new", "actual", "real"), ("you",), ("act",), ("pretend",), ("from",), ("###",), ("[system]", "[inst"), ("<system>", "<instruction>", "<prompt>"),
+    ("system:", "assistant:", "human:"), ("dan",), ("mode",), ("unrestricted",), ("no",), ("[hidden]",), ("<!--",), ("/*",), None, None, ("base64", "b64"), ("prompt", "instruction", "rule", "context"), ("instruction", "prompt", "rule"), ("respond",), ("never", "don", "do"),
+]
 WEIGHTS = {
     "system_override": 0.9, "role_hijack": 0.8, "behavior_override": 0.7, "boundary_attack": 0.85, "role_injection": 0.75, "jailbreak": 0.95, "hidden_instruction": 0.6, "html_comment_injection": 0.4,
     "code_comment_injection": 0.3, "invisible_chars": 0.5, "control_chars": 0.4, "encoded_instruction": 0.7, "data_exfil": 0.6, "format_override": 0.3, "output_restriction": 0.4,
@@ -229,19 +236,28 @@ def interview_stage(messages: DataFrame) -> DataFrame:
 
 
 def injection_scan(df: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
-    """df with n_patterns, top_category weight, confidence and level. strict: line feeds and tabs count as control characters."""
+    """df with n_patterns, top_category weight, confidence and level; structural concerns raise the confidence by .1 each.
+
+    A pattern is counted only where a plain search finds one of its hints. strict: line feeds and tabs count as
+    control characters.
+    """
+    df = df.withColumn("_small", F.lower(text))
     counts = []
-    for category, flags, pattern in INJECTION:
+    for (category, flags, pattern), hints in zip(INJECTION, HINTS):
         if strict and category == "control_chars":
             pattern = r"[\x00-\x1f]"
-        counts.append((category, F.regexp_count(F.col(text), F.lit(f"(?{flags}){pattern}"))))
+        n = F.coalesce(F.regexp_count(F.col(text), F.lit(f"(?{flags}){pattern}")), F.lit(0))
+        if hints:
+            n = F.when(functools.reduce(Column.__or__, [F.contains("_small", F.lit(h)) for h in hints]), n).otherwise(0)
+        counts.append((category, n))
     names = [f"_n{i}" for i in range(len(counts))]
-    df = df.withColumns({n: F.coalesce(c, F.lit(0)) for n, (_, c) in zip(names, counts)})
+    df = df.withColumns({n: c for n, (_, c) in zip(names, counts)} | {"_s": F.coalesce(structure_concerns(text), F.lit(0))}).drop("_small")
     n = sum((F.col(x) for x in names), F.lit(0))
     top = F.greatest(*[F.when(F.col(x) > 0, F.lit(WEIGHTS[c])).otherwise(F.lit(0.0)) for x, (c, _) in zip(names, counts)])
-    conf = F.when(F.col("n_patterns") == 0, 0.0).otherwise(F.col("max_weight") * F.least(F.lit(1.0), 0.5 + F.col("n_patterns") * 0.1))
+    found = F.col("max_weight") * F.least(F.lit(1.0), 0.5 + F.col("n_patterns") * 0.1)
+    conf = F.when(F.col("n_patterns") == 0, F.when(F.col("_s") > 0, 0.2).otherwise(0.0)).otherwise(F.least(F.lit(1.0), found + 0.1 * F.col("_s")))
     level = F.when(F.col("confidence") >= 0.8, "CRITICAL").when(F.col("confidence") >= 0.6, "HIGH").when(F.col("confidence") >= 0.4, "MEDIUM").when(F.col("confidence") > 0, "LOW").otherwise("NONE")
-    return df.withColumn("n_patterns", n).withColumn("max_weight", top).drop(*names).withColumn("confidence", F.round(conf, 6)).withColumn("level", level)
+    return df.withColumn("n_patterns", n).withColumn("max_weight", top).drop(*names).withColumn("confidence", F.round(conf, 6)).withColumn("level", level).drop("_s")
 
 
 def structure_concerns(text: str = "text") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extension, fold, indel_ratio, may_reach, stem
+from ..functions.tables import settled
 from .graph import name_keys
 from .search import similar
 
@@ -59,7 +60,9 @@ def blocks(c: str, percent: float, q: int = 2) -> Column:
 
     With k edits at most between a name and any partner that reaches the ratio, one of its first k * q + 1
     distinct q-grams (in a fixed order) survives in the partner's prefix. Names with too few grams meet
-    their partners through lengths instead.
+    their partners through lengths instead: `short` names ask for the lengths that can reach them (asked), and every
+    name offers its own. A key starts with + or - where it is a length asked for or offered, so that two long
+    names of one length never meet through it: see fuzzy_pairs().
     """
     t = percent / 100
     n = F.length(c)
@@ -69,8 +72,10 @@ def blocks(c: str, percent: float, q: int = 2) -> Column:
     prefix = F.slice(grams, F.lit(1), (k * q + 1).cast("int"))
     shortest = F.ceil(n * t / (2 - t) - 1e-9)
     few = F.size(grams) <= k * q
-    by_length = F.transform(F.sequence(F.greatest(F.lit(0), shortest.cast("int")), longest.cast("int")), lambda x: F.concat(F.lit("#"), x.cast("string")))
-    return F.concat(prefix, F.when(few, by_length).otherwise(F.array(F.concat(F.lit("#"), n.cast("string")))))
+    lengths = F.transform(F.sequence(F.greatest(F.lit(0), shortest.cast("int")), longest.cast("int")), lambda x: F.concat(F.lit("+"), x.cast("string")))
+    own = F.array(F.concat(F.lit("-"), n.cast("string")))
+    grams_ = F.transform(prefix, lambda g: F.concat(F.lit("="), g))
+    return F.concat(grams_, own, F.when(few, lengths).otherwise(F.array().cast("array<string>")))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool = False) -> DataFrame:
@@ -78,8 +83,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool =
     a = left.select(fold("name").alias("a")).where("a <> ''").distinct()
     b = right.select(fold("name").alias("b")).where("b <> ''").distinct()
     x = a.withColumn("key", F.explode(blocks("a", percent)))
-    y = b.withColumn("key", F.explode(blocks("b", percent)))
-    near = x.join(y, "key").where("a < b" if same else "true").select("a", "b").distinct().where(may_reach("a", "b", percent))
+    # a length that one side asks for meets the length that the other offers
+    met = F.when(F.startswith("key", F.lit("=")), F.col("key")).otherwise(F.concat(F.translate(F.substring("key", 1, 1), "+-", "-+"), F.expr("substring(key, 2)")))
+    y = b.withColumn("key", F.explode(blocks("b", percent))).withColumn("key", met)
+    near = x.join(y, "key").where("a < b" if same else "true").where(may_reach("a", "b", percent)).select("a", "b").distinct()
     return near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= percent - 1e-9)
 
 
@@ -88,24 +95,46 @@ def match_alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.select("mention", fold("mention").alias("key")).distinct().join(name_keys(entities), "key").select("mention", "id")
 
 
-def match_fuzzy(mentions: DataFrame, entities: DataFrame, percent: float = 85.0) -> DataFrame:
-    """(mention, id, ratio): the best entity name of each mention, the least id of equals."""
-    p = fuzzy_pairs(mentions.select(F.col("mention").alias("name")), entities.select("name"), percent)
-    e = entities.select("id", fold("name").alias("b"))
+def match_fuzzy(mentions: DataFrame, entities: DataFrame, percent: float | None = 85.0) -> DataFrame:
+    """(mention, id, ratio): the best entity name of each mention, the least id of equals. percent None: the threshold of the entity's type."""
+    least = 100 * (min(t for t, _ in THRESHOLDS.values()) if percent is None else percent / 100)
+    p = fuzzy_pairs(mentions.select(F.col("mention").alias("name")), entities.select("name"), least)
+    e = entities.select("id", fold("name").alias("b"), *([(100 * thresholds()).alias("least")] if percent is None else []))
+    if percent is None:
+        p, e = p.join(e, "b").where(F.col("ratio") >= F.col("least") - 1e-9).select("a", "b", "ratio", "id"), None
     m = mentions.select("mention", fold("mention").alias("a")).distinct()
-    best = p.join(e, "b").join(m, "a").groupBy("mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("x"))
+    best = (p if e is None else p.join(e, "b")).join(m, "a").groupBy("mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("x"))
     return best.select("mention", "x.id", (-F.col("x.r")).alias("ratio"))
 
 
-def match_embedding(mentions: DataFrame, entities: DataFrame, threshold: float = 0.9) -> DataFrame:
-    return similar(mentions, entities, 1, threshold)
+def match_embedding(mentions: DataFrame, entities: DataFrame, threshold: float | None = 0.9) -> DataFrame:
+    """(query, id, score): the best entity of each mention over the threshold; None: that of the entity's type."""
+    if threshold is not None:
+        return similar(mentions, entities, 1, threshold)
+    near = similar(mentions, entities, None, min(v for _, v in THRESHOLDS.values()))
+    near = near.join(entities.select("id", thresholds(vector=True).alias("least")), "id").where(F.col("score") > F.col("least"))
+    return near.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x")).select("query", "x.id", (-F.col("x.s")).alias("score"))
 
 
-def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float = 85.0) -> DataFrame:
-    """(mention, id, method, score) of distinct mentions: exact, canonical, alias, fuzzy, else new (id NULL).
+def resolve_in_order(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, user_id: int, percent: float | None = None) -> DataFrame:
+    """resolve_entities() against the tenant's own entities, and what is left against all others."""
+    own = resolve_entities(mentions, entities.where(F.col("user_id") == user_id), aliases, percent).where("method <> 'new'")
+    found = settled(own)
+    left = mentions.join(found.select("mention"), "mention", "left_anti")
+    return found.unionByName(resolve_entities(left, entities.where(~F.col("user_id").eqNullSafe(F.lit(user_id))), aliases, percent))
 
-    Each stage sees only what the stages before it left.
+
+def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float | None = 85.0) -> DataFrame:
+    """(mention, id, method, score) of distinct mentions: exact, canonical, alias, fuzzy, embedding, else new (id NULL).
+
+    Each stage sees only what the stages before it left. The embedding stage runs where both tables have a column
+    `embedding`. percent None: thresholds by the type of the entity.
     """
+    vectors = "embedding" in mentions.columns and "embedding" in entities.columns
+    by_vector = None
+    if vectors:
+        m = mentions.where("embedding IS NOT NULL").groupBy("mention").agg(F.first("embedding").alias("embedding")).withColumn("id", F.xxhash64("mention"))
+        by_vector = settled(m)
     left = mentions.select("mention").where(fold("mention") != "").distinct()
     names = entities.select(fold("name").alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
     done = []
@@ -119,6 +148,12 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     stage(canonical_name(left, aliases, "mention").withColumn("key", fold("canonical")).join(names, "key").select("mention", "id"), "canonical", F.lit(0.95))
     stage(match_alias(left, entities).groupBy("mention").agg(F.min("id").alias("id")), "alias", F.lit(0.92))
     stage(match_fuzzy(left, entities, percent), "fuzzy", F.col("ratio") / 100)
+    if vectors:
+        asked = by_vector.join(left, "mention", "left_semi")
+        # mentions have hashed ids of their own, which no entity is left out for
+        near = match_embedding(asked.select((F.shiftrightunsigned("id", 1) * -1 - 1).alias("id"), "embedding"), entities, None if percent is None else OTHER_THRESHOLDS[1])
+        names_ = asked.select("mention", (F.shiftrightunsigned("id", 1) * -1 - 1).alias("query"))
+        stage(near.join(names_, "query").select("mention", "id", "score"), "embedding", F.col("score"))
     stage(left.select("mention", F.lit(None).cast("bigint").alias("id")), "new", F.lit(1.0))
     out = done[0]
     for d in done[1:]:

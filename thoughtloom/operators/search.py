@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import filled
+from ..functions.tables import settled
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -69,11 +70,13 @@ def link_similar(vectors: DataFrame, threshold: float = 0.85, high: float = 0.90
     return similar(vectors, vectors, k, threshold).withColumn("tier", F.when(F.col("score") >= high, "high").otherwise("moderate"))
 
 
-def terms(df: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf, length): the inverted index."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    t = df.select("id", F.explode(found).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return t.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
+def terms(df: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): the inverted index; only: a table (term) of those that are wanted, met before anything is shuffled."""
+    words = df.select("id", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
+    t = words.select("id", F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term"))
+    if only is not None:
+        t = t.join(only, "term", "left_semi")
+    return t.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -81,15 +84,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: f
 
     The index meets the queries' terms only; document frequencies combine before the shuffle.
     """
-    index = terms(docs)
     stats = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("l") > 0, F.col("l"))).alias("mean"))
     asked = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
+    used = terms(docs, only=settled(asked.select("term").distinct()))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = used.join(df, "term").crossJoin(F.broadcast(stats)).select(
+    count, mean = stats.first()
+    n, mean = F.lit(count), F.lit(mean)
+    weighted = used.join(df, "term").select(
         "term",
         "id",
-        (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("w"),
+        (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))).alias("w"),
     )
     score = weighted.join(asked, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
@@ -98,9 +102,14 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: f
 
 def fulltext_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     """BM25; a query without any hit falls back to case-insensitive substrings with score 1, newest (greatest) ids first."""
-    hits = bm25(queries, docs, k)
+    hits = settled(bm25(queries, docs, k))
     rest = queries.join(hits.select(F.col("query").alias("id")), "id", "left_anti").where(F.length("text") > 0)
-    sub = docs.join(rest.select(F.col("id").alias("query"), F.lower("text").alias("q")), F.contains(F.lower(docs["text"]), F.col("q"))).select("query", docs["id"], F.lit(1.0).alias("score"))
+    asked = rest.select(F.col("id").alias("query"), F.lower("text").alias("q"))
+    # a text that holds the query holds its first three characters; shorter queries meet it through as many
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - n + 1)), lambda i: F.substring("t", i, n)))))
+    asked = settled(asked.withColumn("g", F.substring("q", 1, 3)))
+    texts = docs.select("id", F.lower("text").alias("t")).withColumn("g", F.explode(grams))
+    sub = texts.join(asked, "g").where(F.contains("t", "q")).select("query", "id", F.lit(1.0).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("id"))
     return hits.unionByName(sub.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
 

@@ -33,17 +33,17 @@ query("j25_shared_entity_groups")(lambda s, d: G.shared_entity_groups(B.decision
 
 query(
     "j26_session_messages",
-    """SELECT conv_id AS session, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, list_aggregate(list_sort(list_distinct(list('e' || turn % 3))), 'string_agg', ',') AS entities FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1""",
+    """SELECT conv_id AS session, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, list_aggregate(list_sort(list_distinct(list('e' || turn % 3))), 'string_agg', ',') AS entities FROM conversations GROUP BY 1""",
 )(
     lambda s, d: (
-        lambda c: G.session_messages(c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("session")), c.select(F.col("conv_id").alias("session"), F.col("turn").alias("ts"), F.col("turn").alias("id"), "role", F.to_json(F.array(F.concat(F.lit("e"), (F.col("turn") % 3).cast("string")))).alias("extracted_entities")))
+        lambda c: G.session_messages(c.select(F.col("conv_id").alias("session")), c.select(F.col("conv_id").alias("session"), F.col("turn").alias("ts"), F.col("turn").alias("id"), "role", F.to_json(F.array(F.concat(F.lit("e"), (F.col("turn") % 3).cast("string")))).alias("extracted_entities")))
     )(B.table(s, d, "conversations")).select("session", F.col("n").cast("bigint").alias("n"), joined("roles", "roles"), joined("entities", "entities"))
 )
 
 query(
     "s03_semantic_search",
-    sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 25 = 3) SELECT query, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.25) WHERE r <= 10", "vectors"),
-)(lambda s, d: S.similar(B.vectors(s, d).where("id % 25 = 3"), B.vectors(s, d), 10, 0.25).select("query", "id", F.round("score", 6).alias("score")))
+    sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 20 = 0) SELECT query, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.25) WHERE r <= 10", "vectors"),
+)(lambda s, d: S.similar(B.vectors(s, d).where("id % 20 = 0"), B.vectors(s, d), 10, 0.25).select("query", "id", F.round("score", 6).alias("score")))
 
 query(
     "s11_context_pack",
@@ -62,26 +62,26 @@ query("s13_sort_options", sql("SELECT id FROM decisions ORDER BY confidence DESC
 query(
     "s16_entity_context",
     sql(
-        """, n AS (SELECT DISTINCT name FROM entities WHERE id % 70 = 5), h AS (SELECT DISTINCT n.name, i.src FROM n JOIN entities e ON lower(trim(e.name)) = lower(trim(n.name)) JOIN involves i ON i.dst = e.id),
+        """, n AS (SELECT DISTINCT name FROM entities), h AS (SELECT DISTINCT n.name, i.src FROM n JOIN entities e ON lower(trim(e.name)) = lower(trim(n.name)) JOIN involves i ON i.dst = e.id),
     b AS (SELECT h.name, count(*) AS decisions, count(*) FILTER (h.src NOT IN (SELECT dst FROM supersedes)) AS current FROM h JOIN decisions d ON d.id = h.src GROUP BY 1),
     o AS (SELECT h.name, e.name AS other, count(DISTINCT h.src) AS n FROM h JOIN involves i ON i.src = h.src JOIN entities e ON e.id = i.dst WHERE lower(trim(e.name)) <> lower(trim(h.name)) GROUP BY 1, 2),
     t AS (SELECT name, string_agg(other, ',' ORDER BY r) AS related FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, other) AS r FROM o) WHERE r <= 20 GROUP BY 1)
     SELECT b.name, decisions, current, CASE WHEN current = decisions THEN 'active' WHEN current > 0 THEN 'partially_superseded' ELSE 'superseded' END AS status, coalesce(related, '') AS related FROM b LEFT JOIN t USING (name)""",
         "entities", "involves", "decisions", "supersedes",
     ),
-)(lambda s, d: G.entity_context(B.entities(s, d).where("id % 70 = 5").select("name"), B.entities(s, d), B.involves(s, d), B.decisions(s, d), B.supersedes(s, d)).select("name", "decisions", "current", "status", joined("related", "related")))
+)(lambda s, d: G.entity_context(B.entities(s, d).select("name"), B.entities(s, d), B.involves(s, d), B.decisions(s, d), B.supersedes(s, d)).select("name", "decisions", "current", "status", joined("related", "related")))
 
 query(
     "s17_recorded_context",
     sql(
-        """, w AS (SELECT id FROM decisions WHERE id % 30 = 2), s AS (SELECT src, dst, (dst % 10) / 10 AS c FROM contradicts WHERE src % 30 = 2),
+        """, w AS (SELECT id FROM decisions), s AS (SELECT src, dst, (dst % 10) / 10 AS c FROM contradicts),
     t AS (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY r) AS similar_ids FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM s) WHERE r <= 5 GROUP BY 1)
     SELECT w.id, coalesce(CAST(p.dst AS VARCHAR), '') AS supersedes, coalesce(similar_ids, '') AS similar_ids FROM w LEFT JOIN supersedes p ON p.src = w.id LEFT JOIN t ON t.id = w.id""",
         "decisions", "supersedes", "contradicts",
     ),
 )(
     lambda s, d: G.recorded_context(
-        B.decisions(s, d).where("id % 30 = 2"), G.of(B.edges(s, d), "INVOLVES", "SUPERSEDES").unionByName(B.contradicts(s, d).select("src", "dst", F.lit("SIMILAR_TO").alias("rel"), F.lit(None).cast("double").alias("weight"), ((F.col("dst") % 10) / 10).alias("confidence"))), B.entities(s, d)
+        B.decisions(s, d), G.of(B.edges(s, d), "INVOLVES", "SUPERSEDES").unionByName(B.contradicts(s, d).select("src", "dst", F.lit("SIMILAR_TO").alias("rel"), F.lit(None).cast("double").alias("weight"), ((F.col("dst") % 10) / 10).alias("confidence"))), B.entities(s, d)
     ).select("id", joined("supersedes", "supersedes"), joined("similar", "similar_ids"))
 )
 

@@ -138,13 +138,13 @@ query(
 query(
     "j03_full_graph",
     sql(
-        """, v AS (SELECT id FROM decisions WHERE user_id % 3 = 0), inv AS (SELECT src, dst FROM involves WHERE src IN (SELECT id FROM v)), k AS (SELECT DISTINCT dst FROM inv WHERE dst IN (SELECT id FROM entities))
+        """, v AS (SELECT id FROM decisions), inv AS (SELECT src, dst FROM involves WHERE src IN (SELECT id FROM v)), k AS (SELECT DISTINCT dst FROM inv WHERE dst IN (SELECT id FROM entities))
     SELECT src, dst, 'INVOLVES' AS rel FROM inv WHERE dst IN (SELECT dst FROM k)
     UNION ALL SELECT src, dst, rel FROM edges WHERE rel IN ('SUPERSEDES', 'CONTRADICTS') AND src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)
     UNION ALL SELECT src, dst, rel FROM edges WHERE rel = 'RELATED_TO' AND src IN (SELECT dst FROM k) AND dst IN (SELECT dst FROM k)""",
         "decisions", "entities", "edges",
     ),
-)(lambda s, d: G.full_graph(B.decisions(s, d).where("user_id % 3 = 0"), B.entities(s, d), B.edges(s, d)))
+)(lambda s, d: G.full_graph(B.decisions(s, d), B.entities(s, d), B.edges(s, d)))
 
 query(
     "j04_neighbors",
@@ -188,11 +188,11 @@ query(
 query(
     "j10_entity_timeline",
     sql(
-        """, n AS (SELECT DISTINCT name FROM entities WHERE id % 50 = 0), h AS (SELECT DISTINCT n.name, i.src AS id FROM n JOIN entities e ON lower(trim(e.name)) = lower(trim(n.name)) JOIN involves i ON i.dst = e.id)
+        """, n AS (SELECT DISTINCT name FROM entities), h AS (SELECT DISTINCT n.name, i.src AS id FROM n JOIN entities e ON lower(trim(e.name)) = lower(trim(n.name)) JOIN involves i ON i.dst = e.id)
     SELECT h.name, h.id, row_number() OVER (PARTITION BY h.name ORDER BY d.created_at, h.id) AS position, coalesce(CAST(s.dst AS VARCHAR), '') AS supersedes FROM h JOIN decisions d ON d.id = h.id LEFT JOIN supersedes s ON s.src = h.id""",
         "entities", "involves", "decisions", "supersedes",
     ),
-)(lambda s, d: G.entity_timeline(B.entities(s, d).where("id % 50 = 0").select("name"), B.entities(s, d), B.involves(s, d), B.decisions(s, d), B.supersedes(s, d), B.contradicts(s, d)).select("name", "id", "position", joined("supersedes", "supersedes")))
+)(lambda s, d: G.entity_timeline(B.entities(s, d).select("name"), B.entities(s, d), B.involves(s, d), B.decisions(s, d), B.supersedes(s, d), B.contradicts(s, d)).select("name", "id", "position", joined("supersedes", "supersedes")))
 
 query(
     "j11_decision_evolution",
@@ -207,11 +207,11 @@ query(
 query(
     "j12_supersession_chains",
     sql(
-        """, w1 AS (SELECT src AS start, dst AS "end", 1 AS hops FROM supersedes WHERE src % 5 = 0), w2 AS (SELECT start, s.dst AS "end", 2 AS hops FROM w1 JOIN supersedes s ON s.src = w1."end"), w3 AS (SELECT start, s.dst AS "end", 3 AS hops FROM w2 JOIN supersedes s ON s.src = w2."end")
+        """, w1 AS (SELECT src AS start, dst AS "end", 1 AS hops FROM supersedes), w2 AS (SELECT start, s.dst AS "end", 2 AS hops FROM w1 JOIN supersedes s ON s.src = w1."end"), w3 AS (SELECT start, s.dst AS "end", 3 AS hops FROM w2 JOIN supersedes s ON s.src = w2."end")
     SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3""",
         "supersedes",
     ),
-)(lambda s, d: G.supersession_chains(B.supersedes(s, d), B.decisions(s, d).where("id % 5 = 0")).select("start", "end", "hops"))
+)(lambda s, d: G.supersession_chains(B.supersedes(s, d), B.decisions(s, d)).select("start", "end", "hops"))
 
 query("j13_contradictions", sql("SELECT src AS id, dst AS other FROM contradicts UNION SELECT dst, src FROM contradicts", "contradicts"))(lambda s, d: G.contradictions(B.contradicts(s, d)))
 
@@ -219,8 +219,8 @@ query("j14_unresolved_contradictions", sql("SELECT DISTINCT least(src, dst) AS a
     lambda s, d: G.unresolved_contradictions(B.contradicts(s, d), B.supersedes(s, d).where("src % 2 = 0"))
 )
 
-query("j15_abandoned_patterns", sql("SELECT DISTINCT e.name, i.src AS old, s.src AS successor FROM entities e JOIN involves i ON i.dst = e.id JOIN supersedes s ON s.dst = i.src WHERE e.name IN (SELECT name FROM entities WHERE id % 100 = 7)", "entities", "involves", "supersedes"))(
-    lambda s, d: G.abandoned_patterns(B.entities(s, d).where("id % 100 = 7").select("name"), B.entities(s, d), B.involves(s, d), B.supersedes(s, d)).select("name", "old", "successor")
+query("j15_abandoned_patterns", sql("SELECT DISTINCT e.name, i.src AS old, s.src AS successor FROM entities e JOIN involves i ON i.dst = e.id JOIN supersedes s ON s.dst = i.src", "entities", "involves", "supersedes"))(
+    lambda s, d: G.abandoned_patterns(B.entities(s, d).select("name"), B.entities(s, d), B.involves(s, d), B.supersedes(s, d)).select("name", "old", "successor")
 )
 
 query(
@@ -232,7 +232,7 @@ query(
     ),
 )(lambda s, d: G.entity_status(B.involves(s, d), B.decisions(s, d), B.supersedes(s, d)))
 
-_SESSIONS = "SELECT l_orderkey AS session, min(l_shipdate) AS ts, list_distinct(list(l_suppkey)) AS files FROM lineitem WHERE l_orderkey % 20 = 3 GROUP BY 1"
+_SESSIONS = "SELECT l_orderkey AS session, min(l_shipdate) AS ts, list_distinct(list(l_suppkey)) AS files FROM lineitem GROUP BY 1"
 query(
     "j17_commits_to_sessions",
     sql(
@@ -240,7 +240,7 @@ query(
     SELECT session, sha, round(i / u, 6) AS score FROM j WHERE i / u >= 0.3""",
         "commits",
     ),
-)(lambda s, d: G.link_commits(B.table(s, d, "lineitem").where("l_orderkey % 20 = 3").groupBy(F.col("l_orderkey").alias("session")).agg(F.min("l_shipdate").alias("ts"), F.collect_set("l_suppkey").alias("files")), B.commits(s, d)).select("session", "sha", F.round("score", 6).alias("score")))
+)(lambda s, d: G.link_commits(B.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.min("l_shipdate").alias("ts"), F.collect_set("l_suppkey").alias("files")), B.commits(s, d)).select("session", "sha", F.round("score", 6).alias("score")))
 
 query(
     "j18_commits_to_decisions",
@@ -316,12 +316,12 @@ query(
 )(lambda s, d: M.timeline(B.events(s, d).select(F.col("ts").alias("created_at"), (F.col("value") / 1000).alias("confidence"), F.col("event_type").alias("scope")), "week", 3, B.as_of(B.EVENTS_AS_OF)))
 
 _COVER = f"""SELECT f.file, count(DISTINCT d.id) AS decisions, CAST(floor((epoch({NOW}) - epoch(max(d.created_at))) / 86400) AS BIGINT) AS days_since, coalesce(floor((epoch({NOW}) - epoch(max(d.created_at))) / 86400) > 90, false) AS is_stale
-    FROM files f LEFT JOIN affects a ON a.dst = f.file AND a.src % 50 = 0 LEFT JOIN decisions d ON d.id = a.src GROUP BY 1"""
-query("a02_coverage", sql(_COVER, "files", "affects", "decisions"))(lambda s, d: M.coverage(B.files(s, d), B.decisions(s, d), B.affects(s, d).where("src % 50 = 0"), B.as_of()))
+    FROM files f LEFT JOIN affects a ON a.dst = f.file LEFT JOIN decisions d ON d.id = a.src GROUP BY 1"""
+query("a02_coverage", sql(_COVER, "files", "affects", "decisions"))(lambda s, d: M.coverage(B.files(s, d), B.decisions(s, d), B.affects(s, d), B.as_of()))
 query(
     "a02_coverage_stats",
     sql(f", c AS ({_COVER}) SELECT count(*) AS files, count(*) FILTER (decisions > 0) AS covered, count(*) FILTER (decisions = 0) AS uncovered, count(*) FILTER (is_stale) AS stale, round_even(count(*) FILTER (decisions = 0) / count(*), 3) AS debt FROM c", "files", "affects", "decisions"),
-)(lambda s, d: M.coverage_stats(M.coverage(B.files(s, d), B.decisions(s, d), B.affects(s, d).where("src % 50 = 0"), B.as_of())))
+)(lambda s, d: M.coverage_stats(M.coverage(B.files(s, d), B.decisions(s, d), B.affects(s, d), B.as_of())))
 
 query("a03_dashboard", sql("SELECT (SELECT count(*) FROM decisions) AS decisions, (SELECT count(*) FROM decisions WHERE human_rationale IS NULL) AS needs_review, (SELECT count(*) FROM entities) AS entities, (SELECT count(DISTINCT conv_id) FROM messages) AS sessions", "decisions", "entities", "messages"))(
     lambda s, d: M.dashboard_stats(B.decisions(s, d), B.entities(s, d), B.messages(s, d))

@@ -23,7 +23,10 @@ def register_once(files: DataFrame, time: str = "modified") -> DataFrame:
 
 
 def session_batches(messages: DataFrame, size: int = 10, wait_ms: int = 2000) -> DataFrame:
-    """(session, batch, n, first_id, last_id): messages (session, id) flushed at `size` or after `wait_ms` without a message."""
+    """(session, batch, n, first_id, last_id): messages (session, id) flushed at `size` or after `wait_ms` without a message.
+
+    Batch numbers of a session go on after a flush by time: the state keeps the next number.
+    """
 
     def flush(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         batch, ids = (state.get[0], list(state.get[1])) if state.exists else (0, [])
@@ -31,7 +34,7 @@ def session_batches(messages: DataFrame, size: int = 10, wait_ms: int = 2000) ->
         if state.hasTimedOut:
             if ids:
                 out.append((key[0], batch, len(ids), ids[0], ids[-1]))
-            state.remove()
+            state.update((batch + bool(ids), []))
         else:
             for p in pdfs:
                 ids += p["id"].tolist()
@@ -40,7 +43,8 @@ def session_batches(messages: DataFrame, size: int = 10, wait_ms: int = 2000) ->
                 out.append((key[0], batch, size, ids[0], ids[size - 1]))
                 batch, ids = batch + 1, ids[size:]
             state.update((batch, ids))
-            state.setTimeoutDuration(wait_ms)
+            if ids:
+                state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame(out, columns=["session", "batch", "n", "first_id", "last_id"])
 
     return messages.select("session", "id").groupBy("session").applyInPandasWithState(flush, "session long, batch long, n long, first_id long, last_id long", "batch long, ids array<long>", "append", "ProcessingTimeTimeout")
