@@ -86,7 +86,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: f
     """
     stats = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("l") > 0, F.col("l"))).alias("mean"))
     asked = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    used = terms(docs, only=settled(asked.select("term").distinct()))
+    wanted = settled(asked.select("term").distinct())
+    # a checked size: so many short words are some tens of MB at most; beyond it the join shuffles
+    used = terms(docs, only=F.broadcast(wanted) if wanted.count() <= 500_000 else wanted)
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     count, mean = stats.first()
     n, mean = F.lit(count), F.lit(mean)
