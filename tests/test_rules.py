@@ -141,7 +141,10 @@ def test_components_and_groups(spark):
 
 def test_cycles_and_paths(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (4, 1), (3, 5), (5, 3)], "src bigint, dst bigint")
-    assert {tuple(r.nodes) for r in V.find_cycles(e, 4).collect()} == {(1, 2), (1, 2, 3), (3, 5)}
+    assert {tuple(r.nodes) for r in V.find_cycles(e, 4, None).collect()} == {(1, 2), (1, 2, 3), (3, 5)}
+    assert [tuple(r.nodes) for r in V.find_cycles(e, most=2).orderBy("nodes").collect()] == [(1, 2), (3, 5)]
+    ring = spark.createDataFrame([("IS_A", i, (i + 1) % 20) for i in range(20)] + [("REQUIRES", i, (i + 1) % 21) for i in range(21)] + [("PART_OF", 1, 2), ("REFINES", 2, 1)], "rel string, src bigint, dst bigint")
+    assert [(r.rel, r.length, r.nodes) for r in V.find_cycles(ring).collect()] == [("IS_A", 20, list(range(20)))]
     p = spark.createDataFrame([(4, 5), (1, 4)], "src bigint, dst bigint")
     assert [(r.src, r.dst, r.length, r.path) for r in V.dependency_paths(p, e).collect()] == [(4, 5, 4, [4, 1, 2, 3, 5])]
 

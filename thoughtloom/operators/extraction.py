@@ -196,7 +196,7 @@ def find_spans(quotes: DataFrame, messages: DataFrame) -> DataFrame:
     j = quotes.where(F.length(F.trim("quote")) > 0).join(messages.select("conv_id", "turn_index", "content"), "conv_id").where(F.contains(norm(F.col("content")), norm(F.col("quote"))))
     quoted = F.transform(words(F.col("quote")), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
     match = F.expr("regexp_substr(content, pattern)")
-    j = j.withColumn("pattern", F.concat(F.lit("(?i)"), F.array_join(quoted, "\\s+"))).withColumn("hit", match).where("hit IS NOT NULL")
+    j = j.withColumn("pattern", F.concat(F.lit("(?iu)"), F.array_join(quoted, "\\s+"))).withColumn("hit", match).where("hit IS NOT NULL")
     at = F.instr(F.col("content"), F.col("hit")) - 1
     j = j.select("id", "turn_index", at.alias("start_char"), (at + F.length("hit")).alias("end_char"))
     return j.groupBy("id").agg(F.min(F.struct("turn_index", "start_char", "end_char")).alias("x")).select("id", "x.*")

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fold
 from ..functions.tables import settled
 from .graph import ENTITY_RELS, of, symmetric
+from .resolve import duplicate_pairs
 
 CYCLIC = ["DEPENDS_ON", "REQUIRES", "PART_OF", "IS_A", "REFINES"]
 
 
 def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Edges (src, dst) that can lie on a cycle: nodes without an edge in or out go, round by round."""
-    e = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    """Edges (rel, src, dst) that can lie on a cycle of one rel: nodes without an edge in or out go, round by round."""
+    e = settled(edges.where("src <> dst").select("rel", "src", "dst").distinct())
     n = e.count()
     for _ in range(rounds):
-        e = settled(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        into, out_of = e.select("rel", F.col("dst").alias("src")).distinct(), e.select("rel", F.col("src").alias("dst")).distinct()
+        e = settled(e.join(out_of, ["rel", "dst"], "left_semi").join(into, ["rel", "src"], "left_semi").select("rel", "src", "dst"))
         m = e.count()
         if m in (0, n):
             break
@@ -24,20 +27,36 @@ def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return e
 
 
-def find_cycles(edges: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(nodes, length) of simple cycles of 2 to max_depth edges, each once, from its least node on.
+def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) -> DataFrame:
+    """(rel, nodes, length) of simple cycles of 2 to max_depth edges of one rel, each set of nodes once, from its least node on.
 
-    Walks start at every node of the cyclic core and visit greater nodes only, so a cycle is met once.
+    Edges without a column rel count as one rel. `most` is the size of the report: the shortest cycles of each rel, the
+    least nodes of equals; a rel is walked only until it has them, so a dense graph is not walked to its end. None
+    reports all, whose number can grow as the branching to the power of the depth. Walks start at every node of the
+    cyclic core and visit greater nodes only, so a cycle is met once in each direction that it has.
     """
-    core = cyclic_core(edges)
-    step = core.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    walk = core.where("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"))
-    out = None
+    core = cyclic_core(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit("")))
+    step = core.select("rel", F.col("src").alias("at"), F.col("dst").alias("to"))
+    walk = core.where("dst > src").select("rel", F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"))
+    rank = Window.partitionBy("rel").orderBy("length", "nodes")
+    found = None
     for length in range(2, max_depth + 1):
-        closed = walk.join(step, "at").where("to = first").select("nodes", F.lit(length).alias("length"))
-        out = closed if out is None else out.unionByName(closed)
-        walk = walk.join(step, "at").where("to > first").where(~F.array_contains("nodes", F.col("to"))).select("first", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"))
-    return out
+        closed = walk.join(step, ["rel", "at"]).where("to = first").groupBy("rel", F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes"))
+        closed = closed.select("rel", "nodes", F.lit(length).alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        if most is not None:
+            found = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).drop("r")
+        found = settled(found)
+        if length == max_depth:
+            break
+        if most is not None:
+            full = found.groupBy("rel").count().where(F.col("count") >= most)
+            walk = walk.join(full, "rel", "left_anti")
+        longer = walk.join(step, ["rel", "at"]).where("to > first").where(~F.array_contains("nodes", F.col("to")))
+        walk = settled(longer.select("rel", "first", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes")))
+        if walk.isEmpty():
+            break
+    return found
 
 
 def dependency_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -90,15 +109,25 @@ def auto_fix(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
 
-def issues(kind: str, severity: str, rows: DataFrame, nodes: Column, message: str) -> DataFrame:
-    return rows.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), nodes.cast("array<bigint>").alias("nodes"))
+def issues(kind: str, severity: str | Column, rows: DataFrame, nodes: Column, message: str) -> DataFrame:
+    level = F.lit(severity) if isinstance(severity, str) else severity
+    return rows.select(F.lit(kind).alias("type"), level.alias("severity"), F.lit(message).alias("message"), nodes.cast("array<bigint>").alias("nodes"))
 
 
-def validate_all(decisions: DataFrame, entities: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
-    """All issues (type, severity, message, nodes) as one table."""
+def validate_all(decisions: DataFrame, entities: DataFrame, edges: DataFrame, aliases: DataFrame | None = None, vectors: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
+    """All issues (type, severity, message, nodes) as one table.
+
+    Duplicate names stand as the least id of each; missing embeddings are one issue a kind, of a table vectors
+    (kind, id, embedding) where it is given.
+    """
     out = issues("circular_dependency", "ERROR", find_cycles(of(edges, *CYCLIC), max_depth), F.col("nodes"), "cycle")
     out = out.unionByName(issues("orphan_entity", "WARNING", orphan_entities(entities, edges), F.array("id"), "no relation to another entity"))
-    out = out.unionByName(issues("low_confidence", "WARNING", low_confidence_edges(decisions, edges), F.array("src", "dst"), "low confidence"))
+    out = out.unionByName(issues("low_confidence", "INFO", low_confidence_edges(decisions, edges), F.array("src", "dst"), "low confidence"))
+    first = entities.groupBy(fold("name").alias("name")).agg(F.min("id").alias("id"))
+    pairs = duplicate_pairs(entities, aliases).join(first.toDF("a", "ia"), "a").join(first.toDF("b", "ib"), "b")
+    out = out.unionByName(issues("duplicate_entity", F.col("severity"), pairs, F.array("ia", "ib"), "similar names"))
+    if vectors is not None:
+        out = out.unionByName(issues("missing_embedding", F.when(F.col("kind") == "decision", "WARNING").otherwise("INFO"), missing_embeddings(vectors), F.array(), "rows without an embedding"))
     out = out.unionByName(issues("self_loop", "ERROR", self_loops(edges), F.array("src"), "edge to itself"))
     return out.unionByName(issues("invalid_relationship", "ERROR", wrong_level_edges(decisions, edges), F.array("src", "dst"), "entity relation between decisions"))
 

@@ -12,7 +12,7 @@ from ..operators import rules as R
 from ..operators import search as S
 from . import bindings as B
 from .bindings import sql
-from .more_queries import _BM25, _COS, _DIRECTED, _SEM, _asked, _corpus, _directed, _full, _semantic
+from .more_queries import _BM25, _COS, _DUPLICATES, _NAMES, _NEAR, _SEM, _aliases, _asked, _corpus, _full, _semantic
 from .queries import _PAIRS, joined, query
 
 query(
@@ -29,7 +29,10 @@ query(
     )(G.shared_entity_pairs(B.involves(s, d), 2))
 )
 
-query("j25_shared_entity_groups")(lambda s, d: G.shared_entity_groups(B.decisions(s, d), B.involves(s, d)))
+query(
+    "j25_shared_entity_groups",
+    sql(f", p AS ({_PAIRS}), g AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS id, a AS c FROM g UNION SELECT id, b FROM r JOIN g ON g.a = r.c) SELECT id, min(c) AS component FROM r WHERE id IN (SELECT id FROM decisions) GROUP BY 1", "involves", "decisions").replace("WITH ", "WITH RECURSIVE ", 1),
+)(lambda s, d: G.shared_entity_groups(B.decisions(s, d), B.involves(s, d)))
 
 query(
     "j26_session_messages",
@@ -98,22 +101,34 @@ def _all_edges(s, d):
     e = B.edges(s, d).where("rel <> 'RELATED_TO'")
     own = lambda df, rel: df.select("src", "dst", F.lit(rel).alias("rel"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("confidence"))
     loops = B.supersedes(s, d).where("src % 50 = 0").withColumn("dst", F.col("src"))
-    return e.unionByName(own(_directed(s, d), "DEPENDS_ON")).unionByName(own(loops, "FOLLOWS"))
+    return e.unionByName(own(B.related(s, d), "DEPENDS_ON")).unionByName(own(loops, "FOLLOWS"))
 
 
-_LEVELS = """e AS (SELECT src, dst, rel, confidence FROM edges WHERE rel <> 'RELATED_TO' UNION ALL SELECT src, dst, 'DEPENDS_ON', NULL FROM g UNION ALL SELECT src, src, 'FOLLOWS', NULL FROM supersedes WHERE src % 50 = 0),
+_LEVELS = """e AS (SELECT src, dst, rel, confidence FROM edges WHERE rel <> 'RELATED_TO' UNION ALL SELECT src, dst, 'DEPENDS_ON', NULL FROM related UNION ALL SELECT src, src, 'FOLLOWS', NULL FROM supersedes WHERE src % 50 = 0),
     low AS (SELECT * FROM e WHERE confidence < 0.5 AND src IN (SELECT id FROM decisions) ORDER BY confidence, src, dst LIMIT 50),
-    i AS (SELECT 'low_confidence' AS type, 'WARNING' AS severity FROM low UNION ALL SELECT 'self_loop', 'ERROR' FROM e WHERE src = dst
-      UNION ALL SELECT 'orphan_entity', 'WARNING' FROM entities WHERE id IN (SELECT dst FROM involves) AND id NOT IN (SELECT src FROM g UNION SELECT dst FROM g)
-      UNION ALL SELECT 'invalid_relationship', 'ERROR' FROM g WHERE src IN (SELECT id FROM decisions) AND dst IN (SELECT id FROM decisions)
-      UNION ALL SELECT 'circular_dependency', 'ERROR' FROM g a JOIN g b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst)"""
-query("v10_validate_all", sql(f", {_DIRECTED}, {_LEVELS} SELECT type, severity, count(*) AS n FROM i GROUP BY 1, 2", "decisions", "entities", "edges"))(
-    lambda s, d: V.validate_all(B.decisions(s, d), B.entities(s, d), _all_edges(s, d), 2).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
+    i AS (SELECT 'low_confidence' AS type, 'INFO' AS severity FROM low UNION ALL SELECT 'self_loop', 'ERROR' FROM e WHERE src = dst
+      UNION ALL SELECT 'orphan_entity', 'WARNING' FROM entities WHERE id IN (SELECT dst FROM involves) AND id NOT IN (SELECT src FROM related UNION SELECT dst FROM related)
+      UNION ALL SELECT 'invalid_relationship', 'ERROR' FROM related WHERE src IN (SELECT id FROM decisions) AND dst IN (SELECT id FROM decisions)
+      UNION ALL SELECT 'duplicate_entity', severity FROM dup
+      UNION ALL SELECT DISTINCT 'missing_embedding', 'WARNING' FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT DISTINCT 'missing_embedding', 'INFO' FROM embeddings WHERE vec_id % 5 = 0
+      UNION ALL SELECT 'circular_dependency', 'ERROR' FROM ten)"""
+# the report of the ten shortest cycles: these tables have more than ten cycles of two
+_TEN = "ten AS (SELECT a.src, a.dst FROM related a JOIN related b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst ORDER BY 1, 2 LIMIT 10)"
+_ISSUES = f"{_TEN}, {_NAMES}, {_NEAR}, {_DUPLICATES}, {_LEVELS}"
+
+
+def _issues(s, d):
+    kept = lambda kind, n: B.vectors(s, d).select(F.lit(kind).alias("kind"), "id", F.when(F.col("id") % n != 0, F.col("embedding")).alias("embedding"))
+    return V.validate_all(B.decisions(s, d), B.entities(s, d), _all_edges(s, d), _aliases(s, d), kept("decision", 3).unionByName(kept("entity", 5)))
+
+
+query("v10_validate_all", sql(f", {_ISSUES} SELECT type, severity, count(*) AS n FROM i GROUP BY 1, 2", "decisions", "entities", "edges"))(
+    lambda s, d: _issues(s, d).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
 )
 query(
     "a24_validation_summary",
-    sql(f", {_DIRECTED}, {_LEVELS} SELECT 'severity' AS kind, k AS key, count(i.type) AS n FROM (VALUES ('ERROR'), ('WARNING'), ('INFO')) l(k) LEFT JOIN i ON i.severity = k GROUP BY 1, 2 UNION ALL SELECT 'type', type, count(*) FROM i GROUP BY 1, 2", "decisions", "entities", "edges"),
-)(lambda s, d: M.validation_summary(V.validate_all(B.decisions(s, d), B.entities(s, d), _all_edges(s, d), 2)))
+    sql(f", {_ISSUES} SELECT 'severity' AS kind, k AS key, count(i.type) AS n FROM (VALUES ('ERROR'), ('WARNING'), ('INFO')) l(k) LEFT JOIN i ON i.severity = k GROUP BY 1, 2 UNION ALL SELECT 'type', type, count(*) FROM i GROUP BY 1, 2", "decisions", "entities", "edges"),
+)(lambda s, d: M.validation_summary(_issues(s, d)))
 
 query("x02_arc_label", "SELECT l_orderkey AS id, CASE WHEN count(*) FILTER (l_returnflag <> 'N') = 0 THEN CASE WHEN count(*) <= 2 THEN 'setup' ELSE 'verification' END WHEN count(*) FILTER (l_returnflag = 'R') = 0 THEN 'exploration' WHEN count(*) FILTER (l_returnflag = 'A') = 0 THEN 'implementation' ELSE 'pivot' END AS arc FROM lineitem GROUP BY 1")(
     lambda s, d: B.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.when(F.col("l_returnflag") == "R", "Edit").when(F.col("l_returnflag") == "A", "Read")).alias("tools"), F.count(F.lit(1)).alias("n")).select("id", X.arc_label(F.col("tools"), F.col("n")).alias("arc"))

@@ -86,12 +86,12 @@ query("s10_rerank_fusion", f"{_HYBRID} SELECT query, id, round(CASE WHEN rank <=
 query(
     "s09_graph_expansion",
     sql(
-        """, h AS (SELECT id % 7 AS query, id, (id % 100) / 100 AS score FROM entities WHERE id % 150 = 3), st AS (SELECT src AS f, dst AS t FROM related UNION SELECT dst, src FROM related),
+        """, h AS (SELECT id % 7 AS query, id, (id % 100) / 100 AS score FROM entities WHERE id % 20 = 0), st AS (SELECT src AS f, dst AS t FROM related UNION SELECT dst, src FROM related),
     x AS (SELECT DISTINCT h.query, h.id AS hit, st.t AS node, h.score FROM h JOIN st ON st.f = h.id WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.query = h.query AND g.id = st.t))
     SELECT query, node AS id, round(0.7 * max(score), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query, hit ORDER BY node) AS r FROM x) WHERE r <= 10 GROUP BY 1, 2""",
         "entities", "related",
     ),
-)(lambda s, d: S.expand_hits(B.entities(s, d).where("id % 150 = 3").select((F.col("id") % 7).alias("query"), "id", ((F.col("id") % 100) / 100).alias("score")), B.related(s, d)).select("query", "id", F.round("score", 6).alias("score")))
+)(lambda s, d: S.expand_hits(B.entities(s, d).where("id % 20 = 0").select((F.col("id") % 7).alias("query"), "id", ((F.col("id") % 100) / 100).alias("score")), B.related(s, d)).select("query", "id", F.round("score", 6).alias("score")))
 query(
     "s12_prior_art",
     sql(
@@ -125,21 +125,45 @@ def _mentions(s, d):
     return B.table(s, d, "part").select(F.when(k == 0, F.upper(n)).when(k == 1, F.replace(n, F.lit(" "), F.lit(""))).when(k == 2, F.concat(n, F.lit("s"))).otherwise(F.concat(F.lit("zz"), F.reverse(n), F.lit("qqqq"))).alias("mention"))
 
 
+#: Ratio of names as SQL: rows of the table of longest common subsequences, folded over the characters.
+_LCS = """list_last(list_reduce(range(1, length(a) + 1), lambda prev, i: list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN prev[j] + 1 ELSE greatest(acc[j], prev[j + 1]) END), [0::BIGINT]), list_resize([0::BIGINT], length(b) + 1, 0)))"""
+_NAMES = "n AS (SELECT lower(trim(p_name)) AS s, min(p_partkey) AS id FROM part WHERE trim(p_name) <> '' GROUP BY 1), c AS (SELECT replace(lower(p_name), ' ', '') AS x, min(p_name) AS cx FROM part GROUP BY 1)"
+_NEAR = f"near AS (SELECT * FROM (SELECT *, 200::DOUBLE * {_LCS} / (length(a) + length(b)) AS ratio FROM (SELECT x.s AS a, y.s AS b, x.id AS ia, y.id AS ib FROM n x JOIN n y ON x.s < y.s)) WHERE ratio >= 85 - 1e-9)"
+_DUPLICATES = "dup AS (SELECT a, b, ia, ib, ratio, CASE WHEN coalesce(ca.cx, a) = coalesce(cb.cx, b) THEN 'WARNING' ELSE 'INFO' END AS severity FROM near LEFT JOIN c ca ON ca.x = a LEFT JOIN c cb ON cb.x = b)"
+_MENTIONS = "m AS (SELECT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN p_name || 's' ELSE 'zz' || reverse(p_name) || 'qqqq' END AS mention FROM part)"
+_FUZZY = f"""hits AS (SELECT mention, a, b, eid, 200::DOUBLE * {_LCS} / (length(a) + length(b)) AS ratio FROM (SELECT q.mention, lower(trim(q.mention)) AS a, n.s AS b, n.id AS eid FROM (SELECT DISTINCT mention FROM asked) q, n)),
+    fuzzy AS (SELECT mention, eid AS id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY ratio DESC, eid) AS r FROM hits WHERE ratio >= 85 - 1e-9) WHERE r = 1)"""
+_CASCADE = f"""{_FUZZY},
+    found AS (SELECT q.mention, e.id AS exact, k.id AS canonical, f.id AS fuzzy, f.ratio FROM (SELECT DISTINCT mention FROM asked) q LEFT JOIN n e ON e.s = lower(trim(q.mention))
+      LEFT JOIN c ON c.x = lower(trim(q.mention)) LEFT JOIN n k ON k.s = lower(trim(c.cx)) LEFT JOIN fuzzy f ON f.mention = q.mention),
+    resolved AS (SELECT mention, coalesce(exact, canonical, fuzzy) AS id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN canonical IS NOT NULL THEN 'canonical' WHEN fuzzy IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS method,
+      CASE WHEN exact IS NOT NULL THEN 1.0::DOUBLE WHEN canonical IS NOT NULL THEN 0.95::DOUBLE WHEN fuzzy IS NOT NULL THEN ratio / 100 ELSE 1.0::DOUBLE END AS score FROM found)"""
+
 query("e01_name_normalise", "SELECT DISTINCT lower(trim(p_name)) AS name FROM part")(lambda s, d: B.table(s, d, "part").select(C.fold("p_name").alias("name")).distinct())
 query("e02_canonical_lookup", "SELECT p_partkey AS id, min(b.p_name) AS canonical FROM part a JOIN (SELECT DISTINCT p_name FROM part) b ON replace(lower(b.p_name), ' ', '') = replace(lower(a.p_name), ' ', '') GROUP BY 1")(
     lambda s, d: E.canonical_name(B.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.replace(F.col("p_name"), F.lit(" "), F.lit("")).alias("name")), _aliases(s, d)).select("id", "canonical")
 )
-query("e03_resolution_cascade")(lambda s, d: E.resolve_entities(_mentions(s, d), B.entities(s, d), _aliases(s, d)))
-query("e04_batch_resolution")(lambda s, d: E.resolve_batch(_mentions(s, d), B.entities(s, d), _aliases(s, d)))
+query("e03_resolution_cascade", f"WITH {_NAMES}, {_MENTIONS}, asked AS (SELECT mention FROM m), {_CASCADE} SELECT mention, id, method, score FROM resolved")(lambda s, d: E.resolve_entities(_mentions(s, d), B.entities(s, d), _aliases(s, d)))
+query(
+    "e04_batch_resolution",
+    f"""WITH {_NAMES}, {_MENTIONS}, keyed AS (SELECT mention, lower(trim(coalesce(cx, mention))) AS key FROM m LEFT JOIN c ON c.x = lower(trim(mention))),
+    asked AS (SELECT min(mention) AS mention FROM keyed GROUP BY key), {_CASCADE},
+    once AS (SELECT DISTINCT key, id, method, score FROM resolved JOIN keyed USING (mention))
+    SELECT mention, id, method, score FROM keyed LEFT JOIN once USING (key)""",
+)(lambda s, d: E.resolve_batch(_mentions(s, d), B.entities(s, d), _aliases(s, d)))
 query("e05_alias_match", "SELECT DISTINCT upper(p_name) AS mention, p_partkey AS id FROM part")(lambda s, d: E.match_alias(B.table(s, d, "part").select(F.upper("p_name").alias("mention")), B.entities(s, d)))
-query("e06_fuzzy_match")(lambda s, d: E.match_fuzzy(_mentions(s, d), B.entities(s, d)))
+query("e06_fuzzy_match", f"WITH {_NAMES}, {_MENTIONS}, asked AS (SELECT mention FROM m), {_FUZZY} SELECT mention, id, ratio FROM fuzzy")(lambda s, d: E.match_fuzzy(_mentions(s, d), B.entities(s, d)))
 query("e07_thresholds", "SELECT event_id, CASE event_type WHEN 'view' THEN 0.85 WHEN 'click' THEN 0.75 WHEN 'purchase' THEN 0.92 ELSE 0.85 END::DOUBLE AS least FROM events")(
     lambda s, d: B.events(s, d).select("event_id", E.thresholds(F.when(F.col("event_type") == "view", "technology").when(F.col("event_type") == "click", "concept").when(F.col("event_type") == "purchase", "person").otherwise("thing")).cast("double").alias("least"))
 )
 query("e08_embedding_match", sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 20 = 0) SELECT query, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.3) WHERE r = 1", "vectors"))(
     lambda s, d: E.match_embedding(B.vectors(s, d).where("id % 20 = 0"), B.vectors(s, d), 0.3).select("query", "id")
 )
-query("e09_duplicate_groups")(lambda s, d: E.duplicate_groups(B.entities(s, d)))
+query(
+    "e09_duplicate_groups",
+    f"""WITH RECURSIVE {_NAMES}, {_NEAR}, g AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), r AS (SELECT s AS name, s AS other FROM n UNION SELECT name, b FROM r JOIN g ON a = other)
+    SELECT name, min(other) AS primary FROM r GROUP BY 1""",
+)(lambda s, d: E.duplicate_groups(B.entities(s, d)))
 query(
     "e10_merge_entities",
     sql(
@@ -201,35 +225,38 @@ query("e18_relation_edges", sql("SELECT DISTINCT a.id AS src, b.id AS dst, 'RELA
 # ---- integrity
 
 
-def _directed(s, d):
-    """Related parts with small keys as dependencies: a graph with cycles."""
-    return B.related(s, d).where("src % 10 < 3 AND dst % 10 < 3")
+def _asked_paths(g):
+    """For each dependency the way back, and all pairs two steps apart."""
+    two = g.select("src", F.col("dst").alias("at")).join(g.select(F.col("src").alias("at"), "dst"), "at").where("src <> dst").select("src", "dst")
+    return g.select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(two).distinct()
 
 
-_DIRECTED = "g AS (SELECT src, dst FROM related WHERE src % 10 < 3 AND dst % 10 < 3)"
 query(
     "v01_cycles",
     sql(
-        f""", {_DIRECTED}
-    SELECT a.src || ',' || a.dst AS nodes FROM g a JOIN g b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
-    UNION ALL SELECT a.src || ',' || a.dst || ',' || b.dst FROM g a JOIN g b ON b.src = a.dst JOIN g c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""",
+        """ SELECT a.src || ',' || a.dst AS nodes FROM related a JOIN related b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
+    UNION ALL SELECT a.src || ',' || min(a.dst) || ',' || (least(a.dst, b.dst) + greatest(a.dst, b.dst) - min(a.dst)) FROM related a JOIN related b ON b.src = a.dst JOIN related c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst GROUP BY a.src, least(a.dst, b.dst), greatest(a.dst, b.dst)""",
         "related",
     ),
-)(lambda s, d: V.find_cycles(_directed(s, d), 3).select(joined("nodes", "nodes")))
+)(lambda s, d: V.find_cycles(B.related(s, d), 3, None).select(joined("nodes", "nodes")))
+# the report of the ten shortest: these tables have more than ten cycles of two
+query("v01_shortest_cycles", sql("SELECT a.src || ',' || a.dst AS nodes, 2 AS length FROM related a JOIN related b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst ORDER BY a.src, a.dst LIMIT 10", "related"))(
+    lambda s, d: V.find_cycles(B.related(s, d)).select(joined("nodes", "nodes"), "length")
+)
 query(
     "v02_dependency_paths",
     sql(
-        f""", {_DIRECTED}, p AS (SELECT DISTINCT a.src, (a.src * 7 + 11) % 2000 AS dst FROM g a WHERE a.src % 40 = 1),
-    h1 AS (SELECT DISTINCT p.src AS s, g.dst AS node FROM p JOIN g ON g.src = p.src), h2 AS (SELECT DISTINCT s, g.dst AS node FROM h1 JOIN g ON g.src = node), h3 AS (SELECT DISTINCT s, g.dst AS node FROM h2 JOIN g ON g.src = node)
-    SELECT src, dst, min(length) AS length FROM (SELECT p.src, p.dst, 1 AS length FROM p JOIN h1 ON s = p.src AND node = p.dst UNION ALL SELECT p.src, p.dst, 2 FROM p JOIN h2 ON s = p.src AND node = p.dst UNION ALL SELECT p.src, p.dst, 3 FROM p JOIN h3 ON s = p.src AND node = p.dst) WHERE src <> dst GROUP BY 1, 2""",
+        """, p AS (SELECT dst AS src, src AS dst FROM related UNION SELECT a.src, b.dst FROM related a JOIN related b ON b.src = a.dst WHERE a.src <> b.dst),
+    r AS (SELECT src AS s, dst AS node, 1 AS k FROM related UNION SELECT s, dst, k + 1 FROM r JOIN related ON src = node WHERE k < 20)
+    SELECT p.src, p.dst, min(k) AS length FROM p JOIN r ON s = p.src AND node = p.dst WHERE p.src <> p.dst GROUP BY 1, 2""",
         "related",
-    ),
-)(lambda s, d: (lambda g: V.dependency_paths(g.where("src % 40 = 1").select("src", ((F.col("src") * 7 + 11) % 2000).alias("dst")).distinct(), g, 3).select("src", "dst", "length"))(_directed(s, d)))
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)(lambda s, d: (lambda g: V.dependency_paths(_asked_paths(g), g).select("src", "dst", "length"))(B.related(s, d)))
 query("v03_orphan_entities", sql("SELECT id FROM entities WHERE id IN (SELECT dst FROM involves) AND id NOT IN (SELECT src FROM related WHERE src % 2 = 0 UNION SELECT dst FROM related WHERE src % 2 = 0)", "entities", "involves", "related"))(
     lambda s, d: (lambda e: V.orphan_entities(B.entities(s, d), e.where("rel <> 'RELATED_TO' OR src % 2 = 0")).select("id"))(B.edges(s, d))
 )
 query("v04_low_confidence_edges", sql("SELECT src, dst, rel, confidence FROM edges WHERE confidence < 0.5 AND src IN (SELECT id FROM decisions) ORDER BY confidence, src, dst LIMIT 50", "edges", "decisions"))(lambda s, d: V.low_confidence_edges(B.decisions(s, d), B.edges(s, d)))
-query("v05_duplicate_pairs")(lambda s, d: E.duplicate_pairs(B.entities(s, d), _aliases(s, d)))
+query("v05_duplicate_pairs", f"WITH {_NAMES}, {_NEAR}, {_DUPLICATES} SELECT a, b, ratio, severity FROM dup")(lambda s, d: E.duplicate_pairs(B.entities(s, d), _aliases(s, d)))
 query("v06_missing_embeddings", "SELECT kind, count(*) AS missing FROM (SELECT 'decision' AS kind, vec_id FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'entity', vec_id FROM embeddings WHERE vec_id % 5 = 0) GROUP BY 1")(
     lambda s, d: (lambda v: V.missing_embeddings(v.select(F.lit("decision").alias("kind"), "id", F.when(F.col("id") % 3 != 0, F.col("embedding")).alias("embedding")).unionByName(v.select(F.lit("entity").alias("kind"), "id", F.when(F.col("id") % 5 != 0, F.col("embedding")).alias("embedding")))))(B.vectors(s, d))
 )
@@ -308,25 +335,31 @@ query(
         "decisions",
     ),
 )(lambda s, d: _full(s, d).select("id", X.confidence_composite(F.col("agent_decision"), F.when(F.col("id") % 2 == 0, "user"), 6).alias("confidence")))
+
+
+def _turn_id():
+    return (F.col("conv_id") * 1000 + F.col("turn_index")).alias("id")
+
+
 query(
     "x10_rationale_author",
     sql(
-        """, m AS (SELECT conv_id, bool_or(turn_index = 6) AS thinks, string_agg(CASE WHEN role = 'user' THEN lower(content) END, '||') AS said FROM messages GROUP BY 1),
-    q AS (SELECT conv_id * 10 + turn_index AS id, conv_id, content AS r FROM messages WHERE turn_index IN (0, 1))
-    SELECT id, CASE WHEN thinks THEN 'thinking' WHEN length(r) > 10 AND contains(said, lower(substr(r, 1, 50))) THEN 'user' ELSE 'assistant' END AS author FROM q LEFT JOIN m USING (conv_id)""",
+        """, m AS (SELECT conv_id, bool_or(turn_index = 6) AS thinks FROM messages GROUP BY 1),
+    q AS (SELECT conv_id * 1000 + turn_index AS id, conv_id, content AS r FROM messages)
+    SELECT id, CASE WHEN thinks THEN 'thinking' WHEN length(r) > 10 AND EXISTS (SELECT 1 FROM messages x WHERE x.conv_id = q.conv_id AND x.role = 'user' AND contains(lower(x.content), lower(substr(r, 1, 50)))) THEN 'user' ELSE 'assistant' END AS author FROM q LEFT JOIN m USING (conv_id)""",
         "messages",
     ),
-)(lambda s, d: (lambda m: X.rationale_author(m.where("turn_index IN (0, 1)").select((F.col("conv_id") * 10 + F.col("turn_index")).alias("id"), "conv_id", F.col("content").alias("agent_rationale")), m.withColumn("thinking", F.when(F.col("turn_index") == 6, "hm"))))(B.messages(s, d)))
+)(lambda s, d: (lambda m: X.rationale_author(m.select(_turn_id(), "conv_id", F.col("content").alias("agent_rationale")), m.withColumn("thinking", F.when(F.col("turn_index") == 6, "hm"))))(B.messages(s, d)))
 query(
     "x11_verbatim_spans",
-    sql("SELECT conv_id AS id, turn_index, CAST(30 AS INTEGER) AS start_char, CAST(70 AS INTEGER) AS end_char FROM messages WHERE turn_index = 1 AND length(content) >= 80 AND substr(content, 31, 1) NOT IN (' ', chr(10)) AND substr(content, 70, 1) NOT IN (' ', chr(10)) AND conv_id NOT IN (SELECT x.conv_id FROM messages x JOIN messages y ON x.conv_id = y.conv_id AND y.turn_index = 1 WHERE x.turn_index <> 1 AND contains(lower(x.content), lower(substr(y.content, 31, 40))))", "messages"),
-)(
-    lambda s, d: (
-        lambda m: X.find_spans(
-            m.where("turn_index = 1 AND length(content) >= 80 AND NOT substr(content, 31, 1) IN (' ', '\\n') AND NOT substr(content, 70, 1) IN (' ', '\\n')").select(F.col("conv_id").alias("id"), "conv_id", F.replace(F.substring("content", 31, 40), F.lit(" "), F.lit(" \n ")).alias("quote")), m
-        ).where("turn_index = 1")
-    )(B.messages(s, d))
-)
+    sql(
+        r""", q AS (SELECT conv_id * 1000 + turn_index AS id, conv_id, list_filter(string_split_regex(substr(content, 31, 40), '\s+'), lambda w: w <> '') AS ws FROM messages),
+    h AS (SELECT q.id, m.turn_index, m.content, regexp_extract(m.content, '(?i)' || array_to_string(list_transform(ws, lambda w: regexp_escape(w)), '\s+')) AS hit FROM q JOIN messages m USING (conv_id) WHERE len(ws) > 0),
+    f AS (SELECT id, turn_index, instr(content, hit) - 1 AS start_char, instr(content, hit) - 1 + length(hit) AS end_char, row_number() OVER (PARTITION BY id ORDER BY turn_index) AS r FROM h WHERE hit <> '')
+    SELECT id, turn_index, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char FROM f WHERE r = 1""",
+        "messages",
+    ),
+)(lambda s, d: (lambda m: X.find_spans(m.select(_turn_id(), "conv_id", F.replace(F.substring("content", 31, 40), F.lit(" "), F.lit(" \n ")).alias("quote")), m))(B.messages(s, d)))
 query("x12_verdicts", sql("SELECT id, CASE WHEN id % 6 = 0 THEN 0.1 ELSE confidence END AS confidence, id % 6 = 0 AS rejected, CASE WHEN id % 6 = 3 THEN 'fixed' ELSE agent_decision END AS agent_decision FROM decisions", "decisions"))(
     lambda s, d: X.apply_verdicts(B.decisions(s, d), B.decisions(s, d).where("id % 3 = 0").select("id", (F.col("id") % 6 != 0).alias("is_valid"), F.when(F.col("id") % 6 == 3, "fixed").alias("agent_decision"), F.lit("").alias("agent_rationale"))).select("id", "confidence", "rejected", "agent_decision")
 )

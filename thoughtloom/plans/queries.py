@@ -155,7 +155,7 @@ query(
     ),
 )(lambda s, d: G.neighbors(G.of(B.edges(s, d), "RELATED_TO"), limit=3))
 
-query("j05_visible_entities", sql("SELECT id, type FROM entities WHERE id IN (SELECT dst FROM involves WHERE src IN (SELECT id FROM decisions WHERE user_id % 7 = 0))", "entities", "involves", "decisions"))(lambda s, d: G.visible_entities(B.entities(s, d), B.involves(s, d), B.decisions(s, d).where("user_id % 7 = 0")).select("id", "type"))
+query("j05_visible_entities", sql("SELECT id, type FROM entities WHERE id IN (SELECT dst FROM involves WHERE src IN (SELECT id FROM decisions))", "entities", "involves", "decisions"))(lambda s, d: G.visible_entities(B.entities(s, d), B.involves(s, d), B.decisions(s, d)).select("id", "type"))
 
 query(
     "j06_node_details",
@@ -256,24 +256,24 @@ query(
     "j19_change_context",
     sql(
         f""", t AS (SELECT change, id, created_at, scope FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY created_at DESC, id DESC) AS r FROM
-      (SELECT DISTINCT a.dst % 10 AS change, d.id, d.created_at, d.scope FROM affects a JOIN decisions d ON d.id = a.src WHERE a.dst < 30)) WHERE r <= 50),
+      (SELECT DISTINCT a.dst // 10 AS change, d.id, d.created_at, d.scope FROM affects a JOIN decisions d ON d.id = a.src)) WHERE r <= 50),
     c AS (SELECT src AS id, dst AS o FROM contradicts UNION SELECT dst, src FROM contradicts)
     SELECT t.change, t.id, floor((epoch({NOW}) - epoch(t.created_at)) / 86400) > CASE t.scope WHEN 'strategic' THEN 730 WHEN 'library' THEN 90 WHEN 'config' THEN 30 WHEN 'operational' THEN 14 ELSE 90 END AS is_stale,
       coalesce((SELECT string_agg(CAST(c.o AS VARCHAR), ',' ORDER BY c.o) FROM c JOIN t u ON u.id = c.o AND u.change = t.change WHERE c.id = t.id), '') AS contradicts FROM t""",
         "affects", "decisions", "contradicts",
     ),
-)(lambda s, d: G.change_context(B.affects(s, d).where("dst < 30").select((F.col("dst") % 10).alias("change"), F.col("dst").alias("file")), B.decisions(s, d), B.affects(s, d), B.contradicts(s, d), R.is_stale(B.as_of())).select("change", "id", "is_stale", joined("contradicts", "contradicts")))
+)(lambda s, d: G.change_context(B.affects(s, d).select(F.floor(F.col("dst") / 10).alias("change"), F.col("dst").alias("file")), B.decisions(s, d), B.affects(s, d), B.contradicts(s, d), R.is_stale(B.as_of())).select("change", "id", "is_stale", joined("contradicts", "contradicts")))
 
 query("j20_touches", sql("SELECT DISTINCT sha AS src, unnest(files_changed) AS dst FROM commits", "commits"))(lambda s, d: G.touches(B.commits(s, d)))
 
 query(
     "j21_cross_user_pairs",
     sql(
-        """, p AS (SELECT n.id, o.id AS other, row_number() OVER (PARTITION BY n.id ORDER BY o.created_at DESC, o.id DESC) AS rank FROM decisions n JOIN decisions o ON n.project_name = o.project_name AND n.user_id <> o.user_id WHERE n.id % 40 = 1)
+        """, p AS (SELECT n.id, o.id AS other, row_number() OVER (PARTITION BY n.id ORDER BY o.created_at DESC, o.id DESC) AS rank FROM decisions n JOIN decisions o ON n.project_name = o.project_name AND n.user_id <> o.user_id)
     SELECT id, other, rank FROM p WHERE rank <= 20""",
         "decisions",
     ),
-)(lambda s, d: G.cross_user_pairs(B.decisions(s, d).where("id % 40 = 1"), B.decisions(s, d)).withColumn("rank", F.col("rank").cast("bigint")))
+)(lambda s, d: G.cross_user_pairs(B.decisions(s, d), B.decisions(s, d)).withColumn("rank", F.col("rank").cast("bigint")))
 
 query(
     "j22_related_entities",
