@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-02 00:00:00"
+FILES_AS_OF = "2002-01-30 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 
 SCOPES = {"1-URGENT": "operational", "2-HIGH": "config", "3-MEDIUM": "library", "4-NOT SPECIFIED": "unknown", "5-LOW": "strategic"}

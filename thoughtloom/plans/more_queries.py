@@ -29,8 +29,9 @@ query("s01_cosine", sql(f"SELECT a.id, round({_COS}, 6) AS score FROM vectors a
 query("s02_similar_decisions", sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 20 = 0) SELECT query, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.2) WHERE r <= 5", "vectors"))(
     lambda s, d: S.similar(B.vectors(s, d).where("id % 20 = 0"), B.vectors(s, d), 5, 0.2).select("query", "id", F.round("score", 6).alias("score"))
 )
-query("s04_link_similar", sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id) SELECT query, id, CASE WHEN s >= 0.9 THEN 'high' ELSE 'moderate' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.85) WHERE r <= 5", "vectors"))(
-    lambda s, d: S.link_similar(B.vectors(s, d)).select("query", "id", "tier")
+# the vectors of these tables are far from the default thresholds
+query("s04_link_similar", sql(f", p AS (SELECT a.id AS query, b.id, {_COS} AS s FROM vectors a JOIN vectors b ON a.id <> b.id) SELECT query, id, CASE WHEN s >= 0.42 THEN 'high' ELSE 'moderate' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p WHERE s > 0.35) WHERE r <= 5", "vectors"))(
+    lambda s, d: S.link_similar(B.vectors(s, d), 0.35, 0.42).select("query", "id", "tier")
 )
 query("s05_similarity_pairs", sql(f"SELECT a.id AS query, b.id, round({_COS}, 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id WHERE {_COS} > 0.4", "vectors"))(
     lambda s, d: S.similar(B.vectors(s, d), B.vectors(s, d), None, 0.4, pairs=True).select("query", "id", F.round("score", 6).alias("score"))

@@ -23,6 +23,7 @@ QUERIES: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
 
 NOW = f"TIMESTAMP '{B.AS_OF}'"
+FILES_NOW = f"TIMESTAMP '{B.FILES_AS_OF}'"
 EVENTS_NOW = f"TIMESTAMP '{B.EVENTS_AS_OF}'"
 
 
@@ -416,7 +417,7 @@ _LIMIT = "CASE scope WHEN 'strategic' THEN 730 WHEN 'library' THEN 90 WHEN 'conf
 _DAYS = f"CAST(floor((epoch({NOW}) - epoch(coalesce(last_reviewed_at, created_at))) / 86400) AS BIGINT)"
 query("r04_stale_decisions", sql(f"SELECT id, scope, {_DAYS} AS days, {_DAYS} - {_LIMIT} AS overdue FROM decisions WHERE {_DAYS} - {_LIMIT} > 0 ORDER BY overdue DESC, id LIMIT 50", "decisions"))(lambda s, d: R.stale_decisions(B.decisions(s, d), B.as_of()))
 query("r05_stale_flag", sql(f"SELECT id, floor((epoch({NOW}) - epoch(created_at)) / 86400) > {_LIMIT} AS stale FROM decisions", "decisions"))(lambda s, d: B.decisions(s, d).select("id", R.is_stale(B.as_of()).alias("stale")))
-query("r06_stale_files", sql(f"SELECT file, CAST(floor((epoch({NOW}) - epoch(last_modified)) / 86400) AS BIGINT) AS days_since FROM files WHERE last_modified < {NOW} - INTERVAL 90 DAY", "files"))(lambda s, d: R.stale_files(B.files(s, d), B.as_of()))
+query("r06_stale_files", sql(f"SELECT file, CAST(floor((epoch({FILES_NOW}) - epoch(last_modified)) / 86400) AS BIGINT) AS days_since FROM files WHERE last_modified < {FILES_NOW} - INTERVAL 90 DAY", "files"))(lambda s, d: R.stale_files(B.files(s, d), B.as_of(B.FILES_AS_OF)))
 query("r09_file_last_modified", sql("SELECT file, strftime(max(committed_at), '%Y-%m-%d %H:%M:%S') AS last_modified FROM (SELECT unnest(files_changed) AS file, committed_at FROM commits) GROUP BY 1", "commits"))(
     lambda s, d: R.file_last_modified(B.commits(s, d)).select("file", text("last_modified"))
 )
