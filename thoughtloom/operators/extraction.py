@@ -67,7 +67,7 @@ WEIGHTS = {
     "system_override": 0.9, "role_hijack": 0.8, "behavior_override": 0.7, "boundary_attack": 0.85, "role_injection": 0.75, "jailbreak": 0.95, "hidden_instruction": 0.6, "html_comment_injection": 0.4,
     "code_comment_injection": 0.3, "invisible_chars": 0.5, "control_chars": 0.4, "encoded_instruction": 0.7, "data_exfil": 0.6, "format_override": 0.3, "output_restriction": 0.4,
 }
-INVISIBLE = r"[\u200b-\u200f\u2028-\u202f\ufeff\u00ad]"
+INVISIBLE = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{feff}\x{ad}]"
 
 
 def hits(c: Column, keys: list[str]) -> Column:

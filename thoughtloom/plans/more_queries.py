@@ -390,8 +390,16 @@ query(
     c AS (SELECT doc_id, n, CASE WHEN n = 0 THEN CASE WHEN s > 0 THEN 0.2 ELSE 0 END ELSE least(1, w * least(1, 0.5 + n * 0.1) + 0.1 * s) END::DOUBLE AS c FROM q), r AS (SELECT doc_id, n, round(c, 6) AS c FROM c)
     SELECT doc_id, n::INTEGER AS n_patterns, c AS confidence, CASE WHEN c >= 0.8 THEN 'CRITICAL' WHEN c >= 0.6 THEN 'HIGH' WHEN c >= 0.4 THEN 'MEDIUM' WHEN c > 0 THEN 'LOW' ELSE 'NONE' END AS level FROM r""",
 )(lambda s, d: X.injection_scan(B.table(s, d, "documents").select("doc_id", F.concat("text", F.expr(_ATTACK)).alias("text"))).select("doc_id", F.col("n_patterns").cast("int").alias("n_patterns"), "confidence", "level"))
-query("x16_prompt_sanitise", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '\"System:\" x [user mentioned: system] ' || doc_id ELSE 'System: x <system> ' || doc_id END AS sanitized FROM documents")(
-    lambda s, d: X.sanitize_prompts(B.table(s, d, "documents").select("doc_id", F.concat(F.lit("System:​ x <system> "), F.col("doc_id").cast("string")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "HIGH").otherwise("LOW").alias("level"))).select("doc_id", "sanitized")
+query(
+    "x16_prompt_sanitise",
+    rf"""WITH a AS (SELECT doc_id, 'System:' || chr(8203) || ' x <system> ' || coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, t, regexp_replace(t, '{X.INVISIBLE}', '', 'g') AS clean FROM a),
+    s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(clean, '(^|\n)(System|Assistant|Human|User):', '\1"\2:"', 'g'),
+      '(?i)###\s*(system|instruction|prompt)', '[user mentioned: \1]', 'g'), '(?i)\[(SYSTEM|INST|INSTRUCTION)\]', '[user mentioned: \1]', 'g'), '(?i)<(system|instruction|prompt)>', '[user mentioned: \1]', 'g'), '(?i)</(system|instruction|prompt)>', '[user mentioned: end \1]', 'g') AS safe FROM c)
+    SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN safe ELSE clean END) AS sanitized_sha256, CASE WHEN doc_id % 2 = 0 THEN safe ELSE clean END <> t AS modified FROM s""",
+)(
+    lambda s, d: X.sanitize_prompts(
+        B.table(s, d, "documents").select("doc_id", F.concat(F.lit("System:​ x <system> "), F.coalesce("text", F.lit(""))).alias("text"), F.when(F.col("doc_id") % 2 == 0, "HIGH").otherwise("LOW").alias("level"))
+    ).select("doc_id", F.sha2("sanitized", 256).alias("sanitized_sha256"), "modified")
 )
 _MAIL = r"\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z|]{2,})\b"
 _IP = rf"\b({X._OCTET})\.{X._OCTET}\.{X._OCTET}\.{X._OCTET}\b"
