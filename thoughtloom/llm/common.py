@@ -50,12 +50,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column `doc` that is unique: doc_id, or a row number where ids repeat or are null."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+def keyed(docs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """docs with a column `doc` that is unique: the id, or a row number where ids repeat or are null."""
+    odd = docs.groupBy(by).count().where(f"count > 1 OR {by} IS NULL")
     if odd.limit(1).count():
         return stored(docs.withColumn("doc", F.monotonically_increasing_id()), "rows")
-    return docs.withColumn("doc", F.col("doc_id"))
+    return docs.withColumn("doc", F.col(by))
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:

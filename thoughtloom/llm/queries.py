@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, imatch, language_id, masked_lm, minhash_dedup, quality_rules, sentence_pieces, source_mix, suffix_dedup
+from . import chat_format, hard_negatives, html_extract, imatch, language_id, masked_lm, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, whitening
 from .common import table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_masked_lm": _on("documents", masked_lm.op8),
         "op9_minhash_dedup": _on("documents", minhash_dedup.op9),
         "op10_language_id": _on("documents", language_id.op10),
+        "op11_hard_negatives": _on("embeddings", hard_negatives.op11),
+        "op12_whitening": _on("embeddings", whitening.op12),
+        "op13_secret_scan": _on("documents", secret_scan.op13),
     }
 
 
@@ -35,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat_format.ORACLE,
         "op6_source_mix": source_mix.ORACLE,
         "op9_minhash_dedup": minhash_dedup.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }
