@@ -416,6 +416,39 @@ def test_deep_pages(spark):
     assert got == {1: "deep\nafter", 2: "x", 3: "y", 4: "z"}
 
 
+def test_hidden_is_an_attribute_not_a_word(spark):
+    inner = ["<div class='overflow-hidden'>a</div>", "<p title='the hidden cost'>b</p>", "<p data-hidden=1 data-x=hidden>c</p>", "<p hidden>d</p>", "<p class=x hidden=until-found>e</p>", "<p aria-hidden=true>f</p>", "<p style='display: none'>g</p>", "<p title=it's>h</p> 'i'"]
+    got = html_extract.op7(spark.createDataFrame([(1, "http://a.org/", f"<body class='page overflow-hidden'>{''.join(inner)}</body>")], EMPTY["pages"])).head()
+    assert got.text == "a\nb\nc\nh\n'i'"
+
+
+def test_names_inside_an_article_are_signs_only(spark):
+    parts = "<div id=menu>On menus {0}</div><figure class=banner><figcaption>A banner {0}</figcaption></figure><section id=related>Related {0}</section><aside>Aside {0}</aside><header>Head {0}</header>"
+    page = "<article><p>Story {0}</p>" + parts + "<div class=comments>Reader {0}</div><form>ask</form></article><aside>Out {0}</aside><div class=banner>out</div>"
+    rows_ = [(1, "http://one.org/", page.format(1))]
+    # one page of four has the parts; then all of them have the aside
+    rows_ += [(10 + i, "http://rare.org/", page.format(i) if i == 0 else f"<article><p>Story {i}</p></article>") for i in range(4)]
+    rows_ += [(20 + i, "http://often.org/", f"<article><p>Story {i * i}</p><aside>See {i}</aside></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.op7(spark.createDataFrame(rows_, EMPTY["pages"])).collect()}
+    assert got[1] == "Story 1\nOn menus 1\nA banner 1\nRelated 1\nAside 1\nHead 1"
+    assert got[10] == got[1].replace("1", "0") and got[11] == "Story 1"
+    assert [got[20 + i] for i in range(4)] == ["Story 0", "Story 1", "Story 4", "Story 9"]
+
+
+def test_broken_markup_is_read_once():
+    import time
+
+    n = 1_000_000
+    pages = ["<a " * n, "<a '" * n + '">"', '<a x="' + "<b y='>'" * (n // 4), "<p>x</p>" + '<a t="' * n, "<" * n, "</" * n, "<!-" * n, "< a=\"" * n, "<a\u00a0=" * n + ">", "<a " + " " * n, "<a b" + "=" * n + ">t", "<p x='>" * n]
+    for page in pages:
+        began = time.time()
+        html_extract.text_of(page, set(), set(), set())
+        assert time.time() - began < 20, page[:20]
+    assert html_extract.text_of("a < b <c and <p>d</p> </> e", set(), set(), set()) == "a < b d\ne"
+    assert html_extract.text_of("a <p>d</p> </> e <c", set(), set(), set()) == "a\nd\ne <c"
+    assert html_extract.text_of("<p x='>a</p><p>b</p>", set(), set(), set()) == "a\nb"
+
+
 def test_style_tree(spark):
     """Shares and importance against entropies counted by hand."""
     from math import log

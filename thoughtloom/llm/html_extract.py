@@ -22,7 +22,8 @@ so no row carries a host's tree.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; unclosed and
 stray tags are accepted; repeated rows are extracted each; whole pages are read, of any size and any depth
-(no step is recursive, and a path is a hash of 64 bits).
+(no step is recursive, and a path is a hash of 64 bits). A page is scanned once: a `<` without `>` after it is text, and
+after a quote that never closes tags end at the first `>`.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What may follow a `<`. A quote opens a value only after `=`, as in HTML, so that stray ones spoil nothing.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/][^\s=/]*+)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'][^\s]*+)))?", re.S)
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
@@ -50,17 +51,18 @@ SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opt
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}}
 #: Names of what is no part of an article.
 NO_TEXT = frozenset("head script style noscript template textarea title iframe svg math object canvas audio video select button input".split())
-NOISE = frozenset("nav footer aside form menu dialog".split())
-NOISE_WORDS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+NOISE = frozenset("nav footer form menu dialog".split())
+NOISE_WORDS = frozenset("ad ads adv advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr modal nav navbar navigation newsletter pager pagination popup promo promoted respond share sharing sidebar signup social sponsor sponsored subscribe".split())
+#: The same outside a marked article; inside one they may be part of it.
+LIKELY = frozenset("aside header".split())
+LIKELY_WORDS = frozenset("banner header menu notice related toolbar widget".split())
 MAIN = frozenset("article main".split())
-
-
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLAIN, PART, NAMED = 0, 1, 2
 
 
 class Node:
-    """noise: NAMED for what is no part of an article by its name, PART where a class only contains such a name."""
+    """noise: NAMED for what is no part of an article by its name, PART where a name is a sign only and the host's pages must tell."""
 
     __slots__ = ("tag", "parent", "children", "path", "noise", "main", "within")
 
@@ -70,20 +72,26 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         self.within = parent is not None and (parent.within or parent.main)
         label, names, hidden = "", "", False
-        if attributes and "=" in attributes or "hidden" in attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        if attributes and ("=" in attributes or "hidden" in attributes):
+            found: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             label = " ".join(sorted(found.get("class", "").lower().split()))
             names = f"{label} {found.get('id', '').lower()} {found.get('role', '').lower()}"
-            hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(re.search(r"\bhidden\b(?!\s*=)", attributes))
+            hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         words = names.split()
         self.main = tag in MAIN or "main" in words
         self.noise = PLAIN
-        if tag in NO_TEXT or tag in NOISE or hidden or tag == "header" and not self.within:
+        if tag in NO_TEXT or tag in NOISE or hidden:
             self.noise = NAMED
+        elif tag in LIKELY:
+            self.noise = PART if self.within else NAMED
         elif words and tag not in HEADINGS:
             if not NOISE_WORDS.isdisjoint(words):
                 self.noise = NAMED
-            elif not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", names)):
+            elif not LIKELY_WORDS.isdisjoint(words):
+                self.noise = PART if self.within else NAMED
+            elif not (NOISE_WORDS | LIKELY_WORDS).isdisjoint(re.split(r"[^a-z0-9]+", names)):
                 self.noise = PART
         above = parent.path if parent else 0
         self.path = xxh3_64_intdigest(f"{above}/{tag}.{label}".encode("utf-8", "surrogatepass")) >> 1
@@ -107,16 +115,28 @@ def parse(source: str) -> Node:
             x = x.parent
         return n.parent
 
+    last, tags, text = source.rfind(">"), _TAG, 0
     while True:
-        m = _TAG.search(source, at)
-        if m is None:
-            if at < len(source):
-                here.children.append(source[at:])
+        start = source.find("<", at)
+        if start < 0:
+            if text < len(source):
+                here.children.append(source[text:])
             return root
-        if m.start() > at:
-            here.children.append(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        m = _OTHER.match(source, start) if source[start + 1 : start + 2] in ("!", "?", "/") else None
+        tag = None
+        if m is None and start < last:
+            m = tags.match(source, start)
+            if m is None and tags is _TAG and _PLAIN_TAG.match(source, start):
+                # a quote that never closes: from here on quotes mean nothing, so that no text is read twice
+                tags = _PLAIN_TAG
+                m = tags.match(source, start)
+            tag = m and m[2]
+        if m is None:
+            at = start + 1
+            continue
+        if start > text:
+            here.children.append(source[text:start])
+        at = text = m.end()
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 here.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
@@ -152,6 +172,9 @@ def parse(source: str) -> Node:
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = len(source) if end is None else end.start()
+            if at > text:
+                node.children.append(source[text:at])
+            text = at
             here = node
             open_[tag] += 1
         elif tag not in VOID and not m[3].endswith("/"):
@@ -204,7 +227,7 @@ def text_of(source: str | None, low: set[int], constant: set[int], template: set
     for tree in (True, False):  # names alone where the tree leaves nothing
         blocks: list[list[str]] = [[]]
         for n in chosen or [root]:
-            _gather(n, blocks, (constant if chosen else low) if tree else set(), template if tree else set(), bool(chosen))
+            _gather(n, blocks, (constant if chosen else low) if tree else set(), low if tree else set(), template if tree else set(), bool(chosen))
             blocks.append([])
         lines = [x for b in blocks if (x := " ".join(_html.unescape("".join(b)).split()))]
         if lines:
@@ -225,7 +248,7 @@ def _outermost_mains(root: Node) -> list[Node]:
     return out
 
 
-def _gather(n: Node, blocks: list[list[str]], gone: set[int], template: set[int], inside: bool) -> None:
+def _gather(n: Node, blocks: list[list[str]], gone: set[int], low: set[int], template: set[int], inside: bool) -> None:
     """Pieces of text by block, in page order, without the branches that go."""
     todo: list = [(n, False)]
     while todo:
@@ -236,7 +259,7 @@ def _gather(n: Node, blocks: list[list[str]], gone: set[int], template: set[int]
         if closing:
             blocks.append([])
             continue
-        if x is not n and (x.goes() or x.noise == PART and x.path in template or x.path in gone and (not inside or x.tag in ("div", "section", "ul", "ol", "table", "figure"))):
+        if x is not n and (x.goes() or x.noise == PART and (x.path in template or x.path in low) or x.path in gone and (not inside or x.tag in ("div", "section", "ul", "ol", "table", "figure"))):
             continue
         if x.tag == "br":
             blocks[-1].append(" ")
