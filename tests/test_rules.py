@@ -55,25 +55,61 @@ def test_resolution_cascade(spark):
 
 
 def test_cascade_by_vector_type_and_tenant(spark):
-    rows = [(1, 7, "PostgreSQL", "technology", [1.0, 0.0]), (2, 8, "Queue layer", "concept", [0.0, 1.0]), (3, 8, "postgresql", "technology", [1.0, 0.0]), (4, 8, "Johnson", "person", [0.5, 0.5])]
+    rows = [(1, 7, "PostgreSQL", "technology", [1.0, 0.0]), (2, 8, "Queue layer", "concept", [0.0, 1.0]), (3, 8, "postgresql", "technology", [1.0, 0.0]), (4, 8, "Johnson", "person", [0.5, 0.5]), (5, None, "Queue", "concept", [0.3, 1.0])]
     e = spark.createDataFrame(rows, "id bigint, user_id bigint, name string, type string, embedding array<double>")
-    m = spark.createDataFrame([("POSTGRESQL", [0.0, 0.0]), ("message bus", [0.1, 0.99]), ("Jonson", [-1.0, 0.0]), ("nothing", [-1.0, 0.1])], "mention string, embedding array<double>")
+    m = [("POSTGRESQL", "technology", [0.0, 0.0]), ("message bus", "file", [0.26, 1.0]), ("message bus", None, [0.26, 1.0]), ("message bus", "concept", [0.1, 0.5]), ("Jonson", "Person", [-1.0, 0.0]), ("Jonson", "file", [-1.0, 0.0]), ("nothing", "concept", [-1.0, 0.1])]
+    m = spark.createDataFrame(m, "mention string, type string, embedding array<double>")
     a = spark.createDataFrame([], "alias string, canonical string")
-    got = {r.mention: (r.id, r.method) for r in E.resolve_entities(m, e, a).collect()}
-    assert got == {"POSTGRESQL": (1, "exact"), "message bus": (2, "embedding"), "Jonson": (4, "fuzzy"), "nothing": (None, "new")}
-    got = {r.mention: (r.id, r.method) for r in E.resolve_in_order(m, e, a, 8).collect()}
-    assert got == {"POSTGRESQL": (3, "exact"), "message bus": (2, "embedding"), "Jonson": (4, "fuzzy"), "nothing": (None, "new")}
+    got = {(r.mention, r.type): (r.id, r.method) for r in E.resolve_entities(m, e, a, None).collect()}
+    want = {
+        ("POSTGRESQL", "technology"): (1, "exact"),
+        ("message bus", "file"): (5, "embedding"),
+        ("message bus", None): (5, "embedding"),
+        ("message bus", "concept"): (5, "embedding"),
+        ("Jonson", "Person"): (4, "fuzzy"),
+        ("Jonson", "file"): (None, "new"),
+        ("nothing", "concept"): (None, "new"),
+    }
+    assert got == want
+    got = {(r.mention, r.type): (r.id, r.method) for r in E.resolve_entities(m, e, a, None, 8).collect()}
+    want |= {("POSTGRESQL", "technology"): (3, "exact"), ("message bus", "concept"): (2, "embedding"), ("message bus", None): (2, "embedding")}
+    assert got == want
+
+
+def test_stages_go_before_tenants(spark):
+    e = spark.createDataFrame([(1, 7, "postgresql server"), (2, 8, "postgresql servers")], "id bigint, user_id bigint, name string")
+    m = spark.createDataFrame([("postgresql servers",), ("postgresql serverz",)], "mention string")
+    a = spark.createDataFrame([], "alias string, canonical string")
+    got = {r.mention: (r.id, r.method, round(r.score, 2)) for r in E.resolve_entities(m, e, a, user_id=7).collect()}
+    assert got == {"postgresql servers": (2, "exact", 1.0), "postgresql serverz": (1, "fuzzy", 0.97)}
+
+
+def test_resolution_plans_stay_small(spark):
+    e = spark.createDataFrame([(1, "PostgreSQL"), (2, "React")], "id bigint, name string")
+    m = spark.createDataFrame([("postgresql",), ("psql",), ("Reactt",)], "mention string")
+    a = spark.createDataFrame([("psql", "PostgreSQL")], "alias string, canonical string")
+    for df in (E.resolve_entities(m, e, a), E.resolve_batch(m, e, a)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") < 30
 
 
-def test_long_names_of_one_length_are_no_candidates(spark):
+def test_name_candidates_are_few_and_complete(spark):
+    """20,000 distinct names: a small share of all pairs are candidates; on a part no pair is lost against all pairs."""
     import random
 
     r = random.Random(5)
-    names = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(3000)]
-    df = spark.createDataFrame([(n,) for n in names], "name string").select(F.explode(E.blocks("name", 85.0)).alias("key"))
-    asked = df.where("key LIKE '+%'").count()
-    per = df.where("key LIKE '=%'").groupBy("key").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
-    assert asked < 100 and per < 0.5 * 3000 * 2999 / 2
+    parts = ["data", "base", "server", "client", "queue", "stream", "cache", "index", "graph", "model", "layer", "proxy", "token", "batch"]
+    names = set()
+    while len(names) < 20_000:
+        n = "".join(r.choice(parts) for _ in range(r.randint(1, 2))) + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(r.randint(2, 12)))
+        names |= {n.strip(), (n[:3] + n[4:]).strip()} - {""}
+    names = sorted(names)[:20_000]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    met = E.name_candidates(df, df, 85.0, same=True).count()
+    assert met < 0.015 * 20_000 * 19_999 / 2
+    some = names[::50]
+    df = spark.createDataFrame([(n,) for n in some], "name string")
+    want = {(a, b) for i, a in enumerate(some) for b in some[i + 1 :] if 200 * lcs(a, b) / (len(a) + len(b)) >= 85}
+    assert {(p.a, p.b) for p in E.fuzzy_pairs(df, df, 85.0, same=True).collect()} == want
 
 
 def test_contradiction_rules(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,38 @@ LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".rs": "rust", ".go": "go", ".java": "java", ".kt": "kotlin", ".cs": "csharp", ".cpp": "cpp", ".c": "c", ".rb": "ruby",
     ".php": "php", ".swift": "swift", ".scala": "scala", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".sql": "sql", ".toml": "toml", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".md": "markdown", ".mdx": "markdown",
 }
-#: Which entity types a relationship may join (source>target), most specific relationship first.
+#: Which (source, target) types of entities a relationship may join, most specific relationship first.
 ALLOWED = {
-    "REQUIRES": "technology>technology technology>concept pattern>technology pattern>concept system>technology system>concept",
-    "DEPENDS_ON": "technology>technology system>technology system>system pattern>technology pattern>concept",
-    "ENABLES": "technology>concept technology>pattern technology>system pattern>concept system>concept system>system concept>concept",
-    "PREVENTS": "technology>concept pattern>concept system>concept concept>concept",
-    "REFINES": "technology>technology pattern>pattern concept>concept system>system",
-    "PART_OF": "technology>system technology>technology technology>concept system>system pattern>system concept>concept person>organization",
-    "IS_A": "technology>concept technology>technology pattern>concept system>concept concept>concept",
-    "ALTERNATIVE_TO": "technology>technology pattern>pattern system>system concept>concept",
-    "RELATED_TO": "technology>technology technology>concept technology>pattern technology>system concept>concept concept>pattern concept>system pattern>pattern pattern>system system>system person>technology person>system organization>technology organization>system",
+    "REQUIRES": [("technology", "technology"), ("technology", "concept"), ("pattern", "technology"), ("pattern", "concept"), ("system", "technology"), ("system", "concept")],
+    "DEPENDS_ON": [("technology", "technology"), ("system", "technology"), ("system", "system"), ("pattern", "technology"), ("pattern", "concept")],
+    "ENABLES": [("technology", "concept"), ("technology", "pattern"), ("technology", "system"), ("pattern", "concept"), ("system", "concept"), ("system", "system"), ("concept", "concept")],
+    "PREVENTS": [("technology", "concept"), ("pattern", "concept"), ("system", "concept"), ("concept", "concept")],
+    "REFINES": [("technology", "technology"), ("pattern", "pattern"), ("concept", "concept"), ("system", "system")],
+    "PART_OF": [("technology", "system"), ("technology", "technology"), ("technology", "concept"), ("system", "system"), ("pattern", "system"), ("concept", "concept"), ("person", "organization")],
+    "IS_A": [("technology", "concept"), ("technology", "technology"), ("pattern", "concept"), ("system", "concept"), ("concept", "concept")],
+    "ALTERNATIVE_TO": [("technology", "technology"), ("pattern", "pattern"), ("system", "system"), ("concept", "concept")],
+    "RELATED_TO": [
+        ("technology", "technology"),
+        ("technology", "concept"),
+        ("technology", "pattern"),
+        ("technology", "system"),
+        ("concept", "concept"),
+        ("concept", "pattern"),
+        ("concept", "system"),
+        ("pattern", "pattern"),
+        ("pattern", "system"),
+        ("system", "system"),
+        ("person", "technology"),
+        ("person", "system"),
+        ("organization", "technology"),
+        ("organization", "system"),
+    ],
 }
 DECISION_RELS = ["SIMILAR_TO", "INFLUENCED_BY", "SUPERSEDES", "CONTRADICTS"]
 
 
 def allowed_relations(spark) -> DataFrame:
-    rows = [(r, *p.split(">"), i) for i, (r, ps) in enumerate(ALLOWED.items()) for p in ps.split()]
+    rows = [(rel, source, target, i) for i, (rel, pairs) in enumerate(ALLOWED.items()) for source, target in pairs]
     return F.broadcast(spark.createDataFrame(rows, "rel string, src_type string, dst_type string, priority int"))
 
 
@@ -50,43 +67,79 @@ def canonical_name(df: DataFrame, aliases: DataFrame, name: str = "name") -> Dat
     return df.withColumn("_f", fold(name)).join(a, F.col("_f") == F.col("_k"), "left").withColumn("canonical", F.coalesce("_c", F.col(name))).drop("_f", "_k", "_c")
 
 
-def _grams(n: str | Column, q: int = 2) -> Column:
-    c = F.col(n) if isinstance(n, str) else n
-    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (q - 1))), lambda i: F.substring(c, i, F.lit(q)))), lambda x, y: F.when(F.xxhash64(x) < F.xxhash64(y), -1).when(F.xxhash64(x) > F.xxhash64(y), 1).otherwise(0))
+def _grams(name: str, q: int) -> Column:
+    """Distinct q-grams; a shorter name is its own gram."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - (q - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(q))))
+
+
+def _indels(n: Column, m: Column, percent: float) -> Column:
+    """Most insertions and deletions between names of lengths n and m whose ratio is `percent` or more (under 0: none can be)."""
+    most = F.floor(F.lit(1 - percent / 100) * (n + m) + 1e-9)
+    most = most - F.pmod(most - n - m, F.lit(2))
+    return F.when(most >= F.abs(n - m), most).otherwise(F.lit(-1)).cast("int")
+
 
+def _length_class(n: Column) -> Column:
+    """Lengths by powers of 1.1: short ones one by one, longer ones within a tenth."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1.1) + 1e-9).cast("int")
 
-def blocks(c: str, percent: float, q: int = 2) -> Column:
-    """Keys such that two names with an indel ratio of `percent` or more share one.
 
-    With k edits at most between a name and any partner that reaches the ratio, one of its first k * q + 1
-    distinct q-grams (in a fixed order) survives in the partner's prefix. Names with too few grams meet
-    their partners through lengths instead: `short` names ask for the lengths that can reach them (asked), and every
-    name offers its own. A key starts with + or - where it is a length asked for or offered, so that two long
-    names of one length never meet through it: see fuzzy_pairs().
+def name_keys_by_grams(names: DataFrame, frequency: DataFrame, percent: float, ask: bool, q: int = 2) -> DataFrame:
+    """(name, key, first, last): keys such that two names with an indel ratio of `percent` or more share one.
+
+    A deletion spoils at most q of a name's q-grams and an insertion q - 1, so all but `spoilt` of them are in any
+    partner of a given length, and the spoilt + 1 rarest grams of both names have one in common. A key is such a gram
+    with the classes of both lengths; first and last are the gram's places in the name. Where a name has too few grams
+    for a class it asks (+) for all names of the class, and every name offers (-) its own class.
     """
-    t = percent / 100
-    n = F.length(c)
-    longest = F.floor(n * (2 - t) / t + 1e-9)
-    k = F.floor((1 - t) * (n + longest) + 1e-9)
-    grams = _grams(c, q)
-    prefix = F.slice(grams, F.lit(1), (k * q + 1).cast("int"))
-    shortest = F.ceil(n * t / (2 - t) - 1e-9)
-    few = F.size(grams) <= k * q
-    lengths = F.transform(F.sequence(F.greatest(F.lit(0), shortest.cast("int")), longest.cast("int")), lambda x: F.concat(F.lit("+"), x.cast("string")))
-    own = F.array(F.concat(F.lit("-"), n.cast("string")))
-    grams_ = F.transform(prefix, lambda g: F.concat(F.lit("="), g))
-    return F.concat(grams_, own, F.when(few, lengths).otherwise(F.array().cast("array<string>")))
+    n = F.length("name")
+    reach = (200 - percent) / percent
+    partners = F.sequence(F.greatest(F.lit(1), F.ceil(n / reach - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(n * reach + 1e-9).cast("int")))
+
+    def spoilt(m: Column) -> Column:
+        most = _indels(n, m, percent)
+        return F.when(most < 0, F.lit(-1)).otherwise(F.floor(most * (q - 1) + (most + n - m) / 2)).cast("int")
+
+    ranked = names.select("name", F.explode(_grams("name", q)).alias("gram")).join(frequency, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
+    lengths = F.transform(partners, lambda m: F.struct(_length_class(m).alias("to"), spoilt(m).alias("spoilt")))
+    ranked = ranked.withColumn("lengths", F.filter(lengths, lambda x: x["spoilt"] >= 0))
+    to = ranked.select("name", "grams", F.explode(F.array_distinct(F.transform("lengths", lambda x: x["to"]))).alias("to"), "lengths")
+    to = to.withColumn("wanted", 1 + F.array_max(F.transform(F.filter("lengths", lambda x: x["to"] == F.col("to")), lambda x: x["spoilt"])))
+
+    own = _length_class(n)
+    few = (F.size("grams") < F.col("wanted")) | (n < q)
+    none = F.lit(None).cast("int")
+    entry = lambda key, first, last: F.struct(key.alias("key"), first.alias("first"), last.alias("last"))
+    classes = F.concat_ws(">", own, F.col("to")) if ask else F.concat_ws(">", F.col("to"), own)
+    by_gram = F.transform(
+        F.slice("grams", F.lit(1), F.col("wanted")),
+        lambda g: entry(F.concat(F.lit("="), g["gram"], F.lit("|"), classes), F.instr(F.col("name"), g["gram"]), n - F.length(g["gram"]) + 2 - F.instr(F.reverse("name"), F.reverse(g["gram"]))),
+    )
+    plus, minus = ("+", "-") if ask else ("-", "+")
+    by_class = F.array(entry(F.concat(F.lit(plus), F.col("to").cast("string")), none, none))
+    keys = to.select("name", F.explode(F.concat(by_gram, F.when(few, by_class).otherwise(F.array().cast("array<struct<key:string,first:int,last:int>>")))).alias("k")).select("name", "k.*")
+    return keys.union(names.select("name", F.concat(F.lit(minus), own.cast("string")), none, none))
+
+
+def name_candidates(left: DataFrame, right: DataFrame, percent: float, same: bool = False, q: int = 2) -> DataFrame:
+    """(a, b) of folded names that share a key, at places and of lengths that the ratio allows; pairs may repeat."""
+    a = left.select(fold("name").alias("name")).where("name <> ''").distinct()
+    b = a if same else right.select(fold("name").alias("name")).where("name <> ''").distinct()
+    every = a if same else a.union(b).distinct()
+    frequency = settled(every.select(F.explode(_grams("name", q)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq")))
+    x = name_keys_by_grams(a, frequency, percent, True, q).toDF("a", "key", "first_a", "last_a")
+    y = name_keys_by_grams(b, frequency, percent, False, q).toDF("b", "key", "first_b", "last_b")
+    n, m = F.length("a"), F.length("b")
+    most = _indels(n, m, percent)
+    # a surviving gram moves left by the deletions at most, right by the insertions
+    placed = (F.col("first_a") - F.col("last_b") <= (most + n - m) / 2) & (F.col("first_b") - F.col("last_a") <= (most - n + m) / 2)
+    return x.join(y, "key").where("a < b" if same else "true").where((most >= 0) & F.coalesce(placed, F.lit(True))).select("a", "b")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool = False) -> DataFrame:
-    """(a, b, ratio) of names that reach the ratio: blocking, a bounded edit distance, then the exact ratio."""
-    a = left.select(fold("name").alias("a")).where("a <> ''").distinct()
-    b = right.select(fold("name").alias("b")).where("b <> ''").distinct()
-    x = a.withColumn("key", F.explode(blocks("a", percent)))
-    # a length that one side asks for meets the length that the other offers
-    met = F.when(F.startswith("key", F.lit("=")), F.col("key")).otherwise(F.concat(F.translate(F.substring("key", 1, 1), "+-", "-+"), F.expr("substring(key, 2)")))
-    y = b.withColumn("key", F.explode(blocks("b", percent))).withColumn("key", met)
-    near = x.join(y, "key").where("a < b" if same else "true").where(may_reach("a", "b", percent)).select("a", "b").distinct()
+    """(a, b, ratio) of names that reach the ratio: candidates by rare grams, a bounded edit distance, then the exact ratio."""
+    near = name_candidates(left, right, percent, same).where(may_reach("a", "b", percent)).distinct()
     return near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= percent - 1e-9)
 
 
@@ -96,77 +149,85 @@ def match_alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(mentions: DataFrame, entities: DataFrame, percent: float | None = 85.0) -> DataFrame:
-    """(mention, id, ratio): the best entity name of each mention, the least id of equals. percent None: the threshold of the entity's type."""
-    least = 100 * (min(t for t, _ in THRESHOLDS.values()) if percent is None else percent / 100)
-    p = fuzzy_pairs(mentions.select(F.col("mention").alias("name")), entities.select("name"), least)
-    e = entities.select("id", fold("name").alias("b"), *([(100 * thresholds()).alias("least")] if percent is None else []))
-    if percent is None:
-        p, e = p.join(e, "b").where(F.col("ratio") >= F.col("least") - 1e-9).select("a", "b", "ratio", "id"), None
-    m = mentions.select("mention", fold("mention").alias("a")).distinct()
-    best = (p if e is None else p.join(e, "b")).join(m, "a").groupBy("mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("x"))
+    """(mention, id, ratio): the best entity name of each mention, the least id of equals. percent None: the threshold of the mention's type."""
+    lowest = 100 * min(t for t, _ in THRESHOLDS.values()) if percent is None else percent
+    p = fuzzy_pairs(mentions.select(F.col("mention").alias("name")), entities.select("name"), lowest)
+    e = entities.select("id", fold("name").alias("b")).groupBy("b").agg(F.min("id").alias("id"))
+    least = 100 * thresholds() if percent is None else F.lit(float(percent))
+    m = mentions.select("mention", fold("mention").alias("a"), least.alias("least")).distinct()
+    near = p.join(e, "b").join(m, "a").where(F.col("ratio") >= F.col("least") - 1e-9)
+    best = near.groupBy("mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("x"))
     return best.select("mention", "x.id", (-F.col("x.r")).alias("ratio"))
 
 
 def match_embedding(mentions: DataFrame, entities: DataFrame, threshold: float | None = 0.9) -> DataFrame:
-    """(query, id, score): the best entity of each mention over the threshold; None: that of the entity's type."""
+    """(query, id, score): the best entity of each mention (id, [type,] embedding) over the threshold; None: that of the mention's type."""
     if threshold is not None:
         return similar(mentions, entities, 1, threshold)
     near = similar(mentions, entities, None, min(v for _, v in THRESHOLDS.values()))
-    near = near.join(entities.select("id", thresholds(vector=True).alias("least")), "id").where(F.col("score") > F.col("least"))
+    near = near.join(mentions.select(F.col("id").alias("query"), thresholds(vector=True).alias("least")), "query").where(F.col("score") > F.col("least"))
     return near.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x")).select("query", "x.id", (-F.col("x.s")).alias("score"))
 
 
-def resolve_in_order(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, user_id: int, percent: float | None = None) -> DataFrame:
-    """resolve_entities() against the tenant's own entities, and what is left against all others."""
-    own = resolve_entities(mentions, entities.where(F.col("user_id") == user_id), aliases, percent).where("method <> 'new'")
-    found = settled(own)
-    left = mentions.join(found.select("mention"), "mention", "left_anti")
-    return found.unionByName(resolve_entities(left, entities.where(~F.col("user_id").eqNullSafe(F.lit(user_id))), aliases, percent))
-
+def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float | None = 85.0, user_id: int | None = None) -> DataFrame:
+    """(mention, [type,] id, method, score) of distinct mentions: exact, canonical, alias, fuzzy, embedding, else new (id NULL).
 
-def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float | None = 85.0) -> DataFrame:
-    """(mention, id, method, score) of distinct mentions: exact, canonical, alias, fuzzy, embedding, else new (id NULL).
-
-    Each stage sees only what the stages before it left. The embedding stage runs where both tables have a column
-    `embedding`. percent None: thresholds by the type of the entity.
+    Each stage sees only what the stages before it left, and in each one the tenant's own entities (user_id) go before
+    all others, then the better score, then the least id. The embedding stage runs where both tables have a column
+    `embedding`. percent None: least similarities by the type of the mention (the default ones where it has none).
+    Stages are settled, so that a plan holds one stage only.
     """
+    who = ["mention", "type"] if "type" in mentions.columns else ["mention"]
     vectors = "embedding" in mentions.columns and "embedding" in entities.columns
-    by_vector = None
-    if vectors:
-        m = mentions.where("embedding IS NOT NULL").groupBy("mention").agg(F.first("embedding").alias("embedding")).withColumn("id", F.xxhash64("mention"))
-        by_vector = settled(m)
-    left = mentions.select("mention").where(fold("mention") != "").distinct()
-    names = entities.select(fold("name").alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
-    done = []
-
-    def stage(found: DataFrame, method: str, score: Column) -> None:
-        nonlocal left
-        done.append(found.select("mention", "id", F.lit(method).alias("method"), score.cast("double").alias("score")))
-        left = left.join(found.select("mention"), "mention", "left_anti")
-
-    stage(left.withColumn("key", fold("mention")).join(names, "key"), "exact", F.lit(1.0))
-    stage(canonical_name(left, aliases, "mention").withColumn("key", fold("canonical")).join(names, "key").select("mention", "id"), "canonical", F.lit(0.95))
-    stage(match_alias(left, entities).groupBy("mention").agg(F.min("id").alias("id")), "alias", F.lit(0.92))
-    stage(match_fuzzy(left, entities, percent), "fuzzy", F.col("ratio") / 100)
+    own = F.lit(0) if user_id is None else F.when(F.col("user_id").eqNullSafe(F.lit(user_id)), 0).otherwise(1)
+    e = entities.withColumn("place", own)
+    asked = mentions.where(fold("mention") != "").groupBy(*who).agg(*([F.min("embedding").alias("embedding")] if vectors else [F.lit(None).alias("embedding")]))
+    kind = F.col("type") if "type" in who else F.lit(None).cast("string")
+    asked = asked.withColumns({"least": 100 * thresholds(kind) if percent is None else F.lit(float(percent)), "least_cosine": thresholds(kind, True) if percent is None else F.lit(OTHER_THRESHOLDS[1])})
+    asked = settled(asked.withColumn("m", F.monotonically_increasing_id()))
+
+    # names and aliases, in one join
+    option = lambda key, on, stage: F.struct(fold(key).alias("key"), F.lit(on).alias("on"), F.lit(stage).alias("stage"))
+    options = canonical_name(asked, aliases, "mention").select("m", F.explode(F.array(option("mention", "name", 0), option("canonical", "name", 1), option("mention", "alias", 2))).alias("o")).select("m", "o.*")
+    known = e.select("id", "place", fold("name").alias("key"), F.lit("name").alias("on"))
+    if "aliases" in e.columns:
+        known = known.union(e.select("id", "place", F.explode("aliases").alias("a")).select("id", "place", fold("a"), F.lit("alias")))
+    known = known.groupBy("key", "on").agg(F.min(F.struct("place", "id")).alias("best"))
+    hit = options.join(known, ["key", "on"]).groupBy("m").agg(F.min(F.struct("stage", "best")).alias("x"))
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("x.stage") + 1)
+    by_key = settled(hit.select("m", F.col("x.best.id").alias("id"), pick("exact", "canonical", "alias").alias("method"), pick(1.0, 0.95, 0.92).alias("score")))
+
+    def best(found: DataFrame, method: str) -> DataFrame:
+        first = found.groupBy("m").agg(F.min(F.struct("place", (-F.col("score")).alias("s"), "id")).alias("x"))
+        return first.select("m", "x.id", F.lit(method).alias("method"), (-F.col("x.s")).alias("score"))
+
+    left = asked.join(by_key, "m", "left_anti")
+    least = percent if percent is not None else 100 * min(t for t, _ in THRESHOLDS.values())
+    pairs = fuzzy_pairs(left.select(F.col("mention").alias("name")), e.select("name"), least)
+    firsts = e.select(fold("name").alias("b"), "place", "id").groupBy("b", "place").agg(F.min("id").alias("id"))
+    near = pairs.join(left.select("m", "least", fold("mention").alias("a")), "a").where(F.col("ratio") >= F.col("least") - 1e-9).join(firsts, "b")
+    by_name = settled(best(near.withColumn("score", F.col("ratio") / 100), "fuzzy"))
+
+    found = by_key.unionByName(by_name)
     if vectors:
-        asked = by_vector.join(left, "mention", "left_semi")
-        # mentions have hashed ids of their own, which no entity is left out for
-        near = match_embedding(asked.select((F.shiftrightunsigned("id", 1) * -1 - 1).alias("id"), "embedding"), entities, None if percent is None else OTHER_THRESHOLDS[1])
-        names_ = asked.select("mention", (F.shiftrightunsigned("id", 1) * -1 - 1).alias("query"))
-        stage(near.join(names_, "query").select("mention", "id", "score"), "embedding", F.col("score"))
-    stage(left.select("mention", F.lit(None).cast("bigint").alias("id")), "new", F.lit(1.0))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def resolve_batch(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float = 85.0) -> DataFrame:
-    """Every mention row with its resolution; equal canonical names resolve once."""
-    m = canonical_name(mentions, aliases, "mention").withColumn("key", fold("canonical"))
-    once = resolve_entities(m.groupBy("key").agg(F.min("mention").alias("mention")).select("mention"), entities, aliases, percent)
-    keyed = canonical_name(once, aliases, "mention").select(fold("canonical").alias("key"), "id", "method", "score")
-    return m.drop("canonical").join(keyed, "key", "left").drop("key")
+        # mentions take ids below those of entities, so that none is left out as the entity itself
+        left = left.join(by_name, "m", "left_anti").where("embedding IS NOT NULL").withColumn("query", -F.col("m") - 1)
+        lowest = OTHER_THRESHOLDS[1] if percent is not None else min(v for _, v in THRESHOLDS.values())
+        close = similar(left.select(F.col("query").alias("id"), "embedding"), e.where("embedding IS NOT NULL").select("id", "embedding"), None, lowest)
+        close = close.join(left.select("query", "m", "least_cosine"), "query").where(F.col("score") > F.col("least_cosine")).join(e.select("id", "place"), "id")
+        found = found.unionByName(best(close, "embedding"))
+    out = asked.join(found, "m", "left")
+    return out.select(*who, F.col("id"), F.coalesce("method", F.lit("new")).alias("method"), F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
+def resolve_batch(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float | None = 85.0, user_id: int | None = None) -> DataFrame:
+    """Every mention row with its resolution; equal canonical names resolve once, by their least spelling."""
+    m = settled(canonical_name(mentions, aliases, "mention").withColumn("key", fold("canonical")).drop("canonical"))
+    rest = [F.min_by(c, "mention").alias(c) for c in ("type", "embedding") if c in m.columns]
+    first = m.groupBy("key").agg(F.min("mention").alias("mention"), *rest)
+    once = resolve_entities(first.drop("key"), entities, aliases, percent, user_id)
+    by_key = first.select("key", "mention").join(once.select("mention", "id", "method", "score"), "mention").drop("mention")
+    return m.join(by_key, "key", "left").drop("key")
 
 
 def duplicate_pairs(entities: DataFrame, aliases: DataFrame | None = None, percent: float = 85.0) -> DataFrame:

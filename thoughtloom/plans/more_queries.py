@@ -206,7 +206,7 @@ def _typed(s, d):
     return B.related(s, d).select("src", "dst", rel.alias("rel"), pick("src", 6).alias("src_type"), pick("dst", 5).alias("dst_type"), F.lit(0.5).alias("confidence"))
 
 
-_RULES = ", ".join(f"('{r}', '{p.split('>')[0]}', '{p.split('>')[1]}', {i})" for i, (r, ps) in enumerate(E.ALLOWED.items()) for p in ps.split())
+_RULES = ", ".join(f"('{rel}', '{source}', '{target}', {i})" for i, (rel, pairs) in enumerate(E.ALLOWED.items()) for source, target in pairs)
 _TYPED = """a AS (SELECT * FROM (VALUES """ + _RULES + """) v(rel, src_type, dst_type, priority)),
     x AS (SELECT src, dst, ['IS_A', 'PART_OF', 'DEPENDS_ON', 'ENABLES', 'SUPERSEDES', 'NEAR'][CAST((src + dst) % 6 + 1 AS INT)] AS rel,
       ['technology', 'concept', 'pattern', 'system', 'person', 'organization'][CAST(src % 6 + 1 AS INT)] AS src_type, ['technology', 'concept', 'pattern', 'system', 'person', 'organization'][CAST(dst % 5 + 1 AS INT)] AS dst_type FROM related)"""
