@@ -1,17 +1,48 @@
-"""Cutting lineage in the shared folder that the cluster names."""
+"""Cutting lineage, and tables of batches, in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint; a temporary folder is set only where the session names none and is local (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder is set only where the session names none and is local (tests)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="thoughtloom-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df after a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class BatchTable:
+    """A table of numbered batches, one folder each: writing a number again replaces it, so a replay changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All batches, or those with a lesser number."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], f"{self.schema}, batch int")
+        found = self.spark.read.schema(f"{self.schema}, batch int").option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        return found if before is None else found.where(F.col("batch") < before)

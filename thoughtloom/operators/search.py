@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import filled
 from ..functions.tables import settled
-
-WORD = r"[\p{L}\p{N}]+"
+from .text_index import TextIndex, postings, rank
+from .vectors import similar
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -20,100 +19,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot / n).otherwise(0.0)
 
 
-def _blocks(df: DataFrame, size: int) -> tuple[Column, int]:
-    n = max(1, -(-df.count() // size))
-    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), n
-
-
-def similar(queries: DataFrame, data: DataFrame, k: int | None, threshold: float, block: int = 2048, pairs: bool = False) -> DataFrame:
-    """(query, id, score): per query the k best of data with a cosine over the threshold, itself left out.
-
-    Both sides (id, embedding) fall into blocks; each pair of blocks is one matrix product in one task, and only
-    rows over the threshold (the block's k best of a query) leave it. pairs: each unordered pair once.
-    """
-    qb, nq = _blocks(queries, block)
-    db, nd = _blocks(data, block)
-    left = queries.select(F.col("id"), "embedding", qb.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("j"), F.lit(0).alias("side"))
-    right = data.select(F.col("id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), db.alias("j"), F.lit(1).alias("side"))
-
-    def product(table):
-        import pyarrow as pa
-
-        def unit(t):
-            v = np.array([x if x else [] for x in t["embedding"].to_pylist()], dtype=np.float64) if t.num_rows else np.zeros((0, 1))
-            n = np.sqrt((v * v).sum(1, keepdims=True))
-            return t["id"].to_numpy(), np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-
-        side = table["side"].to_numpy()
-        (a, x), (b, y) = (unit(table.filter(pa.array(side == s))) for s in (0, 1))
-        out = [[], [], []]
-        if len(a) and len(b):
-            s = np.clip(x @ y.T, -1, 1)
-            ok = (s > threshold) & ((b[None, :] > a[:, None]) if pairs else (a[:, None] != b[None, :]))
-            for r in np.flatnonzero(ok.any(1)):
-                hit = np.flatnonzero(ok[r])
-                if k is not None and len(hit) > k:
-                    hit = hit[np.lexsort((b[hit], -s[r, hit]))[:k]]
-                out[0] += [a[r]] * len(hit)
-                out[1] += b[hit].tolist()
-                out[2] += s[r, hit].tolist()
-        return pa.table({"query": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = left.where("embedding IS NOT NULL AND size(embedding) > 0").unionByName(right.where("embedding IS NOT NULL AND size(embedding) > 0")).groupBy("i", "j").applyInArrow(product, "query bigint, id bigint, score double")
-    if k is None:
-        return found
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
-
-
-def link_similar(vectors: DataFrame, threshold: float = 0.85, high: float = 0.90, k: int = 5) -> DataFrame:
-    return similar(vectors, vectors, k, threshold).withColumn("tier", F.when(F.col("score") >= high, "high").otherwise("moderate"))
-
-
-def terms(df: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, length): the inverted index; only: a table (term) of those that are wanted, met before anything is shuffled."""
-    words = df.select("id", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
-    t = words.select("id", F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term"))
-    if only is not None:
-        t = t.join(only, "term", "left_semi")
-    return t.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+def link_similar(vectors: DataFrame, threshold: float = 0.85, high: float = 0.90, k: int = 5, by: str | None = None) -> DataFrame:
+    """(query, id, score, tier): the k best of each row over the threshold; by: among rows of one value (a tenant's) only."""
+    return similar(vectors, vectors, k, threshold, by=by).withColumn("tier", F.when(F.col("score") >= high, "high").otherwise("moderate"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, id, score): the k best documents of each query by BM25 over its distinct terms.
-
-    The index meets the queries' terms only; document frequencies combine before the shuffle.
-    """
-    stats = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("l") > 0, F.col("l"))).alias("mean"))
-    asked = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    wanted = settled(asked.select("term").distinct())
-    # a checked size: so many short words are some tens of MB at most; beyond it the join shuffles
-    used = terms(docs, only=F.broadcast(wanted) if wanted.count() <= 500_000 else wanted)
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    count, mean = stats.first()
-    n, mean = F.lit(count), F.lit(mean)
-    weighted = used.join(df, "term").select(
-        "term",
-        "id",
-        (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))).alias("w"),
-    )
-    score = weighted.join(asked, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
-    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    """(query, id, score): the k best documents (id, text) of each query (id, text) by BM25 over its distinct terms."""
+    return rank(queries, postings(docs.select("id", "text"), ["text"]), k, k1, b).select("query", "id", "score")
 
 
 def fulltext_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     """BM25; a query without any hit falls back to case-insensitive substrings with score 1, newest (greatest) ids first."""
     hits = settled(bm25(queries, docs, k))
+    return hits.unionByName(substring_hits(queries, docs, hits, k))
+
+
+def substring_hits(queries: DataFrame, docs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(query, id, score 1): texts that hold a query which has no hit; the k greatest ids."""
     rest = queries.join(hits.select(F.col("query").alias("id")), "id", "left_anti").where(F.length("text") > 0)
     asked = rest.select(F.col("id").alias("query"), F.lower("text").alias("q"))
     # a text that holds the query holds its first three characters; shorter queries meet it through as many
     grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - n + 1)), lambda i: F.substring("t", i, n)))))
     asked = settled(asked.withColumn("g", F.substring("q", 1, 3)))
     texts = docs.select("id", F.lower("text").alias("t")).withColumn("g", F.explode(grams))
-    sub = texts.join(asked, "g").where(F.contains("t", "q")).select("query", "id", F.lit(1.0).alias("score"))
+    sub = texts.join(asked, "g").where(F.contains("t", "q")).select("query", "id", F.lit(1.0).alias("score")).distinct()
     w = Window.partitionBy("query").orderBy(F.desc("id"))
-    return hits.unionByName(sub.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
+    return sub.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+def search_kinds(queries: DataFrame, decisions: TextIndex, entities: TextIndex, k: int = 20) -> DataFrame:
+    """(query, kind, id, score): the k best decisions and the k best entities of each query, each kind with its own fallback."""
+    out = None
+    for kind, index in (("decision", decisions), ("entity", entities)):
+        hits = settled(rank(queries, index.read(), k).select("query", "id", "score"))
+        found = hits.unionByName(substring_hits(queries, index.texts(), hits, k)).select("query", F.lit(kind).alias("kind"), "id", "score")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def suggest(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
