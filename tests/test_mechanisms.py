@@ -1,7 +1,9 @@
 """Stateful and incremental mechanisms against whole runs and brute force."""
 
 import datetime as dt
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
 from thoughtloom.operators import search as S
-from thoughtloom.streaming import fanout
+from thoughtloom.sources import transcripts
+from thoughtloom.streaming import fanout, queue, registry
+from thoughtloom.streaming import streams as W
 
 
 def brute_cosine(rows, threshold, asked=None):
@@ -139,3 +143,134 @@ def test_saving_in_batches_equals_one_batch_and_survives_a_restart(spark, tmp_pa
     assert state(store) == want
     store.save(df.where("id >= 155"), 2)
     assert state(store) == want
+
+
+# ---- the queue of messages
+
+
+def test_queue_by_size_time_and_request_with_a_failing_sink(spark, tmp_path):
+    for name, schema in (("messages", queue.MESSAGE), ("requests", "session bigint")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    send = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    stored, log, calls = {}, [], []
+
+    def write(rows, epoch):
+        found = [tuple(r) for r in rows.collect()]
+        calls.append(epoch)
+        log.extend((s, b) for s, b, *_ in found)
+        if len(calls) == 1:
+            raise OSError("the store is away")
+        bad = {(s, b) for s, b, *_ in found if s == 2 and len(calls) == 2}
+        for s, b, i, role, content in found:
+            if (s, b) not in bad:
+                assert (s, i) not in stored
+                stored[s, i] = (b, role, content)
+        return spark.createDataFrame(sorted(bad), "session bigint, batch bigint") if bad else None
+
+    sink = queue.Deliveries(spark, f"{tmp_path}/back", write)
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    heard = queue.queued(read("messages", queue.MESSAGE), read("requests", "session bigint"), sink.returned())
+    want = {(s, i): f"text {i}" for s, n in ((1, 23), (2, 12), (3, 4)) for i in range(n)}
+    send("messages", [(s, i, "user", t) for (s, i), t in want.items()], queue.MESSAGE)
+    q = queue.flushes(heard, 10, 3_000).writeStream.foreachBatch(sink.save).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="200 milliseconds").start()
+    end = time.time() + 150
+    asked = False
+    while len(stored) < len(want) and time.time() < end and q.exception() is None:
+        if not asked and len(calls) >= 1:
+            send("requests", [(3,)], "session bigint")
+            asked = True
+        time.sleep(0.3)
+    time.sleep(4)  # nothing comes twice
+    q.stop()
+    assert q.exception() is None
+    assert {k: v[2] for k, v in stored.items()} == want
+    for s in (1, 2, 3):
+        numbers = list(dict.fromkeys(b for t, b in log if t == s))
+        assert numbers == sorted(numbers) and numbers == list(range(len(numbers)))
+        sizes = {}
+        for (t, _), (b, *_rest) in stored.items():
+            if t == s:
+                sizes[b] = sizes.get(b, 0) + 1
+        assert max(sizes.values()) <= 10
+
+
+# ---- files once, lines of files of any size
+
+
+def transcript(i, n):
+    rows = [{"type": "user" if k % 2 == 0 else "assistant", "message": {"role": "user" if k % 2 == 0 else "assistant", "content": f"é {i} {k} " + "x" * (k % 50)}} for k in range(n)]
+    rows.insert(n // 2, {"type": "conversation_end"})
+    return "\n".join(map(json.dumps, rows)) + "\n\nnot json\n"
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    texts = {"a": transcript(1, 200), "b": transcript(2, 3), "c": "", "d": "\n\nno newline at the end"}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.jsonl").write_text(text)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        got = transcripts.numbered_lines(spark, f"file://{tmp_path}")
+        assert got.rdd.getNumPartitions() > 4
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.file_path.rsplit("/", 1)[-1][0], {})[r.line] = r.raw
+        hashes = {r.file_path.rsplit("/", 1)[-1][0]: r.hash for r in transcripts.content_hashes(got, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, text in texts.items():
+        lines = text.split("\n")
+        lines = lines[:-1] if lines[-1] == "" else lines
+        assert found.get(name, {}) == dict(enumerate(lines))
+    assert len(set(hashes.values())) == len(hashes) == 3
+    again = {r.file_path.rsplit("/", 1)[-1][0]: r.hash for r in transcripts.content_hashes(transcripts.numbered_lines(spark, f"file://{tmp_path}"), 7).collect()}
+    assert again == hashes
+
+
+def test_a_file_is_taken_once_for_ever(spark, tmp_path):
+    ledger, seen = registry.FileLedger(spark, f"file://{tmp_path}/ledger"), []
+    write = lambda df, n: seen.extend((n, r.file_path.rsplit("/", 1)[-1], r.conversation, r.turn_index) for r in df.collect())
+    (tmp_path / "in").mkdir()
+    put = lambda name, text: (tmp_path / "in" / name).write_text(text)
+
+    def run():
+        lines = W.stream_lines(spark, f"file://{tmp_path}/in")
+        lines.writeStream.foreachBatch(ledger.on_batch(write)).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination()
+
+    put("a.jsonl", transcript(1, 4))
+    put("copy.jsonl", transcript(1, 4))
+    put("none.jsonl", "not json\n")
+    run()
+    assert sorted(seen) == [(0, "a.jsonl", c, t) for c in (0, 1) for t in (0, 1)]
+    # days later: the content under another name stays out, a file that gave nothing is judged again, a new one comes in
+    put("later.jsonl", transcript(1, 4))
+    put("none2.jsonl", "not json\n")
+    put("b.jsonl", transcript(2, 2))
+    run()
+    assert sorted(x for x in seen if x[0] == 1) == [(1, "b.jsonl", 0, 0), (1, "b.jsonl", 1, 0)]
+    rows = [(r.path.rsplit("/", 1)[-1], r.conversations, r.batch) for r in ledger.table.read().collect()]
+    assert sorted(rows) == [("a.jsonl", 2, 0), ("b.jsonl", 2, 1)]
+    # the same batch again changes nothing
+    ledger.process(transcripts.numbered_lines(spark, [f"file://{tmp_path}/in/{n}" for n in ("b.jsonl", "later.jsonl")]), 1, write)
+    assert sorted((r.path.rsplit("/", 1)[-1], r.batch) for r in ledger.table.read().collect()) == [("a.jsonl", 0), ("b.jsonl", 1)]
+
+
+def test_held_alert_on_a_stream_equals_the_table(spark, tmp_path):
+    rng = random.Random(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(seconds=6 * i), rng.random() < (0.5 if 200 <= i < 420 or 600 <= i < 640 else 0.01)) for i in range(1000)]
+    schema = "ts timestamp, failed boolean"
+    df = spark.createDataFrame(rows, schema)
+    for k in range(4):
+        spark.createDataFrame(rows[250 * k : 250 * (k + 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(start + dt.timedelta(days=1), False)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    held = W.held_stream(W.error_rate(stream, F.col("failed"), threshold=0.2))
+    q = held.writeStream.format("memory").queryName("held_alerts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(240)
+    want = sorted(tuple(r) for r in W.held(W.error_rate(df, F.col("failed"), threshold=0.2)).collect())
+    got = sorted((r.start, r.end) for r in spark.table("held_alerts").collect())
+    assert want and got == want

@@ -5,24 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import settled
+
 BLOCK = "struct<type: string, text: string, thinking: string, id: string, name: string, input: map<string, string>, tool_use_id: string, content: string>"
 LINE = "type string, timestamp string, message struct<role: string, content: string>, role string, content string"
 #: The parameter of a tool call that is shown, first found.
 SHOWN = ["command", "file_path", "path", "pattern", "query"]
 
 
-def read_transcripts(spark: SparkSession, path: str, project: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(file_path, project, size, modified, line, record fields) of all *.jsonl files below path.
+def numbered_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """(file_path, size, modified, line, raw) of all files below path, of any size: no file is ever in one row or one task.
 
-    Paths with `subagents`, blank lines and lines that are not JSON are left out. The line number orders the
-    lines of a file: a file is one record set, split by a position-aware read of whole files.
+    Files are read in splits. Lines of a split come in their order, so each task numbers those of its splits; the lines
+    before a split are the sum of its file's earlier splits' counts, a table of one row a split. Paths with `subagents`
+    are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
-    files = files.where(~F.contains("path", F.lit("subagents")))
-    files = filter_projects(files.withColumn("directory", F.element_at(F.split("path", "/"), -2)), project, exclude)
-    lines = files.select(F.col("path").alias("file_path"), project_from_path(F.col("directory")).alias("project"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("line", "raw"))
+    meta = F.col("_metadata")
+    text = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    text = text.select(meta["file_path"].alias("file_path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), meta["file_block_start"].alias("start"), F.col("value").alias("raw"))
+    text = text.where(~F.contains("file_path", F.lit("subagents")))
+    counts = settled(text.groupBy("file_path", "start").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("file_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file_path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+    def number(batches):
+        import pyarrow as pa
+
+        seen: dict[tuple, int] = {}
+        for b in batches:
+            keys = zip(b.column("file_path").to_pylist(), b.column("start").to_pylist())
+            places = []
+            for key in keys:
+                places.append(seen.get(key, 0))
+                seen[key] = places[-1] + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.int64())], names=[*b.schema.names, "place"])
+
+    placed = text.mapInArrow(number, "file_path string, size bigint, modified timestamp, start bigint, raw string, place bigint")
+    # a checked size: one short row for each split, some tens of MB at most; beyond it the join shuffles
+    offsets = F.broadcast(offsets) if counts.count() <= 200_000 else offsets
+    return placed.join(offsets, ["file_path", "start"]).select("file_path", "size", "modified", (F.col("offset") + F.col("place")).alias("line"), "raw")
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(file_path, size, modified, line, raw, type, ts, role, content) of lines that are JSON records; blank ones are left out."""
     parsed = lines.where(F.length(F.trim("raw")) > 0).withColumn("r", F.from_json("raw", LINE, {"mode": "PERMISSIVE"})).where(F.try_parse_json("raw").isNotNull() & F.col("r").isNotNull())
-    return parsed.select("file_path", "project", "size", "modified", "line", "r.type", F.col("r.timestamp").alias("ts"), F.coalesce("r.message.role", "r.role", F.when(F.col("r.type").isin("user", "assistant", "system"), F.col("r.type"))).alias("role"), F.coalesce("r.message.content", "r.content").alias("content"))
+    role = F.coalesce("r.message.role", "r.role", F.when(F.col("r.type").isin("user", "assistant", "system"), F.col("r.type")))
+    return parsed.select("file_path", "size", "modified", "line", "raw", "r.type", F.col("r.timestamp").alias("ts"), role.alias("role"), F.coalesce("r.message.content", "r.content").alias("content"))
+
+
+def read_transcripts(spark: SparkSession, path: str, project: str | None = None, exclude: tuple[str, ...] = (), glob: str = "*.jsonl") -> DataFrame:
+    """(file_path, project, size, modified, line, record fields) of the transcripts below path, by the project of their directory."""
+    lines = parsed_lines(numbered_lines(spark, path, glob)).withColumn("directory", F.element_at(F.split("file_path", "/"), -2))
+    lines = filter_projects(lines, project, exclude)
+    return lines.select("file_path", project_from_path(F.col("directory")).alias("project"), "size", "modified", "line", "type", "ts", "role", "content")
+
+
+def content_hashes(lines: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """(file_path, hash): equal for files of equal lines (file_path, line, raw). Chunks of lines are hashed first, then a file's chunks."""
+    joined = lambda c, order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x["h"]), "\n")
+    h = lines.select("file_path", "line", F.sha2("raw", 256).alias("h"), F.floor(F.col("line") / chunk).alias("chunk"))
+    h = h.groupBy("file_path", "chunk").agg(F.sha2(joined("h", "line"), 256).alias("h"))
+    return h.groupBy("file_path").agg(F.sha2(joined("h", "chunk"), 256).alias("hash"))
 
 
 def project_from_path(c: Column) -> Column:
@@ -41,9 +84,8 @@ def filter_projects(df: DataFrame, include: str | None = None, exclude: tuple[st
 
 
 def new_files(files: DataFrame, processed: DataFrame) -> DataFrame:
-    """Files (path, content) whose SHA-256 is not among processed (hash), one path for each hash."""
-    hashed = files.select("path", F.sha2("content", 256).alias("hash"))
-    return hashed.groupBy("hash").agg(F.min("path").alias("path")).join(processed.select("hash"), "hash", "left_anti")
+    """Files (path, hash) whose content hash is not among processed (hash), one path for each hash."""
+    return files.groupBy("hash").agg(F.min("path").alias("path")).join(processed.select("hash").distinct(), "hash", "left_anti")
 
 
 def blocks_of(content: Column) -> Column:
@@ -61,13 +103,17 @@ def flatten_blocks(blocks: Column) -> Column:
 
 
 def parse_messages(lines: DataFrame) -> DataFrame:
-    """(file_path, line, turn_index, role, content, thinking, tool_calls) of user and assistant lines; empty messages are dropped."""
+    """(file_path, line, turn_index, role, content, thinking, tool_calls) of user and assistant lines; empty messages are dropped.
+
+    Turns count within a file, or within a conversation where lines have one (split_conversations).
+    """
+    where = ["file_path", *(c for c in ("conversation",) if c in lines.columns)]
     m = lines.where(F.col("role").isNotNull() & F.col("content").isNotNull()).withColumn("b", blocks_of(F.col("content")))
     thought = F.array_join(F.transform(F.filter("b", lambda b: b["type"] == "thinking"), lambda b: b["thinking"]), "\n\n")
     calls = F.transform(F.filter("b", lambda b: b["type"] == "tool_use"), lambda b: F.struct(b["name"].alias("name"), b["input"].alias("input"), b["id"].alias("tool_use_id")))
-    m = m.select("file_path", "line", "ts", "role", flatten_blocks(F.col("b")).alias("content"), F.when(thought != "", thought).alias("thinking"), calls.alias("tool_calls"), F.transform(F.filter("b", lambda b: b["type"] == "tool_result"), lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), b["content"].alias("result"))).alias("results"))
+    m = m.select(*where, "line", "ts", "role", flatten_blocks(F.col("b")).alias("content"), F.when(thought != "", thought).alias("thinking"), calls.alias("tool_calls"), F.transform(F.filter("b", lambda b: b["type"] == "tool_result"), lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), b["content"].alias("result"))).alias("results"))
     kept = m.where((F.length(F.trim("content")) > 0) | F.col("thinking").isNotNull() | (F.size("tool_calls") > 0))
-    return kept.withColumn("turn_index", F.row_number().over(Window.partitionBy("file_path").orderBy("line")) - 1)
+    return kept.withColumn("turn_index", F.row_number().over(Window.partitionBy(*where).orderBy("line")) - 1)
 
 
 def split_conversations(lines: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .queue import STATE_STORE
 
 LATE = "1 hour"
 
@@ -17,39 +20,6 @@ def stream_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value").where(~F.contains("file_path", F.lit("subagents")) & (F.length(F.trim("value")) > 0))
 
 
-def register_once(files: DataFrame, time: str = "modified") -> DataFrame:
-    """Files (hash, modified, ...) of a stream, each content hash once."""
-    return files.withWatermark(time, LATE).dropDuplicatesWithinWatermark(["hash"])
-
-
-def session_batches(messages: DataFrame, size: int = 10, wait_ms: int = 2000) -> DataFrame:
-    """(session, batch, n, first_id, last_id): messages (session, id) flushed at `size` or after `wait_ms` without a message.
-
-    Batch numbers of a session go on after a flush by time: the state keeps the next number.
-    """
-
-    def flush(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch, ids = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        out = []
-        if state.hasTimedOut:
-            if ids:
-                out.append((key[0], batch, len(ids), ids[0], ids[-1]))
-            state.update((batch + bool(ids), []))
-        else:
-            for p in pdfs:
-                ids += p["id"].tolist()
-            ids.sort()
-            while len(ids) >= size:
-                out.append((key[0], batch, size, ids[0], ids[size - 1]))
-                batch, ids = batch + 1, ids[size:]
-            state.update((batch, ids))
-            if ids:
-                state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame(out, columns=["session", "batch", "n", "first_id", "last_id"])
-
-    return messages.select("session", "id").groupBy("session").applyInPandasWithState(flush, "session long, batch long, n long, first_id long, last_id long", "batch long, ids array<long>", "append", "ProcessingTimeTimeout")
-
-
 def gap_sessions(messages: DataFrame, key: str, time: str = "ts", gap: str = "10 minutes") -> DataFrame:
     """(key, start, end, n): runs of messages without a gap; works on streams and tables."""
     m = messages.withWatermark(time, LATE) if messages.isStreaming else messages
@@ -74,6 +44,41 @@ def held(windows: DataFrame, minutes: int = 5) -> DataFrame:
     return need.join(bad, "s").groupBy("start", "end").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == minutes).select("start", "end")
 
 
+class _Run(StatefulProcessor):
+    """Per key the start of the last window and how many windows in a row, each a step after the one before, were in breach."""
+
+    def __init__(self, windows: int, step: int):
+        self.windows, self.step = windows, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", "last bigint, n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, n = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        for start, end, breach in sorted({r for f in rows for r in zip(f["start"], f["end"], f["breach"])}):
+            at = int(start.timestamp())
+            n = (n + 1 if last == at - self.step else 1) if breach else 0
+            last = at
+            if n >= self.windows:
+                out.append((key[0], start, end))
+        self.state.update((last, n))
+        yield pd.DataFrame(out, columns=["key", "start", "end"])
+
+    def close(self) -> None:
+        pass
+
+
+def held_stream(windows: DataFrame, key: Column | None = None, minutes: int = 5, step: int = 60) -> DataFrame:
+    """(key, start, end) of held() on a stream of closed windows (start, end, breach): state is one run a key.
+
+    A window's watermark closes it before a later one, so windows of a key arrive in order from batch to batch.
+    """
+    windows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    keyed = windows.select((F.lit("") if key is None else key).cast("string").alias("key"), "start", "end", F.coalesce("breach", F.lit(False)).alias("breach"))
+    return keyed.groupBy("key").transformWithStateInPandas(_Run(minutes, step), "key string, start timestamp, end timestamp", "Append", "None")
+
+
 def latency_alert(events: DataFrame, value: str, time: str = "ts", p: float = 0.95, bound: float = 1.0, size: str = "5 minutes") -> DataFrame:
     return _windowed(events, time, size, None, quantile=F.percentile_approx(value, p, 10_000)).withColumn("breach", F.col("quantile") > bound)
 
@@ -90,17 +95,3 @@ def absence_alert(events: DataFrame, wanted: Column, related: Column, time: str
 def notify_once(notifications: DataFrame, time: str = "created_at") -> DataFrame:
     """Each (type, user, subject) of a stream once within the watermark."""
     return notifications.withWatermark(time, LATE).dropDuplicatesWithinWatermark(["type", "user_id", "subject"])
-
-
-def on_new_decisions(derive: Callable[[DataFrame, int], dict[str, DataFrame]], write: Callable[[str, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: derives edge tables from a batch of decisions and hands each to `write` with the batch's number."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        kept = batch.persist()
-        try:
-            for name, rows in derive(kept, epoch).items():
-                write(name, rows, epoch)
-        finally:
-            kept.unpersist()
-
-    return run
