@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
+from thoughtloom.operators import containment, graph, integrity, rules
 from thoughtloom.operators import search as S
 from thoughtloom.sources import transcripts
 from thoughtloom.streaming import fanout, queue, registry
@@ -274,3 +275,113 @@ def test_held_alert_on_a_stream_equals_the_table(spark, tmp_path):
     want = sorted(tuple(r) for r in W.held(W.error_rate(df, F.col("failed"), threshold=0.2)).collect())
     got = sorted((r.start, r.end) for r in spark.table("held_alerts").collect())
     assert want and got == want
+
+
+# ---- cycles, overlaps, containment
+
+
+def brute_cycles(edges, depth):
+    out = {}
+    step = {}
+    for a, b in set(edges):
+        if a != b:
+            step.setdefault(a, []).append(b)
+
+    def walk(path):
+        for b in step.get(path[-1], []):
+            if b == path[0] and len(path) > 1:
+                key = tuple(sorted(path))
+                out[key] = min(out.get(key, tuple(path)), tuple(path))
+            elif b > path[0] and b not in path and len(path) < depth:
+                walk([*path, b])
+
+    for a in step:
+        walk([a])
+    return {(nodes, len(nodes)) for nodes in out.values()}
+
+
+def test_cycles_of_every_depth_equal_brute_force(spark):
+    rng = random.Random(8)
+    ring = [(i, (i + 1) % 20) for i in range(20)]  # a cycle of 20 with chords
+    chords = [(rng.randrange(20), rng.randrange(20)) for _ in range(6)]
+    apart = [(100 + a, 100 + b) for a, b in [(0, 1), (1, 2), (2, 3), (3, 0), (2, 0), (4, 5)]] + [(7, 107), (107, 108), (108, 9), (30, 30)]
+    edges = ring + chords + apart
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    for depth in (4, 20):
+        want = brute_cycles(edges, depth)
+        got = {(tuple(r.nodes), r.length) for r in integrity.find_cycles(df, depth, None).collect()}
+        assert got == want
+    assert any(n == 20 for _, n in want) and len({n for _, n in want}) > 5
+
+
+def test_layers_between_two_cycles_are_not_walked(spark):
+    """15 full layers of 6 nodes hold 6^15 walks from one 2-cycle to the other, and no cycle."""
+    edges = [(0, 1), (1, 0), (900, 901), (901, 900)]
+    layer = lambda k: [10 * k + j for j in range(1, 7)]
+    edges += [(1, x) for x in layer(1)] + [(x, 900) for x in layer(15)]
+    edges += [(x, y) for k in range(1, 15) for x in layer(k) for y in layer(k + 1)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    inside = integrity.strong_components(df.withColumn("rel", F.lit("")))
+    assert sorted((r.src, r.dst) for r in inside.collect()) == [(0, 1), (1, 0), (900, 901), (901, 900)]
+    assert sorted(tuple(r.nodes) for r in integrity.find_cycles(df, 20, None).collect()) == [(0, 1), (900, 901)]
+
+
+def test_overlap_join_of_a_hub(spark):
+    rng = random.Random(3)
+    rows = sorted({(d, 0) for d in range(300) if d % 3} | {(d, rng.randrange(1, 200)) for d in range(300) for _ in range(5)} | {(d, 5 + d % 2) for d in range(6)})
+    df = spark.createDataFrame(rows + rows[:50], "src bigint, dst bigint")
+    own = {}
+    for d, e in rows:
+        own.setdefault(d, set()).add(e)
+    for least in (1, 2, 3):
+        want = {(a, b, len(own[a] & own[b])) for a in own for b in own if a < b and len(own[a] & own[b]) >= least}
+        assert {tuple(r) for r in graph.shared_entity_pairs(df, least).collect()} == want
+    met = graph.overlap_index(df.distinct(), 2).groupBy("dst").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0]
+    everything = df.distinct().groupBy("dst").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0]
+    assert met < 0.25 * everything
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc d") for _ in range(rng.randint(0, 7)))
+    needles, texts = [(rng.randrange(3), word()) for _ in range(150)], [(rng.randrange(3), word() + word()) for _ in range(150)]
+    got = containment.containing(spark.createDataFrame(needles, "g int, needle string"), spark.createDataFrame([*texts, (1, None)], "g int, text string"), ["g"])
+    assert sorted(map(tuple, got.collect())) == sorted({(g, n, t) for g, n in needles for h, t in texts if g == h and n and n in t})
+
+
+def test_dormant_alternatives_with_follows(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, 1, day(0), 0.5, "Use Redis"), (2, 1, day(5), 0.5, "KAFKA streams"), (3, 1, day(9), None, "no"), (4, 2, day(9), 0.5, "kafka"), (5, 1, day(1), 0.5, None), (6, 1, day(2), 0.5, "")]
+    d = spark.createDataFrame(rows, "id bigint, user_id bigint, created_at timestamp_ntz, confidence double, agent_decision string")
+    c = spark.createDataFrame([("a", 1, "Kafka"), ("b", 1, "no sql at all"), ("c", 1, "Pulsar"), ("d", 2, "kafka"), ("e", 2, "note")], "id string, decision_id bigint, text string")
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    plain = {r.id for r in rules.dormant_alternatives(c, d, at).collect()}
+    assert plain == {"c", "d"}
+    follows = spark.createDataFrame([(1, 2), (2, 1)], "src bigint, dst bigint")
+    assert {r.id for r in rules.dormant_alternatives(c, d, at, follows=follows).collect()} == {"c", "d", "e"}
+    plan = rules.dormant_alternatives(c, d, at)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Contains(chosen" not in plan
+
+
+def test_budget_over_ranges(spark):
+    rows = [(g, i, (i * 7) % 23) for g in (1, 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, i int, n int").repartition(6)
+    got = sorted((r.g, r.i, r.spent) for r in rules.within_budget(df, ["g"], [F.col("i")], F.col("n") * 4, 1000).collect())
+    want = []
+    for g in (1, 2):
+        spent = 0
+        for i in range(500):
+            spent += (i * 7) % 23
+            if spent <= 1000:
+                want.append((g, i, spent))
+    assert got == want
+
+
+def test_delete_project(spark):
+    d = spark.createDataFrame([(1, 1, "p"), (2, 2, "p"), (3, 1, "q"), (4, 1, None)], "id bigint, user_id bigint, project_name string")
+    e = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id bigint, name string")
+    rows = [(1, 1, "INVOLVES"), (2, 2, "INVOLVES"), (3, 2, "INVOLVES"), (4, 4, "INVOLVES"), (1, 2, "IS_A"), (2, 4, "IS_A"), (1, 3, "SIMILAR_TO"), (3, 4, "SIMILAR_TO"), (4, 2, "CONTRADICTS")]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, rel string")
+    left, kept, still = integrity.delete_project(d, e, edges, "p", spark.createDataFrame([(3,)], "id bigint"))
+    assert sorted(r.id for r in left.collect()) == [3, 4] and sorted(r.id for r in kept.collect()) == [2, 3, 4]
+    assert sorted(map(tuple, still.collect())) == [(2, 4, "IS_A"), (3, 2, "INVOLVES"), (3, 4, "SIMILAR_TO"), (4, 4, "INVOLVES")]

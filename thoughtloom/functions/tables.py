@@ -19,17 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, so that a loop's plan stays as small as one of its rounds.
+
+    A checkpoint would keep the constraints of all rounds in the plan, which the optimiser then multiplies.
+    """
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class BatchTable:
     """A table of numbered batches, one folder each: writing a number again replaces it, so a replay changes nothing."""
 

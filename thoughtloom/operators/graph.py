@@ -96,10 +96,29 @@ def node_details(decisions: DataFrame, entities: DataFrame, edges: DataFrame) ->
 
 
 def shared_entity_pairs(involves: DataFrame, min_shared: int = 1) -> DataFrame:
-    """(a, b, shared) of decisions a < b. A hub's pairs grow with the square of its degree; AQE splits its partition."""
+    """(a, b, shared) of decisions a < b. A hub's pairs grow with the square of its degree where one shared entity is enough.
+
+    For more, decisions meet in all but the min_shared - 1 most frequent of their entities: of the entities that a pair
+    shares, in the order of frequency, the first has as many after it in both. Each pair is judged where that first one
+    is met, by the lists of entities that travel with the decisions, so nothing is counted after the join.
+    """
     i = involves.select("src", "dst").distinct()
-    pairs = i.select(F.col("src").alias("a"), "dst").join(i.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
+    if min_shared == 1:
+        pairs = i.select(F.col("src").alias("a"), "dst").join(i.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    index = overlap_index(i, min_shared)
+    met = index.toDF("dst", "a", "of_a").join(index.toDF("dst", "b", "of_b"), "dst").where("a < b")
+    common = F.array_intersect("of_a", "of_b")
+    met = met.select("a", "b", "dst", common.alias("common")).where((F.size("common") >= min_shared) & (F.get("common", F.lit(0)) == F.col("dst")))
+    return met.select("a", "b", F.size("common").cast("bigint").alias("shared"))
+
+
+def overlap_index(involves: DataFrame, min_shared: int) -> DataFrame:
+    """(dst, src, all): each decision under its entities but the min_shared - 1 most frequent; all of them, the rarest first."""
+    degree = involves.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
+    lists = involves.join(degree, "dst").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("degree", "dst"))).alias("x"))
+    lists = lists.where(F.size("x") >= min_shared).select("src", F.transform("x", lambda e: e["dst"]).alias("all"))
+    return lists.select(F.explode(F.slice("all", F.lit(1), F.size("all") - (min_shared - 1))).alias("dst"), "src", "all")
 
 
 def influenced_by(decisions: DataFrame, involves: DataFrame, min_shared: int = 2) -> DataFrame:

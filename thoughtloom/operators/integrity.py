@@ -7,24 +7,65 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
 from ..functions.tables import settled
-from .graph import ENTITY_RELS, of, symmetric
+from .graph import ENTITY_RELS, induced, of, symmetric
 from .resolve import duplicate_pairs
 
+#: Relationships that keep an entity when a project is removed.
+PROJECT_LINKS = ["INVOLVES", "SIMILAR_TO", "INFLUENCED_BY", "SUPERSEDES", "CONTRADICTS"]
 CYCLIC = ["DEPENDS_ON", "REQUIRES", "PART_OF", "IS_A", "REFINES"]
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Edges (rel, src, dst) that can lie on a cycle of one rel: nodes without an edge in or out go, round by round."""
+def cyclic_core(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges (rel, src, dst) without those of dead ends: nodes without an edge in or out go, a few rounds of it."""
     e = settled(edges.where("src <> dst").select("rel", "src", "dst").distinct())
-    n = e.count()
     for _ in range(rounds):
         into, out_of = e.select("rel", F.col("dst").alias("src")).distinct(), e.select("rel", F.col("src").alias("dst")).distinct()
-        e = settled(e.join(out_of, ["rel", "dst"], "left_semi").join(into, ["rel", "src"], "left_semi").select("rel", "src", "dst"))
+        e = e.join(out_of, ["rel", "dst"], "left_semi").join(into, ["rel", "src"], "left_semi").select("rel", "src", "dst")
+    return settled(e)
+
+
+def _reach_labels(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(rel, id, f, b): of all nodes that reach a node, and of all that it reaches, those first in the order of hashes.
+
+    In a round a node takes the first label of its neighbours and then the label that this label's own node has, which
+    reaches it as well; so distances halve.
+    """
+    nodes = edges.select("rel", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    label = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
+    now = settled(nodes.select("rel", "id", label.alias("f"), label.alias("b")))
+    for _ in range(rounds):
+        ends = lambda mine, other, name: now.select("rel", F.col("id").alias(other), F.col(name).alias("x")).join(edges, ["rel", other]).select("rel", F.col(mine).alias("id"), F.col("x").alias(name))
+        told = ends("dst", "src", "f").unionByName(ends("src", "dst", "b"), allowMissingColumns=True)
+        told = told.unionByName(now.select("rel", "id", "f", "b", F.col("f").alias("old_f"), F.col("b").alias("old_b")), allowMissingColumns=True)
+        told = settled(told.groupBy("rel", "id").agg(*[F.min(c).alias(c) for c in ("f", "b", "old_f", "old_b")]))
+        of = lambda name: told.select("rel", F.col("id").alias(f"{name}_id"), F.col(name).alias(f"{name}_next"))
+        hop = told.withColumns({"f_id": F.col("f.id"), "b_id": F.col("b.id")}).join(of("f"), ["rel", "f_id"]).join(of("b"), ["rel", "b_id"])
+        new = settled(hop.select("rel", "id", F.least("f", "f_next").alias("f"), F.least("b", "b_next").alias("b"), "old_f", "old_b"))
+        now = new.select("rel", "id", "f", "b")
+        if new.where("f <> old_f OR b <> old_b").isEmpty():
+            return now
+    raise RuntimeError("labels did not settle")
+
+
+def strong_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """Edges (rel, src, dst, component) inside strongly connected components of a rel.
+
+    An edge stays while both its ends have the same first node before them and the same first node after them. Where
+    no edge goes any more, the first node of a piece reaches all of it and is reached by all of it.
+    """
+    e = cyclic_core(edges)
+    n = e.count()
+    for _ in range(rounds):
+        if not n:
+            return e.withColumn("component", F.col("src"))
+        labels = _reach_labels(e)
+        end = lambda c: labels.select("rel", F.col("id").alias(c), F.struct("f", "b").alias(f"{c}_label"))
+        e = settled(e.join(end("src"), ["rel", "src"]).join(end("dst"), ["rel", "dst"]).where("src_label = dst_label").select("rel", "src", "dst", F.col("src_label.f.id").alias("component")))
         m = e.count()
-        if m in (0, n):
-            break
-        n = m
-    return e
+        if m == n:
+            return e
+        n, e = m, e.select("rel", "src", "dst")
+    raise RuntimeError("components did not settle")
 
 
 def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) -> DataFrame:
@@ -32,28 +73,47 @@ def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) ->
 
     Edges without a column rel count as one rel. `most` is the size of the report: the shortest cycles of each rel, the
     least nodes of equals; a rel is walked only until it has them, so a dense graph is not walked to its end. None
-    reports all, whose number can grow as the branching to the power of the depth. Walks start at every node of the
-    cyclic core and visit greater nodes only, so a cycle is met once in each direction that it has.
+    reports all, whose number can grow as the branching to the power of the depth. Walks stay in a strongly connected
+    component, start at every node and visit greater nodes only, so a cycle is met once in each direction that it has.
+    With each step of the walks, the nodes from which a start can be reached are extended by a step backwards, too; as
+    soon as these distances cover what is left of the depth, walks that cannot return in time end.
     """
-    core = cyclic_core(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit("")))
+    core = strong_components(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit(""))).select("rel", "src", "dst")
     step = core.select("rel", F.col("src").alias("at"), F.col("dst").alias("to"))
     walk = core.where("dst > src").select("rel", F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"))
-    rank = Window.partitionBy("rel").orderBy("length", "nodes")
-    found = None
+    back = core.where("src > dst").select("rel", F.col("dst").alias("first"), F.col("src").alias("at"), F.lit(1).alias("home"))
+    homes = newest = settled(back)
+    first_of = Window.partitionBy("rel").orderBy("nodes")
+    found, have = None, {}  # have: cycles of a relationship so far
     for length in range(2, max_depth + 1):
         closed = walk.join(step, ["rel", "at"]).where("to = first").groupBy("rel", F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes"))
         closed = closed.select("rel", "nodes", F.lit(length).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
         if most is not None:
-            found = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).drop("r")
-        found = settled(found)
+            # shorter cycles go first, so a length adds what the lengths before it left open
+            left = F.lit(most)
+            for rel, n in have.items():
+                left = F.when(F.col("rel") == rel, F.lit(most - n)).otherwise(left)
+            closed = closed.withColumn("r", F.row_number().over(first_of)).where(F.col("r") <= left).drop("r")
+        closed = settled(closed)
+        found = closed if found is None else found.unionByName(closed)
         if length == max_depth:
             break
         if most is not None:
-            full = found.groupBy("rel").count().where(F.col("count") >= most)
-            walk = walk.join(full, "rel", "left_anti")
+            for r in closed.groupBy("rel").count().collect():  # one row a relationship
+                have[r.rel] = have.get(r.rel, 0) + r["count"]
+            full = [rel for rel, n in have.items() if n >= most]
+            walk = walk.where(~F.col("rel").isin(full)) if full else walk
         longer = walk.join(step, ["rel", "at"]).where("to > first").where(~F.array_contains("nodes", F.col("to")))
-        walk = settled(longer.select("rel", "first", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes")))
+        longer = longer.select("rel", "first", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"))
+        # `length` edges are walked after this step, and max_depth - length may follow
+        if length <= max_depth - length:
+            wider = newest.join(step.select("rel", F.col("to").alias("at"), F.col("at").alias("from")), ["rel", "at"]).where("from > first")
+            wider = wider.select("rel", "first", F.col("from").alias("at"), F.lit(length).alias("home")).distinct().join(homes.select("rel", "first", "at"), ["rel", "first", "at"], "left_anti")
+            newest = settled(wider.join(walk.select("rel", "first").distinct(), ["rel", "first"], "left_semi"))
+            homes = homes.unionByName(newest)
+        else:
+            longer = longer.join(homes.where(F.col("home") <= max_depth - length).select("rel", "first", "at"), ["rel", "first", "at"], "left_semi")
+        walk = settled(longer)
         if walk.isEmpty():
             break
     return found
@@ -136,13 +196,28 @@ def delete_where(decisions: DataFrame, entities: DataFrame, edges: DataFrame, go
     """(decisions, entities, edges) without the decisions `gone` (id), their edges, and entities that nothing involves any more."""
     g = gone.select("id").distinct()
     d = decisions.join(g, "id", "left_anti")
-    e = edges.join(g.withColumnRenamed("id", "src"), "src", "left_anti")
-    between = e.where(~F.col("rel").isin("INVOLVES", *ENTITY_RELS)).join(g.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    e = e.where(F.col("rel").isin("INVOLVES", *ENTITY_RELS)).unionByName(between)
+    src, dst = (g.withColumnRenamed("id", c) for c in ("src", "dst"))
+    of_decisions = edges.where(~F.col("rel").isin(ENTITY_RELS)).join(src, "src", "left_anti")
+    between = of_decisions.where("rel <> 'INVOLVES'").join(dst, "dst", "left_anti")
+    e = of(edges, *ENTITY_RELS).unionByName(of(of_decisions, "INVOLVES")).unionByName(between)
     kept = entities.join(of(e, "INVOLVES").select(F.col("dst").alias("id")), "id", "left_semi")
     return d, kept, e
 
 
+def delete_project(decisions: DataFrame, entities: DataFrame, edges: DataFrame, project: str, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, entities, edges) without the decisions of a project, of all tenants, and all their edges.
+
+    Entities go with theirs that no edge of PROJECT_LINKS has any more: INVOLVES among edges, and `linked` (id) where
+    others of these join entities.
+    """
+    gone = decisions.where(F.col("project_name") == project).select("id")
+    d, _, e = delete_where(decisions, entities, edges, gone)
+    still = of(e, "INVOLVES").select(F.col("dst").alias("id"))
+    kept = entities.join(still if linked is None else still.union(linked.select("id")), "id", "left_semi")
+    between = induced(kept, of(e, *ENTITY_RELS)).select(*e.columns)
+    return d, kept, e.where(~F.col("rel").isin(ENTITY_RELS)).unionByName(between)
+
+
 def delete_entities(ids: DataFrame, entities: DataFrame, involves: DataFrame, decisions: DataFrame, user_id: int, force: bool = False) -> DataFrame:
     """(id, outcome): not_found, blocked_other_tenant, blocked_linked or deleted."""
     own = F.col("user_id") == user_id

@@ -137,10 +137,18 @@ def name_candidates(left: DataFrame, right: DataFrame, percent: float, same: boo
     return x.join(y, "key").where("a < b" if same else "true").where((most >= 0) & F.coalesce(placed, F.lit(True))).select("a", "b")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool = False) -> DataFrame:
-    """(a, b, ratio) of names that reach the ratio: candidates by rare grams, a bounded edit distance, then the exact ratio."""
+def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool = False, reach: DataFrame | None = None) -> DataFrame:
+    """(a, b, ratio) of names that reach the ratio: candidates by rare grams, a bounded edit distance, then the exact ratio.
+
+    reach (a, reach): greater ratios that single names of the left ask for.
+    """
     near = name_candidates(left, right, percent, same).where(may_reach("a", "b", percent)).distinct()
-    return near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= percent - 1e-9)
+    least = F.lit(float(percent))
+    if reach is not None:
+        # the edit distance is never over that of insertions and deletions alone
+        near = near.join(reach, "a").where(F.levenshtein("a", "b") <= (1 - F.col("reach") / 100 + 1e-9) * (F.length("a") + F.length("b")))
+        least = F.col("reach")
+    return near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= least - 1e-9).select("a", "b", "ratio")
 
 
 def match_alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -181,7 +189,7 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     vectors = "embedding" in mentions.columns and "embedding" in entities.columns
     own = F.lit(0) if user_id is None else F.when(F.col("user_id").eqNullSafe(F.lit(user_id)), 0).otherwise(1)
     e = entities.withColumn("place", own)
-    asked = mentions.where(fold("mention") != "").groupBy(*who).agg(*([F.min("embedding").alias("embedding")] if vectors else [F.lit(None).alias("embedding")]))
+    asked = mentions.where(fold("mention") != "").groupBy(*who).agg(*([F.min("embedding").alias("embedding")] if vectors else [F.lit(None).cast("array<float>").alias("embedding")]))
     kind = F.col("type") if "type" in who else F.lit(None).cast("string")
     asked = asked.withColumns({"least": 100 * thresholds(kind) if percent is None else F.lit(float(percent)), "least_cosine": thresholds(kind, True) if percent is None else F.lit(OTHER_THRESHOLDS[1])})
     asked = settled(asked.withColumn("m", F.monotonically_increasing_id()))
@@ -203,7 +211,8 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 
     left = asked.join(by_key, "m", "left_anti")
     least = percent if percent is not None else 100 * min(t for t, _ in THRESHOLDS.values())
-    pairs = fuzzy_pairs(left.select(F.col("mention").alias("name")), e.select("name"), least)
+    reach = left.groupBy(fold("mention").alias("a")).agg(F.min("least").alias("reach"))
+    pairs = fuzzy_pairs(left.select(F.col("mention").alias("name")), e.select("name"), least, reach=reach)
     firsts = e.select(fold("name").alias("b"), "place", "id").groupBy("b", "place").agg(F.min("id").alias("id"))
     near = pairs.join(left.select("m", "least", fold("mention").alias("a")), "a").where(F.col("ratio") >= F.col("least") - 1e-9).join(firsts, "b")
     by_name = settled(best(near.withColumn("score", F.col("ratio") / 100), "fuzzy"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_between, find_all, fold, half_even, words
+from ..functions.tables import settled
+from .containment import containing
 
 #: Days until a decision of a scope is overdue for review.
 STALE_DAYS = {"strategic": 730, "architectural": 180, "library": 90, "config": 30, "operational": 14}
@@ -32,13 +34,26 @@ def rejected_candidates(decisions: DataFrame) -> DataFrame:
     return o.select(F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("pos").cast("string")), 256).alias("id"), F.col("id").alias("decision_id"), F.trim("option").alias("text"))
 
 
-def dormant_alternatives(candidates: DataFrame, decisions: DataFrame, as_of: Column, min_days: int = 14, limit: int | None = 20, places: int = 3) -> DataFrame:
-    """Rejected options that no later decision of the user took up (neither text holds the other)."""
+def dormant_alternatives(candidates: DataFrame, decisions: DataFrame, as_of: Column, min_days: int = 14, limit: int | None = 20, places: int = 3, follows: DataFrame | None = None) -> DataFrame:
+    """Rejected options that no later decision of the user took up (neither text holds the other).
+
+    follows (src, dst): with it, an option whose decision FOLLOWS no later decision is dormant whatever the texts say.
+    """
     d = decisions.select(F.col("id").alias("decision_id"), "user_id", "created_at", "confidence")
-    c = candidates.join(d, "decision_id").withColumn("days", days_between(as_of, F.col("created_at"))).where(F.col("days") >= min_days)
-    later = decisions.select(F.col("user_id").alias("u"), F.col("created_at").alias("t"), F.lower("agent_decision").alias("chosen")).where("chosen IS NOT NULL AND chosen <> ''")
-    option = F.lower("text")
-    c = c.join(later, (F.col("user_id") == F.col("u")) & (F.col("t") > F.col("created_at")) & (F.contains("chosen", option) | F.contains(option, F.col("chosen"))), "left_anti")
+    c = candidates.join(d, "decision_id").withColumn("days", days_between(as_of, F.col("created_at"))).where(F.col("days") >= min_days).withColumn("option", F.lower("text"))
+    later = decisions.where("agent_decision <> ''").groupBy("user_id", F.lower("agent_decision").alias("chosen")).agg(F.max("created_at").alias("last"))
+    options, choices = c.select("user_id", "option").distinct(), later.select("user_id", "chosen")
+    inside = containing(options.withColumnRenamed("option", "needle"), choices.withColumnRenamed("chosen", "text"), ["user_id"]).toDF("user_id", "option", "chosen")
+    around = containing(choices.withColumnRenamed("chosen", "needle"), options.withColumnRenamed("option", "text"), ["user_id"]).toDF("user_id", "chosen", "option")
+    met = inside.unionByName(around).join(later, ["user_id", "chosen"]).groupBy("user_id", "option").agg(F.max("last").alias("last"))
+    c = c.join(met, ["user_id", "option"], "left")
+    revisited = F.col("last") > F.col("created_at")
+    if follows is not None:
+        at = decisions.select("id", "created_at")
+        ahead = follows.join(at.toDF("src", "from"), "src").join(at.toDF("dst", "to"), "dst").where("to > from").select(F.col("src").alias("decision_id"), F.lit(True).alias("ahead")).distinct()
+        c = c.join(ahead, "decision_id", "left")
+        revisited = revisited & F.coalesce("ahead", F.lit(False))
+    c = c.where(~F.coalesce(revisited, F.lit(False)))
     score = half_even(0.6 * F.least(F.col("days") / 365, F.lit(1.0)) + 0.4 * (1 - F.coalesce("confidence", F.lit(0.7))), places)
     out = c.select("id", "decision_id", "text", "days", score.alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
@@ -95,24 +110,41 @@ def assumption_violations(decisions: DataFrame, k: int = 50) -> DataFrame:
     a = d.select("id", "user_id", "last_equal", F.explode("assumptions").alias("assumption")).where(F.length(F.trim("assumption")) >= 5)
     text = F.concat_ws(" ", F.coalesce("trigger", F.lit("")), F.coalesce("context", F.lit("")), F.coalesce("agent_decision", F.lit("")))
     later = d.select("user_id", F.col("n").alias("m"), F.col("id").alias("later_id"), text.alias("later_text"))
-    pairs = a.join(later, "user_id").where((F.col("m") > F.col("last_equal")) & (F.col("m") <= F.col("last_equal") + k))
+    # the next k places of a user lie in two stretches of k places
+    stretch = lambda c: F.floor(c / k)
+    a = a.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("last_equal") + 1), stretch(F.col("last_equal") + k)))))
+    pairs = a.join(later.withColumn("stretch", stretch(F.col("m"))), ["user_id", "stretch"]).where((F.col("m") > F.col("last_equal")) & (F.col("m") <= F.col("last_equal") + k))
     hits = pairs.withColumn("confidence", contradiction(F.col("assumption"), F.col("later_text"))).where("confidence IS NOT NULL")
     return hits.groupBy("id", "assumption").agg(F.min(F.struct("m", "later_id", "confidence")).alias("x")).select("id", "assumption", "x.later_id", "x.confidence")
 
 
 def alert_violations(decisions: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(id, assumption, alert): two shared longer words, or the only one of a short assumption."""
+    """(id, assumption, alert): two shared longer words, or the only one of a short assumption. Words meet alerts through their rarest run of characters."""
     a = decisions.select("id", "project_name", F.explode("assumptions").alias("assumption"))
     a = a.withColumn("keys", F.filter(F.array_distinct(words(F.lower("assumption"))), lambda w: (F.length(w) > 4) & ~w.isin(STOP_WORDS)))
-    j = a.join(alerts.select("project_name", "alert", F.lower("text").alias("t")), "project_name")
-    n = F.size(F.filter("keys", lambda w: F.contains(F.col("t"), w)))
-    return j.where((n >= 2) | ((F.size("keys") == 1) & (n == 1))).select("id", "assumption", "alert")
+    asked = a.select("id", "project_name", "assumption", F.size("keys").alias("keys"), F.explode("keys").alias("needle")).distinct()
+    texts = alerts.select("project_name", "alert", F.lower("text").alias("text"))
+    met = asked.join(containing(asked, texts, ["project_name"]), ["project_name", "needle"]).join(texts, ["project_name", "text"])
+    n = met.groupBy("id", "assumption", "keys", "alert").agg(F.countDistinct("needle").alias("n"))
+    return n.where("n >= 2 OR (keys = 1 AND n = 1)").select("id", "assumption", "alert")
 
 
 def within_budget(df: DataFrame, by: list[str], order: list[Column], chars: Column, budget: int) -> DataFrame:
-    """Ranked rows of each group while the running sum of a quarter of their characters stays in the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(F.floor(chars / 4)).over(w)).where(F.col("spent") <= budget)
+    """Ranked rows of each group while the running sum of a quarter of their characters stays in the budget.
+
+    Rows are dealt in ranges of (group, order); a row's sum is that of its range up to it, and that of the group's
+    ranges before it, one number each. So a group of any size is spread over tasks. `order` must tell all rows apart.
+    """
+    cost = df.withColumn("cost", F.floor(chars / 4).cast("bigint"))
+    dealt = settled(cost.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "range").agg(F.sum("cost").alias("all"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("offset", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    # ranges that begin beyond the budget hold no row that stays
+    kept = dealt.join(sums.where(F.col("offset") <= budget), [*by, "range"])
+    inside = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    spent = kept.withColumn("spent", F.col("offset") + F.sum("cost").over(inside))
+    return spent.where(F.col("spent") <= budget).drop("cost", "range", "offset")
 
 
 def truncate_recent(messages: DataFrame, chars: int) -> DataFrame:

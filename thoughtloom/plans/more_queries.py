@@ -200,6 +200,12 @@ query("e15_entity_suggestion", "WITH m AS (SELECT DISTINCT lower(substr(p_name,
 _TYPES = ["technology", "concept", "pattern", "system", "person", "organization"]
 
 
+def _flagged(rows, found, name):
+    """rows with a column that tells whether found has their keys."""
+    keys = rows.columns
+    return rows.join(found.select(*keys, F.lit(True).alias(name)).distinct(), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def _typed(s, d):
     pick = lambda c, m: F.element_at(F.array(*map(F.lit, _TYPES)), (F.col(c) % m + 1).cast("int"))
     rel = F.element_at(F.array(*map(F.lit, ["IS_A", "PART_OF", "DEPENDS_ON", "ENABLES", "SUPERSEDES", "NEAR"])), ((F.col("src") + F.col("dst")) % 6 + 1).cast("int"))
@@ -253,9 +259,10 @@ query(
         "related",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )(lambda s, d: (lambda g: V.dependency_paths(_asked_paths(g), g).select("src", "dst", "length"))(B.related(s, d)))
-query("v03_orphan_entities", sql("SELECT id FROM entities WHERE id IN (SELECT dst FROM involves) AND id NOT IN (SELECT src FROM related WHERE src % 2 = 0 UNION SELECT dst FROM related WHERE src % 2 = 0)", "entities", "involves", "related"))(
-    lambda s, d: (lambda e: V.orphan_entities(B.entities(s, d), e.where("rel <> 'RELATED_TO' OR src % 2 = 0")).select("id"))(B.edges(s, d))
-)
+query(
+    "v03_orphan_entities",
+    sql("SELECT id, id IN (SELECT dst FROM involves) AND id NOT IN (SELECT src FROM related UNION SELECT dst FROM related) AS orphan FROM entities", "entities", "involves", "related"),
+)(lambda s, d: _flagged(B.entities(s, d).select("id"), V.orphan_entities(B.entities(s, d), B.edges(s, d)), "orphan"))
 query("v04_low_confidence_edges", sql("SELECT src, dst, rel, confidence FROM edges WHERE confidence < 0.5 AND src IN (SELECT id FROM decisions) ORDER BY confidence, src, dst LIMIT 50", "edges", "decisions"))(lambda s, d: V.low_confidence_edges(B.decisions(s, d), B.edges(s, d)))
 query("v05_duplicate_pairs", f"WITH {_NAMES}, {_NEAR}, {_DUPLICATES} SELECT a, b, ratio, severity FROM dup")(lambda s, d: E.duplicate_pairs(B.entities(s, d), _aliases(s, d)))
 query("v06_missing_embeddings", "SELECT kind, count(*) AS missing FROM (SELECT 'decision' AS kind, vec_id FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'entity', vec_id FROM embeddings WHERE vec_id % 5 = 0) GROUP BY 1")(
@@ -265,7 +272,7 @@ _LOOPED = "o AS (SELECT src, CASE WHEN src % 9 = 0 THEN src ELSE dst END AS dst
 query("v07_self_loops", sql(f", {_LOOPED} SELECT src, dst FROM o WHERE src = dst", "supersedes"))(lambda s, d: V.self_loops(B.supersedes(s, d).withColumn("dst", F.when(F.col("src") % 9 == 0, F.col("src")).otherwise(F.col("dst")))))
 query("v08_wrong_level_edges", sql("SELECT src, dst, 'IS_A' AS rel FROM supersedes WHERE src % 13 = 0 AND src IN (SELECT id FROM decisions) AND dst IN (SELECT id FROM decisions)", "supersedes", "decisions"))(lambda s, d: V.wrong_level_edges(B.decisions(s, d), B.supersedes(s, d).withColumn("rel", F.when(F.col("src") % 13 == 0, "IS_A").otherwise("SUPERSEDES"))))
 query("v09_auto_fix", sql(f", {_LOOPED} SELECT src, dst FROM o WHERE src <> dst", "supersedes"))(lambda s, d: V.auto_fix(B.supersedes(s, d).withColumn("dst", F.when(F.col("src") % 9 == 0, F.col("src")).otherwise(F.col("dst")))))
-query("v11_delete_decisions", sql("SELECT src, dst, rel FROM edges WHERE (rel IN ('INVOLVES', 'RELATED_TO') AND (rel = 'RELATED_TO' OR src % 4 <> 0) AND (rel = 'INVOLVES' OR src NOT IN (SELECT id FROM decisions WHERE id % 4 = 0))) OR (rel IN ('SUPERSEDES', 'CONTRADICTS') AND src % 4 <> 0 AND dst % 4 <> 0)", "edges", "decisions"))(
+query("v11_delete_decisions", sql("SELECT src, dst, rel FROM edges WHERE rel = 'RELATED_TO' OR (rel = 'INVOLVES' AND src % 4 <> 0) OR (rel IN ('SUPERSEDES', 'CONTRADICTS') AND src % 4 <> 0 AND dst % 4 <> 0)", "edges", "decisions"))(
     lambda s, d: V.delete_where(B.decisions(s, d), B.entities(s, d), B.edges(s, d), B.decisions(s, d).where("id % 4 = 0"))[2].select("src", "dst", "rel")
 )
 query(
@@ -279,8 +286,8 @@ query(
 )(lambda s, d: (lambda e: V.delete_entities(e.where("id % 5 = 0").select("id").union(e.where("id % 50 = 0").select(F.col("id") + 10000000)), e, B.involves(s, d), B.decisions(s, d), 7))(B.entities(s, d)))
 query(
     "v13_components",
-    sql(", e AS (SELECT src AS a, dst AS b FROM supersedes WHERE src % 3 <> 0 UNION ALL SELECT dst, src FROM supersedes WHERE src % 3 <> 0), r AS (SELECT o_orderkey AS id, o_orderkey AS c FROM orders UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY 1", "supersedes").replace("WITH ", "WITH RECURSIVE ", 1),
-)(lambda s, d: V.components(B.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), B.supersedes(s, d).where("src % 3 <> 0")))
+    sql(", e AS (SELECT src AS a, dst AS b FROM supersedes UNION ALL SELECT dst, src FROM supersedes), r AS (SELECT o_orderkey AS id, o_orderkey AS c FROM orders UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY 1", "supersedes").replace("WITH ", "WITH RECURSIVE ", 1),
+)(lambda s, d: V.components(B.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), B.supersedes(s, d)))
 query("v14_degrees", sql("SELECT id, count(DISTINCT o) AS degree FROM (SELECT src AS id, dst AS o FROM related UNION ALL SELECT dst, src FROM related) GROUP BY 1", "related"))(lambda s, d: V.degrees(B.related(s, d)))
 query("v14_parallel_edges", sql("SELECT src, dst, rel, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY rel, src) AS index, count(*) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS size FROM edges WHERE rel IN ('RELATED_TO', 'SUPERSEDES')", "edges"))(
     lambda s, d: V.parallel_edges(B.edges(s, d).where("rel IN ('RELATED_TO', 'SUPERSEDES')")).withColumn("index", F.col("index").cast("bigint"))

@@ -216,9 +216,18 @@ query(
 
 query("j13_contradictions", sql("SELECT src AS id, dst AS other FROM contradicts UNION SELECT dst, src FROM contradicts", "contradicts"))(lambda s, d: G.contradictions(B.contradicts(s, d)))
 
-query("j14_unresolved_contradictions", sql("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM contradicts WHERE src NOT IN (SELECT dst FROM supersedes WHERE src % 2 = 0) AND dst NOT IN (SELECT dst FROM supersedes WHERE src % 2 = 0)", "contradicts", "supersedes"))(
-    lambda s, d: G.unresolved_contradictions(B.contradicts(s, d), B.supersedes(s, d).where("src % 2 = 0"))
-)
+def _judged(s, d):
+    """Every contradicting pair, and whether it is unresolved."""
+    c = B.contradicts(s, d)
+    pairs = c.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    found = G.unresolved_contradictions(c, B.supersedes(s, d)).withColumn("unresolved", F.lit(True))
+    return pairs.join(found, ["a", "b"], "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
+
+
+query(
+    "j14_unresolved_contradictions",
+    sql("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, src NOT IN (SELECT dst FROM supersedes) AND dst NOT IN (SELECT dst FROM supersedes) AS unresolved FROM contradicts", "contradicts", "supersedes"),
+)(_judged)
 
 query("j15_abandoned_patterns", sql("SELECT DISTINCT e.name, i.src AS old, s.src AS successor FROM entities e JOIN involves i ON i.dst = e.id JOIN supersedes s ON s.dst = i.src", "entities", "involves", "supersedes"))(
     lambda s, d: G.abandoned_patterns(B.entities(s, d).select("name"), B.entities(s, d), B.involves(s, d), B.supersedes(s, d)).select("name", "old", "successor")
@@ -348,8 +357,8 @@ query(
 query("a12_knowledge_gaps", sql("SELECT type, count(DISTINCT d.id) AS decisions, round(avg(confidence), 6) AS avg_confidence FROM involves i JOIN entities e ON e.id = i.dst JOIN decisions d ON d.id = i.src GROUP BY 1 HAVING count(DISTINCT d.id) <= 2 OR round(avg(confidence), 6) < 0.6 ORDER BY decisions, type LIMIT 10", "involves", "entities", "decisions"))(
     lambda s, d: M.knowledge_gaps(B.decisions(s, d), B.entities(s, d), B.involves(s, d))
 )
-query("a13_daily_activity", f"SELECT strftime(g.d, '%Y-%m-%d') AS day, count(e.ts) AS n FROM (SELECT unnest(generate_series(DATE '2024-01-19', DATE '2024-02-01', INTERVAL 1 DAY)) AS d) g LEFT JOIN (SELECT ts FROM events WHERE event_type = 'signup') e ON date_trunc('day', e.ts) = g.d GROUP BY 1")(
-    lambda s, d: M.daily_activity(B.events(s, d).where("event_type = 'signup'").select(F.col("ts").alias("created_at")), B.as_of(B.EVENTS_AS_OF)).select(F.col("day").cast("string").alias("day"), "n")
+query("a13_daily_activity", f"SELECT strftime(g.d, '%Y-%m-%d') AS day, count(e.ts) AS n FROM (SELECT unnest(generate_series(DATE '2024-01-19', DATE '2024-02-01', INTERVAL 1 DAY)) AS d) g LEFT JOIN events e ON date_trunc('day', e.ts) = g.d GROUP BY 1")(
+    lambda s, d: M.daily_activity(B.events(s, d).select(F.col("ts").alias("created_at")), B.as_of(B.EVENTS_AS_OF)).select(F.col("day").cast("string").alias("day"), "n")
 )
 query("a14_entity_types", sql("SELECT coalesce(type, 'other') AS type, count(*) AS n FROM involves i LEFT JOIN entities e ON e.id = i.dst GROUP BY 1", "involves", "entities"))(lambda s, d: M.entity_type_distribution(B.entities(s, d), B.involves(s, d)))
 query("a15_confidence_histogram", sql("SELECT CAST(least(floor(confidence * 5), 4) AS INTEGER) AS bin, count(*) AS n FROM decisions GROUP BY 1", "decisions"))(lambda s, d: M.confidence_histogram(B.decisions(s, d)))

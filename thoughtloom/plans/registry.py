@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composed_queries, more_queries  # noqa: F401  (they register their queries)
+from . import composed_queries, more_queries, service_queries  # noqa: F401  (they register their queries)
 from . import queries as _queries
 
 

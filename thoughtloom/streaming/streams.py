@@ -14,9 +14,9 @@ from .queue import STATE_STORE
 LATE = "1 hour"
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, max_files: int = 100, glob: str = "*.jsonl") -> DataFrame:
     """(file_path, modified, value) of new transcript files; the trigger's interval is the quiet time."""
-    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", max_files).load(path)
+    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(path)
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value").where(~F.contains("file_path", F.lit("subagents")) & (F.length(F.trim("value")) > 0))
 
 
