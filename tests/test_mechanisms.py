@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
-from thoughtloom.operators import containment, graph, integrity, rules
+from thoughtloom.operators import containment, extraction, graph, integrity, rules
 from thoughtloom.operators import search as S
 from thoughtloom.sources import transcripts
 from thoughtloom.streaming import fanout, queue, registry
@@ -385,3 +385,37 @@ def test_delete_project(spark):
     left, kept, still = integrity.delete_project(d, e, edges, "p", spark.createDataFrame([(3,)], "id bigint"))
     assert sorted(r.id for r in left.collect()) == [3, 4] and sorted(r.id for r in kept.collect()) == [2, 3, 4]
     assert sorted(map(tuple, still.collect())) == [(2, 4, "IS_A"), (3, 2, "INVOLVES"), (3, 4, "SIMILAR_TO"), (4, 4, "INVOLVES")]
+
+
+# ---- notices, quotes, answers
+
+
+def test_notices_of_the_other_kinds(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, 7, "Pick a store " + "x" * 80, "config", day(0), None), (2, 8, None, "config", day(50), None), (3, None, "t", "config", day(0), None)]
+    d = spark.createDataFrame(rows, "id bigint, user_id bigint, trigger string, scope string, created_at timestamp_ntz, last_reviewed_at timestamp_ntz")
+    (got,) = rules.notify_stale(d, F.lit("2024-02-20 00:00:00").cast("timestamp_ntz")).collect()
+    assert (got.user_id, got.subject, got.title) == (7, "1", "Stale decision needs review") and json.loads(got.payload) == {"decision_id": 1, "scope": "config", "days_old": 50}
+    assert got.text == f'Your config decision "{rows[0][2][:80]}" is 50 days old and may need to be reviewed or confirmed still relevant.'
+    v = spark.createDataFrame([(1, "a" * 120, 2), (3, "b", 2)], "id bigint, assumption string, later_id bigint")
+    (got,) = rules.notify_assumptions(v, d).collect()
+    assert got.text == f'Your assumption "{"a" * 100}" in decision "{rows[0][2][:60]}" may be invalidated by a newer decision: "".'
+    assert json.loads(got.payload) == {"decision_id": 1, "assumption": "a" * 120, "invalidating_decision_id": 2}
+    c = spark.createDataFrame([("k", 2, "use kafka", 40, 0.25)], "id string, decision_id bigint, text string, days bigint, score double")
+    (got,) = rules.notify_dormant(c, d).collect()
+    assert (got.user_id, got.subject) == (8, "k") and got.text == 'Alternative "use kafka" from the decision "" has been dormant for 40 days and may now be viable.'
+    assert json.loads(got.payload) == {"candidate_id": "k", "reconsider_score": 0.25, "days_dormant": 40}
+
+
+def test_quotes_with_signs_of_patterns(spark):
+    texts = ["see C:\\E(x now", "a.*b [c] $1 ^ \\Q | {2}", "plain  WORDS here"]
+    quotes = [(i, i, q) for i, q in enumerate(["C:\\E(x", "A.*b  [c] $1 ^ \\Q | {2}", "words HERE"])] + [(3, 0, "c:\\e(y")]
+    m = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id bigint, turn_index int, content string")
+    got = {r.id: texts[r.id][r.start_char : r.end_char] for r in extraction.find_spans(spark.createDataFrame(quotes, "id bigint, conv_id bigint, quote string"), m).collect()}
+    assert got == {0: "C:\\E(x", 1: texts[1], 2: "WORDS here"}
+
+
+def test_answers_as_lists(spark):
+    rows = [(1, '{"a": 1}'), (2, "text ```json\n[1]\n```"), (3, 'so: {"b": [2]}'), (4, "none"), (5, None)]
+    got = {r.i: r.j for r in spark.createDataFrame(rows, "i int, t string").select("i", extraction.recover_json(F.col("t"), True).alias("j")).collect()}
+    assert got == {1: '[{"a":1}]', 2: "[1]", 3: "[2]", 4: None, 5: None}

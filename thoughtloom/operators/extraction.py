@@ -194,7 +194,7 @@ def find_spans(quotes: DataFrame, messages: DataFrame) -> DataFrame:
     """
     norm = lambda c: F.array_join(words(F.lower(c)), " ")
     j = quotes.where(F.length(F.trim("quote")) > 0).join(messages.select("conv_id", "turn_index", "content"), "conv_id").where(F.contains(norm(F.col("content")), norm(F.col("quote"))))
-    quoted = F.transform(words(F.col("quote")), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    quoted = F.transform(words(F.col("quote")), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
     match = F.expr("regexp_substr(content, pattern)")
     j = j.withColumn("pattern", F.concat(F.lit("(?iu)"), F.array_join(quoted, "\\s+"))).withColumn("hit", match).where("hit IS NOT NULL")
     at = F.instr(F.col("content"), F.col("hit")) - 1
@@ -291,11 +291,15 @@ def mask_pii(c: Column) -> Column:
     return F.regexp_replace(c, r"""(?i)\b((?:api[_-]?key|apikey|bearer|token|secret|password|credential)[\s:=]+['"]?)[^\s'"]+""", "$1[MASKED]")
 
 
-def recover_json(c: Column) -> Column:
-    """The first part of a model's answer that parses: all of it, a json fence, any fence, an array, an object."""
+def recover_json(c: Column, expect_list: bool = False) -> Column:
+    """The first part of a model's answer that parses: all of it, a json fence, any fence, an array, an object.
+
+    expect_list: an object becomes a list of one; other values stay as they are.
+    """
     whole = F.trim(c)
     parts = [whole, F.regexp_extract(c, r"(?s)```json\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)```\w*\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)\[.*\]", 0), F.regexp_extract(c, r"(?s)\{.*\}", 0)]
-    return F.coalesce(*[F.to_json(F.try_parse_json(F.when(F.length(p) > 0, p))) for p in parts])
+    found = F.coalesce(*[F.to_json(F.try_parse_json(F.when(F.length(p) > 0, p))) for p in parts])
+    return F.when(F.startswith(found, F.lit("{")), F.concat(F.lit("["), found, F.lit("]"))).otherwise(found) if expect_list else found
 
 
 def extraction_quality(extracted: DataFrame, truth: DataFrame) -> DataFrame:

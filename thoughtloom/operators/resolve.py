@@ -142,13 +142,17 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool =
 
     reach (a, reach): greater ratios that single names of the left ask for.
     """
-    near = name_candidates(left, right, percent, same).where(may_reach("a", "b", percent)).distinct()
+    # few short rows with long work each: dealt to all tasks, where they meet their repeats
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = name_candidates(left, right, percent, same).where(may_reach("a", "b", percent)).repartition(tasks, "a", "b").distinct()
     least = F.lit(float(percent))
     if reach is not None:
         # the edit distance is never over that of insertions and deletions alone
         near = near.join(reach, "a").where(F.levenshtein("a", "b") <= (1 - F.col("reach") / 100 + 1e-9) * (F.length("a") + F.length("b")))
         least = F.col("reach")
-    return near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= least - 1e-9).select("a", "b", "ratio")
+    # settled, because filters on a ratio would count it again
+    ratio = settled(near.select("a", "b", least.alias("least"), indel_ratio("a", "b").alias("ratio")))
+    return ratio.where(F.col("ratio") >= F.col("least") - 1e-9).select("a", "b", "ratio")
 
 
 def match_alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -183,3 +183,36 @@ def notify_contradictions(contradicts: DataFrame, decisions: DataFrame) -> DataF
 
     pairs = symmetric(contradicts).select("id", "other").distinct().join(decisions.select("id", "user_id"), "id")
     return notifications_from("contradiction", pairs, "user_id", "other", "A decision of yours contradicts decision {subject}").distinct()
+
+
+def notices(kind: str, rows: DataFrame, subject: Column, title: str, text: Column, **payload: Column) -> DataFrame:
+    """(type, user_id, subject, title, text, payload) of rows with a user; the payload is JSON."""
+    said = F.to_json(F.struct(*[c.alias(n) for n, c in payload.items()]))
+    return rows.where("user_id IS NOT NULL").select(F.lit(kind).alias("type"), "user_id", subject.cast("string").alias("subject"), F.lit(title).alias("title"), text.alias("text"), said.alias("payload"))
+
+
+def notify_assumptions(violations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A notice for each violation (id, assumption, later_id) to the user who assumed; texts are cut as the messages want."""
+    d = decisions.select("id", "user_id", F.coalesce("trigger", F.lit("")).alias("trigger"))
+    v = violations.join(d, "id").join(d.select(F.col("id").alias("later_id"), F.col("trigger").alias("later")), "later_id")
+    text = F.concat(
+        F.lit('Your assumption "'), F.substring("assumption", 1, 100), F.lit('" in decision "'), F.substring("trigger", 1, 60), F.lit('" may be invalidated by a newer decision: "'), F.substring("later", 1, 60), F.lit('".')
+    )
+    return notices("assumption_invalid", v, F.col("id"), "Decision assumption may be outdated", text, decision_id=F.col("id"), assumption=F.col("assumption"), invalidating_decision_id=F.col("later_id"))
+
+
+def notify_stale(decisions: DataFrame, as_of: Column) -> DataFrame:
+    """A notice for each stale decision to its user."""
+    d = decisions.select("id", "user_id", F.coalesce("trigger", F.lit("")).alias("trigger"))
+    s = stale_decisions(decisions, as_of, None).join(d, "id")
+    text = F.concat(F.lit("Your "), "scope", F.lit(' decision "'), F.substring("trigger", 1, 80), F.lit('" is '), F.col("days").cast("string"), F.lit(" days old and may need to be reviewed or confirmed still relevant."))
+    return notices("stale_decision", s, F.col("id"), "Stale decision needs review", text, decision_id=F.col("id"), scope=F.col("scope"), days_old=F.col("days"))
+
+
+def notify_dormant(dormant: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A notice for each dormant alternative (id, decision_id, text, days, score) to the user who rejected it."""
+    d = decisions.select(F.col("id").alias("decision_id"), "user_id", F.coalesce("trigger", F.lit("")).alias("trigger"))
+    text = F.concat(
+        F.lit('Alternative "'), F.substring("text", 1, 80), F.lit('" from the decision "'), F.substring("trigger", 1, 60), F.lit('" has been dormant for '), F.col("days").cast("string"), F.lit(" days and may now be viable.")
+    )
+    return notices("dormant_alternative", dormant.join(d, "decision_id"), F.col("id"), "Unexplored alternative worth revisiting", text, candidate_id=F.col("id"), reconsider_score=F.col("score"), days_dormant=F.col("days"))

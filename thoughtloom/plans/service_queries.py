@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import scratch, settled
+from ..operators import extraction as X
 from ..operators import integrity as V
 from ..operators import resolve as E
 from ..operators import rules as R
@@ -389,3 +390,19 @@ query(
         "decisions", "entities", "edges",
     ),
 )(lambda s, d: V.delete_project(B.decisions(s, d), B.entities(s, d), B.edges(s, d), "BUILDING")[2].select("src", "dst", "rel"))
+
+# ---- notices, answers as lists, packs with entities and chains
+
+query(
+    "r13_stale_notices",
+    sql(
+        f""", x AS (SELECT *, date_diff('second', coalesce(last_reviewed_at, created_at), TIMESTAMP '{B.AS_OF}') // 86400 AS days, CASE scope WHEN 'strategic' THEN 730 WHEN 'library' THEN 90 WHEN 'config' THEN 30 WHEN 'operational' THEN 14 ELSE 90 END AS most FROM decisions)
+    SELECT 'stale_decision' AS type, user_id, CAST(id AS VARCHAR) AS subject, 'Your ' || scope || ' decision "' || substr(trigger, 1, 80) || '" is ' || days || ' days old and may need to be reviewed or confirmed still relevant.' AS text,
+      '{{"decision_id":' || id || ',"scope":"' || scope || '","days_old":' || days || '}}' AS payload FROM x WHERE days > most AND user_id IS NOT NULL""",
+        "decisions",
+    ),
+)(lambda s, d: R.notify_stale(B.decisions(s, d), B.as_of()).select("type", "user_id", "subject", "text", "payload"))
+query(
+    "x19_json_lists",
+    "SELECT event_id, CASE WHEN starts_with(replace(props, ' ', ''), '{') THEN '[' || replace(props, ' ', '') || ']' ELSE replace(props, ' ', '') END AS json FROM events",
+)(lambda s, d: B.events(s, d).select("event_id", X.recover_json(F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```")), True).alias("json")))
