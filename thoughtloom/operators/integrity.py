@@ -73,12 +73,13 @@ def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) ->
 
     Edges without a column rel count as one rel. `most` is the size of the report: the shortest cycles of each rel, the
     least nodes of equals; a rel is walked only until it has them, so a dense graph is not walked to its end. None
-    reports all, whose number can grow as the branching to the power of the depth. Walks stay in a strongly connected
-    component, start at every node and visit greater nodes only, so a cycle is met once in each direction that it has.
+    reports all, whose number can grow as the branching to the power of the depth. Walks start at every node and visit
+    greater nodes only, so a cycle is met once in each direction that it has; beyond three edges they stay in a strongly
+    connected component.
     With each step of the walks, the nodes from which a start can be reached are extended by a step backwards, too; as
     soon as these distances cover what is left of the depth, walks that cannot return in time end.
     """
-    core = strong_components(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit(""))).select("rel", "src", "dst")
+    core = cyclic_core(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit("")))
     step = core.select("rel", F.col("src").alias("at"), F.col("dst").alias("to"))
     walk = core.where("dst > src").select("rel", F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"))
     back = core.where("src > dst").select("rel", F.col("dst").alias("first"), F.col("src").alias("at"), F.lit(1).alias("home"))
@@ -103,6 +104,11 @@ def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) ->
                 have[r.rel] = have.get(r.rel, 0) + r["count"]
             full = [rel for rel, n in have.items() if n >= most]
             walk = walk.where(~F.col("rel").isin(full)) if full else walk
+        if length == 3:
+            # so far no walk has more than two open edges; from here on only components are walked
+            of = settled(strong_components(core).select("rel", F.col("src").alias("id"), "component").distinct())
+            inside = lambda df, a, b: df.join(of.toDF("rel", a, "_a"), ["rel", a]).join(of.toDF("rel", b, "_b"), ["rel", b]).where("_a = _b").select(*df.columns)
+            step, walk, homes, newest = settled(inside(step, "at", "to")), inside(walk, "first", "at"), settled(inside(homes, "first", "at")), inside(newest, "first", "at")
         longer = walk.join(step, ["rel", "at"]).where("to > first").where(~F.array_contains("nodes", F.col("to")))
         longer = longer.select("rel", "first", F.col("to").alias("at"), F.array_append("nodes", F.col("to")).alias("nodes"))
         # `length` edges are walked after this step, and max_depth - length may follow
