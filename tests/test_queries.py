@@ -24,7 +24,8 @@ def test_search_plans_without_nested_loops(spark, sf):
 
 
 def test_no_cross_join_nor_python_in_relational_plans(spark, sf):
-    for name in ("j07_shared_entity_pairs", "j14_unresolved_contradictions", "a01_timeline_month", "e06_fuzzy_match", "x15_injection_scan"):
+    names = ["j07_shared_entity_pairs", "j08_influenced_by", "j14_unresolved_contradictions", "a01_timeline_month", "e04_batch_resolution", "e06_fuzzy_match"]
+    for name in [*names, "r02_dormant_alternatives", "r07_assumption_violations", "r08_alert_overlap", "r10_token_budget", "x15_injection_scan"]:
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan and "Pandas" not in plan, name
 

@@ -40,8 +40,9 @@ def dormant_alternatives(candidates: DataFrame, decisions: DataFrame, as_of: Col
     follows (src, dst): with it, an option whose decision FOLLOWS no later decision is dormant whatever the texts say.
     """
     d = decisions.select(F.col("id").alias("decision_id"), "user_id", "created_at", "confidence")
-    c = candidates.join(d, "decision_id").withColumn("days", days_between(as_of, F.col("created_at"))).where(F.col("days") >= min_days).withColumn("option", F.lower("text"))
+    c = settled(candidates.join(d, "decision_id").withColumn("days", days_between(as_of, F.col("created_at"))).where(F.col("days") >= min_days).withColumn("option", F.lower("text")))
     later = decisions.where("agent_decision <> ''").groupBy("user_id", F.lower("agent_decision").alias("chosen")).agg(F.max("created_at").alias("last"))
+    later = settled(later)
     options, choices = c.select("user_id", "option").distinct(), later.select("user_id", "chosen")
     inside = containing(options.withColumnRenamed("option", "needle"), choices.withColumnRenamed("chosen", "text"), ["user_id"]).toDF("user_id", "option", "chosen")
     around = containing(choices.withColumnRenamed("chosen", "needle"), options.withColumnRenamed("option", "text"), ["user_id"]).toDF("user_id", "chosen", "option")
