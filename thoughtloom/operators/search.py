@@ -142,3 +142,28 @@ def context_pack(lexical: DataFrame, semantic: DataFrame, decisions: DataFrame,
     text = F.concat_ws(" ", "trigger", "context", "agent_decision", "agent_rationale")
     d = with_currency(decisions.select("id", text.alias("t")), supersedes)
     return within_budget(best.join(d, "id"), ["query"], [F.col("rank")], F.length("t"), budget).select("query", "id", F.col("rank").alias("place"), "combined", "is_current", "spent")
+
+
+def pack_entities(pack: DataFrame, involves: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 30, related: int = 5) -> DataFrame:
+    """(query, place, id, name, type, decisions, related): the entities that most decisions of a pack (query, id) involve, with names of neighbours."""
+    from .graph import of, related_entities
+
+    n = pack.select("query", F.col("id").alias("src")).distinct().join(involves.select("src", F.col("dst").alias("id")).distinct(), "src").groupBy("query", "id").agg(F.count(F.lit(1)).alias("decisions"))
+    w = Window.partitionBy("query").orderBy(F.desc("decisions"), "name", "id")
+    top = settled(n.join(entities.select("id", "name", "type"), "id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most))
+    near = related_entities(entities, of(edges, "RELATED_TO", "IS_A", "PART_OF", "DEPENDS_ON"), related).join(top.select("id").distinct(), "id", "left_semi")
+    return top.join(near, "id", "left").select("query", "place", "id", "name", "type", "decisions", F.coalesce("related", F.array().cast("array<string>")).alias("related"))
+
+
+def pack_chains(pack: DataFrame, supersedes: DataFrame, contradicts: DataFrame, hops: int = 3, most: int = 5) -> DataFrame:
+    """(query, kind, place, path): per pack the shortest supersession paths that start or end in it, and its contradicting pairs."""
+    from .graph import supersession_chains, symmetric
+
+    ids = settled(pack.select("query", "id").distinct())
+    paths = lambda edges: supersession_chains(edges, ids.select("id"), hops, None).select(F.col("start").alias("id"), "path")
+    older, newer = paths(supersedes), paths(supersedes.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = older.unionByName(newer.withColumn("path", F.reverse("path"))).withColumn("kind", F.lit("supersedes"))
+    against = symmetric(contradicts.select("src", "dst")).select("id", F.array(F.least("id", "other"), F.greatest("id", "other")).alias("path"), F.lit("contradicts").alias("kind"))
+    found = ids.join(found.unionByName(against), "id").select("query", "kind", "path").distinct()
+    w = Window.partitionBy("query", "kind").orderBy(F.size("path"), "path")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

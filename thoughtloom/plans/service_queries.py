@@ -406,3 +406,32 @@ query(
     "x19_json_lists",
     "SELECT event_id, CASE WHEN starts_with(replace(props, ' ', ''), '{') THEN '[' || replace(props, ' ', '') || ']' ELSE replace(props, ' ', '') END AS json FROM events",
 )(lambda s, d: B.events(s, d).select("event_id", X.recover_json(F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```")), True).alias("json")))
+
+
+def _pack_parts(s, d):
+    """Entities and chains of the newest ten decisions of each project and scope."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("project_name", "scope").orderBy(F.desc("created_at"), "id")
+    pack = settled(B.decisions(s, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select(F.concat_ws("/", "project_name", "scope").alias("query"), "id"))
+    e = S.pack_entities(pack, B.involves(s, d), B.entities(s, d), B.edges(s, d))
+    c = S.pack_chains(pack, B.supersedes(s, d), B.contradicts(s, d))
+    e = e.select("query", F.lit("entity").alias("part"), F.col("place").cast("bigint").alias("place"), F.concat_ws(":", "id", "name", "type", "decisions", F.array_join("related", ",")).alias("text"))
+    return e.unionByName(c.select("query", F.col("kind").alias("part"), F.col("place").cast("bigint").alias("place"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("text")))
+
+
+query(
+    "s11_pack_parts",
+    sql(
+        """, p AS (SELECT project_name || '/' || scope AS query, id FROM decisions QUALIFY row_number() OVER (PARTITION BY project_name, scope ORDER BY created_at DESC, id) <= 10),
+    n AS (SELECT query, e.id, e.name, e.type, count(DISTINCT p.id) AS n FROM p JOIN involves i ON i.src = p.id JOIN entities e ON e.id = i.dst GROUP BY 1, 2, 3, 4),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, name, id) AS place FROM n QUALIFY place <= 30),
+    b AS (SELECT src AS id, dst AS o FROM related UNION SELECT dst, src FROM related), bn AS (SELECT DISTINCT b.id, e.name FROM b JOIN entities e ON e.id = b.o),
+    r AS (SELECT id, string_agg(name, ',' ORDER BY name) AS related FROM (SELECT * FROM bn QUALIFY row_number() OVER (PARTITION BY id ORDER BY name) <= 5) GROUP BY 1),
+    h AS (SELECT [src, dst] AS path FROM supersedes UNION ALL SELECT [a.src, a.dst, b.dst] FROM supersedes a JOIN supersedes b ON b.src = a.dst UNION ALL SELECT [a.src, a.dst, b.dst, c.dst] FROM supersedes a JOIN supersedes b ON b.src = a.dst JOIN supersedes c ON c.src = b.dst),
+    m AS (SELECT query, 'supersedes' AS part, path FROM p JOIN h ON path[1] = p.id UNION SELECT query, 'supersedes', path FROM p JOIN h ON path[len(path)] = p.id UNION SELECT query, 'contradicts', [least(src, dst), greatest(src, dst)] FROM p JOIN contradicts ON src = id OR dst = id)
+    SELECT query, 'entity' AS part, place, concat_ws(':', t.id, name, type, n, coalesce(related, '')) AS text FROM t LEFT JOIN r USING (id)
+    UNION ALL SELECT query, part, place, array_to_string(path, '>') FROM (SELECT *, row_number() OVER (PARTITION BY query, part ORDER BY len(path), path) AS place FROM m) WHERE place <= 5""",
+        "decisions", "entities", "involves", "related", "supersedes", "contradicts",
+    ),
+)(_pack_parts)
