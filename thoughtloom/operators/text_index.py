@@ -49,11 +49,11 @@ def rank(queries: DataFrame, index: Postings, k: int = 20, k1: float = 1.2, b: f
     used = met if "tf" in met.columns else met.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
     used = settled(used.select("term", "id", "length", "tf"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row, joined as a constant: nothing runs while the query is planned
-    stats = F.broadcast(index.counted.select("n", (F.col("words") / F.col("filled")).alias("mean")))
-    gain = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = gain * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weights = asked.join(df, "term").crossJoin(stats).join(used, "term").select("query", "id", weight.alias("w"))
+    # one row as a scalar subquery: nothing runs while the query is planned
+    stats = index.counted.select(F.struct("n", (F.col("words") / F.col("filled")).alias("mean")).alias("stats")).scalar()
+    gain = F.log(1 + (F.col("stats.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = gain * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("stats.mean")))
+    weights = asked.join(df.withColumn("stats", stats), "term").join(used, "term").select("query", "id", weight.alias("w"))
     score = weights.groupBy("query", "id").agg(F.sum("w").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
