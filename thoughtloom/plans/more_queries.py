@@ -305,7 +305,28 @@ def _tooled(s, d):
     )
 
 
-query("x01_episodes")(lambda s, d: X.episodes(_tooled(s, d), 24 * 60).select("conv_id", "episode", "turn_start", "n", "arc", joined("tools", "tools")))
+query(
+    "x01_episodes",
+    # walk: the episode of a turn, the tools of its cluster up to it, and whether the cluster ends there
+    """WITH RECURSIVE m AS (
+        SELECT user_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, coalesce(event_type = 'signup', false) AS u,
+        coalesce(event_type IN ('view', 'click'), false)::INT AS r, coalesce(event_type = 'purchase', false)::INT AS w, floor(epoch(ts)) AS t FROM events),
+    x AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY c ORDER BY turn) - t > 86400, false) AS late, count(*) OVER (PARTITION BY c) AS total FROM m),
+    walk AS (
+        SELECT c, turn, r, w, total, 0 AS episode, r AS reads, w AS writes, late AS ends FROM x WHERE turn = 1
+        UNION ALL
+        SELECT c, turn, r, w, total, episode, reads, writes, late OR (writes > 0 AND reads >= 2) OR (u AND reads + writes >= 3)
+        FROM (
+            SELECT x.*, k.episode + k.ends::INT AS episode, x.r + CASE WHEN k.ends THEN 0 ELSE k.reads END AS reads, x.w + CASE WHEN k.ends THEN 0 ELSE k.writes END AS writes
+            FROM walk k JOIN x ON x.c IS NOT DISTINCT FROM k.c AND x.turn = k.turn + 1
+        )
+    ),
+    e AS (SELECT c, episode, min(turn) AS turn_start, count(*) AS n, bool_or(ends) AS closed, sum(r) AS reads, sum(w) AS writes, max(total) AS total FROM walk GROUP BY 1, 2)
+    SELECT c AS conv_id, episode, turn_start::INT AS turn_start, n,
+    CASE WHEN reads + writes = 0 THEN CASE WHEN n <= 2 THEN 'setup' ELSE 'verification' END WHEN reads = 0 THEN 'implementation' WHEN writes > 0 THEN 'pivot' ELSE 'exploration' END AS arc,
+    rtrim(repeat('Edit,', writes::INT) || repeat('Read,', reads::INT), ',') AS tools
+    FROM e WHERE n >= 2 OR NOT closed OR total = 1""",
+)(lambda s, d: X.episodes(_tooled(s, d), 24 * 60).select("conv_id", "episode", "turn_start", "n", "arc", joined("tools", "tools")))
 _KEYS = {t: "[" + ", ".join(f"'{w}'" for w in ws) + "]" for t, ws in X.TYPE_WORDS.items()}
 _N = {t: f"len(list_filter({k}, lambda w: contains(t, w)))" for t, k in _KEYS.items()}
 _TOPIC = "CASE doc_id % 5 WHEN 0 THEN 'Postgres and Redis in Docker' WHEN 1 THEN 'a monolith or a message queue' WHEN 2 THEN 'code review in the sprint workflow' WHEN 3 THEN 'python' ELSE '' END"
