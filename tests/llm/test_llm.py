@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import zlib
 from collections import Counter
 
@@ -600,6 +601,57 @@ def test_languages(docs):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
 
 
+def _trigrams(text):
+    """Counts of byte trigrams by slot, one at a time."""
+    letters = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    padded, n = b" " + letters + b" ", {}
+    for i in range(len(padded) - 2):
+        three = padded[i : i + 3]
+        if three != b"   ":
+            slot = int.from_bytes(three, "big") * 2654435761 % 2**32 >> 21
+            n[slot] = n.get(slot, 0) + 1
+    length = math.sqrt(sum(n.values()))
+    return {slot: math.sqrt(v) / length for slot, v in n.items()}
+
+
+def test_languages_against_brute_force(docs, texts):
+    """Both levels, margin by margin, from the weights of the model; these are near the minimum of their objective."""
+    model = language_id.train(docs)
+    assert model.families == ["germanic", "romance"] and model.langs == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    squash = lambda m: 1 / (1 + math.exp(-max(-30, min(30, 3 * m))))
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in texts.items():
+        x = _trigrams(text)
+        margin = lambda w: sum(w[s] * v for s, v in x.items()) + w[-1]
+        e = [math.exp(max(-30, min(30, 3 * margin(w)))) for w in model.first]
+        family = model.families[e.index(max(e))]
+        a, b = model.langs[family]
+        p = squash(margin(model.pairs[a, b]))
+        assert got[i].lang_pred == (a if p >= 0.5 else b)
+        assert abs(got[i].score - max(e) / sum(e) * max(p, 1 - p)) < 1e-4
+    rows = language_id.sample(docs).collect()
+    x = np.array([language_id.features(r.text) for r in rows])
+    y = np.array([1.0 if r.lang in ("de", "en") else -1.0 for r in rows])
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    x = np.hstack([x, np.ones((len(x), 1))])
+    loss = lambda w: w @ w / 40 + (share * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = model.first[0].astype(float)
+    slope = w / 20 - 2 * x.T @ (share * np.maximum(0, 1 - y * (x @ w)) * y)
+    assert np.abs(slope).max() < 0.01 and loss(w) < loss(0 * w) / 2
+
+
+def test_languages_sample_is_bounded(spark):
+    text = lambda i: f"some words {i} of a text"
+    rows = [(i, text(i), "en") for i in range(3000)] + [(7000, text(0), "de")] * 2000 + [(i, text(i), "pt-BR") for i in range(8000, 8600)] + [(9000, "x", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    n = {r.lang: r["count"] for r in language_id.sample(docs, 100, 3).groupBy("lang").count().collect()}
+    assert set(n) <= {"en", "de", "pt-BR"} and 60 < n["en"] < 150 and n.get("de", 0) <= 1 and 60 < n["pt-BR"] < 150
+    assert language_id.sample(docs, 1000, 4, most_rows=400).count() < 400
+    assert [language_id.family_of(x) for x in ("pt-BR", "EN_us", "zz")] == ["romance", "germanic", "zz"]
+    assert {r.lang_pred for r in language_id.op10(docs, 100, 1).collect()} == {"en"}
+
+
 def test_languages_without_labels(spark, odd):
     got = {r.doc_id: r.lang_pred for r in language_id.op10(odd.withColumn("lang", F.lit(None).cast("string"))).collect()}
     assert set(got.values()) == {"und"}

@@ -3,28 +3,48 @@
 Features are hashed byte trigrams of the lower-cased text without digits and ASCII punctuation, square-root
 scaled and of length one. Family models are one-versus-rest, language models one-versus-one between the
 languages of a family; all are L2-regularised squared-hinge machines fitted in numpy on a bounded sample.
-The sample takes `per_lang` labelled documents of each language at most, by a hash of the id; every
-document is scored, on its whole text. The score is the product of the family's share of the softmax of
+Every document is scored, on its whole text. The score is the product of the family's share of the softmax of
 family margins and the share of the language in its family.
 
+Bounds of the sample (the only thing that reaches the driver, 4 KB a row): the `most_langs` labels with the
+most documents are learnt, equal ones by name; of each, about `per_lang` documents, and of all about
+`most_rows`, chosen by a hash of id and text, of which repeated rows count once.
+
 Defined cases: null texts and texts without a letter are `und` with score 0; without any label everything
-is `und`; a language that no table of families knows is a family of its own; null ids are not learnt from
-and count as not held out; repeated rows are judged each.
+is `und`; the family of a label is that of its first part in small letters (`pt-BR`, `EN_us`), a label that
+no table of families knows is a family of its own; null ids are not learnt from and count as not held out;
+repeated rows are judged each.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Languages of some families.
+#: ISO 639-1 codes of languages by family or branch.
 FAMILIES = {
-    "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
-    "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
-    "slavic": ("bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "albanian": ("sq",),
+    "armenian": ("hy",),
+    "austronesian": ("fj", "haw", "id", "jv", "mg", "mi", "ms", "sm", "su", "tl"),
+    "baltic": ("lt", "lv"),
+    "bantu": ("ln", "rw", "sn", "sw", "xh", "zu"),
+    "celtic": ("br", "cy", "ga", "gd"),
+    "dravidian": ("kn", "ml", "ta", "te"),
+    "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
+    "greek": ("el",),
+    "indo-aryan": ("as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"),
+    "iranian": ("fa", "ku", "ps", "tg"),
+    "romance": ("ca", "co", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
+    "semitic": ("am", "ar", "he", "mt", "ti"),
+    "sinitic": ("zh",),
+    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "tai": ("lo", "th"),
+    "turkic": ("az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"),
     "uralic": ("et", "fi", "hu"),
 }
 SIZE = 2048
@@ -32,7 +52,8 @@ _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def family_of(lang: str) -> str:
-    return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
+    code = re.split("[-_]", lang)[0].lower()
+    return next((f for f, langs in FAMILIES.items() if code in langs), lang)
 
 
 def features(text: str) -> np.ndarray:
@@ -105,17 +126,26 @@ def held_out(c: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 800) -> Model | None:
-    """Fits on at most about per_lang documents of each language (the bound), chosen by a hash of the id."""
+def sample(docs: DataFrame, per_lang: int = 800, most_langs: int = 200, most_rows: int = 40_000) -> DataFrame:
+    """(lang, text) of the labelled documents to learn from, within the bounds."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * per_lang / F.col("n")
-    sample = seen.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(share)
+    langs = counts.orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    each = min(per_lang, most_rows / max(1, len(langs)))
+    share = docs.sparkSession.createDataFrame([(r.lang, each / r.n) for r in langs], "lang string, share double")
+    key = F.xxhash64("doc_id", "text")
+    drawn = seen.select("lang", "text", key.alias("key")).join(F.broadcast(share), "lang")  # most_langs rows at most
+    drawn = drawn.where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    return drawn.dropDuplicates(["lang", "key"]).select("lang", "text")
+
+
+def train(docs: DataFrame, per_lang: int = 800, most_langs: int = 200, most_rows: int = 40_000) -> Model | None:
+    """Fits on the sample; None where nothing is labelled."""
 
     def run(c):
-        return {"doc_id": c["doc_id"], "lang": c["lang"], "x": [features(t).astype(np.float16).tobytes() for t in c["text"]]}
+        return {"lang": c["lang"], "x": [features(t).astype(np.float16).tobytes() for t in c["text"]]}
 
-    rows = sorted(map_batches(sample.select("doc_id", "lang", "text"), run, "doc_id bigint, lang string, x binary").collect())
+    rows = sorted(map_batches(sample(docs, per_lang, most_langs, most_rows), run, "lang string, x binary").collect())
     if not rows:
         return None
     return Model(np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), [r.lang for r in rows])
@@ -137,5 +167,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def op10(docs: DataFrame, per_lang: int = 800) -> DataFrame:
-    return identify(docs, train(docs, per_lang))
+def op10(docs: DataFrame, per_lang: int = 800, most_langs: int = 200, most_rows: int = 40_000) -> DataFrame:
+    return identify(docs, train(docs, per_lang, most_langs, most_rows))
