@@ -173,8 +173,23 @@ def test_band_does_not_depend_on_the_size(spark):
     large = [(1000 * c + i, t) for c in range(3) for i, t in small]
     one, three = (imatch.lexicon(spark.createDataFrame(x, "doc_id bigint, text string"), 0.01, 0.2).tolist() for x in (small, large))
     assert one and one == three
-    with pytest.raises(ValueError):
-        imatch.lexicon(spark.createDataFrame(small, "doc_id bigint, text string"), 0.01, 0.2, most_terms=3)
+    table = imatch.lexicon(spark.createDataFrame(small, "doc_id bigint, text string"), 0.01, 0.2, most_terms=3)
+    assert sorted(np.array([r.h for r in table.collect()], np.int64).astype(np.uint64).tolist()) == one
+
+
+def test_imatch_beyond_the_broadcast(docs, odd):
+    """A lexicon that stays a table gives the rows of one that is broadcast."""
+    for df in (docs, odd, odd.limit(0)):
+        want, got = (sorted(map(tuple, imatch.op1(df, n).collect()), key=str) for n in (1 << 24, 0))
+        assert got == want and len(got) == df.count()
+    # the general interface; band limits under which the odd rows have a lexicon
+    for df, limits in ((docs, (0.0005, 0.02)), (odd, (0.1, 0.9))):
+        small, large = imatch.lexicon(df, *limits), imatch.lexicon(df, *limits, most_terms=0)
+        assert len(small) and large.count() == len(small)
+        one, two = (sorted(map(tuple, imatch.fingerprints(df, x).collect()), key=str) for x in (small, large))
+        assert one == two
+        one, two = (sorted(map(tuple, imatch.with_next(df, x).collect()), key=str) for x in (small, large))
+        assert one == two
 
 
 # ---- 2: suffix arrays
