@@ -58,11 +58,33 @@ INJECTION = [
     ("format_override", "i", r"respond\s+only\s+(?:with|in)\s+(?:json|xml|code)"),
     ("output_restriction", "i", r"(?:never|don'?t|do\s+not)\s+(?:mention|say|include|add)\b"),
 ]
-#: For each pattern, words of which a text with a match holds one (in small letters); None where there are none.
+#: For each pattern, groups of words: a text with a match holds one of each group (in small letters).
 HINTS = [
-    ("ignore", "disregard", "forget", "override", "bypass"), ("new", "actual", "real"), ("you",), ("act",), ("pretend",), ("from",), ("###",), ("[system]", "[inst"), ("<system>", "<instruction>", "<prompt>"),
-    ("system:", "assistant:", "human:"), ("dan",), ("mode",), ("unrestricted",), ("no",), ("[hidden]",), ("<!--",), ("/*",), None, None, ("base64", "b64"), ("prompt", "instruction", "rule", "context"), ("instruction", "prompt", "rule"), ("respond",), ("never", "don", "do"),
-]
+    (("ignore", "disregard", "forget", "override", "bypass"), ("previous", "prior", "above", "system"), ("instruction", "prompt", "rule", "guideline")),
+    (("instruction", "prompt"), ("new", "actual", "real")),
+    (("you",), ("are",), ("now", "actually")),
+    (("act",), ("as",)),
+    (("pretend",),),
+    (("from",), ("now",), ("you",), ("will", "must", "should")),
+    (("###",), ("system", "instruction", "prompt")),
+    (("[system]", "[inst"),),
+    (("<system>", "<instruction>", "<prompt>"),),
+    (("system:", "assistant:", "human:"),),
+    (("dan",),),
+    (("mode",), ("dev",)),
+    (("unrestricted",), ("mode",)),
+    (("restriction", "limit", "filter"), ("no",)),
+    (("[hidden]",), ("[/hidden]",)),
+    (("<!--",), ("-->",)),
+    (("/*",), ("*/",)),
+    (),
+    (),
+    (("base64", "b64"), ("execute", "run", "decode", "eval")),
+    (("prompt", "instruction", "rule", "context"), ("output", "print", "return", "show", "display", "reveal"), ("your", "the", "all")),
+    (("instruction", "prompt", "rule"), ("what", "show", "tell"), ("your", "the")),
+    (("respond",), ("only",), ("json", "xml", "code")),
+    (("never", "don", "do"), ("mention", "say", "include", "add")),
+]
 WEIGHTS = {
     "system_override": 0.9, "role_hijack": 0.8, "behavior_override": 0.7, "boundary_attack": 0.85, "role_injection": 0.75, "jailbreak": 0.95, "hidden_instruction": 0.6, "html_comment_injection": 0.4,
     "code_comment_injection": 0.3, "invisible_chars": 0.5, "control_chars": 0.4, "encoded_instruction": 0.7, "data_exfil": 0.6, "format_override": 0.3, "output_restriction": 0.4,
@@ -238,7 +260,7 @@ def interview_stage(messages: DataFrame) -> DataFrame:
 def injection_scan(df: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
     """df with n_patterns, top_category weight, confidence and level; structural concerns raise the confidence by .1 each.
 
-    A pattern is counted only where a plain search finds one of its hints. strict: line feeds and tabs count as
+    A pattern is counted only where plain searches find one of each of its groups of hints. strict: line feeds and tabs count as
     control characters.
     """
     df = df.withColumn("_small", F.lower(text))
@@ -248,7 +270,8 @@ def injection_scan(df: DataFrame, text: str = "text", strict: bool = False) -> D
             pattern = r"[\x00-\x1f]"
         n = F.coalesce(F.regexp_count(F.col(text), F.lit(f"(?{flags}){pattern}")), F.lit(0))
         if hints:
-            n = F.when(functools.reduce(Column.__or__, [F.contains("_small", F.lit(h)) for h in hints]), n).otherwise(0)
+            held = [functools.reduce(Column.__or__, [F.contains("_small", F.lit(h)) for h in group]) for group in hints]
+            n = F.when(functools.reduce(Column.__and__, held), n).otherwise(0)
         counts.append((category, n))
     names = [f"_n{i}" for i in range(len(counts))]
     df = df.withColumns({n: c for n, (_, c) in zip(names, counts)} | {"_s": F.coalesce(structure_concerns(text), F.lit(0))}).drop("_small")
@@ -264,8 +287,8 @@ def structure_concerns(text: str = "text") -> Column:
     """Number of structural concerns: role-like lines, headers of fake sections, many symbols, many prompt markers."""
     c = F.col(text)
     roles = F.regexp_count(c, F.lit(r"(?m)^[ \t]*[A-Z][a-z]+:"))
-    headers = F.rlike(c, F.lit(r"(?im)^#{1,6}\s+(?:system|instruction|prompt|context)"))
-    special = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]", "")) / F.greatest(F.length(c), F.lit(1)) > 0.3
+    headers = F.contains(c, F.lit("#")) & F.rlike(c, F.lit(r"(?im)^#{1,6}\s+(?:system|instruction|prompt|context)"))
+    special = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]+", "")) / F.greatest(F.length(c), F.lit(1)) > 0.3
     markers = F.regexp_count(c, F.lit(r"(?i)(?:prompt|instruction|system|context)\s*[:\-]")) > 2
     return roles + headers.cast("int") + special.cast("int") + markers.cast("int")
 
