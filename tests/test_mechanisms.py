@@ -419,3 +419,24 @@ def test_answers_as_lists(spark):
     rows = [(1, '{"a": 1}'), (2, "text ```json\n[1]\n```"), (3, 'so: {"b": [2]}'), (4, "none"), (5, None)]
     got = {r.i: r.j for r in spark.createDataFrame(rows, "i int, t string").select("i", extraction.recover_json(F.col("t"), True).alias("j")).collect()}
     assert got == {1: '[{"a":1}]', 2: "[1]", 3: "[2]", 4: None, 5: None}
+
+
+def _commits_and_decisions(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    made = [(i, t0 + timedelta(hours=7 * i)) for i in range(60)]
+    affects = [(i, f) for i in range(60) for f in {i % 3, i % 5}]
+    done = [(f"c{j}", t0 + timedelta(hours=11 * j), sorted({j % 2, j % 5, 7})) for j in range(40)]
+    return made, affects, done
+
+
+def test_decisions_of_commits_meet_in_slots_of_time(spark):
+    from datetime import timedelta
+
+    made, affects, done = _commits_and_decisions(spark)
+    found = graph.link_decisions(spark.createDataFrame(made, "id long, created_at timestamp_ntz"), spark.createDataFrame(affects, "src long, dst long"), spark.createDataFrame(done, "sha string, committed_at timestamp_ntz, files_changed array<long>"), hours=48, threshold=0.3)
+    want = {(sha, i, n) for sha, at, files in done for i, t in made if at - timedelta(hours=48) <= t <= at for n in [len({f for x, f in affects if x == i} & set(files))] if n / len(files) >= 0.3}
+    assert {(r.sha, r.id, r.overlap) for r in found.collect()} == want and want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("slot" in x and "dst" in x for x in plan.splitlines() if "Join Inner" in x)

@@ -216,9 +216,15 @@ def link_commits(sessions: DataFrame, commits: DataFrame, hours: int = 2, thresh
 
 
 def link_decisions(decisions: DataFrame, affects: DataFrame, commits: DataFrame, hours: int = 2, threshold: float = 0.3, k: int = 20) -> DataFrame:
-    """(sha, id, overlap, score): decisions made in the `hours` before a commit that affect its files."""
-    files = commits.select("sha", "committed_at", F.size("files_changed").alias("n_files"), F.explode("files_changed").alias("dst"))
-    near = files.join(affects.select(F.col("src").alias("id"), "dst").distinct(), "dst").join(decisions.select("id", "created_at"), "id")
+    """(sha, id, overlap, score): decisions made in the `hours` before a commit that affect its files.
+
+    Both meet on a file and a slot of `hours`: a decision is sent to its own slot and the next, which its window touches.
+    """
+    width = max(hours * 3600, 1)
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    files = commits.select("sha", "committed_at", F.size("files_changed").alias("n_files"), F.explode("files_changed").alias("dst"), slot("committed_at").alias("slot"))
+    made = affects.select(F.col("src").alias("id"), "dst").distinct().join(decisions.select("id", "created_at", F.explode(F.array(slot("created_at"), slot("created_at") + 1)).alias("slot")), "id")
+    near = files.join(made, ["dst", "slot"])
     near = near.where((F.col("created_at") <= F.col("committed_at")) & (F.col("created_at") >= F.col("committed_at") - F.make_dt_interval(F.lit(0), F.lit(hours))))
     found = near.groupBy("sha", "id", "n_files").agg(F.count(F.lit(1)).alias("overlap")).withColumn("score", F.col("overlap") / F.col("n_files"))
     w = Window.partitionBy("sha").orderBy(F.desc("overlap"), "id")
