@@ -440,3 +440,11 @@ def test_decisions_of_commits_meet_in_slots_of_time(spark):
     assert {(r.sha, r.id, r.overlap) for r in found.collect()} == want and want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert any("slot" in x and "dst" in x for x in plan.splitlines() if "Join Inner" in x)
+
+
+def test_exploded_runs_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i % 5, f"ship {i}") for i in range(50)], "g int, needle string").write.parquet(f"{tmp_path}/needles")
+    spark.createDataFrame([(i % 5, f"we ship {i} now") for i in range(50)] + [(1, "ok"), (2, "x")], "g int, text string").write.parquet(f"{tmp_path}/texts")
+    found = containment.containing(spark.read.parquet(f"{tmp_path}/needles"), spark.read.parquet(f"{tmp_path}/texts"), ["g"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum(f"ship {i}" in f"we ship {j} now" for i in range(50) for j in range(i % 5, 50, 5))

@@ -46,8 +46,9 @@ def dormant_alternatives(candidates: DataFrame, decisions: DataFrame, as_of: Col
     options, choices = c.select("user_id", "option").distinct(), later.select("user_id", "chosen")
     inside = containing(options.withColumnRenamed("option", "needle"), choices.withColumnRenamed("chosen", "text"), ["user_id"]).toDF("user_id", "option", "chosen")
     around = containing(choices.withColumnRenamed("chosen", "needle"), options.withColumnRenamed("option", "text"), ["user_id"]).toDF("user_id", "chosen", "option")
-    met = inside.unionByName(around).join(later, ["user_id", "chosen"]).groupBy("user_id", "option").agg(F.max("last").alias("last"))
-    c = c.join(met, ["user_id", "option"], "left")
+    # compressed texts look smaller than they are, so neither table is left to a broadcast
+    met = inside.unionByName(around).join(later.hint("merge"), ["user_id", "chosen"]).groupBy("user_id", "option").agg(F.max("last").alias("last"))
+    c = c.join(met.hint("merge"), ["user_id", "option"], "left")
     revisited = F.col("last") > F.col("created_at")
     if follows is not None:
         at = decisions.select("id", "created_at")
