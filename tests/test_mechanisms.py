@@ -448,3 +448,17 @@ def test_exploded_runs_are_not_broadcast(spark, tmp_path):
     found = containment.containing(spark.read.parquet(f"{tmp_path}/needles"), spark.read.parquet(f"{tmp_path}/texts"), ["g"])
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == sum(f"ship {i}" in f"we ship {j} now" for i in range(50) for j in range(i % 5, 50, 5))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.25, 0.5])
+def test_commits_of_sessions_meet_on_files(spark, threshold):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rng = random.Random(2)
+    files = lambda: [rng.choice([1, 2, 3, 4, 5, None]) for _ in range(rng.randint(0, 5))]
+    sessions, commits = [(i, at(17 * i), files()) for i in range(50)], [(f"c{i}", at(13 * i), files()) for i in range(60)]
+    found = graph.link_commits(spark.createDataFrame(sessions, "session bigint, ts timestamp_ntz, files array<int>"), spark.createDataFrame(commits, "sha string, committed_at timestamp_ntz, files_changed array<int>"), 2, threshold)
+    score = lambda a, b: len(set(a) & set(b)) / (len(set(a) | set(b)) or 1)
+    want = sorted((i, s, round(score(x, y), 9)) for i, t, x in sessions for s, u, y in commits if t <= u <= t + dt.timedelta(hours=2) and score(x, y) >= threshold)
+    assert sorted((r.session, r.sha, round(r.score, 9)) for r in found.collect()) == want
+    join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert ("changed#" in join.replace("files_changed", "")) == (threshold > 0)

@@ -206,13 +206,25 @@ def entity_status(involves: DataFrame, decisions: DataFrame, supersedes: DataFra
 def link_commits(sessions: DataFrame, commits: DataFrame, hours: int = 2, threshold: float = 0.3) -> DataFrame:
     """(session, sha, score): commits within `hours` of a session's start whose files overlap by Jaccard.
 
-    The interval join meets on hour buckets: a session is sent to each bucket that its window touches.
+    Two that overlap share a file, so they meet on a file and a slot of `hours`: a session is sent to its own slot and
+    the next, which its window touches. Only where no overlap is asked for they meet on slots alone.
     """
-    hour = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
-    s = sessions.select("session", F.col("ts").alias("start"), F.col("files").alias("session_files"), F.explode(F.sequence(hour("ts"), hour("ts") + hours)).alias("bucket"))
-    c = commits.select("sha", "committed_at", "files_changed", hour("committed_at").alias("bucket"))
-    score = jaccard("session_files", "files_changed")
-    return s.join(c, "bucket").where((F.col("committed_at") >= F.col("start")) & (F.col("committed_at") <= F.col("start") + F.make_dt_interval(F.lit(0), F.lit(hours)))).select("session", "sha", score.alias("score")).where(F.col("score") >= threshold)
+    width = max(hours * 3600, 1)
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    s = sessions.select("session", F.col("ts").alias("start"), F.array_distinct("files").alias("session_files"), F.explode(F.array(slot("ts"), slot("ts") + 1)).alias("slot"))
+    c = commits.select("sha", "committed_at", F.array_distinct("files_changed").alias("files_changed"), slot("committed_at").alias("slot"))
+    near = (F.col("committed_at") >= F.col("start")) & (F.col("committed_at") <= F.col("start") + F.make_dt_interval(F.lit(0), F.lit(hours)))
+    if threshold <= 0:
+        return s.join(c, "slot").where(near).select("session", "sha", jaccard("session_files", "files_changed").alias("score")).where(F.col("score") >= threshold)
+    s = s.select("session", "start", "slot", F.size("session_files").alias("n"), F.explode("session_files").alias("file"))
+    c = c.select("sha", "committed_at", "slot", F.size("files_changed").alias("m"), F.explode("files_changed").alias("changed"))
+    # the ratio of the sizes bounds the score
+    least = threshold * (1 - 1e-9)
+    like = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
+    # exploded rows are more than Spark takes them for: no broadcast
+    met = s.join(c.hint("merge"), (s.slot == c.slot) & F.col("file").eqNullSafe(F.col("changed"))).where(near & like)
+    both = met.groupBy("session", "start", "n", "sha", "committed_at", "m").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("session", "sha", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("score")).where(F.col("score") >= threshold)
 
 
 def link_decisions(decisions: DataFrame, affects: DataFrame, commits: DataFrame, hours: int = 2, threshold: float = 0.3, k: int = 20) -> DataFrame:
@@ -224,7 +236,7 @@ def link_decisions(decisions: DataFrame, affects: DataFrame, commits: DataFrame,
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
     files = commits.select("sha", "committed_at", F.size("files_changed").alias("n_files"), F.explode("files_changed").alias("dst"), slot("committed_at").alias("slot"))
     made = affects.select(F.col("src").alias("id"), "dst").distinct().join(decisions.select("id", "created_at", F.explode(F.array(slot("created_at"), slot("created_at") + 1)).alias("slot")), "id")
-    near = files.join(made, ["dst", "slot"])
+    near = files.join(made.hint("merge"), ["dst", "slot"])
     near = near.where((F.col("created_at") <= F.col("committed_at")) & (F.col("created_at") >= F.col("committed_at") - F.make_dt_interval(F.lit(0), F.lit(hours))))
     found = near.groupBy("sha", "id", "n_files").agg(F.count(F.lit(1)).alias("overlap")).withColumn("score", F.col("overlap") / F.col("n_files"))
     w = Window.partitionBy("sha").orderBy(F.desc("overlap"), "id")
