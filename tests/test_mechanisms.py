@@ -13,7 +13,8 @@ from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
 from thoughtloom.operators import containment, extraction, graph, integrity, rules
 from thoughtloom.operators import search as S
-from thoughtloom.sources import transcripts
+from thoughtloom.plans.registry import queries
+from thoughtloom.sources import sinks, transcripts
 from thoughtloom.streaming import fanout, queue, registry
 from thoughtloom.streaming import streams as W
 
@@ -462,3 +463,13 @@ def test_commits_of_sessions_meet_on_files(spark, threshold):
     assert sorted((r.session, r.sha, round(r.score, 9)) for r in found.collect()) == want
     join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert ("changed#" in join.replace("files_changed", "")) == (threshold > 0)
+
+
+def test_json_rows_of_all_decisions(spark):
+    d = spark.range(20_000).select("id", F.lit("F").alias("source"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    e = spark.createDataFrame([(1, "a", "t")], "id bigint, name string, type string")
+    i = spark.createDataFrame([(5, 1), (19_999, 1)], "src bigint, dst bigint")
+    assert sinks.json_rows(d, e, i, "F", None).agg(F.count(F.lit(1)), F.sum(F.size("entities"))).head()[:] == (20_000, 2)
+    assert sinks.json_rows(d, e, i, "F").count() == 10_000
+    plan = queries()["snk1_json_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan

@@ -476,7 +476,7 @@ query(
         "decisions",
     ),
 )(lambda s, d: (lambda x: transcripts.bulk_import(x.where("id % 2 = 0").select(F.col("id").alias("pos"), "user_id", "trigger", "agent_decision", "confidence"), x.where("id % 2 = 1"))[1])(B.decisions(s, d)))
-query("snk1_json_rows", sql("SELECT id, (SELECT count(*) FROM involves i WHERE i.src = d.id AND i.dst IN (SELECT id FROM entities)) AS n FROM decisions d WHERE source = 'F'", "decisions", "involves", "entities"))(lambda s, d: sinks.json_rows(B.decisions(s, d), B.entities(s, d), B.involves(s, d), "F", 1_000_000).select("id", F.size("entities").cast("bigint").alias("n")))
+query("snk1_json_rows", sql("SELECT id, (SELECT count(*) FROM involves i WHERE i.src = d.id AND i.dst IN (SELECT id FROM entities)) AS n FROM decisions d WHERE source = 'F'", "decisions", "involves", "entities"))(lambda s, d: sinks.json_rows(B.decisions(s, d), B.entities(s, d), B.involves(s, d), "F", None).select("id", F.size("entities").cast("bigint").alias("n")))
 query(
     "snk3_markdown",
     sql(

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..operators.graph import decisions_with_entities
 
 
-def export_json(decisions: DataFrame, entities: DataFrame, involves: DataFrame, path: str, source: str | None = None, limit: int = 10_000) -> None:
+def export_json(decisions: DataFrame, entities: DataFrame, involves: DataFrame, path: str, source: str | None = None, limit: int | None = 10_000) -> None:
     """The newest decisions with their entities, as JSON lines."""
     json_rows(decisions, entities, involves, source, limit).write.mode("overwrite").json(path)
 
 
-def json_rows(decisions: DataFrame, entities: DataFrame, involves: DataFrame, source: str | None = None, limit: int = 10_000) -> DataFrame:
+def json_rows(decisions: DataFrame, entities: DataFrame, involves: DataFrame, source: str | None = None, limit: int | None = 10_000) -> DataFrame:
+    """The newest `limit` decisions of a source with their entities; None takes all."""
     d = decisions if source is None else decisions.where(F.coalesce("source", F.lit("unknown")) == source)
-    return decisions_with_entities(d.orderBy(F.desc("created_at"), "id").limit(limit), entities, involves)
+    if limit is not None:
+        d = d.orderBy(F.desc("created_at"), "id").limit(limit)
+    return decisions_with_entities(d, entities, involves)
 
 
 def csv_rows(df: DataFrame) -> DataFrame:
