@@ -473,3 +473,14 @@ def test_json_rows_of_all_decisions(spark):
     assert sinks.json_rows(d, e, i, "F").count() == 10_000
     plan = queries()["snk1_json_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
+def test_quantiles_of_tables_are_exact(spark, p):
+    start = dt.datetime(2024, 1, 1)
+    one = spark.range(60_000).select(F.lit(start).cast("timestamp").alias("ts"), (F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
+    two = spark.createDataFrame([(start + dt.timedelta(days=1), float(x)) for x in [3, 3, 3, 1, 9]] + [(start + dt.timedelta(days=2), None)], "ts timestamp, v double")
+    both = one.unionByName(two)
+    got = {r.start.day: r.quantile for r in W.latency_alert(both, "v", size="1 day", p=p).collect()}
+    ranked = lambda x: sorted(x)[max(1, -(-len(x) * int(100 * p) // 100)) - 1]
+    assert got == {1: ranked([r.v for r in one.collect()]), 2: ranked([3.0, 3.0, 3.0, 1.0, 9.0]), 3: None}
