@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
-from thoughtloom.operators import containment, extraction, graph, integrity, rules
+from thoughtloom.operators import containment, extraction, graph, integrity, resolve, rules
 from thoughtloom.operators import search as S
 from thoughtloom.plans.registry import queries
 from thoughtloom.sources import sinks, transcripts
@@ -484,3 +484,15 @@ def test_quantiles_of_tables_are_exact(spark, p):
     got = {r.start.day: r.quantile for r in W.latency_alert(both, "v", size="1 day", p=p).collect()}
     ranked = lambda x: sorted(x)[max(1, -(-len(x) * int(100 * p) // 100)) - 1]
     assert got == {1: ranked([r.v for r in one.collect()]), 2: ranked([3.0, 3.0, 3.0, 1.0, 9.0]), 3: None}
+
+
+def test_relations_by_name_are_not_grouped_as_pairs(spark):
+    rng = random.Random(8)
+    e = [(i, rng.choice("AbCd"), [rng.choice("abxy")] if i % 5 == 0 else None) for i in range(60)]
+    rels = [("a", "B", "USES"), ("A ", "b", "USES"), ("c", "x", "IS"), ("d", "d", "IS"), ("x", "y", "IS")]
+    keys = {(k.lower(), i) for i, n, more in e for k in [n, *(more or [])]}
+    want = {(i, j, r) for f, t, r in rels for k, i in keys for m, j in keys if k == f.lower().strip() and m == t.lower() and i != j}
+    found = resolve.relation_edges(spark.createDataFrame(rels, "from string, to string, rel string"), spark.createDataFrame(e, "id bigint, name string, aliases array<string>"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")

@@ -327,12 +327,23 @@ def suggest_relation(pairs: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(best), ["src_type", "dst_type"], "left").withColumn("suggested", F.coalesce("suggested", F.lit("RELATED_TO")))
 
 
-def relation_edges(rels: DataFrame, entities: DataFrame) -> DataFrame:
-    """(src, dst, rel) of relations by name (from, to, rel): names or aliases, no self loops, each once."""
-    keys = name_keys(entities)
-    r = rels.select(fold("from").alias("f"), fold("to").alias("t"), "rel")
-    out = r.join(keys.select(F.col("key").alias("f"), F.col("id").alias("src")), "f").join(keys.select(F.col("key").alias("t"), F.col("id").alias("dst")), "t")
-    return out.where("src <> dst").select("src", "dst", "rel").distinct()
+def relation_edges(rels: DataFrame, entities: DataFrame, parts: int = 8) -> DataFrame:
+    """(src, dst, rel) of relations by name (from, to, rel): names or aliases, no self loops, each once.
+
+    As many rows as the holders of both names have pairs. Relations are made distinct by key before they meet entities,
+    so only pairs with an entity of several keys can come twice and are compared. Holders of the second name are dealt
+    to `parts` parts of their key, as few names may have most of them.
+    """
+    keys = settled(name_keys(entities))
+    many = keys.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("many"))
+    keys = settled(keys.join(many, "id"))
+    r = rels.select(fold("from").alias("f"), fold("to").alias("t"), "rel").distinct()
+    left = r.join(keys.select(F.col("key").alias("f"), F.col("id").alias("src"), F.col("many").alias("src_many")), "f")
+    left = left.select("t", "rel", "src", "src_many", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = keys.select(F.col("key").alias("t"), F.col("id").alias("dst"), F.col("many").alias("dst_many"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    out = left.join(right.hint("merge"), ["t", "part"]).where("src <> dst")
+    once, again = out.where("NOT (src_many OR dst_many)"), out.where("src_many OR dst_many")
+    return once.select("src", "dst", "rel").unionByName(again.select("src", "dst", "rel").distinct())
 
 
 def suggest_entities(mentions: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
