@@ -496,3 +496,15 @@ def test_relations_by_name_are_not_grouped_as_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")
+
+
+def test_influence_of_saved_decisions_does_not_group_the_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(30)), [rng.randrange(12) for _ in range(rng.randrange(5))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, created_at timestamp_ntz, entities array<bigint>")
+    found = fanout.SavedDecisions(spark, f"file://{tmp_path}")._influenced(df.where("id >= 20"), df.where("id < 20"))
+    of = {i: (t, set(e)) for i, t, e in rows}
+    want = {(i, j, len(of[i][1] & of[j][1])) for i in of for j in of if of[i][0] > of[j][0] and max(i, j) >= 20 and len(of[i][1] & of[j][1]) >= 2}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import BatchTable, settled
-from ..operators.graph import touches
+from ..operators.graph import overlap_index, touches
 from ..operators.rules import rejected_candidates
 from ..operators.vectors import similar
 
@@ -81,10 +81,13 @@ class SavedDecisions:
         return best.select(F.col("query").alias("src"), F.col("id").alias("dst"), "score", F.when(F.col("score") >= self.high, "high").otherwise("moderate").alias("tier"))
 
     def _influenced(self, new: DataFrame, stored: DataFrame) -> DataFrame:
-        links = lambda d, end: d.select(F.col("id").alias(end), F.col("created_at").alias(f"at_{end}"), F.explode(F.array_distinct("entities")).alias("entity"))
-        mine = links(new, "a")
-        met = mine.join(links(stored, "b"), "entity").unionByName(mine.join(links(new, "b"), "entity").where("a < b"))
-        shared = met.groupBy("a", "b", "at_a", "at_b").agg(F.count(F.lit(1)).alias("shared")).where((F.col("shared") >= self.min_shared) & (F.col("at_a") != F.col("at_b")))
+        # a pair is judged where the rarest of its shared entities is met, so the pairs that met are not grouped
+        both = stored.select("id", "created_at", "entities", F.lit(False).alias("new")).unionByName(new.select("id", "created_at", "entities", F.lit(True).alias("new")))
+        index = overlap_index(both.select(F.col("id").alias("src"), F.explode(F.array_distinct("entities")).alias("dst")), self.min_shared)
+        index = index.join(both.select(F.col("id").alias("src"), "created_at", "new"), "src").select("dst", "src", "created_at", "new", "all")
+        met = index.where("new").toDF("entity", "a", "at_a", "new_a", "of_a").join(index.toDF("entity", "b", "at_b", "new_b", "of_b").hint("merge"), "entity").where("(NOT new_b OR a < b) AND at_a <> at_b")
+        met = met.withColumn("common", F.array_intersect("of_a", "of_b")).where((F.size("common") >= self.min_shared) & (F.get("common", F.lit(0)) == F.col("entity")))
+        shared = met.select("a", "b", "at_a", "at_b", F.size("common").cast("bigint").alias("shared"))
         newer = F.col("at_a") > F.col("at_b")
         return shared.select(F.when(newer, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(newer, F.col("b")).otherwise(F.col("a")).alias("dst"), "shared")
 
