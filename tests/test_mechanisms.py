@@ -508,3 +508,14 @@ def test_influence_of_saved_decisions_does_not_group_the_pairs(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(want) and want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" not in plan
+
+
+def test_cross_user_pairs_are_not_ranked_after_the_join(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["p", "q", None]), rng.randrange(20)) for i in range(120)]
+    d = spark.createDataFrame([(i, u, p, dt.datetime(2024, 1, 1) + dt.timedelta(days=t)) for i, u, p, t in rows], "id bigint, user_id bigint, project_name string, created_at timestamp_ntz")
+    found = graph.cross_user_pairs(d, d, 3)
+    newest = sorted((r for r in rows if r[1] and r[2]), key=lambda r: (-r[3], -r[0]))
+    want = [(i, o[0], k) for i, u, p, _ in rows if u and p for k, o in enumerate([x for x in newest if x[2] == p and x[1] != u][:3], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2

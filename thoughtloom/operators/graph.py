@@ -266,10 +266,12 @@ def cross_user_pairs(new: DataFrame, decisions: DataFrame, n: int = 20) -> DataF
     # of a project, the newest n of a user that differs are within the newest n * (n + 1) rows of distinct users taken in order
     d = d.select(F.col("id").alias("other"), F.col("user_id").alias("other_user"), "project_name", F.col("created_at").alias("at"))
     pool = Window.partitionBy("project_name").orderBy(F.desc("at"), F.desc("other"))
-    d = d.withColumn("p", F.row_number().over(pool)).where(F.col("p") <= 2 * n)
-    pairs = new.where("user_id IS NOT NULL").select("id", "user_id", "project_name").join(d, "project_name").where("other_user <> user_id")
-    w = Window.partitionBy("id").orderBy(F.desc("at"), F.desc("other"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "other", "rank")
+    d = d.withColumn("p", F.row_number().over(pool))
+    # a project's pool is one array of at most 2 * n rows, so a new decision meets one row and nothing is ranked after the join
+    pools = d.where(F.col("p") <= 2 * n).groupBy("project_name").agg(F.sort_array(F.collect_list(F.struct("p", "other", "other_user"))).alias("pool"))
+    own = new.where("user_id IS NOT NULL").select("id", "user_id", "project_name").join(pools, "project_name")
+    first = F.slice(F.filter("pool", lambda x: x["other_user"] != F.col("user_id")), 1, n)
+    return own.select("id", F.posexplode(first).alias("rank", "x")).select("id", F.col("x.other").alias("other"), (F.col("rank") + 1).alias("rank"))
 
 
 def related_entities(entities: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
