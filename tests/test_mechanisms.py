@@ -62,6 +62,21 @@ def test_pivots_skip_most_pairs_of_clusters(spark):
     assert met < 0.15 * 2000 * 2000
 
 
+def test_vectors_without_clusters_are_copied_to_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    dealt, kind = [], type(df)
+    before = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(before(self, *a)) or dealt[-1])
+    for pairs in (False, True):
+        got = {(r.query, r.id) for r in vectors.similar(df, df, None, 0.5, block=25, pairs=pairs).collect()}
+        assert got == {p for p in brute_cosine(rows, 0.5) if not pairs or p[0] < p[1]}
+        assert dealt.pop().count() <= 2 * 2000 * vectors.FEW_BLOCKS
+    # blocks stay bounded in memory at any size
+    assert vectors.block_rows(10**9, 64, 2048) * 64 <= vectors.BLOCK_NUMBERS
+
+
 # ---- the stored text index
 
 

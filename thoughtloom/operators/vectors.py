@@ -13,6 +13,10 @@ from ..functions.tables import settled
 
 SLACK = 1e-6  # radians, far above the rounding of an arc cosine
 MOST_PIVOTS = 256
+#: A block has at most so many numbers (32 MB of doubles), and a table is cut into about so many blocks before they grow to it.
+BLOCK_NUMBERS = 1 << 22
+FEW_BLOCKS = 8
+SCORES = 1 << 23  # scores of one step of a product: 64 MB
 
 
 def unit_rows(lists: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -60,14 +64,21 @@ def with_reach(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, thres
     return queries.mapInArrow(task, queries.schema.simpleString()[len("struct<") : -1] + ",cells:array<int>")
 
 
+def block_rows(n: int, size: int, least: int) -> int:
+    """Rows of a block of n vectors: copies of the data grow with the number of blocks, so there are few of them, bounded in memory."""
+    return max(least, min(-(-n // FEW_BLOCKS), BLOCK_NUMBERS // size))
+
+
 def similar(queries: DataFrame, data: DataFrame, k: int | None, threshold: float, block: int = 2048, pairs: bool = False, by: str | None = None) -> DataFrame:
     """(query, id, score): per query the k best of data with a cosine over the threshold, itself left out.
 
     Tables have (id, embedding[, by]); by: only rows of one value meet. Data of more than one block fall into the
     cells of up to 256 pivots; a query goes to the cells that the triangle inequality of angles leaves it, so nothing
-    over the threshold is lost. A cell's rows are cut into blocks by their ids; a block of queries and one of data are
-    one matrix product in one task, and only rows over the threshold (the block's k best of a query) leave it.
-    pairs: queries are the data, each unordered pair once; rows then go to their own cell and greater ones only.
+    over the threshold is lost. Where queries keep more than half of the cells, these only copy them, and all is one
+    cell. A cell's rows are cut into blocks by their ids, of `block` rows or more (see block_rows); a block of queries
+    and one of data are one matrix product in one task, and only rows over the threshold (the block's k best of a query)
+    leave it. pairs: queries are the data, each unordered pair once; rows then go to their own cell and greater ones
+    only, in one cell to their own block and greater ones only.
     """
     group = F.col(by).cast("string") if by else F.lit("")
     shaped = lambda df: df.where("embedding IS NOT NULL AND size(embedding) > 0").select("id", "embedding", group.alias("by"))
@@ -78,15 +89,20 @@ def similar(queries: DataFrame, data: DataFrame, k: int | None, threshold: float
     n, size = sizes(data_)
     m, size_asked = (n, size) if pairs else sizes(asked)
     size = max(size, size_asked)
-    buckets = -(-n // block) if by else 1
     pivots = pivots_of(data_, size, min(MOST_PIVOTS, 4 * (-(-n // block)))) if n > block and threshold >= 0 else np.zeros((0, size))
-    if len(pivots) > 1:
-        data_ = settled(in_cells(data_, pivots)) if pairs else in_cells(data_, pivots)
+    celled = len(pivots) > 1
+    if celled:
+        placed = settled(in_cells(data_, pivots)) if pairs else in_cells(data_, pivots)
         radius = np.full(len(pivots), -np.inf)
-        for r in data_.groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+        for r in placed.groupBy("cell").agg(F.max("angle").alias("angle")).collect():
             radius[r.cell] = r.angle
-        asked = with_reach(data_.withColumnRenamed("cell", "own") if pairs else asked.withColumn("own", F.lit(-1)), pivots, radius, threshold)
-        asked = asked.withColumn("cells", F.filter("cells", lambda c: c >= F.col("own")))
+        reach = with_reach(placed.withColumnRenamed("cell", "own") if pairs else asked.withColumn("own", F.lit(-1)), pivots, radius, threshold)
+        visits = reach.agg(F.sum(F.size("cells"))).head()[0] or 0
+        celled = 2 * visits <= m * len(pivots)
+    block = block_rows(n, size, block)
+    buckets = -(-n // block) if by else 1
+    if celled:
+        data_, asked = placed, reach.withColumn("cells", F.filter("cells", lambda c: c >= F.col("own")))
     else:
         data_ = data_.withColumn("cell", F.lit(0))
         asked = asked.withColumns({"own": F.lit(0 if pairs else -1), "cells": F.array(F.lit(0))})
@@ -100,33 +116,45 @@ def similar(queries: DataFrame, data: DataFrame, k: int | None, threshold: float
         number = settled(count(right, "of_data").join(count(left, "of_asked"), ["cell", "bucket"]))
         blocks = lambda df: df.join(number, ["cell", "bucket"])
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    # the queries of pairs are the data, so their blocks in one cell are the same ones
+    halved = pairs and not celled
+    every = lambda first, last: F.explode(F.sequence(first, last))
     columns = ["id", "embedding", "by", "cell", "bucket"]
-    left = blocks(left).select(*columns, "own", F.lit(0).alias("side"), deal("of_asked").alias("i"), every("of_data").alias("j"))
-    right = blocks(right).select(*columns, F.lit(-1).alias("own"), F.lit(1).alias("side"), deal("of_data").alias("j"), every("of_asked").alias("i"))
+    left = blocks(left).withColumn("i", deal("of_asked"))
+    left = left.select(*columns, "own", F.lit(0).alias("side"), "i", every(F.col("i") if halved else F.lit(0), F.col("of_data") - 1).alias("j"))
+    right = blocks(right).withColumn("j", deal("of_data"))
+    right = right.select(*columns, F.lit(-1).alias("own"), F.lit(1).alias("side"), "j", every(F.lit(0), F.col("j") if halved else F.col("of_asked") - 1).alias("i"))
 
     def product(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
         a, b = (t.filter(pa.array(side == s)) for s in (0, 1))
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        s = np.clip(unit_rows(a["embedding"], size) @ unit_rows(b["embedding"], size).T, -1, 1)
-        ok = s > threshold
-        if by:
-            codes = np.unique(np.concatenate([a["by"].to_numpy(), b["by"].to_numpy()]).astype(str), return_inverse=True)[1]
-            ok &= codes[: len(ia), None] == codes[None, len(ia) :]
-        if pairs:
-            inside = a["own"].to_numpy() == a["cell"].to_numpy()
-            ok &= np.where(inside[:, None], ib[None, :] > ia[:, None], ib[None, :] != ia[:, None])
-        else:
-            ok &= ia[:, None] != ib[None, :]
-        if k is not None:
-            for r in np.flatnonzero(ok.sum(axis=1) > k):
-                hit = np.flatnonzero(ok[r])
-                ok[r] = False
-                ok[r, hit[np.lexsort((ib[hit], -s[r, hit]))[:k]]] = True
-        x, y = np.nonzero(ok)
-        first, second = (np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])) if pairs else (ia[x], ib[y])
-        return pa.table({"query": pa.array(first, pa.int64()), "id": pa.array(second, pa.int64()), "score": pa.array(s[x, y], pa.float64())})
+        va, vb = unit_rows(a["embedding"], size), unit_rows(b["embedding"], size).T
+        codes = np.unique(np.concatenate([a["by"].to_numpy(), b["by"].to_numpy()]).astype(str), return_inverse=True)[1] if by else None
+        inside = a["own"].to_numpy() == a["cell"].to_numpy()
+        if halved and len(t) and t["i"][0].as_py() < t["j"][0].as_py():
+            inside[:] = False
+        out = []
+        step = max(1, SCORES // max(1, len(ib)))
+        for at in range(0, len(ia), step):
+            own = ia[at : at + step]
+            s = np.clip(va[at : at + step] @ vb, -1, 1)
+            ok = s > threshold
+            if by:
+                ok &= codes[at : at + len(own), None] == codes[None, len(ia) :]
+            if pairs:
+                ok &= np.where(inside[at : at + step, None], ib[None, :] > own[:, None], ib[None, :] != own[:, None])
+            else:
+                ok &= own[:, None] != ib[None, :]
+            if k is not None:
+                for r in np.flatnonzero(ok.sum(axis=1) > k):
+                    hit = np.flatnonzero(ok[r])
+                    ok[r] = False
+                    ok[r, hit[np.lexsort((ib[hit], -s[r, hit]))[:k]]] = True
+            x, y = np.nonzero(ok)
+            first, second = (np.minimum(own[x], ib[y]), np.maximum(own[x], ib[y])) if pairs else (own[x], ib[y])
+            out.append(pa.table({"query": pa.array(first, pa.int64()), "id": pa.array(second, pa.int64()), "score": pa.array(s[x, y], pa.float64())}))
+        return pa.concat_tables(out) if out else pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = left.unionByName(right).repartition(tasks, "cell", "bucket", "i", "j")
