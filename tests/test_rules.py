@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import re
 import time
 
@@ -269,3 +270,31 @@ def test_hints_lose_no_match(spark):
     for i, t in enumerate(texts):
         assert got[i] == sum(len(re.findall(p, t, sum(flags[f] for f in fs))) for _, fs, p in X.INJECTION), t
     assert all(got[i] for i in range(3 * len(samples)))
+
+
+def test_longest_common_subsequences_by_places(spark):
+    rng = random.Random(7)
+    draw = lambda most: "".join(rng.choices("abé 字", k=rng.randrange(1, most)))
+    rows = [(draw(63), draw(80)) for _ in range(120)] + [("x" * 62, "x" * 62), ("a", "b")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("places", C.char_places("a"))
+    for r in df.withColumn("got", C.lcs_of_places("places", F.length("a"), "b")).collect():
+        assert r.got == lcs(r.a, r.b)
+
+
+def test_names_are_sought_from_the_best_ratios_down(spark, monkeypatch):
+    names = [(2 * i + t, f"store {(i * 2654435761) % 2**32:08x}", t) for i in range(400) for t in (0, 1) if t or i % 4]
+    asked = [(n + "s", kind) for (_, n, t), kind in zip(names, ["concept", "pattern", "file", "other"] * 200) if t][:120]
+    entities = spark.createDataFrame(names, "id bigint, name string, user_id int")
+    mentions = spark.createDataFrame(asked, "mention string, type string")
+    met, before = [], E.fuzzy_pairs
+    monkeypatch.setattr(E, "fuzzy_pairs", lambda *a, **k: met.append(before(*a, **k)) or met[-1])
+    aliases = spark.createDataFrame([], "alias string, canonical string")
+    got = {(r.mention, r.type): (r.id, r.method, round(r.score, 6)) for r in E.resolve_entities(mentions, entities, aliases, None, 0).collect()}
+
+    ratio = lambda a, b: 2 * lcs(a, b) / (len(a) + len(b))
+    for mention, kind in asked:
+        least = E.THRESHOLDS.get(kind, E.OTHER_THRESHOLDS)[0]
+        near = [(t != 0, -r, i) for i, n, t in names if (r := ratio(mention, n)) >= least - 1e-9]
+        want = (min(near)[2], "fuzzy", round(-min(near)[1], 6)) if near else (None, "new", 1.0)
+        assert got[mention, kind] == want
+    assert len(met) > 1  # a mention with a near name in its own place asks for no lower ratio

@@ -132,6 +132,28 @@ def lcs_length(a: str | Column, b: str | Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(full)
 
 
+def char_places(c: str | Column) -> Column:
+    """Each character of a text of 1 to 62 characters with its places as bits: map<string, bigint>."""
+    c = col(c)
+    chars = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1))))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    places = lambda x: F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.substring(c, i + 1, F.lit(1)) == x, bit(i)).otherwise(F.lit(0).cast("bigint")))
+    return F.map_from_arrays(chars, F.transform(chars, places))
+
+
+def lcs_of_places(places: str | Column, n: Column, b: str | Column) -> Column:
+    """lcs_length of a text of n <= 62 characters, given its char_places, and a text b that is not empty: a step for each character of b."""
+    places, b = col(places), col(b)
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - F.lit(1).cast("bigint")
+
+    def step(v: Column, ch: Column) -> Column:
+        met = v.bitwiseAND(F.coalesce(F.try_element_at(places, ch), F.lit(0).cast("bigint")))
+        return (v + met).bitwiseOR(v - met).bitwiseAND(full)
+
+    chars = F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i, F.lit(1)))
+    return n - F.bit_count(F.aggregate(chars, full, step))
+
+
 def indel_ratio(a: str | Column, b: str | Column) -> Column:
     """100 * 2 * LCS / (len a + len b): similarity of names, 100 for two empty ones."""
     a, b = col(a), col(b)
@@ -139,11 +161,12 @@ def indel_ratio(a: str | Column, b: str | Column) -> Column:
     return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / both)
 
 
-def may_reach(a: str | Column, b: str | Column, percent: float) -> Column:
+def may_reach(a: str | Column, b: str | Column, percent: float | Column) -> Column:
     """False only where the indel ratio is surely below percent: a cheap, lossless filter before lcs_length.
 
     The indel distance is (1 - ratio) * (len a + len b) and never under the Levenshtein distance.
     """
     a, b = col(a), col(b)
-    most = F.floor(F.lit(1 - percent / 100 + 1e-9) * (F.length(a) + F.length(b))).cast("int")
+    share = 1 - percent / 100 + 1e-9
+    most = F.floor((share if isinstance(share, Column) else F.lit(share)) * (F.length(a) + F.length(b))).cast("int")
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)

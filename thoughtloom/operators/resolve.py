@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import extension, fold, indel_ratio, may_reach, stem
+from ..functions.scalars import char_places, extension, fold, indel_ratio, lcs_of_places, may_reach, stem
 from ..functions.tables import settled
 from .graph import name_keys
 from .search import similar
@@ -15,6 +15,10 @@ from .search import similar
 #: Least name similarity (percent / 100) and least cosine by entity type.
 THRESHOLDS = {"file": (0.95, 0.97), "technology": (0.85, 0.90), "concept": (0.75, 0.82), "pattern": (0.78, 0.85), "system": (0.88, 0.92), "person": (0.92, 0.95), "organization": (0.90, 0.93)}
 OTHER_THRESHOLDS = (0.85, 0.90)
+#: Fuzzy names are sought from the best ratios down: most mentions end before the lower ones, where grams tell little.
+LEVELS = (90.0, 80.0)
+#: Parts that the names of one class of lengths are dealt to.
+CLASS_PARTS = 32
 #: Languages by file extension.
 LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".rs": "rust", ".go": "go", ".java": "java", ".kt": "kotlin", ".cs": "csharp", ".cpp": "cpp", ".c": "c", ".rb": "ruby",
@@ -73,9 +77,9 @@ def _grams(name: str, q: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(name, i, F.lit(q))))
 
 
-def _indels(n: Column, m: Column, percent: float) -> Column:
+def _indels(n: Column, m: Column, percent: Column) -> Column:
     """Most insertions and deletions between names of lengths n and m whose ratio is `percent` or more (under 0: none can be)."""
-    most = F.floor(F.lit(1 - percent / 100) * (n + m) + 1e-9)
+    most = F.floor((1 - percent / 100) * (n + m) + 1e-9)
     most = most - F.pmod(most - n - m, F.lit(2))
     return F.when(most >= F.abs(n - m), most).otherwise(F.lit(-1)).cast("int")
 
@@ -85,73 +89,104 @@ def _length_class(n: Column) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1.1) + 1e-9).cast("int")
 
 
-def name_keys_by_grams(names: DataFrame, frequency: DataFrame, percent: float, ask: bool, q: int = 2) -> DataFrame:
-    """(name, key, first, last): keys such that two names with an indel ratio of `percent` or more share one.
+def _of_like_length(name: str, others: DataFrame) -> Column:
+    """Whether a name can reach its ratio `least` with one of the lengths between the shortest and the longest of the others."""
+    n, wider = F.length(name), (200 - F.col("least")) / F.col("least")
+    ends = others.agg(F.min(F.length(others.columns[0])), F.max(F.length(others.columns[0]))).head()
+    return (n * wider + 1e-9 >= F.lit(ends[0])) & (n / wider - 1e-9 <= F.lit(ends[1]))
+
+
+def name_keys_by_grams(names: DataFrame, frequency: DataFrame, partners: DataFrame, ask: bool, q: int = 2, by_size: bool = False) -> DataFrame:
+    """(name, key, first, last) of names (name, least): keys such that two names with an indel ratio of `least` or more share one.
 
     A deletion spoils at most q of a name's q-grams and an insertion q - 1, so all but `spoilt` of them are in any
     partner of a given length, and the spoilt + 1 rarest grams of both names have one in common. A key is such a gram
     with the classes of both lengths; first and last are the gram's places in the name. Where a name has too few grams
-    for a class it asks (+) for all names of the class, and every name offers (-) its own class.
+    for a class it asks (+) for all names of the class, and every name offers (-) its own class. by_size: so does one
+    that asks where its grams would meet more names than the class has. partners (to, size): the other side's names by class of lengths.
     """
-    n = F.length("name")
-    reach = (200 - percent) / percent
-    partners = F.sequence(F.greatest(F.lit(1), F.ceil(n / reach - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(n * reach + 1e-9).cast("int")))
+    n, least = F.length("name"), F.col("least")
+    reach = (200 - least) / least
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n / reach - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(n * reach + 1e-9).cast("int")))
 
     def spoilt(m: Column) -> Column:
-        most = _indels(n, m, percent)
+        most = _indels(n, m, least)
         return F.when(most < 0, F.lit(-1)).otherwise(F.floor(most * (q - 1) + (most + n - m) / 2)).cast("int")
 
-    ranked = names.select("name", F.explode(_grams("name", q)).alias("gram")).join(frequency, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
-    lengths = F.transform(partners, lambda m: F.struct(_length_class(m).alias("to"), spoilt(m).alias("spoilt")))
+    ranked = names.select("name", "least", F.explode(_grams("name", q)).alias("gram")).join(frequency, "gram").groupBy("name", "least").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
+    lengths = F.transform(lengths, lambda m: F.struct(_length_class(m).alias("to"), spoilt(m).alias("spoilt")))
     ranked = ranked.withColumn("lengths", F.filter(lengths, lambda x: x["spoilt"] >= 0))
     to = ranked.select("name", "grams", F.explode(F.array_distinct(F.transform("lengths", lambda x: x["to"]))).alias("to"), "lengths")
     to = to.withColumn("wanted", 1 + F.array_max(F.transform(F.filter("lengths", lambda x: x["to"] == F.col("to")), lambda x: x["spoilt"])))
+    # one row for each class of lengths
+    to = to.join(F.broadcast(partners), "to").withColumn("rarest", F.slice("grams", F.lit(1), F.col("wanted")))
 
     own = _length_class(n)
     few = (F.size("grams") < F.col("wanted")) | (n < q)
+    if ask and by_size:
+        common = F.aggregate("rarest", F.lit(0).cast("bigint"), lambda s, g: s + g["freq"]) > F.col("size")
+    else:
+        common = F.lit(False)
     none = F.lit(None).cast("int")
     entry = lambda key, first, last: F.struct(key.alias("key"), first.alias("first"), last.alias("last"))
     classes = F.concat_ws(">", own, F.col("to")) if ask else F.concat_ws(">", F.col("to"), own)
     by_gram = F.transform(
-        F.slice("grams", F.lit(1), F.col("wanted")),
+        F.col("rarest"),
         lambda g: entry(F.concat(F.lit("="), g["gram"], F.lit("|"), classes), F.instr(F.col("name"), g["gram"]), n - F.length(g["gram"]) + 2 - F.instr(F.reverse("name"), F.reverse(g["gram"]))),
     )
     plus, minus = ("+", "-") if ask else ("-", "+")
-    by_class = F.array(entry(F.concat(F.lit(plus), F.col("to").cast("string")), none, none))
-    keys = to.select("name", F.explode(F.concat(by_gram, F.when(few, by_class).otherwise(F.array().cast("array<struct<key:string,first:int,last:int>>")))).alias("k")).select("name", "k.*")
-    return keys.union(names.select("name", F.concat(F.lit(minus), own.cast("string")), none, none))
+    by_class = F.transform(F.sequence(F.lit(0), F.lit(CLASS_PARTS - 1)), lambda p: entry(F.concat_ws("#", F.concat(F.lit(plus), F.col("to").cast("string")), p), none, none))
+    nothing = F.array().cast("array<struct<key:string,first:int,last:int>>")
+    both = F.concat(F.when(common, nothing).otherwise(by_gram), F.when(few | common, by_class).otherwise(nothing))
+    keys = to.select("name", F.explode(both).alias("k")).select("name", "k.*")
+    part = F.pmod(F.xxhash64("name"), F.lit(CLASS_PARTS))
+    return keys.union(names.select("name", F.concat_ws("#", F.concat(F.lit(minus), own.cast("string")), part), none, none))
+
 
+def name_candidates(left: DataFrame, right: DataFrame, percent: float, same: bool = False, q: int = 2, reach: DataFrame | None = None) -> DataFrame:
+    """(a, b, least) of folded names that share a key, at places and of lengths that the ratio allows; pairs may repeat.
 
-def name_candidates(left: DataFrame, right: DataFrame, percent: float, same: bool = False, q: int = 2) -> DataFrame:
-    """(a, b) of folded names that share a key, at places and of lengths that the ratio allows; pairs may repeat."""
-    a = left.select(fold("name").alias("name")).where("name <> ''").distinct()
-    b = a if same else right.select(fold("name").alias("name")).where("name <> ''").distinct()
-    every = a if same else a.union(b).distinct()
+    least is `percent`, or what single names of the left ask for by reach (a, reach).
+    """
+    a = left.select(fold("name").alias("name")).where("name <> ''").distinct().withColumn("least", F.lit(float(percent)))
+    if reach is not None:
+        a = a.join(reach.select(F.col("a").alias("name"), "reach"), "name").select("name", F.greatest("reach", "least").alias("least"))
+    b = a if same else right.select(fold("name").alias("name")).where("name <> ''").distinct().withColumn("least", F.lit(float(percent)))
+    if not same:
+        # names whose length no name of the right can match make no keys
+        a = a.where(_of_like_length("name", b.select("name")))
+    every = a.select("name") if same else a.select("name").union(b.select("name")).distinct()
     frequency = settled(every.select(F.explode(_grams("name", q)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq")))
-    x = name_keys_by_grams(a, frequency, percent, True, q).toDF("a", "key", "first_a", "last_a")
-    y = name_keys_by_grams(b, frequency, percent, False, q).toDF("b", "key", "first_b", "last_b")
+    classes = lambda names: names.groupBy(_length_class(F.length("name")).alias("to")).agg(F.count(F.lit(1)).alias("size"))
+    x = name_keys_by_grams(a, frequency, classes(b), True, q, reach is not None).toDF("a", "key", "first_a", "last_a")
+    y = name_keys_by_grams(b, frequency, classes(a), False, q).toDF("b", "key", "first_b", "last_b")
+    met = x.join(y, "key").where("a < b" if same else "true")
+    if reach is None:
+        met = met.withColumn("least", F.lit(float(percent)))
+    else:
+        met = met.join(a.toDF("a", "least"), "a")
     n, m = F.length("a"), F.length("b")
-    most = _indels(n, m, percent)
+    most = _indels(n, m, F.col("least"))
     # a surviving gram moves left by the deletions at most, right by the insertions
     placed = (F.col("first_a") - F.col("last_b") <= (most + n - m) / 2) & (F.col("first_b") - F.col("last_a") <= (most - n + m) / 2)
-    return x.join(y, "key").where("a < b" if same else "true").where((most >= 0) & F.coalesce(placed, F.lit(True))).select("a", "b")
+    return met.where((most >= 0) & F.coalesce(placed, F.lit(True))).select("a", "b", "least")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, percent: float, same: bool = False, reach: DataFrame | None = None) -> DataFrame:
     """(a, b, ratio) of names that reach the ratio: candidates by rare grams, a bounded edit distance, then the exact ratio.
 
-    reach (a, reach): greater ratios that single names of the left ask for.
+    reach (a, reach): greater ratios that the names of the left ask for, each one of them.
     """
-    # few short rows with long work each: dealt to all tasks, where they meet their repeats
+    # few short rows with long work each: dealt to all tasks
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = name_candidates(left, right, percent, same).where(may_reach("a", "b", percent)).repartition(tasks, "a", "b").distinct()
-    least = F.lit(float(percent))
-    if reach is not None:
-        # the edit distance is never over that of insertions and deletions alone
-        near = near.join(reach, "a").where(F.levenshtein("a", "b") <= (1 - F.col("reach") / 100 + 1e-9) * (F.length("a") + F.length("b")))
-        least = F.col("reach")
+    # the edit distance is never over that of insertions and deletions alone
+    near = name_candidates(left, right, percent, same, reach=reach).where(may_reach("a", "b", F.col("least"))).distinct()
+    places = left.select(fold("name").alias("a")).distinct().where(F.length("a").between(1, 62)).select("a", char_places("a").alias("places"))
+    near = near.join(places, "a", "left").repartition(tasks, "a", "b")
+    n, m = F.length("a"), F.length("b")
+    exact = F.when(F.col("places").isNotNull(), F.lit(200.0) * lcs_of_places("places", n, "b") / (n + m)).otherwise(indel_ratio("a", "b"))
     # settled, because filters on a ratio would count it again
-    ratio = settled(near.select("a", "b", least.alias("least"), indel_ratio("a", "b").alias("ratio")))
+    ratio = settled(near.select("a", "b", "least", exact.alias("ratio")))
     return ratio.where(F.col("ratio") >= F.col("least") - 1e-9).select("a", "b", "ratio")
 
 
@@ -181,6 +216,32 @@ def match_embedding(mentions: DataFrame, entities: DataFrame, threshold: float |
     return near.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x")).select("query", "x.id", (-F.col("x.s")).alias("score"))
 
 
+def best_names(asked: DataFrame, entities: DataFrame, levels: list[float]) -> DataFrame:
+    """(m, id, method, score): for asked (m, least, a) the best entity (id, name, place) by place, ratio and id.
+
+    A place is searched before the next one, and from the first level down: all names over a level are met, so a mention
+    with one is done, and one whose least ratio is not under the level has none in this place.
+    """
+    found, names = None, entities.select(fold("name").alias("b"), "place", "id").groupBy("b", "place").agg(F.min("id").alias("id"))
+    names = settled(names)
+    for place in sorted(r.place for r in names.select("place").distinct().collect()):  # own and others
+        own = names.where(F.col("place") == place).drop("place")
+        like = _of_like_length("a", own.select("b"))
+        waiting = asked.where(like)
+        for level in levels:
+            if waiting.isEmpty():
+                break
+            reach = waiting.groupBy("a").agg(F.min("least").alias("reach"))
+            pairs = fuzzy_pairs(waiting.select(F.col("a").alias("name")), own.select(F.col("b").alias("name")), level, reach=reach)
+            near = pairs.join(waiting, "a").where(F.col("ratio") >= F.col("least") - 1e-9).join(own, "b")
+            first = near.groupBy("m").agg(F.min(F.struct((-F.col("ratio") / 100).alias("s"), "id")).alias("x"))
+            hit = settled(first.select("m", "x.id", F.lit("fuzzy").alias("method"), (-F.col("x.s")).alias("score")))
+            found = hit if found is None else found.unionByName(hit)
+            asked = settled(asked.join(hit, "m", "left_anti"))
+            waiting = asked.where(like & (F.col("least") < level))
+    return asked.select("m", F.lit(None).cast("bigint").alias("id"), F.lit("fuzzy").alias("method"), F.lit(0.0).alias("score")).limit(0) if found is None else found
+
+
 def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, percent: float | None = 85.0, user_id: int | None = None) -> DataFrame:
     """(mention, [type,] id, method, score) of distinct mentions: exact, canonical, alias, fuzzy, embedding, else new (id NULL).
 
@@ -213,13 +274,8 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
         first = found.groupBy("m").agg(F.min(F.struct("place", (-F.col("score")).alias("s"), "id")).alias("x"))
         return first.select("m", "x.id", F.lit(method).alias("method"), (-F.col("x.s")).alias("score"))
 
-    left = asked.join(by_key, "m", "left_anti")
-    least = percent if percent is not None else 100 * min(t for t, _ in THRESHOLDS.values())
-    reach = left.groupBy(fold("mention").alias("a")).agg(F.min("least").alias("reach"))
-    pairs = fuzzy_pairs(left.select(F.col("mention").alias("name")), e.select("name"), least, reach=reach)
-    firsts = e.select(fold("name").alias("b"), "place", "id").groupBy("b", "place").agg(F.min("id").alias("id"))
-    near = pairs.join(left.select("m", "least", fold("mention").alias("a")), "a").where(F.col("ratio") >= F.col("least") - 1e-9).join(firsts, "b")
-    by_name = settled(best(near.withColumn("score", F.col("ratio") / 100), "fuzzy"))
+    left = settled(asked.join(by_key, "m", "left_anti"))
+    by_name = settled(best_names(left.select("m", "least", fold("mention").alias("a")), e, [percent] if percent is not None else [*LEVELS, 100 * min(t for t, _ in THRESHOLDS.values())]))
 
     found = by_key.unionByName(by_name)
     if vectors:
