@@ -534,3 +534,30 @@ def test_cross_user_pairs_are_not_ranked_after_the_join(spark):
     want = [(i, o[0], k) for i, u, p, _ in rows if u and p for k, o in enumerate([x for x in newest if x[2] == p and x[1] != u][:3], 1)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2
+
+
+def test_tasks_of_a_text_search_are_as_many_as_its_addends_ask_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"ship the order {'ship ' * (i % 4)}by {'air' if i % 3 else 'sea'}") for i in range(60)], "id bigint, text string")
+    asked = spark.createDataFrame([(1, "ship by sea"), (2, "the air"), (3, "nothing")], "id bigint, text string")
+    whole = sorted((r.query, r.id, round(r.score, 9)) for r in S.bm25(asked, docs, 7).collect())
+    monkeypatch.setattr(text_index, "PART_ROWS", 20)
+    found = S.bm25(asked, docs, 7)
+    assert sorted((r.query, r.id, round(r.score, 9)) for r in found.collect()) == whole
+    # ship, by and the are in 60 texts, sea in 20, air in 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 12), REPARTITION_BY_NUM" in plan
+
+
+def test_counts_of_terms_by_places(spark):
+    docs = spark.createDataFrame([(1, "b a b", "B c"), (2, "", None), (3, None, "x")], "id bigint, a string, b string")
+    got = sorted(tuple(r) for r in text_index.postings(docs, ["a", "b"]).terms.select("term", "id", "tf", "length").collect())
+    assert got == [("a", 1, 1, 5), ("b", 1, 3, 5), ("c", 1, 1, 5), ("x", 3, 1, 1)]
+
+
+def test_a_context_pack_joins_lengths_instead_of_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rules, "within_budget", lambda df, by, order, chars, budget: (seen.append(df), df.withColumn("spent", chars))[1])
+    hits = spark.createDataFrame([(1, 7, 0.5)], "query bigint, id bigint, score double")
+    d = spark.createDataFrame([(7, "Pick", None, "one", None)], "id bigint, trigger string, context string, agent_decision string, agent_rationale string")
+    pack = S.context_pack(hits, hits, d, spark.createDataFrame([], "src bigint, dst bigint"))
+    assert not [c for c, t in seen[0].dtypes if t == "string"] and [r.spent for r in pack.collect()] == [8]

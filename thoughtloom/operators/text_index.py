@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.tables import settled
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
+#: Addends of scores that a task sums.
+PART_ROWS = 2_000_000
 
 
 def words_of(text: str | Column) -> Column:
@@ -28,8 +30,22 @@ class Postings:
 
 def postings(docs: DataFrame, fields: list[str]) -> Postings:
     """An index for one use: every text is cut once; documents repeat neither ids nor texts here."""
-    words = docs.select("id", F.flatten(F.array(*[words_of(c) for c in fields])).alias("words")).withColumn("length", F.size("words").cast("bigint"))
-    return Postings(words.select("id", "length", F.explode("words").alias("term")), _counted(words))
+    words = _cut(docs, fields)
+    return Postings(_terms(words), _counted(words))
+
+
+def _cut(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, words, length): all words of the fields, sorted."""
+    words = docs.select("id", F.sort_array(F.flatten(F.array(*[words_of(c) for c in fields]))).alias("words"))
+    return words.withColumn("length", F.size("words").cast("bigint"))
+
+
+def _terms(words: DataFrame) -> DataFrame:
+    """(term, id, tf, length) of sorted words: a term's count is the distance to the next term's place, so nothing is grouped."""
+    new = lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+    places = words.where("length > 0").withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), new))
+    term = lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("places", k + 1), F.size("words")) - i).alias("tf"))
+    return places.select("id", "length", F.explode(F.transform("places", term)).alias("x")).select("x.term", "id", "x.tf", "length")
 
 
 def _counted(words: DataFrame) -> DataFrame:
@@ -40,20 +56,22 @@ def rank(queries: DataFrame, index: Postings, k: int = 20, k1: float = 1.2, b: f
     """(query, id, score, rank): the k best documents of each query (id, text) by BM25 over its distinct terms.
 
     The queries' terms meet the index before anything is shuffled; document frequencies are counted on what is left.
+    Then a document's postings go to one task, and tasks are as many as the sums have addends / PART_ROWS, so no task's
+    table of sums grows with the documents; only a task's k best of a query leave it.
     """
     asked = settled(queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(words_of("text"))).alias("term")))
-    wanted = asked.select("term").distinct()
-    # a checked size: so many short words are some tens of MB at most; beyond it the join shuffles
-    wanted = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
-    met = index.terms.join(wanted, "term", "left_semi")
-    used = met if "tf" in met.columns else met.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    used = settled(used.select("term", "id", "length", "tf"))
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a checked size: so many short words are some tens of MB at most; beyond it the joins shuffle
+    small = asked.count() <= 500_000
+    few = F.broadcast if small else lambda df: df
+    used = settled(index.terms.join(few(asked.select("term").distinct()), "term", "left_semi").select("term", "id", "length", "tf"))
+    df = settled(asked.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term"))
+    parts = -(-(df.agg(F.sum("df")).head()[0] or 1) // PART_ROWS)
     # one row as a scalar subquery: nothing runs while the query is planned
     stats = index.counted.select(F.struct("n", (F.col("words") / F.col("filled")).alias("mean")).alias("stats")).scalar()
     gain = F.log(1 + (F.col("stats.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = gain * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("stats.mean")))
-    weights = asked.join(df.withColumn("stats", stats), "term").join(used, "term").select("query", "id", weight.alias("w"))
+    met = used.repartition(parts, "id").join(few(df), "term") if small else used.join(df, "term").repartition(parts, "id")
+    weights = met.withColumn("stats", stats).select("query", "id", weight.alias("w"))
     score = weights.groupBy("query", "id").agg(F.sum("w").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -74,9 +92,9 @@ class TextIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def add(self, docs: DataFrame, number: int) -> None:
-        words = docs.select("id", F.flatten(F.array(*[words_of(c) for c in self.fields])).alias("words")).withColumn("length", F.size("words").cast("bigint"))
-        terms = words.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        terms = terms.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
+        words = _cut(docs, self.fields)
+        # a frequent term's bucket is cut into several tasks
+        terms = _terms(words).withColumn("bucket", self._bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/batch={number}")
         text = F.concat_ws("\n", *self.fields)
         docs.select("id", text.alias("text")).write.mode("overwrite").parquet(f"{self.path}/texts/batch={number}")
