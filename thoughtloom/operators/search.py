@@ -139,9 +139,10 @@ def context_pack(lexical: DataFrame, semantic: DataFrame, decisions: DataFrame,
     from .rules import within_budget
 
     best = hybrid(lexical, semantic, 0.3, 0.0, n)
-    text = F.concat_ws(" ", "trigger", "context", "agent_decision", "agent_rationale")
-    d = with_currency(decisions.select("id", text.alias("t")), supersedes)
-    return within_budget(best.join(d, "id"), ["query"], [F.col("rank")], F.length("t"), budget).select("query", "id", F.col("rank").alias("place"), "combined", "is_current", "spent")
+    # lengths are joined, not the texts
+    chars = F.length(F.concat_ws(" ", "trigger", "context", "agent_decision", "agent_rationale"))
+    d = with_currency(decisions.select("id", chars.alias("chars")), supersedes)
+    return within_budget(best.join(d, "id"), ["query"], [F.col("rank")], F.col("chars"), budget).select("query", "id", F.col("rank").alias("place"), "combined", "is_current", "spent")
 
 
 def pack_entities(pack: DataFrame, involves: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 30, related: int = 5) -> DataFrame:
