@@ -561,3 +561,20 @@ def test_a_context_pack_joins_lengths_instead_of_texts(spark, monkeypatch):
     d = spark.createDataFrame([(7, "Pick", None, "one", None)], "id bigint, trigger string, context string, agent_decision string, agent_rationale string")
     pack = S.context_pack(hits, hits, d, spark.createDataFrame([], "src bigint, dst bigint"))
     assert not [c for c, t in seen[0].dtypes if t == "string"] and [r.spent for r in pack.collect()] == [8]
+
+
+def test_tasks_of_a_graph_are_as_many_as_its_edges_ask_for(spark, monkeypatch):
+    from thoughtloom.functions import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 1)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id bigint")
+    rows = [(1, 10, "INVOLVES"), (1, 11, "INVOLVES"), (2, 12, "INVOLVES"), (9, 13, "INVOLVES"), (1, 99, "INVOLVES"), (10, 11, "RELATED_TO"), (10, 13, "RELATED_TO"), (2, 1, "SUPERSEDES"), (9, 1, "SUPERSEDES")]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, rel string")
+    graph_ = graph.full_graph(ids(1, 2), ids(10, 11, 12, 13), edges)
+    assert sorted(map(tuple, graph_.collect())) == [(1, 10, "INVOLVES"), (1, 11, "INVOLVES"), (2, 1, "SUPERSEDES"), (2, 12, "INVOLVES"), (10, 11, "RELATED_TO")]
+    decisions = ids(1, 2, 9).withColumn("project_name", F.when(F.col("id") == 9, "p").otherwise("q"))
+    d, e, left = integrity.delete_project(decisions, ids(10, 11, 12, 13), edges, "p")
+    assert sorted(r.id for r in d.collect()) == [1, 2] and sorted(r.id for r in e.collect()) == [10, 11, 12]
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if 9 not in r and 13 not in r)
+    for found in (graph_, left):
+        assert ", 2), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()

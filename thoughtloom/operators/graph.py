@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold, jaccard
+from ..functions.tables import settled, tasks_for
 
 ENTITY_RELS = ["IS_A", "PART_OF", "DEPENDS_ON", "RELATED_TO", "ALTERNATIVE_TO", "ENABLES", "PREVENTS", "REQUIRES", "REFINES"]
 
@@ -52,15 +53,23 @@ def graph_page(decisions: DataFrame, involves: DataFrame, edges: DataFrame, page
     return nodes.unionByName(e.select(F.lit("INVOLVES").alias("kind"), "src", "dst")).unionByName(between)
 
 
+def within(edges: DataFrame, nodes: DataFrame, *ends: str) -> DataFrame:
+    """Edges of a settled table whose `ends` are among settled nodes (id), in tasks of a bounded number of edges."""
+    parts = tasks_for(edges)
+    for c in ends:
+        edges = edges.repartition(parts, c).join(nodes.select(F.col("id").alias(c)), c, "left_semi")
+    return edges
+
+
 def full_graph(decisions: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """All edges of the visible graph; entity edges need a source that a visible decision involves."""
-    d = decisions.select("id")
-    inv = of(edges, "INVOLVES").join(d.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "rel")
-    linked = inv.select(F.col("dst").alias("id")).distinct()
-    kept = entities.select("id").join(linked, "id", "left_semi")
-    inv = inv.join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "rel")
-    between = induced(d, edges.where(~F.col("rel").isin("INVOLVES", *ENTITY_RELS))).select("src", "dst", "rel")
-    return inv.unionByName(between).unionByName(induced(kept, of(edges, *ENTITY_RELS)).select("src", "dst", "rel"))
+    e, d = settled(edges.select("src", "dst", "rel")), settled(decisions.select("id").distinct())
+    # an entity that a visible decision involves is kept, so these edges need no list of the kept
+    inv = settled(within(settled(within(of(e, "INVOLVES"), d, "src")), entities, "dst").select("src", "dst", "rel"))
+    kept = settled(inv.select(F.col("dst").alias("id")).distinct())
+    between = within(e.where(~F.col("rel").isin("INVOLVES", *ENTITY_RELS)), d, "src", "dst")
+    related = within(of(e, *ENTITY_RELS), kept, "src", "dst")
+    return inv.unionByName(between.select("src", "dst", "rel")).unionByName(related.select("src", "dst", "rel"))
 
 
 def symmetric(edges: DataFrame, *extra: str) -> DataFrame:

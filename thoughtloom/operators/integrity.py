@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
-from ..functions.tables import settled
-from .graph import ENTITY_RELS, induced, of, symmetric
+from ..functions.tables import settled, tasks_for
+from .graph import ENTITY_RELS, of, symmetric, within
 from .resolve import duplicate_pairs
 
 #: Relationships that keep an entity when a project is removed.
@@ -198,16 +198,20 @@ def validate_all(decisions: DataFrame, entities: DataFrame, edges: DataFrame, al
     return out.unionByName(issues("invalid_relationship", "ERROR", wrong_level_edges(decisions, edges), F.array("src", "dst"), "entity relation between decisions"))
 
 
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """A settled table of edges without those of the decisions `gone` (settled), in tasks of a bounded number of edges."""
+    parts = tasks_for(edges)
+    rest = edges.where(~F.col("rel").isin(ENTITY_RELS)).repartition(parts, "src").join(gone.select(F.col("id").alias("src")), "src", "left_anti")
+    between = rest.where("rel <> 'INVOLVES'").repartition(parts, "dst").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return of(rest, "INVOLVES").unionByName(between.select(*rest.columns))
+
+
 def delete_where(decisions: DataFrame, entities: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(decisions, entities, edges) without the decisions `gone` (id), their edges, and entities that nothing involves any more."""
-    g = gone.select("id").distinct()
-    d = decisions.join(g, "id", "left_anti")
-    src, dst = (g.withColumnRenamed("id", c) for c in ("src", "dst"))
-    of_decisions = edges.where(~F.col("rel").isin(ENTITY_RELS)).join(src, "src", "left_anti")
-    between = of_decisions.where("rel <> 'INVOLVES'").join(dst, "dst", "left_anti")
-    e = of(edges, *ENTITY_RELS).unionByName(of(of_decisions, "INVOLVES")).unionByName(between)
-    kept = entities.join(of(e, "INVOLVES").select(F.col("dst").alias("id")), "id", "left_semi")
-    return d, kept, e
+    g, every = settled(gone.select("id").distinct()), settled(edges)
+    e = of(every, *ENTITY_RELS).unionByName(_without(every, g).select(*every.columns))
+    kept = entities.join(of(e, "INVOLVES").select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+    return decisions.join(g, "id", "left_anti"), kept, e
 
 
 def delete_project(decisions: DataFrame, entities: DataFrame, edges: DataFrame, project: str, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -216,12 +220,13 @@ def delete_project(decisions: DataFrame, entities: DataFrame, edges: DataFrame,
     Entities go with theirs that no edge of PROJECT_LINKS has any more: INVOLVES among edges, and `linked` (id) where
     others of these join entities.
     """
-    gone = decisions.where(F.col("project_name") == project).select("id")
-    d, _, e = delete_where(decisions, entities, edges, gone)
-    still = of(e, "INVOLVES").select(F.col("dst").alias("id"))
-    kept = entities.join(still if linked is None else still.union(linked.select("id")), "id", "left_semi")
-    between = induced(kept, of(e, *ENTITY_RELS)).select(*e.columns)
-    return d, kept, e.where(~F.col("rel").isin(ENTITY_RELS)).unionByName(between)
+    gone = settled(decisions.where(F.col("project_name") == project).select("id").distinct())
+    every = settled(edges)
+    rest = settled(_without(every, gone))
+    still = of(rest, "INVOLVES").select(F.col("dst").alias("id"))
+    kept = entities.join((still if linked is None else still.union(linked.select("id"))).distinct(), "id", "left_semi")
+    between = within(of(every, *ENTITY_RELS), settled(kept.select("id").distinct()), "src", "dst")
+    return decisions.join(gone, "id", "left_anti"), kept, rest.select(*edges.columns).unionByName(between.select(*edges.columns))
 
 
 def delete_entities(ids: DataFrame, entities: DataFrame, involves: DataFrame, decisions: DataFrame, user_id: int, force: bool = False) -> DataFrame:
