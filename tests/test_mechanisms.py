@@ -330,6 +330,36 @@ def test_cycles_of_every_depth_equal_brute_force(spark):
     assert any(n == 20 for _, n in want) and len({n for _, n in want}) > 5
 
 
+def test_cycles_of_small_components_are_found_without_walks(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(10 * g + rng.randrange(6), 10 * g + rng.randrange(6)) for g in range(40) for _ in range(9)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    want = brute_cycles(edges, 5)
+    found = lambda df, rest: {(tuple(r.nodes), r.length) for r in df.collect()} | brute_cycles([(r.src, r.dst) for r in rest.collect()], 5)
+    small, rest = integrity._cycles_of_small(df.withColumn("rel", F.lit("")), 5, 6)
+    assert small.count() and rest.count() and found(small, rest) == want
+    monkeypatch.setattr(integrity, "cyclic_core", lambda *_: pytest.fail("walked"))
+    assert found(integrity.find_cycles(df, 5, None), rest.limit(0)) == want and len(want) > 40
+
+
+def test_components_settle_a_multiple_of_the_edges_once(spark, monkeypatch):
+    rng = random.Random(6)
+    ids = rng.sample(range(10**6), 600)
+    edges = list(zip(ids[:300], ids[1:300])) + [(ids[300 + rng.randrange(300)], ids[300 + rng.randrange(300)]) for _ in range(150)] + [(ids[0], ids[0])]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, -5, -5]], "id bigint")
+    sizes, settled = [], integrity.settled
+    monkeypatch.setattr(integrity, "settled", lambda df: (lambda t: sizes.append(t.count()) or t)(settled(df)))
+    got = {r.id: r.component for r in integrity.components(nodes, spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    want = {i: i for i in [*ids, -5]}
+    for _ in range(600):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert sum(sizes) < 8 * len(edges)  # 20 times and more where every round settles all labels
+    none = integrity.components(nodes.where("id = -5"), spark.createDataFrame([], "src bigint, dst bigint"))
+    assert [tuple(r) for r in none.collect()] == [(-5, -5)]
+
+
 def test_layers_between_two_cycles_are_not_walked(spark):
     """15 full layers of 6 nodes hold 6^15 walks from one 2-cycle to the other, and no cycle."""
     edges = [(0, 1), (1, 0), (900, 901), (901, 900)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import fold
 from ..functions.tables import settled, tasks_for
@@ -68,7 +70,44 @@ def strong_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) -> DataFrame:
+def cycles_of(pairs: list[tuple], max_depth: int) -> list[tuple]:
+    """Simple cycles of 2 to max_depth of a few edges, each set of nodes once, from its least node on."""
+    to: dict = {}
+    for a, b in pairs:
+        to.setdefault(a, []).append(b)
+    best: dict = {}
+    for first in to:
+        open_ = [(first,)]
+        while open_:
+            path = open_.pop()
+            for b in to.get(path[-1], ()):
+                if b == first:
+                    nodes = frozenset(path)
+                    best[nodes] = min(best.get(nodes, path), path)
+                elif b > first and len(path) < max_depth and b not in path:
+                    open_.append((*path, b))
+    return list(best.values())
+
+
+def _cycles_of_small(edges: DataFrame, max_depth: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """(cycles, rest): cycles of the connected components of up to `small` edges, found inside tasks; rest: the edges of greater ones."""
+    e = settled(edges.where("src <> dst").select("rel", "src", "dst").distinct())
+    label = connected(e, ["rel"]).select("rel", F.col("id").alias("src"), "c")
+    e = settled(e.join(label, ["rel", "src"]).select("rel", "c", "src", "dst"))
+    great = settled(e.groupBy("rel", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("rel", "c"))
+    own = e.join(great, ["rel", "c"], "left_anti").groupBy("rel", "c").agg(F.collect_list(F.struct("src", "dst")).alias("x")).select("rel", "x.src", "x.dst")
+    kinds = {f.name: f.dataType for f in e.schema}
+    schema = T.StructType([T.StructField("rel", kinds["rel"]), T.StructField("nodes", T.ArrayType(kinds["src"])), T.StructField("length", T.IntegerType())])
+
+    def run(batches):
+        for b in batches:
+            out = [(rel, list(nodes), len(nodes)) for rel, src, dst in zip(*(b.column(i).to_pylist() for i in range(3))) for nodes in cycles_of(zip(src, dst), max_depth)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((b.schema.field(0).type, b.schema.field(1).type, pa.int32()))], names=["rel", "nodes", "length"])
+
+    return settled(own.mapInArrow(run, schema)), settled(e.join(great, ["rel", "c"], "left_semi").select("rel", "src", "dst"))
+
+
+def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10, small: int = 40) -> DataFrame:
     """(rel, nodes, length) of simple cycles of 2 to max_depth edges of one rel, each set of nodes once, from its least node on.
 
     Edges without a column rel count as one rel. `most` is the size of the report: the shortest cycles of each rel, the
@@ -78,14 +117,22 @@ def find_cycles(edges: DataFrame, max_depth: int = 20, most: int | None = 10) ->
     connected component.
     With each step of the walks, the nodes from which a start can be reached are extended by a step backwards, too; as
     soon as these distances cover what is left of the depth, walks that cannot return in time end.
+    Where all cycles of more than three edges are asked for, connected components of up to `small` edges (few enough to
+    bound their cycles) are searched each inside one task, and only greater ones are walked.
     """
-    core = cyclic_core(edges if "rel" in edges.columns else edges.withColumn("rel", F.lit("")))
+    edges = edges if "rel" in edges.columns else edges.withColumn("rel", F.lit(""))
+    found = None
+    if most is None and max_depth > 3:
+        found, edges = _cycles_of_small(edges, max_depth, small)
+        if edges.isEmpty():
+            return found
+    core = cyclic_core(edges)
     step = core.select("rel", F.col("src").alias("at"), F.col("dst").alias("to"))
     walk = core.where("dst > src").select("rel", F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"))
     back = core.where("src > dst").select("rel", F.col("dst").alias("first"), F.col("src").alias("at"), F.lit(1).alias("home"))
     homes = newest = settled(back)
     first_of = Window.partitionBy("rel").orderBy("nodes")
-    found, have = None, {}  # have: cycles of a relationship so far
+    have = {}  # cycles of a relationship so far
     for length in range(2, max_depth + 1):
         closed = walk.join(step, ["rel", "at"]).where("to = first").groupBy("rel", F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes"))
         closed = closed.select("rel", "nodes", F.lit(length).alias("length"))
@@ -238,22 +285,43 @@ def delete_entities(ids: DataFrame, entities: DataFrame, involves: DataFrame, de
     return x.select("id", outcome.alias("outcome"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): least id reachable. Every round takes the least label around, then follows labels once."""
-    both = settled(symmetric(edges.where("src <> dst")).select("id", "other").distinct())
-    label = settled(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("c")))
+def connected(edges: DataFrame, by: list[str] | None = None, rounds: int = 60) -> DataFrame:
+    """(by, id, c): a node of its connected component for every node of edges (by, src, dst); components of one `by` each.
+
+    In a round each node joins that of its neighbours and itself which comes first in the order of hashes; the edges are
+    then those between the joined nodes, and about half of these are left each time, so all rounds together move little
+    more than the first one does. Afterwards the rounds are followed back, the smallest first.
+    """
+    by = by or []
+    e = settled(edges.where("src <> dst").select(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    maps: list[DataFrame] = []
     for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("other"), "c"), "other").groupBy("id").agg(F.min("c").alias("m"))
-        step = settled(label.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")))
-        hook = step.where("c < old").groupBy(F.col("old").alias("id")).agg(F.min("c").alias("h"))
-        step = settled(step.join(hook, "id", "left").select("id", "old", F.least("c", F.coalesce("h", "c")).alias("c")))
-        new = settled(step.join(step.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c", "left").select("id", "old", F.coalesce("cc", "c").alias("c")))
-        label = new.select("id", "c")
-        if new.where("old <> c").limit(1).count() == 0:
+        if e.isEmpty():
             break
+        both = e.select(*by, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(e.select(*by, F.col("b").alias("id"), F.col("a").alias("other")))
+        first = both.groupBy(*by, "id").agg(F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other"))).alias("x"))
+        to = F.when(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("other")) < F.col("x"), F.col("id")).otherwise(F.col("x.other"))
+        now = settled(first.select(*by, "id", to.alias("to")))
+        maps.append(now)
+        end = lambda c: now.select(*by, F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
+        moved = e.join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"]).where("a_to <> b_to")
+        e = settled(moved.select(*by, F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+    if not maps:
+        return e.select(*by, F.col("a").alias("id"), F.col("b").alias("c"))
+    label = maps.pop().withColumnRenamed("to", "c")
+    for now in reversed(maps):
+        label = settled(now.join(label.withColumnRenamed("id", "to"), [*by, "to"], "left").select(*by, "id", F.coalesce("c", "to").alias("c")))
+    return label
+
+
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): least id reachable."""
+    label = connected(edges, rounds=rounds)
+    least = label.groupBy("c").agg(F.min("id").alias("component"))
+    own = label.join(least, "c").select("id", "component")
+    return nodes.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
