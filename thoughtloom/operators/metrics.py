@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_between, half_even, period, slug
+from ..functions.tables import settled, tasks_over
 from .graph import with_currency
 
 
@@ -20,7 +21,11 @@ def timeline(decisions: DataFrame, granularity: str, months_back: int, as_of: Co
 
 def coverage(files: DataFrame, decisions: DataFrame, affects: DataFrame, as_of: Column, stale_days: int = 90) -> DataFrame:
     """(file, decisions, days_since, is_stale) of every file, covered or not."""
-    per = affects.join(decisions.select(F.col("id").alias("src"), "created_at"), "src").groupBy(F.col("dst").alias("file")).agg(F.countDistinct("src").alias("decisions"), F.max("created_at").alias("latest"))
+    pairs = settled(affects.select("src", "dst").distinct())
+    parts = tasks_over(pairs)
+    # pairs and decisions are told apart before they meet, so nothing is counted by pair after it
+    made = decisions.select(F.col("id").alias("src"), "created_at").repartition(parts, "src").groupBy("src").agg(F.max("created_at").alias("created_at"))
+    per = pairs.repartition(parts, "src").join(made, "src").groupBy(F.col("dst").alias("file")).agg(F.count(F.lit(1)).alias("decisions"), F.max("created_at").alias("latest"))
     out = files.select("file").join(per, "file", "left").withColumn("days_since", days_between(as_of, F.col("latest")))
     return out.select("file", F.coalesce("decisions", F.lit(0)).alias("decisions"), "days_since", F.coalesce(F.col("days_since") > stale_days, F.lit(False)).alias("is_stale"))
 

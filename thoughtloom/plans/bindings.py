@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import tasks_over
+
 AS_OF = "2001-08-02 00:00:00"
 FILES_AS_OF = "2002-01-30 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -87,7 +89,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def affects(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return lines.repartition(tasks_over(lines), "src").distinct()
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
