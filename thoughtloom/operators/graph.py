@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold, jaccard
-from ..functions.tables import settled, tasks_for
+from ..functions.tables import settled, tasks_for, tasks_over
 
 ENTITY_RELS = ["IS_A", "PART_OF", "DEPENDS_ON", "RELATED_TO", "ALTERNATIVE_TO", "ENABLES", "PREVENTS", "REQUIRES", "REFINES"]
 
@@ -171,16 +171,17 @@ def decision_evolution(decisions: DataFrame, influenced: DataFrame, supersedes:
 
 def supersession_chains(supersedes: DataFrame, ids: DataFrame, max_hops: int = 3, most: int | None = 5) -> DataFrame:
     """(start, end, hops, path): simple paths that start at a given id; at most `most` for each start, the shortest first."""
-    e = supersedes.select("src", "dst")
+    e = settled(supersedes.select("src", "dst"))
+    parts = tasks_over(e)
     walk = e.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.lit(1).alias("hops"), F.array("src", "dst").alias("path"))
     out = walk
     for hop in range(2, max_hops + 1):
-        walk = walk.join(e, walk.end == e.src).where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("end"), F.lit(hop).alias("hops"), F.array_append("path", F.col("dst")).alias("path"))
+        walk = walk.repartition(parts, "end").join(e.repartition(parts, "src"), F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("end"), F.lit(hop).alias("hops"), F.array_append("path", F.col("dst")).alias("path"))
         out = out.unionByName(walk)
     if most is None:
         return out
     w = Window.partitionBy("start").orderBy("hops", "end")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+    return out.repartition(parts * max_hops, "start").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 
 
 def contradictions(contradicts: DataFrame) -> DataFrame:
@@ -353,13 +354,20 @@ def recorded_context(new: DataFrame, edges: DataFrame, entities: DataFrame, k: i
 
 def entity_context(names: DataFrame, entities: DataFrame, involves: DataFrame, decisions: DataFrame, supersedes: DataFrame, k: int = 20) -> DataFrame:
     """(name, decisions, current, status, related): per asked name its decisions, and the k names that share most decisions with it."""
-    hit = names.select("name", fold("name").alias("key")).distinct().join(name_keys(entities), "key").select("name", F.col("id").alias("dst"))
-    d = involves.select("src", "dst").join(hit, "dst").select("name", "src").distinct()
-    cur = with_currency(decisions.select("id"), supersedes).withColumnRenamed("id", "src")
-    base = d.join(cur, "src").groupBy("name").agg(F.count(F.lit(1)).alias("decisions"), F.count_if("is_current").alias("current"))
+    hit = names.select("name", fold("name").alias("key")).distinct().join(name_keys(entities), "key").groupBy(F.col("id").alias("dst")).agg(F.collect_set("name").alias("asked"))
+    own = entities.groupBy(F.col("id").alias("dst")).agg(F.collect_set("name").alias("others")).join(hit, "dst", "left")
+    i = settled(involves.select("src", "dst"))
+    parts = tasks_over(i)
+    # a decision's names meet in its own row: pairs of names are counted, never listed by decision
+    lists = i.repartition(parts, "dst").join(own.repartition(parts, "dst"), "dst").repartition(parts, "src").groupBy("src")
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    d = settled(lists.agg(all_of("asked"), all_of("others")).where(F.size("asked") > 0))
+    cur = with_currency(decisions.select("id"), supersedes).withColumnRenamed("id", "src").repartition(parts, "src")
+    base = d.select("src", "asked").repartition(parts, "src").join(cur, "src").select("src", F.explode("asked").alias("name"), "is_current")
+    base = base.groupBy("name").agg(F.count(F.lit(1)).alias("decisions"), F.count_if("is_current").alias("current"))
     base = base.withColumn("status", F.when(F.col("current") == F.col("decisions"), "active").when(F.col("current") > 0, "partially_superseded").otherwise("superseded"))
-    other = d.join(involves.select("src", F.col("dst").alias("id")).distinct(), "src").join(entities.select("id", F.col("name").alias("other")), "id").where(fold("other") != fold("name"))
-    n = other.groupBy("name", "other").agg(F.countDistinct("src").alias("n"))
+    other = d.select(F.explode("asked").alias("name"), "others").select("name", F.explode("others").alias("other"))
+    n = other.groupBy("name", "other").agg(F.count(F.lit(1)).alias("n")).where(fold("other") != fold("name"))
     w = Window.partitionBy("name").orderBy(F.desc("n"), "other")
     top = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("related"))
     return base.join(top, "name", "left")

@@ -50,19 +50,25 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def involves(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(1 - F.col("l_discount")).alias("weight"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_discount")
+    return lines.repartition(tasks_over(lines), "src").groupBy("src", "dst").agg(F.max(1 - F.col("l_discount")).alias("weight"))
+
+
+def _by_customer(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return o.repartition(tasks_over(o), "o_custkey")
 
 
 def supersedes(spark: SparkSession, d: str) -> DataFrame:
     """Each order supersedes its customer's order before it."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst IS NOT NULL")
+    return _by_customer(spark, d).select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst IS NOT NULL")
 
 
 def contradicts(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth order contradicts its customer's order two before it."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey", 2).over(w).alias("dst")).where("dst IS NOT NULL AND src % 4 = 0")
+    return _by_customer(spark, d).select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey", 2).over(w).alias("dst")).where("dst IS NOT NULL AND src % 4 = 0")
 
 
 def related(spark: SparkSession, d: str) -> DataFrame:
