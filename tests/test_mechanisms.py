@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
-from thoughtloom.operators import containment, extraction, graph, integrity, resolve, rules
+from thoughtloom.operators import containment, extraction, graph, integrity, metrics, resolve, rules
 from thoughtloom.operators import search as S
 from thoughtloom.plans.registry import queries
 from thoughtloom.sources import sinks, transcripts
@@ -608,3 +609,28 @@ def test_tasks_of_a_graph_are_as_many_as_its_edges_ask_for(spark, monkeypatch):
     assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if 9 not in r and 13 not in r)
     for found in (graph_, left):
         assert ", 2), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _dealt(df):
+    """Numbers of tasks that a plan deals rows to."""
+    return {int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_coverage_chains_contexts_and_violations_deal_rows_by_number(spark, monkeypatch):
+    monkeypatch.setattr("thoughtloom.functions.tables.TASK_ROWS", 2)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    made = spark.createDataFrame([(i, 1, day(i), "x", "c", "a", ["we stay on postgres"]) for i in range(20)] + [(3, 1, day(90), "x", "c", "a", [])], "id bigint, user_id bigint, created_at timestamp_ntz, trigger string, context string, agent_decision string, assumptions array<string>")
+    pairs = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2 + [(99, 0)], "src bigint, dst bigint")
+    files = spark.createDataFrame([(0,), (1,), (2,)], "file bigint")
+    cover = metrics.coverage(files, made, pairs, F.lit(day(100)))
+    assert sorted((r.file, r.decisions, r.days_since) for r in cover.collect()) == [(0, 10, 82), (1, 10, 10), (2, 0, None)]
+    after = spark.createDataFrame([(i + 1, i) for i in range(20)], "src bigint, dst bigint")
+    chains = graph.supersession_chains(after, made.where("id > 17"))
+    assert sorted((r.start, r.end, r.hops) for r in chains.collect()) == sorted((s, s - h, h) for s in (18, 19) for h in (1, 2, 3))
+    names = spark.createDataFrame([(0, "Kafka"), (1, "redis"), (2, " kafka "), (3, None)], "id bigint, name string")
+    own = pairs.where("src < 20").union(spark.createDataFrame([(0, 2), (0, 1), (5, 3)], "src bigint, dst bigint"))
+    context = graph.entity_context(names.where("id < 2").select("name"), names, own, made.where("created_at < '2024-03-01'"), after.where("dst < 3"))
+    assert sorted((r.name, r.decisions, r.current, r.related) for r in context.collect()) == [("Kafka", 10, 8, ["redis"]), ("redis", 11, 9, [" kafka ", "Kafka"])]
+    broken = rules.assumption_violations(made.withColumn("trigger", F.when(F.col("id") == 9, "the postgres layer is deprecated").otherwise("x")), 5)
+    assert sorted((r.id, r.later_id) for r in broken.collect()) == [(i, 9) for i in range(4, 9)]
+    assert max(_dealt(cover)) == 11 and max(_dealt(chains)) == 30 and max(_dealt(context)) == 22 and max(_dealt(broken)) == 22

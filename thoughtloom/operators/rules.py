@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import days_between, find_all, fold, half_even, words
-from ..functions.tables import settled
+from ..functions.tables import settled, tasks_over
 from .containment import containing
 
 #: Days until a decision of a scope is overdue for review.
@@ -109,13 +109,17 @@ def assumption_violations(decisions: DataFrame, k: int = 50) -> DataFrame:
     """(id, assumption, later_id, confidence): the first of a user's next k decisions that contradicts an assumption."""
     order = Window.partitionBy("user_id").orderBy("created_at", "id")
     d = decisions.withColumn("n", F.row_number().over(order)).withColumn("last_equal", F.max("n").over(Window.partitionBy("user_id", "created_at")))
+    d = settled(d)
+    parts = tasks_over(d)
     a = d.select("id", "user_id", "last_equal", F.explode("assumptions").alias("assumption")).where(F.length(F.trim("assumption")) >= 5)
     text = F.concat_ws(" ", F.coalesce("trigger", F.lit("")), F.coalesce("context", F.lit("")), F.coalesce("agent_decision", F.lit("")))
     later = d.select("user_id", F.col("n").alias("m"), F.col("id").alias("later_id"), text.alias("later_text"))
     # the next k places of a user lie in two stretches of k places
     stretch = lambda c: F.floor(c / k)
     a = a.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("last_equal") + 1), stretch(F.col("last_equal") + k)))))
-    pairs = a.join(later.withColumn("stretch", stretch(F.col("m"))), ["user_id", "stretch"]).where((F.col("m") > F.col("last_equal")) & (F.col("m") <= F.col("last_equal") + k))
+    # an assumption is sent to two stretches
+    later = later.withColumn("stretch", stretch(F.col("m"))).repartition(2 * parts, "user_id", "stretch")
+    pairs = a.repartition(2 * parts, "user_id", "stretch").join(later, ["user_id", "stretch"]).where((F.col("m") > F.col("last_equal")) & (F.col("m") <= F.col("last_equal") + k))
     hits = pairs.withColumn("confidence", contradiction(F.col("assumption"), F.col("later_text"))).where("confidence IS NOT NULL")
     return hits.groupBy("id", "assumption").agg(F.min(F.struct("m", "later_id", "confidence")).alias("x")).select("id", "assumption", "x.later_id", "x.confidence")
 
