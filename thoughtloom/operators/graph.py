@@ -330,7 +330,7 @@ def shared_entity_groups(decisions: DataFrame, involves: DataFrame, min_shared:
     """(id, component) of decisions that are connected through pairs sharing min_shared entities; lone decisions are left out."""
     from .integrity import components
 
-    p = shared_entity_pairs(involves, min_shared).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    p = settled(shared_entity_pairs(involves, min_shared).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     linked = p.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return components(linked, p).join(decisions.select("id"), "id", "left_semi")
 
