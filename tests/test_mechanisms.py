@@ -5,11 +5,13 @@ import json
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thoughtloom.functions import tables
 from thoughtloom.functions.tables import BatchTable
 from thoughtloom.operators import text_index, vectors
 from thoughtloom.operators import containment, extraction, graph, integrity, metrics, resolve, rules
@@ -634,3 +636,42 @@ def test_coverage_chains_contexts_and_violations_deal_rows_by_number(spark, monk
     broken = rules.assumption_violations(made.withColumn("trigger", F.when(F.col("id") == 9, "the postgres layer is deprecated").otherwise("x")), 5)
     assert sorted((r.id, r.later_id) for r in broken.collect()) == [(i, 9) for i in range(4, 9)]
     assert max(_dealt(cover)) == 11 and max(_dealt(chains)) == 30 and max(_dealt(context)) == 22 and max(_dealt(broken)) == 22
+
+
+def test_a_save_leaves_no_settled_tables_and_makes_the_same_in_parts(spark, tmp_path, monkeypatch):
+    rows = saved_rows()
+    df = spark.createDataFrame(rows, fanout.DECISION)
+    shared = Path(tables.shared_folder(spark).removeprefix("file:"))
+    state = lambda store: {name: sorted(map(str, (x.withColumn("score", F.round("score", 9)) if name == "similar" else x).collect())) for name, x in ((name, store.read(name)) for name in fanout.TABLES if name != "pools")}
+    settled = lambda: {p.name for p in shared.glob("settled-*")}
+    before, codec = settled(), spark.conf.get("spark.sql.parquet.compression.codec")
+    whole = fanout.SavedDecisions(spark, f"file://{tmp_path}/whole")
+    whole.save(df, 0)
+    assert settled() == before and spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    monkeypatch.setattr(tables, "PART_BYTES", 3000)
+    monkeypatch.setattr(fanout, "REVIEW_ROWS", 7)
+    monkeypatch.setattr(fanout, "BUCKET_ROWS", 20)
+    parts = fanout.SavedDecisions(spark, f"file://{tmp_path}/parts")
+    parts.save(df.where("id < 150"), 0)
+    parts.save(df.where("id >= 150"), 1)
+    assert state(parts) == state(whole)
+    assert sorted((r.id, r.other, r.rank) for r in parts.read("reviews").collect()) == brute_reviews(rows)
+
+
+@pytest.mark.parametrize("most", [1, 2048])
+def test_similar_saved_decisions_of_equal_scores_go_by_id(spark, tmp_path, monkeypatch, most):
+    # copies of a few vectors: scores that are equal but for rounding must not decide
+    rng = random.Random(12)
+    kinds = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(3)]
+    rows = [(i, i % 2, None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(50)), None, None, None, None, None, None if i % 13 == 0 else kinds[i % 3]) for i in range(130)]
+    monkeypatch.setattr(fanout, "GROUP_ROWS", most)
+    store = fanout.SavedDecisions(spark, f"file://{tmp_path}/store")
+    df = spark.createDataFrame(rows, fanout.DECISION)
+    store.save(df.where("id < 40"), 0)
+    store.save(df.where("id >= 40"), 1)
+    batch = lambda r: r[0] >= 40
+    want = []
+    for r in rows:
+        near = sorted(o[0] for o in rows if r[9] and o[9] and o[1] == r[1] and o[0] % 3 == r[0] % 3 and (batch(o), o[3], o[0]) < (batch(r), r[3], r[0]))
+        want += [(r[0], o, "high") for o in near[:5]]
+    assert sorted((r.src, r.dst, r.tier) for r in store.read("similar").collect()) == sorted(want)

@@ -69,6 +69,47 @@ def block_rows(n: int, size: int, least: int) -> int:
     return max(least, min(-(-n // FEW_BLOCKS), BLOCK_NUMBERS // size))
 
 
+#: Rows of a group whose pairs are judged at once, and rows of groups that come into one task together.
+GROUP_ROWS = 2048
+BUCKET_ROWS = 16384
+
+
+def best_before(rows: DataFrame, k: int, threshold: float, size: int, buckets: int) -> DataFrame:
+    """(query, id, score): per row that asks the k best of the rows of its group before it, with a cosine over the threshold.
+
+    rows (id, by, at, asks, embedding): in a group those that do not ask come first, then by time and id. Only rows of a
+    group are multiplied, groups of equal numbers of rows together; a group is held by one task, so it should be small.
+    """
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, asks = t["id"].to_numpy(), t["asks"].to_numpy()
+        at = t["at"].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+        codes = np.unique(t["by"].to_numpy().astype(str), return_inverse=True)[1]
+        order = np.lexsort((ids, at, asks, codes))
+        ids, asks, v = ids[order], asks[order], unit_rows(t["embedding"], size)[order]
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        counts = np.diff(starts, append=len(ids))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for c in np.unique(counts[counts > 1]):
+            first, earlier = starts[counts == c], np.tri(c, k=-1, dtype=bool)
+            step = max(1, SCORES // (c * max(c, size)))
+            for i in range(0, len(first), step):
+                at_ = first[i : i + step, None] + np.arange(c)
+                x = v[at_]
+                s = np.clip(x @ x.transpose(0, 2, 1), -1, 1)
+                g, q, d = np.nonzero((s > threshold) & earlier & asks[at_][:, :, None])
+                found.append((at_[g, q], at_[g, d], s[g, q, d]))
+        query, near, score = map(np.concatenate, zip(*found))
+        order = np.lexsort((ids[near], -np.round(score, 12), query))
+        query, near, score = query[order], near[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        query, near, score = (x[place < k] for x in (query, near, score))
+        return pa.table({"query": pa.array(ids[query], pa.int64()), "id": pa.array(ids[near], pa.int64()), "score": pa.array(score, pa.float64())})
+
+    bucket = F.pmod(F.xxhash64("by"), F.lit(buckets)).cast("int")
+    return rows.select("id", "by", "at", "asks", "embedding", bucket.alias("bucket")).groupBy("bucket").applyInArrow(best, "query bigint, id bigint, score double")
+
+
 def similar(queries: DataFrame, data: DataFrame, k: int | None, threshold: float, block: int = 2048, pairs: bool = False, by: str | None = None) -> DataFrame:
     """(query, id, score): per query the k best of data with a cosine over the threshold, itself left out.
 

@@ -118,8 +118,10 @@ query(
 
 def _saved(s, d):
     """Orders as decisions to save: files and entities of their lines, and a vector of their customer's that lost some entries."""
-    lines = B.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("entities"), F.collect_set(F.concat(F.lit("f"), F.col("l_suppkey").cast("string"))).alias("files"))
-    vectors = B.table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    lines = B.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey").repartition("id").groupBy("id")
+    lines = lines.agg(F.collect_set("l_partkey").alias("entities"), F.collect_set(F.concat(F.lit("f"), F.col("l_suppkey").cast("string"))).alias("files"))
+    # at most 250 vectors are met, so decisions need not be dealt by them
+    vectors = F.broadcast(B.table(s, d, "embeddings").where("abs(vec_id) < 250").select(F.col("vec_id").alias("v"), "embedding"))
     o = B.decisions(s, d).join(lines, "id", "left").join(vectors, F.col("user_id") % 250 == F.col("v"), "left")
     vector = F.transform("embedding", lambda x, i: F.when(i < F.col("id") % 24, F.lit(0.0).cast("float")).otherwise(x))
     options = F.array(F.coalesce("agent_decision", F.lit("none")), F.concat(F.lit("Hold order "), F.col("id").cast("string")), F.lit("no"))
@@ -130,7 +132,7 @@ def _saved(s, d):
 def _fanout(s, d):
     """The orders in three batches by time; all derived edges in one table."""
     store = fanout.SavedDecisions(s, scratch(s, "saved"))
-    saved = settled(_saved(s, d))
+    saved = _saved(s, d)
     cuts = [None, "1995-01-01", "1997-06-01", None]
     for k in range(3):
         part = saved
