@@ -675,3 +675,14 @@ def test_similar_saved_decisions_of_equal_scores_go_by_id(spark, tmp_path, monke
         near = sorted(o[0] for o in rows if r[9] and o[9] and o[1] == r[1] and o[0] % 3 == r[0] % 3 and (batch(o), o[3], o[0]) < (batch(r), r[3], r[0]))
         want += [(r[0], o, "high") for o in near[:5]]
     assert sorted((r.src, r.dst, r.tier) for r in store.read("similar").collect()) == sorted(want)
+
+
+def test_relations_by_name_choose_entities_before_they_meet(spark):
+    # a and b have two keys, so their pairs come by both and are made distinct; the others' pairs are not
+    e = [(1, "a", ["b"]), (2, "b", ["a"]), (3, "a", None), (4, "b", None), (5, "c", None), (6, None, None)]
+    rels = [("a", "b", "USES"), ("b", "a", "USES"), ("a", "c", "USES"), ("c", "B ", "USES"), ("A", "b", "USES")]
+    keys = {(k, i) for i, n, more in e for k in [n, *(more or [])] if k}
+    want = {(i, j, r) for f, t, r in rels for k, i in keys for m, j in keys if k == f.lower().strip() and m == t.lower().strip() and i != j}
+    found = resolve.relation_edges(spark.createDataFrame(rels, "from string, to string, rel string"), spark.createDataFrame(e, "id bigint, name string, aliases array<string>"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()

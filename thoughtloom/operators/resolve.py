@@ -394,12 +394,15 @@ def relation_edges(rels: DataFrame, entities: DataFrame, parts: int = 8) -> Data
     many = keys.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("many"))
     keys = settled(keys.join(many, "id"))
     r = rels.select(fold("from").alias("f"), fold("to").alias("t"), "rel").distinct()
-    left = r.join(keys.select(F.col("key").alias("f"), F.col("id").alias("src"), F.col("many").alias("src_many")), "f")
-    left = left.select("t", "rel", "src", "src_many", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = keys.select(F.col("key").alias("t"), F.col("id").alias("dst"), F.col("many").alias("dst_many"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    out = left.join(right.hint("merge"), ["t", "part"]).where("src <> dst")
-    once, again = out.where("NOT (src_many OR dst_many)"), out.where("src_many OR dst_many")
-    return once.select("src", "dst", "rel").unionByName(again.select("src", "dst", "rel").distinct())
+
+    def met(first: str, second: str) -> DataFrame:
+        # entities are chosen before they meet: a choice between pairs would make all pairs once more
+        left = r.join(keys.where(first).select(F.col("key").alias("f"), F.col("id").alias("src")), "f")
+        left = left.select("t", "rel", "src", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        right = keys.where(second).select(F.col("key").alias("t"), F.col("id").alias("dst"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+        return left.join(right.hint("merge"), ["t", "part"]).where("src <> dst").select("src", "dst", "rel")
+
+    return met("NOT many", "NOT many").unionByName(met("many", "true").unionByName(met("NOT many", "many")).distinct())
 
 
 def suggest_entities(mentions: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
